@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from provenor import constants as K
 from provenor.functions import extract_id, similarity
-from provenor.operators.sorting import n_per_group
+from provenor.operators.sorting import n_per_group, top_k
 from provenor.operators.windows import pack_context
 
 
@@ -168,13 +168,10 @@ def context_bundle(parts: Mapping[str, tuple[DataFrame, Sequence[Column], int]],
     spark = next(iter(parts.values()))[0].sparkSession
     cells = []
     for name, (frame, order, limit) in parts.items():
-        cols = frame.columns
-        first = frame.orderBy(*order).limit(limit)
-        from provenor.operators.sorting import top_k
-
-        numbered = top_k(first, order, limit, rank="__no")
-        items = numbered.agg(F.sort_array(F.collect_list(F.struct("__no", F.struct(*cols).alias("row")))).alias("items"))
-        cells.append(F.transform(items.scalar(), lambda s: s["row"]).alias(name))
+        numbered = top_k(frame, order, limit, rank="__no")
+        items = F.sort_array(F.collect_list(F.struct("__no", F.struct(*frame.columns).alias("row"))))
+        listed = numbered.agg(items.alias("items")).select(F.transform("items", lambda s: s["row"]).alias("items"))
+        cells.append(listed.scalar().alias(name))
     for name, frame in (counts or {}).items():
         cells.append(frame.agg(F.count(F.lit(1)).alias("n")).scalar().alias(name))
     one = spark.range(1).select(*cells)

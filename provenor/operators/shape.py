@@ -145,10 +145,10 @@ def heat_map(
         .groupBy(row).agg(F.map_from_entries(F.collect_list(F.struct(col, value))).alias("__cells"))
     )
     frame = columns.agg(F.sort_array(F.collect_list(F.struct(group, "col_no", col))).alias("c")).scalar()
-    return labels.join(cells, row, "left").select(
+    return labels.join(cells, row, "left").withColumn("__frame", frame).select(
         "row_no", row,
         F.transform(
-            frame,
+            "__frame",
             lambda c: F.struct(c[group].alias(group), c[col].alias(col), F.try_element_at("__cells", c[col]).alias("cell")),
         ).alias("cells"),
     )
