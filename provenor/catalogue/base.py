@@ -51,7 +51,7 @@ def money(c: Column | str) -> Column:
 
 SQL_VIEWS: dict[str, str] = {
     "x_expr": """
-SELECT l_suppkey AS sample_id, l_orderkey AS case_id, l_linenumber AS line_no, p_name || ' ' || p_brand AS gene,
+SELECT l_suppkey AS sample_id, l_orderkey AS case_id, l_linenumber AS line_no, replace(p_name, ' ', '-') || '-' || p_brand AS gene,
        l_partkey AS part_id, p_type AS gene_type,
        CASE l_returnflag WHEN 'R' THEN 'case' WHEN 'A' THEN 'control' ELSE 'other' END AS grp,
        l_extendedprice AS value, log2(l_extendedprice + 1) AS log_value, CAST(l_quantity AS BIGINT) AS n
@@ -60,7 +60,7 @@ FROM lineitem JOIN part ON l_partkey = p_partkey""",
 SELECT 'P' || l_partkey AS src, 'S' || l_suppkey AS dst, max(l_quantity) * 20 AS score, max(l_quantity) * 20 / 1000.0e0 AS weight
 FROM lineitem GROUP BY l_partkey, l_suppkey""",
     "x_alias": """
-SELECT 'P' || p_partkey AS protein_id, p_name || ' ' || p_brand AS alias_value, 'symbol' AS source FROM part WHERE p_size % 10 <> 0
+SELECT 'P' || p_partkey AS protein_id, replace(p_name, ' ', '-') || '-' || p_brand AS alias_value, 'symbol' AS source FROM part WHERE p_size % 10 <> 0
 UNION ALL SELECT 'P' || p_partkey, p_brand, 'brand' FROM part WHERE p_size % 7 <> 0
 UNION ALL SELECT 'P' || p_partkey, p_type, 'brand' FROM part WHERE p_size % 5 = 0
 UNION ALL SELECT 'P' || p_partkey, p_type, 'kind' FROM part""",
@@ -94,15 +94,56 @@ FROM embeddings""",
 _ORDER = list(SQL_VIEWS)
 
 
+def _sql_horner(x: str, coefficients: list[float]) -> str:
+    text = f"{coefficients[0]!r}"
+    for c in coefficients[1:]:
+        text = f"({text}*{x}+({c!r}))"
+    return text
+
+
+def sql_erfc(x: str) -> str:
+    """SQL text of the library's erfc for x >= 0."""
+    from provenor.functions import numeric as N
+
+    decay = f"exp(-(floor({x}*16e0)/16e0)*(floor({x}*16e0)/16e0))*exp(-({x}-floor({x}*16e0)/16e0)*({x}+floor({x}*16e0)/16e0))"
+    sq, inv = f"({x}*{x})", f"(1e0/({x}*{x}))"
+
+    def num(c):
+        return [float(v) for v in c]
+
+    small = f"1e0-{x}*{_sql_horner(sq, num(N.ERF_SMALL_NUM))}/{_sql_horner(sq, num(N.ERF_SMALL_DEN))}"
+    mid = f"{decay}*{_sql_horner(x, num(N.ERF_MID_NUM))}/{_sql_horner(x, num(N.ERF_MID_DEN))}"
+    tail = f"{decay}*({N.INV_SQRT_PI!r}-{inv}*{_sql_horner(inv, num(N.ERF_TAIL_NUM))}/{_sql_horner(inv, num(N.ERF_TAIL_DEN))})/{x}"
+    return f"CASE WHEN {x} <= 0.46875e0 THEN {small} WHEN {x} <= 4e0 THEN {mid} ELSE {tail} END"
+
+
+SQL_VIEWS["x_diff"] = f"""
+SELECT *, abs(effect) >= 1 AND coalesce(p_value < 0.05, false) AS is_deg,
+       CASE WHEN effect > 0 THEN 'Upregulated' WHEN effect < 0 THEN 'Downregulated' ELSE 'No change' END AS direction
+FROM (SELECT *, CASE WHEN z > 27 THEN 0e0 WHEN z IS NOT NULL THEN {sql_erfc('z')} END AS p_value
+FROM (SELECT *, abs(t_stat) / 1.4142135623730951e0 AS z
+FROM (SELECT *, CASE WHEN least(n_case, n_control) >= 2 AND se > 0 THEN effect / se END AS t_stat
+FROM (SELECT *, mean_log_case - mean_log_control AS effect, sqrt(var_case / n_case + var_control / n_control) AS se
+FROM (SELECT gene, max(CASE WHEN grp = 'case' THEN mean_value END) AS mean_case, max(CASE WHEN grp = 'control' THEN mean_value END) AS mean_control,
+             max(CASE WHEN grp = 'case' THEN mean_log END) AS mean_log_case, max(CASE WHEN grp = 'control' THEN mean_log END) AS mean_log_control,
+             max(CASE WHEN grp = 'case' THEN var_log END) AS var_case, max(CASE WHEN grp = 'control' THEN var_log END) AS var_control,
+             max(CASE WHEN grp = 'case' THEN n_values END) AS n_case, max(CASE WHEN grp = 'control' THEN n_values END) AS n_control
+      FROM x_moments GROUP BY gene) WHERE mean_log_case IS NOT NULL AND mean_log_control IS NOT NULL))))"""
+_ORDER.append("x_diff")
+
+
 def with_views(*names: str, body: str, **more: str) -> str:
     """SQL with the named derived tables, and those they build on, in front."""
     need = set(names)
     if "x_map" in need:
         need.add("x_alias")
+    if "x_diff" in need:
+        need.add("x_moments")
     if need & {"x_qc", "x_moments"}:
         need.add("x_expr")
     ctes = [f"{n} AS ({SQL_VIEWS[n]})" for n in _ORDER if n in need] + [f"{n} AS ({s})" for n, s in more.items()]
-    return f"WITH {', '.join(ctes)} {body}"
+    body = body.strip()
+    return f"WITH {', '.join(ctes)}{'' if body.startswith(',') else ' '}{body}"
 
 
 def x_expr(spark: SparkSession, sf: str) -> DataFrame:
@@ -112,7 +153,7 @@ def x_expr(spark: SparkSession, sf: str) -> DataFrame:
     grp = F.when(F.col("l_returnflag") == "R", "case").when(F.col("l_returnflag") == "A", "control").otherwise("other")
     return line.join(part, "l_partkey").select(
         F.col("l_suppkey").alias("sample_id"), F.col("l_orderkey").alias("case_id"), F.col("l_linenumber").alias("line_no"),
-        F.concat_ws(" ", "p_name", "p_brand").alias("gene"), F.col("l_partkey").alias("part_id"), F.col("p_type").alias("gene_type"),
+        F.concat_ws("-", F.replace("p_name", F.lit(" "), F.lit("-")), "p_brand").alias("gene"), F.col("l_partkey").alias("part_id"), F.col("p_type").alias("gene_type"),
         grp.alias("grp"), F.col("l_extendedprice").alias("value"), log2p1("l_extendedprice").alias("log_value"),
         big("l_quantity").alias("n"),
     )
@@ -129,12 +170,15 @@ def x_edges(spark: SparkSession, sf: str) -> DataFrame:
 
 def x_alias(spark: SparkSession, sf: str) -> DataFrame:
     part = tab(spark, sf, "part").select(F.concat(F.lit("P"), "p_partkey").alias("protein_id"), "p_name", "p_brand", "p_type", "p_size")
-    return part.select("protein_id", F.inline(F.filter(F.array(
-        F.struct(F.concat_ws(" ", "p_name", "p_brand").alias("alias_value"), F.lit("symbol").alias("source"), (F.col("p_size") % 10 != 0).alias("ok")),
-        F.struct(F.col("p_brand"), F.lit("brand"), F.col("p_size") % 7 != 0),
-        F.struct(F.col("p_type"), F.lit("brand"), F.col("p_size") % 5 == 0),
-        F.struct(F.col("p_type"), F.lit("kind"), F.lit(True)),
-    ), lambda s: s["ok"]))).drop("ok")
+    def row(alias: Column, source: str, ok: Column) -> Column:
+        return F.struct(alias.alias("alias_value"), F.lit(source).alias("source"), ok.alias("ok"))
+
+    size = F.col("p_size")
+    name = F.concat_ws("-", F.replace("p_name", F.lit(" "), F.lit("-")), "p_brand")
+    return part.select("protein_id", F.inline(F.array(
+        row(name, "symbol", size % 10 != 0), row(F.col("p_brand"), "brand", size % 7 != 0),
+        row(F.col("p_type"), "brand", size % 5 == 0), row(F.col("p_type"), "kind", F.lit(True)),
+    ))).where("ok").drop("ok")
 
 
 def x_map(spark: SparkSession, sf: str) -> DataFrame:
@@ -147,6 +191,13 @@ def x_map(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def x_diff(spark: SparkSession, sf: str) -> DataFrame:
+    """Two-group test per entity with its call."""
+    from provenor.operators.stats import call_diff, two_group_test
+
+    return call_diff(two_group_test(x_expr(spark, sf), ["gene"], "grp", "value", "log_value", "case", "control"))
+
+
 def x_qc(spark: SparkSession, sf: str) -> DataFrame:
     return x_expr(spark, sf).groupBy("sample_id").agg(
         F.sum("n").alias("total_count"), F.count_if(F.col("value") > 50000).alias("n_detected")
