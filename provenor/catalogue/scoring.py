@@ -8,6 +8,7 @@ from provenor.functions import log2p1
 from provenor.operators import ml, scoring
 from provenor.operators.sorting import top_k
 from provenor.plans import evidence, mapping, support
+from provenor.session import materialise
 
 
 @query("sco_minmax", """
@@ -51,9 +52,9 @@ def protein_edges(spark, sf):
 
 
 def ranking_inputs(spark, sf):
-    """(mapped evidence, network features) of the derived tables."""
-    genes, edges = gene_map(spark, sf), protein_edges(spark, sf)
-    mapped = mapping.mapped_evidence(evidence.difference(expression(spark, sf), "case", "control"), genes)
+    """(mapped evidence, network features) of the derived tables; the tables between phases are stored."""
+    genes, edges = gene_map(spark, sf), materialise(protein_edges(spark, sf), "edges")
+    mapped = materialise(mapping.mapped_evidence(evidence.difference(expression(spark, sf), "case", "control"), genes), "mapped")
     return mapped, evidence.network_features(mapped, edges, mapping.protein_nodes(genes, edges))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from provenor import constants as K
 from provenor.functions import ratio
-from provenor.operators.joins import global_value
+from provenor.operators.joins import with_stats
 from provenor.operators.ordering import exact_quantiles, number_rows
 from provenor.operators.sorting import n_per_group
 
@@ -44,13 +44,11 @@ def iqr_bounds(df: DataFrame, cols: Sequence[str], factor: float = K.IQR_FACTOR,
 
 def iqr_flags(df: DataFrame, cols: Mapping[str, str], factor: float = K.IQR_FACTOR, accuracy: int = K.QUANTILE_ACCURACY) -> DataFrame:
     """``{column: flag}``: outside the IQR fences of all rows; never when the IQR is 0."""
-    bounds = global_value(iqr_bounds(df, list(cols), factor, accuracy))
-    return df.withColumns({
-        flag: F.coalesce(
-            (F.col(c) < bounds.getField(f"{c}_lower")) | (F.col(c) > bounds.getField(f"{c}_upper")), F.lit(False)
-        )
+    bounded = with_stats(df, iqr_bounds(df, list(cols), factor, accuracy))
+    return bounded.withColumns({
+        flag: F.coalesce((F.col(c) < F.col(f"__stats.{c}_lower")) | (F.col(c) > F.col(f"__stats.{c}_upper")), F.lit(False))
         for c, flag in cols.items()
-    })
+    }).drop("__stats")
 
 
 def any_flag(df: DataFrame, keys: Sequence[str], flag: Column, out: str = "has_flag") -> DataFrame:
@@ -177,20 +175,20 @@ def cluster_profile(
     label: str = "candidate_group", accuracy: int = K.QUANTILE_ACCURACY,
 ) -> DataFrame:
     """Size and means per cluster, labelled against the medians of all rows."""
-    mid = global_value(df.agg(
+    medians = df.agg(
         F.percentile_approx(expression, 0.5, accuracy).cast("double").alias("expression"),
         F.percentile_approx(network, 0.5, accuracy).cast("double").alias("network"),
-    ))
+    )
     sized = df.groupBy(cluster).agg(
         F.count(F.lit(1)).alias("num_candidates"), *[F.avg(c).alias(out) for c, out in means.items()]
     )
-    strong_x = F.col(means[expression]) >= mid.getField("expression")
-    strong_n = F.col(means[network]) >= mid.getField("network")
+    strong_x = F.col(means[expression]) >= F.col("__stats.expression")
+    strong_n = F.col(means[network]) >= F.col("__stats.network")
     name = (
         F.when(strong_x & strong_n, K.CLUSTER_BOTH).when(strong_x & ~strong_n, K.CLUSTER_EXPRESSION)
         .when(~strong_x & strong_n, K.CLUSTER_NETWORK).otherwise(K.CLUSTER_LOW)
     )
-    return sized.withColumn(label, name)
+    return with_stats(sized, medians).withColumn(label, name).drop("__stats")
 
 
 def feature_ranges(df: DataFrame, keys: Sequence[str], features: Sequence[str]) -> DataFrame:

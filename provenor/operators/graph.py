@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from provenor import constants as K
 from provenor.operators.filters import min_weight
-from provenor.operators.joins import attach_ends
+from provenor.operators.joins import attach_ends, keyed_join
 from provenor.operators.sets import both_directions
 
 
@@ -37,12 +37,16 @@ def incident_edges(edges: DataFrame, nodes: DataFrame, node: str, src: str, dst:
 
 def interaction_features(
     edges: DataFrame, nodes: DataFrame, node: str, src: str, dst: str, score: str, weight: str,
-    threshold: float = K.EDGE_MIN_WEIGHT, high: float = K.EDGE_HIGH_WEIGHT,
+    threshold: float = K.EDGE_MIN_WEIGHT, high: float = K.EDGE_HIGH_WEIGHT, salts: int = 8,
 ) -> DataFrame:
-    """Neighbours, mean and best score and high-confidence neighbours of the given nodes."""
+    """Neighbours, mean and best score and high-confidence neighbours of the given nodes.
+
+    The join is salted because the aggregation that follows has the same key:
+    Spark would otherwise keep all rows of a hub in the task it joined them in.
+    """
     strong = min_weight(edges.select(src, dst, score, weight), weight, threshold)
     ids = nodes.select(node).where(F.col(node).isNotNull()).distinct()
-    seen = both_directions(strong, src, dst, node, "__other").join(ids, node, "left_semi").distinct()
+    seen = keyed_join(both_directions(strong, src, dst, node, "__other"), ids, [node], "left_semi", salts).distinct()
     pairs = seen.groupBy(node, "__other").agg(
         F.sum(score).alias("__sum"), F.count(score).alias("__n"), F.max(score).alias("__max"),
         F.max(F.col(weight) >= high).alias("__high"),

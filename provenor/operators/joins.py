@@ -33,18 +33,20 @@ def keyed_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str =
     return salted.join(copies, [*on, "__salt"], how).drop("__salt")
 
 
-def global_value(stats: DataFrame) -> Column:
-    """A one-row DataFrame as a struct value, computed once and inlined into every row.
+def with_stats(df: DataFrame, stats: DataFrame, name: str = "__stats") -> DataFrame:
+    """Every row with a one-row DataFrame as struct column ``name``.
 
-    A scalar subquery needs neither a join nor a round trip through the driver.
+    A scalar subquery is computed once and inlined as a value: it needs neither a
+    join nor a round trip through the driver.
     """
-    return stats.select(F.struct(*[F.col(c) for c in stats.columns]).alias("stats")).scalar()
+    one = stats.select(F.struct(*[F.col(c) for c in stats.columns]).alias("stats"))
+    return df.withColumn(name, one.scalar())
 
 
 def with_global_stats(df: DataFrame, aggregates: Mapping[str, Column], of: DataFrame | None = None) -> DataFrame:
     """Every row plus aggregates over the whole of ``of`` (default: ``df`` itself)."""
-    stats = global_value((of if of is not None else df).agg(*[c.alias(n) for n, c in aggregates.items()]))
-    return df.withColumns({n: stats.getField(n) for n in aggregates})
+    stats = (of if of is not None else df).agg(*[c.alias(n) for n, c in aggregates.items()])
+    return with_stats(df, stats).select(*[F.col(f"`{c}`") for c in df.columns], "__stats.*")
 
 
 def enrich_left(

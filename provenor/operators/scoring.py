@@ -9,20 +9,21 @@ from pyspark.sql import functions as F
 
 from provenor import constants as K
 from provenor.functions import blend
-from provenor.operators.joins import assemble, global_value
+from provenor.operators.joins import assemble, with_stats
 from provenor.operators.sorting import global_rank, top_k
 from provenor.operators.windows import best_by
+from provenor.session import materialise
 
 
 def minmax(df: DataFrame, cols: Mapping[str, str]) -> DataFrame:
     """``{column: out}`` scaled to 0..1 over all rows; a constant or empty column gives 0."""
-    ends = global_value(df.agg(*[f(c).cast("double").alias(f"{n}_{c}") for c in cols for n, f in (("lo", F.min), ("hi", F.max))]))
+    ends = df.agg(*[f(c).cast("double").alias(f"{n}_{c}") for c in cols for n, f in (("lo", F.min), ("hi", F.max))])
 
     def scaled(c: str) -> Column:
-        lo, hi = ends.getField(f"lo_{c}"), ends.getField(f"hi_{c}")
+        lo, hi = F.col(f"__stats.lo_{c}"), F.col(f"__stats.hi_{c}")
         return F.when(lo < hi, (F.col(c) - lo) / (hi - lo)).otherwise(F.lit(0.0))
 
-    return df.withColumns({out: scaled(c) for c, out in cols.items()})
+    return with_stats(df, ends).withColumns({out: scaled(c) for c, out in cols.items()}).drop("__stats")
 
 
 def composite(df: DataFrame, weights: Mapping[str, float], out: str, absent: Column | None = None) -> DataFrame:
@@ -58,7 +59,8 @@ def score_candidates(evidence: DataFrame, features: DataFrame) -> DataFrame:
     best = best_by(joined, ["protein_id"], [
         F.col("abs_log2FC").desc(), F.col("p_value").asc_nulls_last(), F.col("gene_name").asc(), F.col("gene_id_base").asc(),
     ])
-    scaled = minmax(best, {
+    # stored once: the extremes and the rows are two passes over it, not over everything upstream
+    scaled = minmax(materialise(best, "candidates"), {
         "abs_log2FC": "expression_score",
         "weighted_degree_protein": "protein_network_score",
         "avg_combined_score": "string_confidence_score",

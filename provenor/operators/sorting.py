@@ -54,7 +54,7 @@ def mixed_order(col: str, descending: bool = False) -> list[Column]:
     text = F.col(col).cast("string")
     gone = text.isNull() | (text == "")
     number = F.when(~gone & (F.trim(text) != ""), F.trim(text).try_cast("double"))
-    word = F.when(number.isNull(), F.lower(text))
+    word = F.when(~gone & number.isNull(), F.lower(text))
     if descending:
         return [gone.asc(), number.isNull().desc(), number.desc(), word.desc()]
     return [gone.asc(), number.isNull().asc(), number.asc(), word.asc()]

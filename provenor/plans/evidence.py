@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from provenor import constants as K
 from provenor.functions import log2p1
 from provenor.operators.aggregates import any_flag
-from provenor.operators.graph import incident_edges, interaction_features
+from provenor.operators.graph import interaction_features
 from provenor.operators.joins import assemble, keep_members
 from provenor.operators.scoring import rank_candidates, score_candidates, top_candidates
 from provenor.operators.stats import call_diff, two_group_test
@@ -57,15 +57,13 @@ def difference(expr: DataFrame, case: str = "tumor", control: str = "normal") ->
 
 
 def network_features(mapped: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Degree and neighbourhood features of the mapped proteins."""
+    """Degree and neighbourhood features of the mapped proteins.
+
+    ``mapped`` and ``edges`` are read several times and should be stored tables.
+    """
     ids = mapped.select("protein_id").where(F.col("protein_id").isNotNull()).distinct()
-    near = incident_edges(
-        edges.select("protein_id_src", "protein_id_dst", "combined_score_protein", "edge_weight_protein")
-        .where(F.col("edge_weight_protein") >= K.EDGE_MIN_WEIGHT),
-        ids, "protein_id", "protein_id_src", "protein_id_dst",
-    )
     found = interaction_features(
-        near, ids, "protein_id", "protein_id_src", "protein_id_dst", "combined_score_protein", "edge_weight_protein"
+        edges, ids, "protein_id", "protein_id_src", "protein_id_dst", "combined_score_protein", "edge_weight_protein"
     ).select(
         "protein_id", F.col("n_interactions").alias("num_interactions_in_deg_network"),
         F.col("avg_score").alias("avg_combined_score"), F.col("max_score").cast("double").alias("max_combined_score"),

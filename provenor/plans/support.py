@@ -41,7 +41,7 @@ def cohort_values(
     sample_cols = [c for c in wide.columns if c != gene and c not in drop]
     cut = keep_members(wide.withColumn("gene_name_norm", norm_key(gene)).where(not_blank("gene_name_norm")), keys, ["gene_name_norm"])
     long = melt(cut, ["gene_name_norm"], sample_cols, "sample_id", "value").withColumn("sample_id", norm_key("sample_id"))
-    kept = keep_members(long, samples, ["sample_id"])
+    kept = keep_members(long, samples, ["sample_id"], salts=8)
     used = kept if already_log else kept.withColumn("value", log2p1("value"))
     return mean_replicates(used, ["gene_name_norm", "sample_id"], "value")
 
