@@ -1,6 +1,5 @@
 """Checked queries for the scalar function families."""
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from provenor.catalogue.base import big, query, r6, tab
@@ -108,15 +107,17 @@ def fn_ordering(spark, sf):
 
 
 @query("fn_window", """
-SELECT user_id, event_id, CAST(row_number() OVER w AS INTEGER) AS rn, round(percent_rank() OVER w, 6) AS pr, lag(event_id) OVER w AS prev, count(*) OVER (PARTITION BY user_id) AS n, max(value) OVER (PARTITION BY user_id) AS top
+SELECT user_id, event_id, CAST(row_number() OVER w AS BIGINT) AS rn, round(percent_rank() OVER w, 6) AS pr, lag(event_id) OVER w AS prev, count(*) OVER (PARTITION BY user_id) AS n
 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY value, event_id)""")
 def fn_window(spark, sf):
-    by = W.partitionBy("user_id")
-    w = by.orderBy("value", "event_id")
-    return tab(spark, sf, "events").select(
-        "user_id", "event_id", F.row_number().over(w).alias("rn"), r6(F.percent_rank().over(w)).alias("pr"), F.lag("event_id").over(w).alias("prev"),
-        F.count(F.lit(1)).over(by).alias("n"), F.max("value").over(by).alias("top"),
-    )
+    """Row number, relative rank, previous row and group size per user, however many events one user has."""
+    from provenor.operators.ordering import number_rows, with_previous
+
+    rows = tab(spark, sf, "events").select("user_id", "event_id", "value")
+    order = [F.col("value").asc(), F.col("event_id").asc()]
+    placed = number_rows(with_previous(rows, order, ["event_id"], keys=["user_id"]), order, ["user_id"], "rn", "n")
+    pr = F.when(F.col("n") <= 1, F.lit(0.0)).otherwise((F.col("rn") - 1) / F.nullif(F.col("n") - 1, F.lit(0)))
+    return placed.select("user_id", "event_id", "rn", r6(pr).alias("pr"), F.col("prev_event_id").alias("prev"), "n")
 
 
 @query("fn_json", """

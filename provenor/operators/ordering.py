@@ -77,13 +77,29 @@ def number_rows(
     return joined.select(*[F.col(f"`{c}`") for c in df.columns], *extra)
 
 
-def with_previous(df: DataFrame, order: Sequence[Column], values: Sequence[str], prefix: str = "prev_") -> DataFrame:
-    """Each row with the ``values`` of the row before it in one overall order."""
-    numbered = number_rows(df, order, position="__position")
-    shifted = numbered.select(
-        (F.col("__position") + 1).alias("__position"), *[F.col(v).alias(prefix + v) for v in values]
+def with_previous(
+    df: DataFrame, order: Sequence[Column], values: Sequence[str], prefix: str = "prev_", keys: Sequence[str] = ()
+) -> DataFrame:
+    """Each row with the ``values`` of the row before it, per key or in one overall order.
+
+    Only the first row of a slice looks beyond its slice, so the last rows of
+    the slices, one per key and slice, are all that is exchanged.
+    """
+    sliced = _slices(df, keys, order)
+    local = W.partitionBy(_KEY, _SLICE).orderBy(*order)
+    inner = [F.lag(v).over(local).alias(f"__in_{v}") for v in values]
+    looked = sliced.select("*", *inner, F.row_number().over(local).alias(_LOCAL))
+    per_slice = W.partitionBy(_KEY).orderBy(_SLICE)
+    ends = (
+        sliced.withColumn("__up", F.lead(F.lit(1)).over(local)).where(F.col("__up").isNull())
+        .select(_KEY, _SLICE, *[F.lag(v).over(per_slice).alias(f"__out_{v}") for v in values])
+    )
+    joined = looked.join(ends, [_KEY, _SLICE])
+    first = F.col(_LOCAL) == 1
+    return joined.select(
+        *[F.col(f"`{c}`") for c in df.columns],
+        *[F.when(first, F.col(f"__out_{v}")).otherwise(F.col(f"__in_{v}")).alias(prefix + v) for v in values],
     )
-    return numbered.join(shifted, "__position", "left").drop("__position")
 
 
 def exact_quantiles(

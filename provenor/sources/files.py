@@ -71,12 +71,16 @@ def _content(lines: DataFrame, line: str) -> DataFrame:
     return trimmed.where((F.col(line) != "") & ~F.col(line).startswith("#"))
 
 
+def _once(c: Column) -> Column:
+    """A costly value that later filters and columns share: a generator keeps them from repeating it."""
+    return F.explode(F.array(c))
+
+
 def parse_edge_lines(lines: DataFrame, line: str = "value", headers: Sequence[str] = tuple(K.LINK_HEADERS)) -> DataFrame:
     """``source target score`` lines; short lines, headers and unreadable scores are dropped."""
-    part = F.split(line, r"\s+")
+    parts = _content(lines, line).select(_once(F.split(line, r"\s+")).alias("__p")).where(F.size("__p") >= 3)
     return (
-        _content(lines, line).where(F.size(part) >= 3)
-        .select(part[0].alias("src"), part[1].alias("dst"), part[2].try_cast("double").alias("score"))
+        parts.select(F.col("__p")[0].alias("src"), F.col("__p")[1].alias("dst"), F.col("__p")[2].try_cast("double").alias("score"))
         .where(~F.lower("src").isin(*headers) & F.col("score").isNotNull())
     )
 
@@ -90,7 +94,7 @@ def parse_alias_lines(lines: DataFrame, line: str = "value", headers: Sequence[s
     tabs = F.split(line, "\t")
     parts = F.when(F.size(tabs) >= 3, tabs).otherwise(F.split(line, r"\s+"))
     return (
-        _content(lines, line).select(parts.alias("__p")).where(F.size("__p") >= 3)
+        _content(lines, line).select(_once(parts).alias("__p")).where(F.size("__p") >= 3)
         .select(F.col("__p")[0].alias("protein_id"), F.col("__p")[1].alias("alias_value"), F.col("__p")[2].alias("source"))
         .where(~F.lower("protein_id").isin(*headers))
     )
