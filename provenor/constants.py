@@ -91,3 +91,23 @@ MENTION_MIN_LENGTH = 3
 PLOT_LIMIT = 100
 HEATMAP_ROWS = 24
 HEATMAP_SAMPLES = 32
+
+# --- fixed values: meanings shown for the clusters ---
+CLUSTER_MEANINGS = {
+    0: "Biểu hiện mạnh, mạng cân bằng",
+    1: "Thiên về biểu hiện, mạng thấp",
+    2: "Protein hub, mạng tương tác mạnh",
+}
+CLUSTER_MEANING_UNKNOWN = "Chưa có diễn giải"
+
+# --- fixed values: columns of the structured context ---
+CONTEXT_TARGET_FIELDS = [
+    "rank", "gene_name", "protein_id", "ensp_id", "log2FC", "p_value", "deg_direction", "weighted_degree_protein",
+    "avg_combined_score", "num_interactions_in_deg_network", "expression_score", "protein_network_score",
+    "string_confidence_score", "final_score", "geo_support_score", "geo_support_level", "geo_match_status", "cluster_id",
+    "candidate_group", "gene_confidence",
+]
+CONTEXT_NETWORK_FIELDS = [
+    "rank", "gene_name", "protein_id", "weighted_degree_protein", "degree_protein", "avg_combined_score",
+    "num_interactions_in_deg_network", "final_score", "geo_support_level", "cluster_id",
+]
