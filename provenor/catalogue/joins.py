@@ -41,7 +41,7 @@ def jon_fact_dim(spark, sf):
 SELECT sample_id, count(*) AS n_rows, CAST(sum(n) AS BIGINT) AS total FROM x_expr
 WHERE sample_id IN (SELECT sample_id FROM x_qc WHERE n_detected > 200) GROUP BY sample_id"""))
 def jon_keep_list(spark, sf):
-    kept = joins.keep_members(x_expr(spark, sf), x_qc(spark, sf).where("n_detected > 200"), ["sample_id"])
+    kept = joins.keep_members(x_expr(spark, sf), x_qc(spark, sf).where("n_detected > 200"), ["sample_id"], salts=4)
     return kept.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("n").alias("total"))
 
 

@@ -69,7 +69,7 @@ b AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY protein_id ORDER B
 sc AS (SELECT *, CASE WHEN max(afc) OVER () > min(afc) OVER () THEN (afc - min(afc) OVER ()) / (max(afc) OVER () - min(afc) OVER ()) ELSE 0 END AS s1,
               CASE WHEN max(wd) OVER () > min(wd) OVER () THEN (wd - min(wd) OVER ()) / (max(wd) OVER () - min(wd) OVER ()) ELSE 0 END AS s2,
               CASE WHEN max(avg_score) OVER () > min(avg_score) OVER () THEN (avg_score - min(avg_score) OVER ()) / (max(avg_score) OVER () - min(avg_score) OVER ()) ELSE 0 END AS s3 FROM b),
-rk AS (SELECT *, 0.5 * s1 + 0.3 * s2 + 0.2 * s3 AS final_score, row_number() OVER (ORDER BY round(0.5 * s1 + 0.3 * s2 + 0.2 * s3, 12) DESC, afc DESC, wd DESC, gene, protein_id) AS rank FROM sc)
+rk AS (SELECT *, 0.5 * s1 + 0.3 * s2 + 0.2 * s3 AS final_score, row_number() OVER (ORDER BY round(0.5 * s1 + 0.3 * s2 + 0.2 * s3, 12) DESC, round(afc, 12) DESC, round(wd, 9) DESC, gene, protein_id) AS rank FROM sc)
 """
 _RANKED = """SELECT CAST(rank AS INTEGER) AS rank, gene AS gene_name, protein_id, round(fc, 6) AS log2fc, round(p_value, 6) AS p_value, direction, degree, round(wd, 4) AS weighted_degree, n_int,
        round(avg_score, 4) AS avg_score, round(s1, 6) AS expression_score, round(s2, 6) AS network_score, round(s3, 6) AS confidence_score, round(final_score, 6) AS final_score FROM rk"""
@@ -139,11 +139,11 @@ def sco_cohort_support(spark, sf):
 
 @query("sco_support_summary", _COHORT_SQL + "SELECT level AS geo_support_level, count(*) AS candidate_count, round(100.0e0 * count(*) / (SELECT count(*) FROM l), 6) AS candidate_percentage FROM l GROUP BY 1")
 def sco_support_summary(spark, sf):
-    s = support.support_summary(support.cohort_support(*_cohort(spark, sf)))
+    s = support.support_summary(materialise(support.cohort_support(*_cohort(spark, sf)), "support"))
     return s.withColumn("candidate_percentage", r6("candidate_percentage"))
 
 
-@query("sco_supported_top", _COHORT_SQL + "SELECT row_number() OVER (ORDER BY score DESC NULLS LAST, rank) AS geo_support_rank, gene_name, round(score, 6) AS score FROM l")
+@query("sco_supported_top", _COHORT_SQL + "SELECT row_number() OVER (ORDER BY round(score, 12) DESC NULLS LAST, rank) AS geo_support_rank, gene_name, round(score, 6) AS score FROM l")
 def sco_supported_top(spark, sf):
     s = support.supported_top_candidates(support.cohort_support(*_cohort(spark, sf)))
     return s.select("geo_support_rank", "gene_name", r6("geo_support_score").alias("score"))

@@ -113,10 +113,11 @@ def mapping_summary(all_ids: DataFrame, mapped: DataFrame, key: str) -> DataFram
     total = all_ids.agg(F.count(F.lit(1)).alias("n")).scalar()
     found = mapped.agg(F.count_distinct(key).alias("n")).scalar()
     rows = mapped.sparkSession.createDataFrame([(K.MAPPED_LABEL, 1), (K.UNMAPPED_LABEL, 2)], "mapping_status string, part int")
-    n = F.when(F.col("part") == 1, found).otherwise(F.greatest(total - found, F.lit(0)))
+    n = F.when(F.col("part") == 1, F.col("__found")).otherwise(F.greatest(F.col("__total") - F.col("__found"), F.lit(0)))
     return (
-        rows.withColumn("gene_count", n.cast("bigint"))
-        .withColumn("percentage", F.coalesce(ratio(F.col("gene_count"), total) * 100.0, F.lit(0.0)))
+        rows.withColumns({"__total": total, "__found": found})
+        .withColumn("gene_count", n.cast("bigint"))
+        .withColumn("percentage", F.coalesce(ratio(F.col("gene_count"), F.col("__total")) * 100.0, F.lit(0.0)))
         .select("mapping_status", "gene_count", "percentage")
     )
 
@@ -255,11 +256,11 @@ def support_stats(
         F.percentile_approx(value, 0.5, accuracy).cast("double").alias("median_value"),
         F.avg(percentile).alias("mean_percentile"),
         F.count_if(F.col(percentile) >= top).alias("__top"),
-    ).select(
-        key, "n_available", total.cast("bigint").alias("n_total"),
-        ratio(F.col("n_available"), total).alias("coverage_rate"),
+    ).withColumn("n_total", total.cast("bigint")).select(
+        key, "n_available", "n_total",
+        ratio(F.col("n_available"), F.col("n_total")).alias("coverage_rate"),
         "mean_value", "median_value", "mean_percentile",
-        ratio(F.col("__top"), total).alias("top_quartile_rate"),
+        ratio(F.col("__top"), F.col("n_total")).alias("top_quartile_rate"),
     )
 
 

@@ -28,7 +28,8 @@ def keyed_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str =
         return left.join(right, on, how)
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"a salted join cannot be {how}")
-    salted = left.withColumn("__salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]), F.lit(salts)))
+    hashed = [F.col(f"`{f.name}`") for f in left.schema if "map<" not in f.dataType.simpleString()]
+    salted = left.withColumn("__salt", F.pmod(F.xxhash64(*hashed), F.lit(salts)))
     copies = right.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
     return salted.join(copies, [*on, "__salt"], how).drop("__salt")
 
@@ -183,64 +184,57 @@ def entity_mentions(
     """Dictionary entries named in each document, the first ``limit`` per document.
 
     A name counts where no identifier character (letter, digit, ``_ . -``) touches
-    it. Documents and names meet in equi-joins on whole runs of identifier
-    characters; only names with other characters inside are checked once more
-    against the text. Names that start with ``loose_prefix`` also count inside
-    a longer run.
+    it. Documents and names meet in one equi-join on anchors: whole runs of
+    identifier characters, or three characters for names without any. Only names
+    with other characters inside are checked once more against the text. Names
+    that start with ``loose_prefix`` also count inside a longer run.
     """
-    long = entries.select(
+    whole, gram, loose = F.lit("="), F.lit("~"), F.lit("<")
+    names_of = entries.select(
         F.col(entry_key).cast("string").alias("__entry"),
         F.explode(F.array(*[norm_key(n) for n in names])).alias("__name"),
     ).where(F.length("__name") >= min_length).distinct()
-    long = long.withColumn("__runs", F.regexp_extract_all("__name", F.lit(_RUN), F.lit(0)))
-    upper = docs.select(F.col(doc_id), F.upper(text).alias("__text"))
-    runs = upper.select(doc_id, F.explode(F.array_distinct(F.regexp_extract_all("__text", F.lit(_RUN), F.lit(0)))).alias("__run"))
-
-    whole = F.element_at("__runs", 1) == F.col("__name")
-    plain = long.where((F.size("__runs") > 0) & whole).select(F.col("__name").alias("__run"), "__entry")
-    hits = runs.join(plain, "__run").select(doc_id, "__entry").distinct()
-
-    # names with a space or sign inside: anchored on their longest run, then verified
-    mixed = long.where((F.size("__runs") > 0) & ~whole).select(
-        F.array_max(F.transform("__runs", lambda r: F.struct(F.length(r).alias("n"), r.alias("run")))).getField("run").alias("__run"),
-        "__entry", "__name",
-    )
-    maybe = runs.join(mixed, "__run").select(doc_id, "__entry", "__name").distinct()
-    # names without any identifier character: anchored on their first three characters
-    signs = long.where(F.size("__runs") == 0).select(F.left("__name", F.lit(3)).alias("__gram"), "__entry", "__name")
-    stretches = upper.select(
-        doc_id, F.explode(F.regexp_extract_all("__text", F.lit(r"[^A-Z0-9_.\-]{3,}"), F.lit(0))).alias("__stretch")
-    )
-    grams = stretches.select(
-        doc_id,
-        F.explode(F.transform(
-            F.sequence(F.lit(1), F.length("__stretch") - 2), lambda i: F.substring(F.col("__stretch"), i, F.lit(3))
-        )).alias("__gram"),
-    ).distinct()
-    maybe = maybe.unionByName(grams.join(signs, "__gram").select(doc_id, "__entry", "__name").distinct())
-    bounded = F.concat(
-        F.lit(r"(?<![A-Z0-9_.\-])\Q"), F.replace(F.col("__name"), F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E(?![A-Z0-9_.\-])")
-    )
-    checked = maybe.join(upper, doc_id).where(F.expr("contains(__text, __name)") & F.rlike(F.col("__text"), bounded))
-    hits = hits.unionByName(checked.select(doc_id, "__entry"))
+    runs = F.regexp_extract_all("__name", F.lit(_RUN), F.lit(0))
+    longest = F.array_max(F.transform("__runs", lambda r: F.struct(F.length(r).alias("n"), r.alias("run")))).getField("run")
+    is_run = F.coalesce(F.try_element_at("__runs", F.lit(1)) == F.col("__name"), F.lit(False))
+    ways = [
+        F.struct(
+            F.when(is_run, F.concat(whole, "__name")).when(F.size("__runs") > 0, F.concat(whole, longest))
+            .otherwise(F.concat(gram, F.left("__name", F.lit(3)))).alias("__anchor"),
+            F.when(~is_run, F.col("__name")).alias("__check"),
+        )
+    ]
+    if loose_prefix:
+        inner = is_run & F.col("__name").startswith(loose_prefix.upper())
+        ways.append(F.struct(F.when(inner, F.concat(loose, "__name")).alias("__anchor"), F.lit(None).cast("string").alias("__check")))
+    dictionary = names_of.withColumn("__runs", runs).select("__entry", F.inline(F.array(*ways))).where(F.col("__anchor").isNotNull())
 
+    upper = docs.select(F.col(doc_id), F.upper(text).alias("__text"))
+    stretches = F.regexp_extract_all("__text", F.lit(r"[^A-Z0-9_.\-]{3,}"), F.lit(0))
+    found = [
+        F.transform(F.regexp_extract_all("__text", F.lit(_RUN), F.lit(0)), lambda r: F.concat(whole, r)),
+        F.flatten(F.transform(stretches, lambda s: F.transform(
+            F.sequence(F.lit(1), F.length(s) - 2), lambda i: F.concat(gram, F.substring(s, i, F.lit(3)))
+        ))),
+    ]
     if loose_prefix:
         mark = loose_prefix.upper().replace(".", r"\.")
-        tails = upper.select(
-            doc_id,
-            F.explode(F.array_distinct(F.regexp_extract_all("__text", F.lit(f"(?=({mark}{_RUN[:-1]}*))"), F.lit(1)))).alias("__tail"),
-        )
-        heads = tails.select(
-            doc_id,
-            F.explode(F.transform(
-                F.sequence(F.lit(len(loose_prefix)), F.length("__tail")), lambda n: F.left(F.col("__tail"), n)
-            )).alias("__run"),
-        ).distinct()
-        hits = hits.unionByName(
-            heads.join(plain.where(F.col("__run").startswith(loose_prefix.upper())), "__run").select(doc_id, "__entry")
-        )
+        tails = F.regexp_extract_all("__text", F.lit(f"(?=({mark}{_RUN[:-1]}*))"), F.lit(1))
+        found.append(F.flatten(F.transform(tails, lambda t: F.transform(
+            F.sequence(F.lit(len(loose_prefix)), F.length(t)), lambda n: F.concat(loose, F.left(t, n))
+        ))))
+    anchors = upper.select(doc_id, F.explode(F.array_distinct(F.concat(*found))).alias("__anchor"))
+    met = anchors.join(dictionary, "__anchor").select(doc_id, "__entry", "__check").distinct()
+    bounded = F.concat(
+        F.lit(r"(?<![A-Z0-9_.\-])\Q"), F.replace(F.col("__check"), F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E(?![A-Z0-9_.\-])")
+    )
+    checked = (
+        met.where(F.col("__check").isNotNull()).join(upper, doc_id)
+        .where(F.contains("__text", F.col("__check")) & F.rlike(F.col("__text"), bounded))
+    )
+    hits = met.where(F.col("__check").isNull()).select(doc_id, "__entry").unionByName(checked.select(doc_id, "__entry"))
 
     from provenor.operators.sorting import n_per_group
 
-    found = hits.distinct().join(entries.withColumn("__entry", F.col(entry_key).cast("string")), "__entry").drop("__entry")
-    return n_per_group(found, [doc_id], [*entry_order, F.col(entry_key)], limit, number="mention_no")
+    named = hits.distinct().join(entries.withColumn("__entry", F.col(entry_key).cast("string")), "__entry").drop("__entry")
+    return n_per_group(named, [doc_id], [*entry_order, F.col(entry_key)], limit, number="mention_no")

@@ -99,8 +99,8 @@ def cosine_topk(
     meet blocks of passages; in both forms only k candidates per question leave
     a block before the final choice.
     """
-    q = questions.select(F.col(question_id).alias("question"), F.col(question_vec).cast("array<double>").alias("vec"))
-    p = passages.select(F.col(passage_id).alias("passage"), F.col(passage_vec).cast("array<double>").alias("vec"))
+    q = questions.select(F.col(question_id).alias("question"), F.col(question_vec).cast("array<double>").alias("vec")).where("vec IS NOT NULL")
+    p = passages.select(F.col(passage_id).alias("passage"), F.col(passage_vec).cast("array<double>").alias("vec")).where("vec IS NOT NULL")
     types = {f.name: f.dataType.simpleString() for f in (*q.schema, *p.schema)}
     schema = f"question {types['question']}, passage {types['passage']}, distance double"
 

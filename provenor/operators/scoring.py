@@ -69,9 +69,13 @@ def score_candidates(evidence: DataFrame, features: DataFrame) -> DataFrame:
 
 
 def rank_order() -> list[Column]:
-    """Rank order of candidates, completed by the unique protein id."""
+    """Rank order of candidates, completed by the unique protein id.
+
+    Scores are compared at fixed precision, so that the order in which a
+    distributed sum happens to run never decides between equal candidates.
+    """
     return [
-        F.col("final_score").desc(), F.col("abs_log2FC").desc(), F.col("weighted_degree_protein").desc(),
+        F.round("final_score", 12).desc(), F.round("abs_log2FC", 12).desc(), F.round("weighted_degree_protein", 9).desc(),
         F.col("gene_name").asc(), F.col("protein_id").asc(),
     ]
 

@@ -54,8 +54,8 @@ def within_percentile(
 
 
 def support_rank(df: DataFrame, score: str, rank: str, out: str = "support_rank") -> DataFrame:
-    """Rank by score, missing scores last, then by the first rank."""
-    return number_rows(df, [F.col(score).desc_nulls_last(), F.col(rank).asc()], position=out)
+    """Rank by score (compared at 12 decimals), missing scores last, then by the first rank."""
+    return number_rows(df, [F.round(score, 12).desc_nulls_last(), F.col(rank).asc()], position=out)
 
 
 def order_violations(df: DataFrame, rank: str, value: str, tie: str) -> DataFrame:

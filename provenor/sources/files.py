@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 
 from provenor import constants as K
 from provenor.functions import file_name, label_group
+from provenor.operators.joins import keyed_join
+
+# one file or document may hold most of the lines, so its lines are spread over this many buckets
+SECTION_SALTS = 16
 
 INDEX_SCHEMA = (
     "data struct<hits: array<struct<file_id: string, file_name: string, cases: array<struct<case_id: string, "
@@ -107,18 +111,18 @@ def read_alias_text(spark: SparkSession, path: str | Sequence[str]) -> DataFrame
 def section_from(lines: DataFrame, doc: Sequence[str], pos: str, starts: Column) -> DataFrame:
     """Lines of each document from its first starting line on; documents without one are left out."""
     first = lines.where(starts).groupBy(*doc).agg(F.min(pos).alias("__start"))
-    return lines.join(first, list(doc)).where(F.col(pos) >= F.col("__start")).drop("__start")
+    return keyed_join(lines, first, doc, salts=SECTION_SALTS).where(F.col(pos) >= F.col("__start")).drop("__start")
 
 
 def section_between(lines: DataFrame, doc: Sequence[str], pos: str, begin: Column, end: Column) -> DataFrame:
     """Lines strictly between the first begin line and the first end line after it."""
     begins = lines.where(begin).groupBy(*doc).agg(F.min(pos).alias("__begin"))
     ends = (
-        lines.where(end).select(*doc, pos).join(begins, list(doc)).where(F.col(pos) > F.col("__begin"))
+        keyed_join(lines.where(end).select(*doc, pos), begins, doc, salts=SECTION_SALTS).where(F.col(pos) > F.col("__begin"))
         .groupBy(*doc).agg(F.min("__begin").alias("__begin"), F.min(pos).alias("__end"))
     )
     inside = (F.col(pos) > F.col("__begin")) & (F.col(pos) < F.col("__end"))
-    return lines.join(ends, list(doc)).where(inside).drop("__begin", "__end")
+    return keyed_join(lines, ends, doc, salts=SECTION_SALTS).where(inside).drop("__begin", "__end")
 
 
 def read_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
@@ -147,7 +151,8 @@ def _as_table(body: DataFrame, sep: str = "\t") -> DataFrame:
         raise ValueError("no section found")
     names = head["line"].split(sep)
     schema = ", ".join("`" + n.replace("`", "``") + "` string" for n in names)
-    rows = body.join(firsts.select("file_path", "__head"), "file_path").where(F.col("pos") > F.col("__head"))
+    heads = firsts.select("file_path", "__head")
+    rows = keyed_join(body, heads, ["file_path"], salts=SECTION_SALTS).where(F.col("pos") > F.col("__head"))
     cells = F.from_csv("line", F.lit(schema), {"sep": sep, "mode": "PERMISSIVE"})
     return rows.where(F.trim("line") != "").select(cells.alias("__row")).select("__row.*")
 

@@ -36,7 +36,7 @@ def test_query_matches_sql(spark, duck, name):
     if name not in ORACLES:
         assert got.num_rows > 0
         return
-    want = duck.execute(ORACLES[name]).to_arrow_table()
+    want = duck.sql(ORACLES[name]).to_arrow_table()
     assert _rows(got) == _rows(want)
     types = {f.name: str(f.type) for f in got.schema}
     assert types == {f.name: str(f.type) for f in want.schema}
