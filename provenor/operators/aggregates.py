@@ -193,7 +193,10 @@ def cluster_profile(
 
 
 def feature_ranges(df: DataFrame, keys: Sequence[str], features: Sequence[str]) -> DataFrame:
-    """Exact min, median and max of each feature per key, long form, nulls skipped."""
+    """Exact min, median and max of each feature per key, long form, nulls skipped.
+
+    ``df`` is read twice and should be a stored table.
+    """
     from provenor.operators.shape import melt
 
     long = melt(df.select(*keys, *features), keys, features, "feature", "value")

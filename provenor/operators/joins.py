@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from provenor import constants as K
 from provenor.functions import norm_key, not_blank
-from provenor.functions.text import _col
+from provenor.session import materialise
 
 
 def keyed_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner", salts: int = 0) -> DataFrame:
@@ -188,8 +188,12 @@ def entity_mentions(
     identifier characters, or three characters for names without any. Only names
     with other characters inside are checked once more against the text. Names
     that start with ``loose_prefix`` also count inside a longer run.
+
+    The texts are scanned once: which kinds of names the dictionary holds is
+    looked up first, and the matches are stored before they are verified.
     """
-    whole, gram, loose = F.lit("="), F.lit("~"), F.lit("<")
+    # runs are their own anchors; the marks of the other kinds cannot occur in a run
+    gram, loose = F.lit("~"), F.lit("<")
     names_of = entries.select(
         F.col(entry_key).cast("string").alias("__entry"),
         F.explode(F.array(*[norm_key(n) for n in names])).alias("__name"),
@@ -199,7 +203,7 @@ def entity_mentions(
     is_run = F.coalesce(F.try_element_at("__runs", F.lit(1)) == F.col("__name"), F.lit(False))
     ways = [
         F.struct(
-            F.when(is_run, F.concat(whole, "__name")).when(F.size("__runs") > 0, F.concat(whole, longest))
+            F.when(is_run, F.col("__name")).when(F.size("__runs") > 0, longest)
             .otherwise(F.concat(gram, F.left("__name", F.lit(3)))).alias("__anchor"),
             F.when(~is_run, F.col("__name")).alias("__check"),
         )
@@ -209,22 +213,25 @@ def entity_mentions(
         ways.append(F.struct(F.when(inner, F.concat(loose, "__name")).alias("__anchor"), F.lit(None).cast("string").alias("__check")))
     dictionary = names_of.withColumn("__runs", runs).select("__entry", F.inline(F.array(*ways))).where(F.col("__anchor").isNotNull())
 
+    def holds(mark: Column) -> Column:
+        return F.coalesce(F.bool_or(F.startswith("__anchor", mark)), F.lit(False))
+
+    has_signs, has_loose = dictionary.agg(holds(gram), holds(loose)).first()
     upper = docs.select(F.col(doc_id), F.upper(text).alias("__text"))
     stretches = F.regexp_extract_all("__text", F.lit(r"[^A-Z0-9_.\-]{3,}"), F.lit(0))
-    found = [
-        F.transform(F.regexp_extract_all("__text", F.lit(_RUN), F.lit(0)), lambda r: F.concat(whole, r)),
-        F.flatten(F.transform(stretches, lambda s: F.transform(
+    found = [F.regexp_extract_all("__text", F.lit(_RUN), F.lit(0))]
+    if has_signs:
+        found.append(F.flatten(F.transform(stretches, lambda s: F.transform(
             F.sequence(F.lit(1), F.length(s) - 2), lambda i: F.concat(gram, F.substring(s, i, F.lit(3)))
-        ))),
-    ]
-    if loose_prefix:
+        ))))
+    if has_loose:
         mark = loose_prefix.upper().replace(".", r"\.")
         tails = F.regexp_extract_all("__text", F.lit(f"(?=({mark}{_RUN[:-1]}*))"), F.lit(1))
         found.append(F.flatten(F.transform(tails, lambda t: F.transform(
             F.sequence(F.lit(len(loose_prefix)), F.length(t)), lambda n: F.concat(loose, F.left(t, n))
         ))))
     anchors = upper.select(doc_id, F.explode(F.array_distinct(F.concat(*found))).alias("__anchor"))
-    met = anchors.join(dictionary, "__anchor").select(doc_id, "__entry", "__check").distinct()
+    met = materialise(anchors.join(dictionary, "__anchor").select(doc_id, "__entry", "__check").distinct(), "mentions")
     bounded = F.concat(
         F.lit(r"(?<![A-Z0-9_.\-])\Q"), F.replace(F.col("__check"), F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E(?![A-Z0-9_.\-])")
     )

@@ -5,6 +5,9 @@ Here rows are range-partitioned by key and order, the slices are written once to
 the shared folder, each slice is scanned on its own, and the totals of the
 slices before it are added. A key that holds a third of all rows is thereby
 spread over a third of the slices.
+
+Order columns that come from floating-point aggregates should be stored before
+(``stored_input``): a repeated task must find each row in the slice it had.
 """
 
 from __future__ import annotations
@@ -20,6 +23,11 @@ from provenor.session import materialise
 _KEY, _SLICE, _LOCAL = "__key", "__slice", "__local"
 
 
+def stored_input(df: DataFrame, stored: bool) -> DataFrame:
+    """``df`` itself when its rows already come from a stored table, else a stored copy."""
+    return df if stored else materialise(df, "ordered")
+
+
 def _slices(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """Rows tagged with a struct key (null parts compare equal) and their slice number."""
     tagged = df.withColumn(_KEY, F.struct(*[F.col(k) for k in keys]) if keys else F.struct(F.lit(0).alias("all")))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from provenor import constants as K
-from provenor.operators.ordering import number_rows, with_previous
+from provenor.operators.ordering import number_rows, stored_input, with_previous
 from provenor.operators.sorting import n_per_group
 
 
@@ -42,20 +42,22 @@ def canonical_edges(
 
 
 def within_percentile(
-    df: DataFrame, part: Sequence[str], value: str, tie: str, out: str = "percentile", top: float = K.TOP_QUARTILE
+    df: DataFrame, part: Sequence[str], value: str, tie: str, out: str = "percentile", top: float = K.TOP_QUARTILE,
+    stored: bool = False,
 ) -> DataFrame:
     """Relative rank 0..1 within each part; a lone row gets 1.0; flag for the top quartile.
 
     ``tie`` is unique within a part, so relative rank is (position - 1) / (n - 1).
     """
-    placed = number_rows(df, [F.col(value).asc(), F.col(tie).asc()], part, "__pos", "n_in_part")
+    rows = stored_input(df, stored)
+    placed = number_rows(rows, [F.col(value).asc(), F.col(tie).asc()], part, "__pos", "n_in_part")
     pct = F.when(F.col("n_in_part") <= 1, F.lit(1.0)).otherwise((F.col("__pos") - 1) / F.nullif(F.col("n_in_part") - 1, F.lit(0)))
     return placed.withColumn(out, pct).drop("__pos").withColumn("is_top_quartile", F.col(out) >= top)
 
 
-def support_rank(df: DataFrame, score: str, rank: str, out: str = "support_rank") -> DataFrame:
+def support_rank(df: DataFrame, score: str, rank: str, out: str = "support_rank", stored: bool = False) -> DataFrame:
     """Rank by score (compared at 12 decimals), missing scores last, then by the first rank."""
-    return number_rows(df, [F.round(score, 12).desc_nulls_last(), F.col(rank).asc()], position=out)
+    return number_rows(stored_input(df, stored), [F.round(score, 12).desc_nulls_last(), F.col(rank).asc()], position=out)
 
 
 def order_violations(df: DataFrame, rank: str, value: str, tie: str) -> DataFrame:

@@ -76,7 +76,7 @@ def validate(spark: SparkSession, cohort: str, out: str, mart: str) -> None:
         support.cohort_support(top, read_table(spark, f"{cohort}/expression"), read_table(spark, f"{cohort}/metadata")), f"{out}/geo_validation_result"
     )
     _store(support.support_summary(result), f"{out}/geo_validation_summary")
-    _store(support.supported_top_candidates(result), f"{out}/geo_supported_top_candidates")
+    _store(support.supported_top_candidates(result, stored=True), f"{out}/geo_supported_top_candidates")
 
 
 def cluster(spark: SparkSession, out: str, mart: str) -> None:

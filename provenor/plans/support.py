@@ -81,6 +81,6 @@ def support_summary(result: DataFrame) -> DataFrame:
     return order_levels(counted, "geo_support_level", K.SUPPORT_LEVELS).drop("level_no")
 
 
-def supported_top_candidates(result: DataFrame) -> DataFrame:
+def supported_top_candidates(result: DataFrame, stored: bool = False) -> DataFrame:
     """Candidates by support score, those without one last."""
-    return support_rank(result, "geo_support_score", "rank", "geo_support_rank").select(*SUPPORTED_COLUMNS)
+    return support_rank(result, "geo_support_score", "rank", "geo_support_rank", stored).select(*SUPPORTED_COLUMNS)
