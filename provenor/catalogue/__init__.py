@@ -12,6 +12,7 @@ from provenor.catalogue import (  # noqa: F401
     sinks,
     sorting,
     sources,
+    steps,
     windows,
 )
 from provenor.catalogue.base import ORACLES, QUERIES

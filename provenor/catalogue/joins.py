@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from provenor.catalogue.base import big, money, query, r6, tab, with_views, x_edges, x_expr, x_map, x_qc, x_targets
+from provenor.catalogue.base import money, query, r6, tab, with_views, x_edges, x_expr, x_map, x_qc, x_targets
 from provenor.operators import graph, joins
 
 

@@ -2,8 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from provenor.catalogue.base import big, query, r6, tab, with_views, x_diff, x_edges, x_qc, x_targets
-from provenor.operators import quality, windows
+from provenor.catalogue.base import query, r6, tab, with_views, x_diff, x_edges, x_qc, x_targets
+from provenor.operators import quality
 from provenor.operators.aggregates import shares
 from provenor.operators.sorting import global_rank
 from provenor.session import working_path

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from provenor.catalogue.base import big, query, r6, tab, with_views, x_diff, x_edges, x_targets
+from provenor.catalogue.base import big, query, r6, tab, x_diff, x_edges, x_targets
 from provenor.functions import embedding_text, similarity
 from provenor.operators import retrieval
 

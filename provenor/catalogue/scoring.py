@@ -3,8 +3,7 @@
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from provenor.catalogue.base import big, query, r6, tab, with_views, x_cluster, x_edges, x_expr, x_map
-from provenor.functions import log2p1
+from provenor.catalogue.base import query, r6, tab, with_views, x_cluster, x_edges, x_expr, x_map
 from provenor.operators import ml, scoring
 from provenor.operators.sorting import top_k
 from provenor.plans import evidence, mapping, support

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from provenor.catalogue.base import big, money, query, r6, tab, with_views, x_expr, x_targets
+from provenor.catalogue.base import money, query, r6, tab, with_views, x_expr, x_targets
 from provenor.functions import extract_id, id_parts, label_group, log2p1, neg_log10, node_size, norm_key
 from provenor.operators import shape
 
@@ -182,7 +182,7 @@ FROM lab CROSS JOIN col LEFT JOIN cell ON cell.gene = lab.gene AND cell.sample_i
 def rsh_heatmap(spark, sf):
     expr = x_expr(spark, sf)
     totals = expr.groupBy("gene").agg(F.sum("n").alias("total"))
-    rows = shape.heat_map(expr, "gene", "sample_id", "grp", "log_value", [F.col("total").desc(), F.col("gene")], totals, n_cols=8)
+    rows = shape.heat_map(expr, "gene", "sample_id", "grp", "log_value", ["case", "control", "other"], [F.col("total").desc(), F.col("gene")], totals, n_cols=8)
     return rows.select("row_no", "gene", F.inline("cells")).select("row_no", "gene", "grp", "sample_id", r6("cell").alias("cell"))
 
 

@@ -43,11 +43,10 @@ _MIXED = "CASE WHEN c_custkey % 5 = 0 THEN NULL WHEN c_custkey % 5 = 1 THEN '' W
 
 @query("srt_mixed", f"""
 WITH m AS (SELECT c_custkey, {_MIXED} AS v FROM customer)
-SELECT c_custkey, row_number() OVER (ORDER BY v IS NULL OR v = '', try_cast(v AS DOUBLE) IS NULL, try_cast(v AS DOUBLE), lower(CASE WHEN v <> '' THEN v END), c_custkey) AS place FROM m
-QUALIFY place <= 1000""")
+SELECT c_custkey, row_number() OVER (ORDER BY v IS NULL OR v = '', try_cast(v AS DOUBLE) IS NULL, try_cast(v AS DOUBLE), lower(CASE WHEN v <> '' THEN v END), c_custkey) AS place FROM m""")
 def srt_mixed(spark, sf):
     rows = tab(spark, sf, "customer").select("c_custkey", F.expr(_MIXED.replace("VARCHAR", "STRING")).alias("v"))
-    return sorting.top_k(rows, [*sorting.mixed_order("v"), F.col("c_custkey")], 1000, rank="place").select("c_custkey", big("place").alias("place"))
+    return sorting.global_rank(rows, [*sorting.mixed_order("v"), F.col("c_custkey").asc()], rank="place").select("c_custkey", "place")
 
 
 @query("set_union_all", """

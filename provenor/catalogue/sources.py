@@ -3,7 +3,6 @@
 from pyspark.sql import functions as F
 
 from provenor.catalogue.base import SQL_LINES, big, doc_lines, money, query, tab
-from provenor.functions import file_name
 from provenor.sources import files, landing, tables
 
 

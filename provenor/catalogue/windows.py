@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from provenor.catalogue.base import big, query, r6, tab, with_views, x_diff, x_edges, x_expr, x_map, x_targets
+from provenor.catalogue.base import big, query, r6, tab, with_views, x_edges, x_expr, x_map, x_targets
 from provenor.operators import windows
 from provenor.operators.aggregates import mean_replicates
 from provenor.operators.sorting import global_rank

@@ -111,3 +111,65 @@ CONTEXT_NETWORK_FIELDS = [
     "rank", "gene_name", "protein_id", "weighted_degree_protein", "degree_protein", "avg_combined_score",
     "num_interactions_in_deg_network", "final_score", "geo_support_level", "cluster_id",
 ]
+
+# --- fixed values: key figures as (name, unit, phase, description) ---
+OVERVIEW_METRICS = [
+    ("GDC samples before QC", "samples", "Overview", "Rows in refined GDC quality_check before removing QC outliers."),
+    ("GDC samples after QC", "samples", "Phase 1", "Samples passing library-size and detected-gene QC flags."),
+    ("Tumor samples", "samples", "Phase 1", "Tumor samples retained after QC."),
+    ("Normal samples", "samples", "Phase 1", "Normal samples retained after QC."),
+    ("Differentially expressed genes", "genes", "Phase 2", "Genes where Phase 2 is_deg is true."),
+    ("DEG mapped to proteins", "genes", "Phase 3", "Distinct DEG genes with STRING protein_id mapping."),
+    ("Protein candidates", "proteins", "Phase 5", "Candidate protein rows scored by Phase 5."),
+    ("PPI edges in top-target graph", "edges", "Phase 4", "STRING edges among top targets with edge_weight_protein >= 0.4."),
+    ("Top candidate targets", "targets", "Phase 5", "Rows in HDFS mart/top_candidate_targets_enriched."),
+    ("Candidates with GEO support", "targets", "Phase 6", "Top targets with GEO tumor-cohort expression support metrics."),
+    ("ML clusters", "clusters", "Phase 7", "Clusters in analysis/ml_cluster_summary."),
+]
+
+# --- fixed values: names of the score components ---
+COMPONENT_NAMES = {
+    "Expression score": "expression_score", "Protein network score": "protein_network_score", "STRING confidence score": "string_confidence_score",
+}
+
+# --- fixed values: columns of the tables and views, in order ---
+NODE_COLUMNS = [
+    "protein_id", "ensp_id", "gene_name", "rank", "final_score", "log2FC", "p_value", "deg_direction", "degree_protein",
+    "weighted_degree_protein", "num_interactions_in_deg_network", "avg_combined_score", "cluster_id", "candidate_group",
+    "geo_match_status", "geo_coverage_rate", "geo_mean_percentile", "geo_top_quartile_rate", "geo_support_score",
+    "geo_support_level", "gene_confidence",
+]
+SCATTER_COLUMNS = [
+    "rank", "gene_name", "protein_id", "final_score", "geo_support_score", "geo_support_level", "geo_coverage_rate",
+    "geo_mean_expression", "geo_median_expression", "geo_mean_percentile", "geo_top_quartile_rate",
+]
+OVERLAP_COLUMNS = [
+    "rank", "gene_name", "protein_id", "final_score", "geo_match_status", "geo_num_samples_available", "geo_total_samples",
+    "geo_coverage_rate", "geo_mean_expression", "geo_median_expression", "geo_mean_percentile", "geo_top_quartile_rate",
+    "geo_support_score", "geo_support_level",
+]
+SHOWN_POINT_COLUMNS = [
+    "gene_name", "protein_id", "ensp_id", "abs_log2FC", "weighted_degree_protein", "avg_combined_score",
+    "num_interactions_in_deg_network", "final_score", "cluster_id", "candidate_group",
+]
+CANDIDATE_COLUMNS = [
+    "rank", "gene_name", "gene_id_base", "protein_id", "ensp_id", "protein_name", "log2FC", "p_value", "deg_direction",
+    "degree_protein", "weighted_degree_protein", "num_interactions_in_deg_network", "avg_combined_score",
+    "expression_score", "protein_network_score", "string_confidence_score", "final_score",
+]
+SUPPORTED_COLUMNS = [
+    "geo_support_rank", "rank", "gene_name", "protein_id", "ensp_id", "final_score", "geo_coverage_rate",
+    "geo_mean_percentile", "geo_top_quartile_rate", "geo_support_score", "geo_support_level",
+]
+COUNT_COLUMNS = [
+    "file_id", "case_id", "sample_id", "sample_type", "sample_group", "gene_id", "gene_id_base", "is_par_y", "gene_name",
+    "gene_type", "raw_count", "tpm", "fpkm", "fpkm_uq",
+]
+POINT_COLUMNS = [
+    "gene_name", "gene_id_base", "protein_id", "ensp_id", "protein_name", "log2FC", "abs_log2FC", "weighted_degree_protein",
+    "log_weighted_degree", "avg_combined_score", "num_interactions_in_deg_network", "log_num_interactions", "final_score",
+]
+ENRICHED_SUPPORT = [
+    "geo_validation_mode", "geo_match_status", "geo_num_samples_available", "geo_total_samples", "geo_coverage_rate",
+    "geo_mean_expression", "geo_median_expression", "geo_mean_percentile", "geo_top_quartile_rate", "geo_support_score", "geo_support_level",
+]

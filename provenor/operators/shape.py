@@ -124,6 +124,7 @@ def heat_map(
     col: str,
     group: str,
     value: str,
+    groups: Sequence[str],
     row_order: Sequence[Column],
     rows: DataFrame,
     n_rows: int = K.HEATMAP_ROWS,
@@ -132,9 +133,10 @@ def heat_map(
     """Matrix as one row per row label with its cells in column order.
 
     The first ``n_rows`` labels of ``rows`` by ``row_order`` and the first
-    ``n_cols`` column labels of each group form the frame; absent cells are
-    null. At most n_rows x groups x n_cols cells are ever assembled.
+    ``n_cols`` column labels of each of the ``groups`` form the frame; absent
+    cells are null. At most n_rows x groups x n_cols cells are ever assembled.
     """
+    df = df.where(F.col(group).isin(*groups))
     labels = top_k(rows, row_order, n_rows).select(row, F.col("rank").alias("row_no"))
     columns = n_per_group(df.select(group, col).distinct(), [group], [F.col(col)], n_cols, number="col_no")
     cells = (

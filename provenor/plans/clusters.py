@@ -12,10 +12,6 @@ from provenor.operators.aggregates import cluster_profile, dedup
 
 # --- fixed values: the model's four features ---
 FEATURES = ["abs_log2FC", "log_weighted_degree", "avg_combined_score", "log_num_interactions"]
-POINT_COLUMNS = [
-    "gene_name", "gene_id_base", "protein_id", "ensp_id", "protein_name", "log2FC", "abs_log2FC", "weighted_degree_protein",
-    "log_weighted_degree", "avg_combined_score", "num_interactions_in_deg_network", "log_num_interactions", "final_score",
-]
 MEANS = {
     "abs_log2FC": "avg_abs_log2FC", "weighted_degree_protein": "avg_weighted_degree", "avg_combined_score": "avg_combined_score",
     "num_interactions_in_deg_network": "avg_num_interactions", "final_score": "avg_final_score",
@@ -35,14 +31,14 @@ def ml_features(candidates: DataFrame) -> DataFrame:
     })
     return filled.withColumns({
         "log_weighted_degree": F.log1p("weighted_degree_protein"), "log_num_interactions": F.log1p("num_interactions_in_deg_network"),
-    }).select(*POINT_COLUMNS)
+    }).select(*K.POINT_COLUMNS)
 
 
 def cluster_candidates(features: DataFrame, seed: int = K.ML_SEED) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(silhouette per k, clustered candidates, cluster summary)."""
     stored = ml.stored_features(features, FEATURES, features.columns)
     scores = ml.select_k(stored, seed=seed)
-    points = ml.cluster(stored, ml.best_k(scores), seed).select(*POINT_COLUMNS, "cluster_id")
+    points = ml.cluster(stored, ml.best_k(scores), seed).select(*K.POINT_COLUMNS, "cluster_id")
     summary = cluster_profile(points, "cluster_id", MEANS, "abs_log2FC", "weighted_degree_protein").orderBy(F.desc("avg_final_score"))
     return scores, points.join(summary.select("cluster_id", "candidate_group"), "cluster_id", "left"), summary
 
@@ -57,15 +53,9 @@ def enrich_ranking(top: DataFrame, support: DataFrame, clusters: DataFrame) -> D
     return out.join(extra(clusters, "protein_id"), "protein_id", "left")
 
 
-ENRICHED_SUPPORT = [
-    "geo_validation_mode", "geo_match_status", "geo_num_samples_available", "geo_total_samples", "geo_coverage_rate",
-    "geo_mean_expression", "geo_median_expression", "geo_mean_percentile", "geo_top_quartile_rate", "geo_support_score", "geo_support_level",
-]
-
-
 def enriched_targets(top: DataFrame, support: DataFrame, clusters: DataFrame) -> DataFrame:
     """The final ranking table."""
     joined = enrich_ranking(
-        top, support.select("gene_name_norm", *ENRICHED_SUPPORT), clusters.select("protein_id", "cluster_id", "candidate_group")
+        top, support.select("gene_name_norm", *K.ENRICHED_SUPPORT), clusters.select("protein_id", "cluster_id", "candidate_group")
     )
-    return joined.select(*top.columns, *ENRICHED_SUPPORT, "cluster_id", "candidate_group")
+    return joined.select(*top.columns, *K.ENRICHED_SUPPORT, "cluster_id", "candidate_group")

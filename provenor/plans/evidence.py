@@ -13,12 +13,6 @@ from provenor.operators.joins import assemble, keep_members
 from provenor.operators.scoring import rank_candidates, score_candidates, top_candidates
 from provenor.operators.stats import call_diff, two_group_test
 
-CANDIDATE_COLUMNS = [
-    "rank", "gene_name", "gene_id_base", "protein_id", "ensp_id", "protein_name", "log2FC", "p_value", "deg_direction",
-    "degree_protein", "weighted_degree_protein", "num_interactions_in_deg_network", "avg_combined_score",
-    "expression_score", "protein_network_score", "string_confidence_score", "final_score",
-]
-
 
 def passing_samples(qc: DataFrame) -> DataFrame:
     """Samples none of whose files is an outlier."""
@@ -85,9 +79,9 @@ def scored_candidates(mapped: DataFrame, features: DataFrame) -> DataFrame:
 
 def candidate_features(mapped: DataFrame, features: DataFrame) -> DataFrame:
     """All candidates, ranked."""
-    return rank_candidates(scored_candidates(mapped, features)).select(*CANDIDATE_COLUMNS)
+    return rank_candidates(scored_candidates(mapped, features)).select(*K.CANDIDATE_COLUMNS)
 
 
 def top_candidate_targets(mapped: DataFrame, features: DataFrame, n: int = K.TOP_N) -> DataFrame:
     """The best ``n`` candidates."""
-    return top_candidates(scored_candidates(mapped, features), n).select(*CANDIDATE_COLUMNS)
+    return top_candidates(scored_candidates(mapped, features), n).select(*K.CANDIDATE_COLUMNS)

@@ -15,10 +15,6 @@ from provenor.operators.shape import drop_rename, wide_groups_to_long
 from provenor.sources.files import read_between, read_from_header
 
 QC_KEYS = ["file_id", "case_id", "sample_id", "sample_type", "sample_group"]
-COUNT_COLUMNS = [
-    "file_id", "case_id", "sample_id", "sample_type", "sample_group", "gene_id", "gene_id_base", "is_par_y", "gene_name",
-    "gene_type", "raw_count", "tpm", "fpkm", "fpkm_uq",
-]
 
 
 def case_samples(cases: DataFrame) -> DataFrame:
@@ -52,7 +48,7 @@ def counts_clean(counts: DataFrame, files: DataFrame, salts: int = 0) -> DataFra
         F.col("fpkm_unstranded").try_cast("double").alias("fpkm"), F.col("fpkm_uq_unstranded").try_cast("double").alias("fpkm_uq"),
     )
     dim = files.select("file_id", "case_id", "sample_id", "sample_type", "sample_group")
-    return attach_dim(genes, dim, ["file_id"], salts).select(*COUNT_COLUMNS)
+    return attach_dim(genes, dim, ["file_id"], salts).select(*K.COUNT_COLUMNS)
 
 
 def protein_coding(counts: DataFrame) -> DataFrame:

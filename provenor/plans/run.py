@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provenor import constants as K
-from provenor.operators import quality
+from provenor.operators import quality, stats
 from provenor.plans import clusters, evidence, mapping, refine, snapshots, support
 from provenor.sinks.tables import metrics_table, write_sized, write_table
 from provenor.sources import files
@@ -58,6 +58,7 @@ def analyse(spark: SparkSession, counts: str, graph: str, out: str, mart: str, t
     """QC-passed expression, difference test, mapping, network features and ranked candidates."""
     qc = read_table(spark, f"{counts}/quality_check")
     expr = _store(evidence.qc_pass_expression(read_table(spark, f"{counts}/counts_clean_protein_coding"), qc), f"{out}/qc_pass_expression", sized=True)
+    stats.check_groups(expr.withColumn("sample_group", F.lower(F.trim("sample_group"))), "sample_group", "sample_id", "tumor", "normal")
     diff = _store(evidence.difference(expr), f"{out}/deg_result")
     mapped = _store(mapping.mapped_evidence(diff, read_table(spark, f"{graph}/gene_map")), f"{out}/deg_mapped_proteins")
     feats = _store(

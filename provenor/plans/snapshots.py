@@ -16,26 +16,6 @@ from provenor.operators.shape import heat_map, with_literals
 from provenor.operators.sorting import top_k
 from provenor.sinks.tables import write_snapshot
 
-NODE_COLUMNS = [
-    "protein_id", "ensp_id", "gene_name", "rank", "final_score", "log2FC", "p_value", "deg_direction", "degree_protein",
-    "weighted_degree_protein", "num_interactions_in_deg_network", "avg_combined_score", "cluster_id", "candidate_group",
-    "geo_match_status", "geo_coverage_rate", "geo_mean_percentile", "geo_top_quartile_rate", "geo_support_score",
-    "geo_support_level", "gene_confidence",
-]
-SCATTER_COLUMNS = [
-    "rank", "gene_name", "protein_id", "final_score", "geo_support_score", "geo_support_level", "geo_coverage_rate",
-    "geo_mean_expression", "geo_median_expression", "geo_mean_percentile", "geo_top_quartile_rate",
-]
-OVERLAP_COLUMNS = [
-    "rank", "gene_name", "protein_id", "final_score", "geo_match_status", "geo_num_samples_available", "geo_total_samples",
-    "geo_coverage_rate", "geo_mean_expression", "geo_median_expression", "geo_mean_percentile", "geo_top_quartile_rate",
-    "geo_support_score", "geo_support_level",
-]
-POINT_COLUMNS = [
-    "gene_name", "protein_id", "ensp_id", "abs_log2FC", "weighted_degree_protein", "avg_combined_score",
-    "num_interactions_in_deg_network", "final_score", "cluster_id", "candidate_group",
-]
-
 
 def dashboard_rollups(parts: Mapping[str, tuple[DataFrame, Column]]) -> DataFrame:
     """Named single numbers, each one aggregate over its own frame."""
@@ -64,21 +44,23 @@ def largest_effect() -> list[Column]:
 def overview(t: Mapping[str, DataFrame], edges: DataFrame) -> DataFrame:
     """Key figures of all phases from eleven one-number aggregates."""
     n = F.count(F.lit(1)).alias("n")
-    ok = ~(F.col("is_outlier_library_size") | F.col("is_outlier_detected_genes"))
+    passed = t["qc"].where(~(F.col("is_outlier_library_size") | F.col("is_outlier_detected_genes")))
     group = F.lower("sample_group")
-    return agg.kpi_table([
-        ("GDC samples before QC", t["qc"].agg(n), "samples", "Overview", "Rows in refined GDC quality_check before removing QC outliers."),
-        ("GDC samples after QC", t["qc"].where(ok).agg(n), "samples", "Phase 1", "Samples passing library-size and detected-gene QC flags."),
-        ("Tumor samples", t["qc"].where(ok & (group == "tumor")).agg(n), "samples", "Phase 1", "Tumor samples retained after QC."),
-        ("Normal samples", t["qc"].where(ok & (group == "normal")).agg(n), "samples", "Phase 1", "Normal samples retained after QC."),
-        ("Differentially expressed genes", t["deg"].where("is_deg").agg(n), "genes", "Phase 2", "Genes where Phase 2 is_deg is true."),
-        ("DEG mapped to proteins", t["mapped"].agg(F.count_distinct("gene_id_base").alias("n")), "genes", "Phase 3", "Distinct DEG genes with STRING protein_id mapping."),
-        ("Protein candidates", t["candidate_features"].agg(n), "proteins", "Phase 5", "Candidate protein rows scored by Phase 5."),
-        ("PPI edges in top-target graph", edges.agg(n), "edges", "Phase 4", "STRING edges among top targets with edge_weight_protein >= 0.4."),
-        ("Top candidate targets", t["top_enriched"].agg(n), "targets", "Phase 5", "Rows in HDFS mart/top_candidate_targets_enriched."),
-        ("Candidates with GEO support", t["geo_summary"].where(F.col("geo_support_level") != K.SUPPORT_NOT_FOUND).agg(F.coalesce(F.sum("candidate_count"), F.lit(0)).alias("n")), "targets", "Phase 6", "Top targets with GEO tumor-cohort expression support metrics."),
-        ("ML clusters", t["ml_summary"].agg(n), "clusters", "Phase 7", "Clusters in analysis/ml_cluster_summary."),
-    ])
+    supported = t["geo_summary"].where(F.col("geo_support_level") != K.SUPPORT_NOT_FOUND)
+    cells = [
+        t["qc"].agg(n),
+        passed.agg(n),
+        passed.where(group == "tumor").agg(n),
+        passed.where(group == "normal").agg(n),
+        t["deg"].where("is_deg").agg(n),
+        t["mapped"].agg(F.count_distinct("gene_id_base").alias("n")),
+        t["candidate_features"].agg(n),
+        edges.agg(n),
+        t["top_enriched"].agg(n),
+        supported.agg(F.coalesce(F.sum("candidate_count"), F.lit(0)).alias("n")),
+        t["ml_summary"].agg(n),
+    ]
+    return agg.kpi_table([(name, cell, unit, phase, text) for cell, (name, unit, phase, text) in zip(cells, K.OVERVIEW_METRICS)])
 
 
 def snapshots(t: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
@@ -90,7 +72,7 @@ def snapshots(t: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
     qc, deg, mapped = t["qc"], t["deg"], t["mapped"]
     ok = ~(F.col("is_outlier_library_size") | F.col("is_outlier_detected_genes"))
     top = attach_one(t["top_enriched"], mapped, "protein_id", "gene_confidence").orderBy("rank")
-    nodes = top.select(*NODE_COLUMNS, node_size("weighted_degree_protein").alias("node_size"))
+    nodes = top.select(*K.NODE_COLUMNS, node_size("weighted_degree_protein").alias("node_size"))
     edges = induced_subgraph(
         t["edges"], top, "protein_id", "protein_id_src", "protein_id_dst", "edge_weight_protein", attrs=["gene_name"]
     ).select("protein_id_src", "protein_id_dst", "gene_name_src", "gene_name_dst", "combined_score_protein", "edge_weight_protein")
@@ -99,7 +81,7 @@ def snapshots(t: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
     shown = F.when(F.col("is_deg"), F.col("deg_direction")).otherwise(K.NOT_SIGNIFICANT)
     by_rank = t["geo_result"].orderBy("rank")
     summary = t["ml_summary"].orderBy("cluster_id")
-    overlap = by_rank.select(*OVERLAP_COLUMNS).limit(K.TOP_N)
+    overlap = by_rank.select(*K.OVERLAP_COLUMNS).limit(K.TOP_N)
     counts = agg.pass_counts(qc, "sample_group", ok).toDF("sample_group", "samples_before_qc", "samples_after_qc", "samples_removed")
     return {
         "overview_summary": overview(t, edges),
@@ -111,7 +93,7 @@ def snapshots(t: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
         "deg_summary": deg.groupBy(shown.alias("deg_direction")).agg(F.count(F.lit(1)).alias("gene_count")),
         "top_deg_genes": top_k(called, largest_effect(), 50).select("gene_name", "gene_id_base", "log2FC", "abs_log2FC", "p_value", "deg_direction"),
         "deg_heatmap_matrix": heat_map(
-            t["expr"].where(F.col("sample_group").isin("tumor", "normal")), "gene_name", "sample_id", "sample_group", "log2_tpm",
+            t["expr"], "gene_name", "sample_id", "sample_group", "log2_tpm", ["tumor", "normal"],
             [F.col("abs_log2FC").desc(), F.col("gene_name")], called.groupBy("gene_name").agg(F.max("abs_log2FC").alias("abs_log2FC")),
         ),
         "gene_protein_mapping_summary": agg.mapping_summary(called, mapped, "gene_id_base"),
@@ -131,11 +113,11 @@ def snapshots(t: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
             "rank", "gene_name", "protein_id", "final_score", "geo_validation_mode", "geo_match_status", "geo_support_level"
         ),
         "geo_supported_top_candidates": t["geo_supported"].orderBy("geo_support_rank").limit(K.TOP_N),
-        "geo_gdc_vs_support_scatter": by_rank.select(*SCATTER_COLUMNS).limit(K.TOP_N),
+        "geo_gdc_vs_support_scatter": by_rank.select(*K.SCATTER_COLUMNS).limit(K.TOP_N),
         "geo_top_candidate_overlap": overlap,
         "geo_expression_availability": overlap,
         "ml_k_selection": t["ml_k"].orderBy("k"),
-        "ml_cluster_points": t["candidate_clusters"].select(*POINT_COLUMNS),
+        "ml_cluster_points": t["candidate_clusters"].select(*K.SHOWN_POINT_COLUMNS),
         "ml_cluster_summary": summary,
         "ml_clusters": summary,
     }

@@ -23,10 +23,6 @@ RESULT_COLUMNS = [
     "rank", "gene_name", "gene_name_norm", "protein_id", "ensp_id", "final_score", "geo_match_status", *STAT_NAMES.values(),
     "geo_support_score", "geo_support_level", "geo_validation_mode",
 ]
-SUPPORTED_COLUMNS = [
-    "geo_support_rank", "rank", "gene_name", "protein_id", "ensp_id", "final_score", "geo_coverage_rate",
-    "geo_mean_percentile", "geo_top_quartile_rate", "geo_support_score", "geo_support_level",
-]
 
 
 def cohort_values(
@@ -83,4 +79,4 @@ def support_summary(result: DataFrame) -> DataFrame:
 
 def supported_top_candidates(result: DataFrame, stored: bool = False) -> DataFrame:
     """Candidates by support score, those without one last."""
-    return support_rank(result, "geo_support_score", "rank", "geo_support_rank", stored).select(*SUPPORTED_COLUMNS)
+    return support_rank(result, "geo_support_score", "rank", "geo_support_rank", stored).select(*K.SUPPORTED_COLUMNS)

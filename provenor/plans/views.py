@@ -47,11 +47,7 @@ def find_target(top: DataFrame, token: str) -> DataFrame:
 
 def score_breakdown(top: DataFrame, token: str) -> DataFrame:
     """Component rows of one candidate's score."""
-    weights = {
-        "Expression score": ("expression_score", K.RANK_WEIGHTS["expression_score"]),
-        "Protein network score": ("protein_network_score", K.RANK_WEIGHTS["protein_network_score"]),
-        "STRING confidence score": ("string_confidence_score", K.RANK_WEIGHTS["string_confidence_score"]),
-    }
+    weights = {name: (column, K.RANK_WEIGHTS[column]) for name, column in K.COMPONENT_NAMES.items()}
     return shape.explode_components(find_target(top, token), ["protein_id", "gene_name", "final_score"], weights)
 
 
