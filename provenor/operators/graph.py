@@ -28,11 +28,16 @@ def degrees(edges: DataFrame, src: str, dst: str, weight: str, node: str = "node
 
 
 def incident_edges(edges: DataFrame, nodes: DataFrame, node: str, src: str, dst: str) -> DataFrame:
-    """Distinct edges with at least one end among the nodes: two equi-joins, no OR."""
+    """Distinct edges with at least one end among the nodes.
+
+    Each end is marked by its own equi-join, so the edges are read once and no
+    join condition holds an OR.
+    """
     ids = nodes.select(node).where(F.col(node).isNotNull()).distinct()
-    by_src = edges.join(ids.withColumnRenamed(node, src), src, "left_semi")
-    by_dst = edges.join(ids.withColumnRenamed(node, dst), dst, "left_semi")
-    return by_src.unionByName(by_dst).distinct()
+    from_src = ids.select(F.col(node).alias(src), F.lit(True).alias("__src"))
+    from_dst = ids.select(F.col(node).alias(dst), F.lit(True).alias("__dst"))
+    marked = edges.join(from_src, src, "left").join(from_dst, dst, "left")
+    return marked.where(F.coalesce("__src", "__dst", F.lit(False))).select(*edges.columns).distinct()
 
 
 def interaction_features(
@@ -63,12 +68,16 @@ def induced_subgraph(
     edges: DataFrame, nodes: DataFrame, node: str, src: str, dst: str, weight: str,
     threshold: float = K.EDGE_MIN_WEIGHT, attrs: Sequence[str] = (),
 ) -> DataFrame:
-    """Edges with both ends among the nodes and enough weight, with node attributes at both ends."""
-    dim = nodes.select(node, *attrs)
-    ids = dim.select(node).distinct()
+    """Edges with both ends among the nodes and enough weight, with node attributes at both ends.
+
+    With ``attrs`` the nodes must be unique; their attributes then come with the
+    same two joins that select the edges.
+    """
     kept = min_weight(edges, weight, threshold)
-    kept = kept.join(ids.withColumnRenamed(node, src), src, "left_semi").join(ids.withColumnRenamed(node, dst), dst, "left_semi")
-    return attach_ends(kept, dim, node, src, dst) if attrs else kept
+    if not attrs:
+        ids = nodes.select(node).distinct()
+        return kept.join(ids.withColumnRenamed(node, src), src, "left_semi").join(ids.withColumnRenamed(node, dst), dst, "left_semi")
+    return attach_ends(kept, nodes.select(node, *attrs), node, src, dst, how="inner")
 
 
 def ego_nodes(nodes: DataFrame, edges: DataFrame, node: str, centre: str, src: str, dst: str) -> DataFrame:

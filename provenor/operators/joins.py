@@ -96,15 +96,17 @@ def map_entities(
     return keyed_join(a, b, ["__name"], "inner", salts).drop("__name").distinct()
 
 
-def attach_ends(edges: DataFrame, dim: DataFrame, key: str, src: str, dst: str, salts: int = 0) -> DataFrame:
-    """Columns of ``dim`` at both ends of every edge, named ``*_src`` and ``*_dst``."""
+def attach_ends(
+    edges: DataFrame, dim: DataFrame, key: str, src: str, dst: str, salts: int = 0, how: str = "left"
+) -> DataFrame:
+    """Columns of ``dim`` at both ends of every edge, named ``*_src`` and ``*_dst``; ``dim`` is unique on its key."""
     def end(col: str, suffix: str) -> DataFrame:
         return dim.select(
             F.col(key).alias(col), *[F.col(c).alias(f"{c}_{suffix}") for c in dim.columns if c != key]
         )
 
-    one = keyed_join(edges, end(src, "src"), [src], "left", salts)
-    return keyed_join(one, end(dst, "dst"), [dst], "left", salts)
+    one = keyed_join(edges, end(src, "src"), [src], how, salts)
+    return keyed_join(one, end(dst, "dst"), [dst], how, salts)
 
 
 def assemble(base: DataFrame, key: str, features: Sequence[DataFrame], defaults: Mapping[str, object]) -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,21 +64,38 @@ def check_chunks(df: DataFrame, key: str = "chunk_id") -> int:
     return row["n"]
 
 
-def _unit(vectors: pd.Series) -> np.ndarray:
-    m = np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
+def _unit(m: np.ndarray) -> np.ndarray:
     norms = np.linalg.norm(m, axis=1, keepdims=True)
     return m / np.where(norms == 0, np.nan, norms)
 
 
-def _best(q_ids: np.ndarray, q: np.ndarray, p_ids: np.ndarray, p: np.ndarray, k: int) -> pd.DataFrame:
-    """The k nearest passages per question within one block, ties to the smaller id."""
-    rank = np.argsort(p_ids, kind="stable")
-    p_ids, p = p_ids[rank], p[rank]
-    distance = 1.0 - q @ p.T
-    order = np.argsort(distance, axis=1, kind="stable")[:, :k]
-    rows = np.repeat(np.arange(len(q_ids)), order.shape[1])
-    cols = order.ravel()
-    return pd.DataFrame({"question": q_ids[rows], "passage": p_ids[cols], "distance": distance[rows, cols]})
+def _matrix(vectors: pa.Array) -> np.ndarray:
+    """A list column as one matrix of unit rows."""
+    flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return _unit(flat.reshape(len(vectors), -1))
+
+
+def _first_k(group: np.ndarray, distance: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Positions of the k smallest (distance, id) of every group."""
+    order = np.lexsort((ids, distance, group))
+    g = group[order]
+    starts = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
+    place = np.arange(len(g)) - np.repeat(starts, np.diff(np.r_[starts, len(g)]))
+    return order[place < k]
+
+
+def _best(q: np.ndarray, ids: np.ndarray, p: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(question row, passage id, distance) of the k nearest passages per question within one block.
+
+    Everything up to the k-th distance is kept before ids break ties, so the
+    choice does not depend on how passages are cut into blocks.
+    """
+    distance = np.nan_to_num(1.0 - q @ p.T, nan=np.inf)
+    kth = np.partition(distance, min(k, distance.shape[1]) - 1, axis=1)[:, [min(k, distance.shape[1]) - 1]]
+    rows, cols = np.nonzero(distance <= kth)
+    d, i = distance[rows, cols], ids[cols]
+    keep = _first_k(rows, d, i, k)
+    return rows[keep], i[keep], d[keep]
 
 
 def cosine_topk(
@@ -99,44 +117,54 @@ def cosine_topk(
     meet blocks of passages; in both forms only k candidates per question leave
     a block before the final choice.
     """
-    q = questions.select(F.col(question_id).alias("question"), F.col(question_vec).cast("array<double>").alias("vec")).where("vec IS NOT NULL")
-    p = passages.select(F.col(passage_id).alias("passage"), F.col(passage_vec).cast("array<double>").alias("vec")).where("vec IS NOT NULL")
+    q = questions.select(F.col(question_id).alias("question"), F.col(question_vec).alias("vec")).where("vec IS NOT NULL")
+    p = passages.select(F.col(passage_id).alias("passage"), F.col(passage_vec).alias("vec")).where("vec IS NOT NULL")
     types = {f.name: f.dataType.simpleString() for f in (*q.schema, *p.schema)}
     schema = f"question {types['question']}, passage {types['passage']}, distance double"
 
-    sample = q.limit(carried_questions + 1).toPandas()
-    if len(sample) == 0:
+    carried = q.limit(carried_questions + 1).toArrow()
+    if carried.num_rows == 0:
         near = q.sparkSession.createDataFrame([], schema)
-    elif len(sample) <= carried_questions:
-        ids, unit = sample["question"].to_numpy(), _unit(sample["vec"])
+    elif carried.num_rows <= carried_questions:
+        q_ids, unit = carried["question"].combine_chunks(), _matrix(carried["vec"].combine_chunks())
 
-        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            best = None
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best, id_type = None, None
             for batch in batches:
-                if len(batch):
-                    found = _best(ids, unit, batch["passage"].to_numpy(), _unit(batch["vec"]), k)
-                    both = found if best is None else pd.concat([best, found])
-                    best = both.sort_values(["question", "distance", "passage"], kind="stable").groupby("question", sort=False).head(k)
+                if batch.num_rows:
+                    id_type = batch.column("passage").type
+                    ids = batch.column("passage").to_numpy(zero_copy_only=False)
+                    found = _best(unit, ids, _matrix(batch.column("vec")), k)
+                    both = found if best is None else tuple(np.concatenate(c) for c in zip(best, found))
+                    keep = _first_k(both[0], both[2], both[1], k)
+                    best = tuple(c[keep] for c in both)
             if best is not None:
-                yield best[["question", "passage", "distance"]]
+                yield pa.RecordBatch.from_arrays(
+                    [q_ids.take(pa.array(best[0])), pa.array(best[1], type=id_type), pa.array(best[2])], ["question", "passage", "distance"]
+                )
 
-        near = p.mapInPandas(scan, schema)
+        near = p.mapInArrow(scan, schema)
     else:
-        sizes = q.agg(F.count(F.lit(1)).alias("n")).first()["n"], p.agg(F.count(F.lit(1)).alias("n")).first()["n"]
-        nq, np_ = max(1, -(-sizes[0] // question_block)), max(1, -(-sizes[1] // passage_block))
+        n_q, n_p = (df.agg(F.count(F.lit(1)).alias("n")).first()["n"] for df in (q, p))
+        q_blocks, p_blocks = max(1, -(-n_q // question_block)), max(1, -(-n_p // passage_block))
 
         def copies(n: int, name: str) -> Column:
             return F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
 
-        qb = q.select("*", F.pmod(F.xxhash64("question"), F.lit(nq)).cast("int").alias("qb"), copies(np_, "pb"))
-        pb = p.select("*", F.pmod(F.xxhash64("passage"), F.lit(np_)).cast("int").alias("pb"), copies(nq, "qb"))
+        def block(key: str, n: int, name: str) -> Column:
+            return F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias(name)
+
+        left = q.select("*", block("question", q_blocks, "qb"), copies(p_blocks, "pb"))
+        right = p.select("*", block("passage", p_blocks, "pb"), copies(q_blocks, "qb"))
 
-        def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-            if not len(left) or not len(right):
+        def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+            if not len(a) or not len(b):
                 return pd.DataFrame({"question": [], "passage": [], "distance": []})
-            return _best(left["question"].to_numpy(), _unit(left["vec"]), right["passage"].to_numpy(), _unit(right["vec"]), k)
+            qm, pm = (_unit(np.stack(df["vec"].to_numpy()).astype(np.float64)) for df in (a, b))
+            rows, ids, distance = _best(qm, b["passage"].to_numpy(), pm, k)
+            return pd.DataFrame({"question": a["question"].to_numpy()[rows], "passage": ids, "distance": distance})
 
-        near = qb.groupBy("qb", "pb").cogroup(pb.groupBy("qb", "pb")).applyInPandas(meet, schema)
+        near = left.groupBy("qb", "pb").cogroup(right.groupBy("qb", "pb")).applyInPandas(meet, schema)
     chosen = n_per_group(near, ["question"], [F.col("distance").asc(), F.col("passage").asc()], k, number="place")
     return chosen.withColumn("similarity", similarity("distance"))
 

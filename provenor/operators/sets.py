@@ -35,9 +35,11 @@ def all_nodes(edges: DataFrame, src: str, dst: str, listed: DataFrame, node: str
 
 def id_diff(current: DataFrame, desired: DataFrame, key: str) -> DataFrame:
     """Ids only on one side: ``stale`` (current only) or ``new`` (desired only)."""
-    stale = current.select(key).distinct().join(desired.select(key), key, "left_anti")
-    new = desired.select(key).distinct().join(current.select(key), key, "left_anti")
-    return stale.withColumn("state", F.lit("stale")).unionByName(new.withColumn("state", F.lit("new")))
+    have = current.select(key).distinct().withColumn("__have", F.lit(True))
+    want = desired.select(key).distinct().withColumn("__want", F.lit(True))
+    both = have.join(want, key, "full_outer")
+    state = F.when(F.col("__want").isNull(), "stale").when(F.col("__have").isNull(), "new")
+    return both.select(key, state.alias("state")).where(F.col("state").isNotNull())
 
 
 def upsert(current: DataFrame, incoming: DataFrame, key: str, keep_stale: bool = False) -> DataFrame:

@@ -162,3 +162,21 @@ def test_clusters_and_views(spark, base):
     q = spark.createDataFrame([(1, f"what about {best.gene_name}?"), (2, "nothing")], "qid int, text string")
     named = views.question_context(q, "qid", "text", top, published["network_top_proteins"]).collect()
     assert [(r.qid, r.protein_id) for r in named] == [(1, best.protein_id)]
+
+
+def test_knowledge_index(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from provenor.plans import knowledge
+
+    (tmp_path / "kb.md").write_text("# top\n## KB-001: One\n**chunk_id:** `a`\n**keywords:** `k`\ntext\n## KB-002: Two\nmore\n")
+    chunks = knowledge.checked_chunks(spark, str(tmp_path / "kb.md"))
+    got = {r.id: r for r in chunks.collect()}
+    assert set(got) == {"a", "kb-002"} and got["a"].title == "KB-001: One" and got["a"].metadata["keywords"] == "k"
+    assert got["kb-002"].embedding_text == "title: KB-002: Two | text: ## KB-002: Two\nmore"
+    vec = F.array(F.lit(1.0), F.lit(0.5))
+    index = spark.createDataFrame([("a", "old"), ("gone", "x")], "id string, text string").select("id", "text", F.create_map(F.lit("k"), F.lit("v")).alias("metadata"), vec.alias("embedding"))
+    assert sorted(tuple(r) for r in knowledge.index_changes(index, chunks).collect()) == [("gone", "stale"), ("kb-002", "new")]
+    out = str(tmp_path / "index")
+    knowledge.refresh_index(index, chunks.withColumn("embedding", vec), out)
+    assert sorted(r.id for r in spark.read.parquet(out).collect()) == ["a", "kb-002"]
