@@ -15,7 +15,7 @@ from provenor.sinks.tables import export_vectors
 
 def knowledge_chunks(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """Sections of markdown files: id, title, text, metadata and the text to embed."""
-    files = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("source_file"), "value")
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("source_file"), "value")
     parts = chunk_sections(files, ["source_file"], "value")
     titled = F.concat(F.col("section_id"), F.lit(": "), F.col("title"))
     pairs = [x for k, c in {
