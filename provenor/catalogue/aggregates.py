@@ -6,6 +6,10 @@ from provenor.catalogue.base import big, query, r6, tab, with_views, x_alias, x_
 from provenor.operators import aggregates as agg
 from provenor.operators import graph, stats
 from provenor.operators.joins import missing
+from provenor.operators.sorting import top_k
+from provenor.operators.windows import within_percentile
+from provenor.plans.snapshots import dashboard_rollups
+from provenor.session import materialise
 
 
 @query("agg_sample_qc", """
@@ -184,8 +188,6 @@ SELECT s.cluster_id, members, coalesce(top_count, 0) AS top_count, round(100.0e0
        round(100.0e0 * coalesce(top_count, 0) / (SELECT count(*) FROM t), 6) AS top_percentage, round(100.0e0 * coalesce(top_count, 0) / members, 6) AS capture_rate, coalesce(top_names, '') AS top_names
 FROM s LEFT JOIN h ON s.cluster_id = h.cluster_id"""))
 def agg_cluster_explain(spark, sf):
-    from provenor.operators.sorting import top_k
-
     points = x_cluster(spark, sf).withColumn("name", F.concat(F.lit("v"), "vec_id"))
     top = top_k(points, [F.col("score").desc(), F.col("vec_id")], 100)
     e = agg.explain_clusters(points, top, "cluster_id", "rank", "name")
@@ -225,11 +227,9 @@ SELECT gene, count(DISTINCT sample_id) AS n_available, any_value(t.n) AS n_total
        round(ln(quantile_disc(value, 0.5)), 6) AS median_value, round(avg(pct), 6) AS mean_percentile, round(count(*) FILTER (pct >= 0.75) / any_value(t.n), 6) AS top_quartile_rate
 FROM p, t GROUP BY gene"""))
 def agg_support_stats(spark, sf):
-    from provenor.operators.windows import within_percentile
-
-    values = agg.mean_replicates(x_expr(spark, sf), ["gene", "sample_id"], "value")
+    values = materialise(agg.mean_replicates(x_expr(spark, sf), ["gene", "sample_id"], "value"), "values")
     total = values.agg(F.count_distinct("sample_id").alias("n")).scalar()
-    s = agg.support_stats(within_percentile(values, ["sample_id"], "value", "gene"), "gene", "sample_id", "value", "percentile", total)
+    s = agg.support_stats(within_percentile(values, ["sample_id"], "value", "gene", stored=True), "gene", "sample_id", "value", "percentile", total)
     logs = s.withColumns({"mean_value": F.log("mean_value"), "median_value": F.log("median_value")})
     return logs.withColumns({c: r6(c) for c in ("coverage_rate", "mean_value", "median_value", "mean_percentile", "top_quartile_rate")})
 
@@ -267,8 +267,6 @@ UNION ALL SELECT 'largest weight', max(weight) FROM x_edges
 UNION ALL SELECT 'moderate support', CAST(count(*) AS DOUBLE) FROM x_targets WHERE geo_support_level = 'Moderate GEO support'
 UNION ALL SELECT 'removed samples', CAST(count(*) AS DOUBLE) FROM x_qc WHERE n_detected <= 200"""))
 def agg_rollups(spark, sf):
-    from provenor.plans.snapshots import dashboard_rollups
-
     edges = x_edges(spark, sf)
     return dashboard_rollups({
         "average weighted degree": (graph.degrees(edges, "src", "dst", "weight"), r6(F.avg("weighted_degree"), 4)),

@@ -116,6 +116,13 @@ def assert_clean(result: DataFrame, name: str = "check") -> None:
         raise AssertionError(f"{name}: " + ", ".join(f"{c}={n}" for c, n in bad))
 
 
+def assert_none(found: DataFrame, name: str) -> None:
+    """Error when a check frame has any row; shows one of them."""
+    row = found.limit(1).first()
+    if row is not None:
+        raise AssertionError(f"{name}: {row.asDict()}")
+
+
 def verify_written(spark: SparkSession, path: str, schema: StructType | None = None, rows: int | None = None) -> DataFrame:
     """Read a written table back; error when it is absent, empty, or differs from what is expected."""
     back = spark.read.parquet(path)

@@ -22,10 +22,22 @@ def global_rank(df: DataFrame, order: Sequence[Column], rank: str = "rank") -> D
     return number_rows(df, order, position=rank)
 
 
+# up to this many rows per group Spark limits each group inside every task (its default threshold)
+GROUP_LIMIT = 1000
+
+
 def n_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column], n: int, number: str | None = None) -> DataFrame:
-    """First ``n`` rows per group; Spark limits each group before and after the shuffle."""
+    """First ``n`` rows per group; Spark limits each group before and after the shuffle.
+
+    Beyond that limit rows are numbered slice by slice, and ``order`` must end in
+    a unique column.
+    """
     name = number or "__number"
-    out = df.withColumn(name, F.row_number().over(W.partitionBy(*group).orderBy(*order))).where(F.col(name) <= n)
+    if n > GROUP_LIMIT:
+        numbered = number_rows(df, order, group, position=name).withColumn(name, F.col(name).cast("int"))
+    else:
+        numbered = df.withColumn(name, F.row_number().over(W.partitionBy(*group).orderBy(*order)))
+    out = numbered.where(F.col(name) <= n)
     return out if number else out.drop(name)
 
 

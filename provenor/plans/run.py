@@ -25,10 +25,15 @@ def refine_counts(spark: SparkSession, counts_path: str, index_path: str, cases_
     file_map = _store(
         refine.file_sample_map(files.read_nested_index(spark, index_path), samples, files.file_inventory(raw)), f"{out}/file_sample_map"
     )
-    quality.assert_clean(quality.violations(file_map.groupBy("file_id").count(), {"unique file_id": F.col("count") == 1}), "file_sample_map")
+    quality.assert_none(quality.dup_keys(file_map, ["file_id"]), "repeated file_id in file_sample_map")
     counts = _store(refine.counts_clean(raw, file_map), f"{out}/counts_clean", ("sample_group",), sized=True)
-    _store(refine.protein_coding(counts), f"{out}/counts_clean_protein_coding", ("sample_group",), sized=True)
+    quality.assert_none(quality.orphans(counts, file_map, "file_id"), "file_id of counts_clean without a file")
+    coding = _store(refine.protein_coding(counts), f"{out}/counts_clean_protein_coding", ("sample_group",), sized=True)
+    quality.assert_clean(quality.violations(coding, {
+        "class": F.col("gene_type") == K.CODING_CLASS, "no flagged gene": ~F.col("gene_id").endswith(K.PAR_Y_SUFFIX),
+    }), "counts_clean_protein_coding")
     qc = _store(refine.quality_check(counts), f"{out}/quality_check")
+    quality.assert_none(quality.dup_keys(qc, ["file_id", "sample_id"]), "repeated file and sample in quality_check")
     quality.assert_clean(quality.out_of_range(qc, {"pct_zero_genes": (0.0, 1.0)}, null_is_bad=True), "quality_check")
 
 
@@ -41,8 +46,12 @@ def refine_graph(spark: SparkSession, links_path: str, aliases_path: str, out: s
     )
     gene_edges = _store(mapping.gene_edges(edges, genes), f"{out}/edges_gene", sized=True)
     quality.assert_clean(quality.violations(gene_edges, {"ordered pair": F.col("gene_id_src") < F.col("gene_id_dst")}), "edges_gene")
-    _store(mapping.gene_nodes(genes, gene_edges), f"{out}/nodes_gene")
-    _store(mapping.protein_nodes(genes, edges), f"{out}/nodes_protein")
+    gene_nodes = _store(mapping.gene_nodes(genes, gene_edges), f"{out}/nodes_gene")
+    nodes = _store(mapping.protein_nodes(genes, edges), f"{out}/nodes_protein")
+    quality.assert_none(quality.dup_keys(genes, ["protein_id"]), "repeated protein_id in gene_map")
+    quality.assert_none(quality.dup_keys(nodes, ["protein_id"]), "repeated protein_id in nodes_protein")
+    quality.assert_clean(quality.out_of_range(gene_nodes, {"degree_gene": (0, None), "weighted_degree_gene": (0, None)}), "nodes_gene")
+    quality.assert_clean(quality.out_of_range(nodes, {"degree_protein": (0, None), "weighted_degree_protein": (0, None)}), "nodes_protein")
 
 
 def refine_cohort(spark: SparkSession, expression_path: str, metadata_path: str, out: str) -> None:
@@ -58,15 +67,24 @@ def analyse(spark: SparkSession, counts: str, graph: str, out: str, mart: str, t
     """QC-passed expression, difference test, mapping, network features and ranked candidates."""
     qc = read_table(spark, f"{counts}/quality_check")
     expr = _store(evidence.qc_pass_expression(read_table(spark, f"{counts}/counts_clean_protein_coding"), qc), f"{out}/qc_pass_expression", sized=True)
+    failed = qc.where("is_outlier_library_size OR is_outlier_detected_genes")
+    quality.assert_none(quality.leaks(expr, failed, ["sample_id"]).where("n_leaked > 0"), "excluded samples in qc_pass_expression")
     stats.check_groups(expr.withColumn("sample_group", F.lower(F.trim("sample_group"))), "sample_group", "sample_id", "tumor", "normal")
     diff = _store(evidence.difference(expr), f"{out}/deg_result")
+    quality.assert_clean(quality.out_of_range(diff, {"p_value": (0.0, 1.0)}), "deg_result")
     mapped = _store(mapping.mapped_evidence(diff, read_table(spark, f"{graph}/gene_map")), f"{out}/deg_mapped_proteins")
     feats = _store(
         evidence.network_features(mapped, read_table(spark, f"{graph}/edges_protein"), read_table(spark, f"{graph}/nodes_protein")),
         f"{out}/protein_network_features",
     )
+    ids = mapped.select("protein_id").distinct()
+    quality.assert_none(quality.row_counts({"features": (ids, feats)}).where("NOT preserved"), "rows of protein_network_features")
+    quality.assert_clean(quality.violations(feats, {
+        "high edges within all edges": F.col("num_high_confidence_edges") <= F.col("num_interactions_in_deg_network"),
+    }), "protein_network_features")
     ranked = _store(evidence.candidate_features(mapped, feats), f"{out}/candidate_target_features")
     quality.assert_clean(quality.out_of_range(ranked, {"final_score": (0.0, 1.0)}, null_is_bad=True), "candidate_target_features")
+    quality.assert_none(quality.rank_gaps(ranked, "rank").where("n_rows > 0 AND NOT contiguous"), "ranks of candidate_target_features")
     _store(ranked.where(F.col("rank") <= top_n), f"{mart}/top_candidate_targets")
 
 
@@ -76,7 +94,11 @@ def validate(spark: SparkSession, cohort: str, out: str, mart: str) -> None:
     result = _store(
         support.cohort_support(top, read_table(spark, f"{cohort}/expression"), read_table(spark, f"{cohort}/metadata")), f"{out}/geo_validation_result"
     )
-    _store(support.support_summary(result), f"{out}/geo_validation_summary")
+    missing = F.col("geo_support_level") == K.SUPPORT_NOT_FOUND
+    quality.assert_clean(quality.violations(result, {"no score exactly where not found": missing == F.col("geo_support_score").isNull()}), "geo_validation_result")
+    summary = _store(support.support_summary(result), f"{out}/geo_validation_summary")
+    totals = quality.reconcile_totals(summary, "candidate_count", "candidate_percentage", top)
+    quality.assert_none(totals.where("n_expected > 0 AND NOT (counts_agree AND percent_agrees)"), "totals of geo_validation_summary")
     _store(support.supported_top_candidates(result, stored=True), f"{out}/geo_supported_top_candidates")
 
 
@@ -88,6 +110,7 @@ def cluster(spark: SparkSession, out: str, mart: str) -> None:
     _store(scores, f"{out}/ml_k_selection")
     points = _store(points, f"{out}/candidate_clusters")
     _store(summary, f"{out}/ml_cluster_summary")
+    quality.assert_none(quality.row_counts({"clusters": (features, points)}).where("NOT preserved"), "rows of candidate_clusters")
     top, result = read_table(spark, f"{mart}/top_candidate_targets"), read_table(spark, f"{out}/geo_validation_result")
     _store(clusters.enriched_targets(top, result, points), f"{mart}/top_candidate_targets_enriched")
 

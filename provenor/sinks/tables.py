@@ -10,6 +10,7 @@ from pyspark.sql.types import ArrayType, DataType, DoubleType, FloatType, Struct
 
 from provenor.functions import csv_guard, finite_or_null
 from provenor.operators.sets import upsert
+from provenor.sources.tables import read_snapshot
 
 
 def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
@@ -57,7 +58,7 @@ def csv_lines(df: DataFrame, order: Sequence[Column] = ()) -> DataFrame:
     rows = df.orderBy(*order) if order else df
     body = rows.select(F.concat_ws(",", *[quoted(csv_guard(F.col(f"`{c}`"))) for c in df.columns]).alias("value"))
     head = df.sparkSession.range(1).select(
-        F.concat(F.lit("﻿"), F.concat_ws(",", *[quoted(csv_guard(F.lit(c))) for c in df.columns])).alias("value")
+        F.concat(F.lit("\ufeff"), F.concat_ws(",", *[quoted(csv_guard(F.lit(c))) for c in df.columns])).alias("value")
     )
     return head.union(body)
 
@@ -98,8 +99,6 @@ def hydrate(live: DataFrame, snapshot: DataFrame, key: str) -> DataFrame:
 
 def sync_snapshots(spark: SparkSession, source: str, names: Sequence[str], target: str) -> None:
     """Every named snapshot replaces its own target dataset."""
-    from provenor.sources.tables import read_snapshot
-
     for name in names:
         rows = read_snapshot(spark, source, name)
         if rows.columns != ["available"]:

@@ -279,3 +279,12 @@ def test_quality(spark):
     with pytest.raises(AssertionError):
         quality.assert_clean(quality.violations(df, {"positive": F.col("v") > 0}))
     assert math.isclose(agg.shares(df, "rank").agg(F.sum("percentage")).first()[0], 100.0)
+
+
+def test_large_groups_are_numbered_by_slices(spark, skewed, many_slices):
+    data, df = skewed
+    got = {r.id for r in sorting.n_per_group(df, ["k"], [F.col("v").desc(), F.col("id").asc()], 1500).collect()}
+    want = set()
+    for k in {r[1] for r in data}:
+        want |= {r[0] for r in sorted((r for r in data if r[1] == k), key=lambda r: (-r[2], r[0]))[:1500]}
+    assert got == want

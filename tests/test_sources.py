@@ -119,4 +119,4 @@ def test_sinks(spark, tmp_path):
     out = tmp_path / "csv"
     sinks.export_csv(spark.createDataFrame([("=1", 2.5), ('q"', -1.0)], "name string, v double"), str(out), [F.col("v").desc()])
     text = "".join(p.read_text(encoding="utf-8") for p in sorted(out.glob("part-*")))
-    assert text == '﻿"name","v"\n"\'=1","2.5"\n"q""","\'-1.0"\n'
+    assert text == '\ufeff"name","v"\n"\'=1","2.5"\n"q""","\'-1.0"\n'
