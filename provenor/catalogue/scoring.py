@@ -53,12 +53,14 @@ def protein_edges(spark, sf):
 def ranking_inputs(spark, sf):
     """(mapped evidence, network features) of the derived tables; the tables between phases are stored."""
     genes, edges = gene_map(spark, sf), materialise(protein_edges(spark, sf), "edges")
-    mapped = materialise(mapping.mapped_evidence(evidence.difference(expression(spark, sf), "case", "control"), genes), "mapped")
+    # the derived groups differ by chance only, so any significant effect counts, whatever its size
+    diff = evidence.difference(expression(spark, sf), "case", "control", min_effect=0.0)
+    mapped = materialise(mapping.mapped_evidence(diff, genes), "mapped")
     return mapped, evidence.network_features(mapped, edges, mapping.protein_nodes(genes, edges))
 
 
 RANKING_VIEWS = """
-, mp AS (SELECT DISTINCT gene, protein_id, effect AS fc, p_value, direction FROM x_diff JOIN (SELECT DISTINCT protein_id, upper(trim(symbol_norm)) AS name FROM x_map WHERE symbol IS NOT NULL) m ON upper(trim(gene)) = m.name WHERE is_deg),
+, mp AS (SELECT DISTINCT gene, protein_id, effect AS fc, p_value, direction FROM x_diff JOIN (SELECT DISTINCT protein_id, upper(trim(symbol_norm)) AS name FROM x_map WHERE symbol IS NOT NULL) m ON upper(trim(gene)) = m.name WHERE abs(effect) >= 0 AND p_value < 0.05),
 both_ways AS (SELECT src AS node, dst AS other, score, weight FROM x_edges UNION ALL SELECT dst, src, score, weight FROM x_edges),
 deg AS (SELECT node, count(DISTINCT other) AS degree, sum(weight) AS wd FROM both_ways GROUP BY node),
 near AS (SELECT node, count(DISTINCT other) AS n_int, avg(score) AS avg_score FROM (SELECT DISTINCT * FROM both_ways WHERE weight >= 0.4) GROUP BY node),

@@ -30,7 +30,9 @@ def qc_pass_expression(counts: DataFrame, qc: DataFrame) -> DataFrame:
     )
 
 
-def difference(expr: DataFrame, case: str = "tumor", control: str = "normal") -> DataFrame:
+def difference(
+    expr: DataFrame, case: str = "tumor", control: str = "normal", min_effect: float = K.MIN_EFFECT, alpha: float = K.MAX_P
+) -> DataFrame:
     """Per gene: group means, log fold change, p-value, direction and whether it is different.
 
     A group label counts when it contains the group's name.
@@ -42,7 +44,7 @@ def difference(expr: DataFrame, case: str = "tumor", control: str = "normal") ->
         F.col("log2_tpm").cast("double").alias("log2_tpm"), label.alias("__group"),
     )
     tested = two_group_test(rows, ["gene_id_base", "gene_name"], "__group", "tpm", "log2_tpm", case, control)
-    return call_diff(tested).select(
+    return call_diff(tested, min_effect=min_effect, alpha=alpha).select(
         "gene_id_base", "gene_name",
         F.col("mean_value_case").alias("mean_tumor"), F.col("mean_value_control").alias("mean_normal"),
         F.col("mean_log_case").alias("mean_log2_tpm_tumor"), F.col("mean_log_control").alias("mean_log2_tpm_normal"),
