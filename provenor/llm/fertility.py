@@ -25,11 +25,11 @@ MAX_REPEAT_PERCENT = 20
 #: Lowest and highest characters per token, highest share of byte tokens, lowest entropy of the tokens in bits as a share
 #: of the highest that so many tokens can have.
 BANDS: dict[str, tuple[float, float, float, float]] = {
-    "en": (1.25, 8.0, 0.20, 0.60),
-    "de": (1.25, 8.0, 0.20, 0.60),
-    "fr": (1.15, 8.0, 0.20, 0.60),
-    "es": (1.15, 8.0, 0.20, 0.60),
-    "latin": (1.15, 8.0, 0.25, 0.60),
+    "en": (1.0, 8.0, 0.20, 0.58),
+    "de": (1.0, 8.0, 0.20, 0.58),
+    "fr": (1.0, 8.0, 0.20, 0.58),
+    "es": (1.0, 8.0, 0.20, 0.58),
+    "latin": (1.0, 8.0, 0.25, 0.58),
     "other": (0.20, 8.0, 1.00, 0.40),
 }
 

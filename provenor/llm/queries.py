@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
 from collections.abc import Callable
+from functools import wraps
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provenor.llm import chat, fertility, urls
+from provenor.llm import chat, fertility, interpolation, jaccard, latent, licences, repeats, spm, urls, warc
+from provenor.session import working_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -16,9 +21,28 @@ TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 PIECE_MODEL = f"{TOKENIZERS}/piece_bpe_32k.model"
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once per application, so that tasks import it wherever they run."""
+    context = spark.sparkContext
+    if getattr(context, "_provenor_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[1]
+    archive = Path(tempfile.mkdtemp(prefix="provenor-")) / "provenor.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for file in sorted(root.rglob("*.py")):
+            z.write(file, file.relative_to(root.parent))
+    context.addPyFile(str(archive))
+    context._provenor_shipped = True
+
+
 def query(name: str, sql: str | None = None):
     def add(fn):
-        QUERIES[name] = fn
+        @wraps(fn)
+        def call(spark, sf):
+            ship(spark)
+            return fn(spark, sf)
+
+        QUERIES[name] = call
         if sql is not None:
             ORACLES[name] = sql
         return fn
@@ -76,3 +100,88 @@ URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/"
 def op10(spark, sf):
     pages = table(spark, sf, "pages").select("page_id", "url")
     return urls.filter_urls(pages, "url", URL_RULES).drop("url")
+
+
+#: Words of a text; ASCII letters are lower-cased where asked for.
+SQL_WORDS = r"list_filter(string_split_regex(coalesce({text}, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
+SQL_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@query(
+    "op1_ngram_jaccard",
+    f"""
+WITH RECURSIVE w AS MATERIALIZED (SELECT doc_id, {SQL_WORDS.format(text=SQL_LOWER)} AS ws FROM documents),
+s AS MATERIALIZED (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: hash(ws[i:i + 4]))
+    WHEN len(ws) > 0 THEN [hash(ws)] ELSE [] END) AS g FROM w
+), n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common FROM s a JOIN s b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+e AS MATERIALIZED (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * common >= 80 * (a.n + b.n - common)),
+r AS (SELECT doc_id, doc_id AS component FROM w UNION SELECT e.x, r.component FROM r JOIN e ON e.y = r.doc_id)
+SELECT w.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(r.component) AS component_id
+FROM w LEFT JOIN n USING (doc_id) JOIN r USING (doc_id) GROUP BY w.doc_id""",
+)
+def op1(spark, sf):
+    return jaccard.near_duplicates(table(spark, sf, "documents").select("doc_id", "text"))
+
+
+@query(
+    "op9_substring_dedup",
+    f"""
+WITH w AS MATERIALIZED (SELECT doc_id, {SQL_WORDS.format(text="text")} AS ws FROM documents),
+p AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS i, unnest(ws) AS word, len(ws) AS n FROM w),
+h AS (SELECT doc_id, i, hash(ws[i:i + 49]) AS g FROM p JOIN w USING (doc_id) WHERE i + 49 <= n),
+m AS (SELECT g, min(doc_id) AS least FROM h GROUP BY g),
+f AS (SELECT doc_id, i FROM h JOIN m USING (g) WHERE doc_id > least),
+c AS (
+  SELECT p.doc_id, p.i, word, max(CASE WHEN f.i IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY p.doc_id ORDER BY p.i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone
+  FROM p LEFT JOIN f ON f.doc_id = p.doc_id AND f.i = p.i
+), k AS (SELECT doc_id, sum(gone)::BIGINT AS gone, string_agg(CASE WHEN gone = 0 THEN word END, ' ' ORDER BY i) AS kept FROM c GROUP BY doc_id)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(k.gone, 0)::BIGINT AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM w LEFT JOIN k USING (doc_id)""",
+)
+def op9(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return repeats.remove_repeats(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query(
+    "op8_warc",
+    """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+h AS (SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes, sha1(html) AS hex, max(page_id) OVER (PARTITION BY html) AS latest FROM p)
+SELECT page_id, payload_bytes,
+  list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    (((('0x' || substr(hex, ((i // 4) * 5 + 1)::BIGINT, 5))::BIGINT >> (15 - 5 * (i % 4))::BIGINT) & 31) + 1)::BIGINT, 1)), 'string_agg', '') AS payload_digest,
+  CASE WHEN page_id < latest THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < latest THEN latest END AS refers_to, true AS digest_ok
+FROM h""",
+)
+def op8(spark, sf):
+    folder = working_path(spark, "warc")
+    warc.write_warc(table(spark, sf, "pages"), folder)
+    records = warc.read_warc(spark, folder)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "digest_ok")
+
+
+@query("op3_sentencepiece")
+def op3(spark, sf):
+    model = fertility.model_bytes(spark, PIECE_MODEL)
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    decoded = spm.decode(spm.encode(docs, model), model)
+    return decoded.select("doc_id", F.size("ids").cast("bigint").alias("n_ids"), F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"), "ids")
+
+
+@query("op4_lm_score")
+def op4(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return interpolation.score(docs, F.crc32(F.col("doc_id").cast("string")) % 7 == 2)
+
+
+@query("op5_decontaminate")
+def op5(spark, sf):
+    return latent.contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query("op7_licences")
+def op7(spark, sf):
+    return licences.licences(table(spark, sf, "documents"))
