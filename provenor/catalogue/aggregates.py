@@ -94,11 +94,16 @@ def agg_entity_map(spark, sf):
 
 
 @query("agg_rollup_ids", with_views("x_map", body="""
-, p AS (SELECT brand, protein_id, CAST((row_number() OVER (PARTITION BY brand ORDER BY protein_id) - 1) // 50 AS INTEGER) AS block FROM x_map WHERE brand IS NOT NULL),
-f AS (SELECT brand, min(symbol) AS symbol, count(*) AS member_count FROM x_map WHERE brand IS NOT NULL GROUP BY 1)
-SELECT p.brand, block, symbol, member_count, string_agg(protein_id, ',' ORDER BY protein_id) AS members FROM p JOIN f ON p.brand = f.brand GROUP BY ALL"""))
+SELECT brand, min(symbol) AS symbol, count(DISTINCT protein_id) AS member_count, min(protein_id) AS first_member, max(protein_id) AS last_member
+FROM x_map WHERE brand IS NOT NULL GROUP BY 1"""))
 def agg_rollup_ids(spark, sf):
-    return agg.rollup_ids(x_map(spark, sf), "brand", "protein_id", ["symbol"], block_size=50, separator=",")
+    return agg.rollup_ids(x_map(spark, sf), "brand", "protein_id", ["symbol"])
+
+
+@query("agg_member_rows", with_views("x_map", body="""
+SELECT DISTINCT brand, protein_id FROM x_map WHERE brand IS NOT NULL AND protein_id IS NOT NULL"""))
+def agg_member_rows(spark, sf):
+    return agg.member_rows(x_map(spark, sf), "brand", "protein_id")
 
 
 @query("agg_collapse", """
@@ -128,11 +133,11 @@ def agg_shares(spark, sf):
 
 
 @query("agg_mapping_summary", """
-WITH a AS (SELECT count(*) AS n FROM customer), m AS (SELECT count(DISTINCT o_custkey) AS n FROM orders WHERE o_orderstatus = 'P')
+WITH a AS (SELECT count(*) AS n FROM customer), m AS (SELECT count(DISTINCT c_custkey) AS n FROM customer JOIN orders ON c_custkey = o_custkey * 3)
 SELECT 'Mapped to STRING protein' AS mapping_status, m.n AS gene_count, round(100.0e0 * m.n / a.n, 6) AS percentage FROM a, m
 UNION ALL SELECT 'Not mapped', a.n - m.n, round(100.0e0 * (a.n - m.n) / a.n, 6) FROM a, m""")
 def agg_mapping_summary(spark, sf):
-    mapped = tab(spark, sf, "orders").where("o_orderstatus = 'P'")
+    mapped = tab(spark, sf, "orders").select((F.col("o_custkey") * 3).alias("o_custkey")).join(tab(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey")), "o_custkey", "left_semi")
     return agg.mapping_summary(tab(spark, sf, "customer"), mapped, "o_custkey").withColumn("percentage", r6("percentage"))
 
 

@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provenor.functions import log2p1
-from provenor.functions import numeric as N
 from provenor.operators.stats import call_diff, two_group_test
 from provenor.plans.mapping import entity_map
 
@@ -57,8 +56,9 @@ SQL_VIEWS: dict[str, str] = {
 SELECT l_suppkey AS sample_id, l_orderkey AS case_id, l_linenumber AS line_no, replace(p_name, ' ', '-') || '-' || p_brand AS gene,
        l_partkey AS part_id, p_type AS gene_type,
        CASE l_returnflag WHEN 'R' THEN 'case' WHEN 'A' THEN 'control' ELSE 'other' END AS grp,
-       l_extendedprice AS value, log2(l_extendedprice + 1) AS log_value, CAST(l_quantity AS BIGINT) AS n
-FROM lineitem JOIN part ON l_partkey = p_partkey""",
+       l_extendedprice * factor AS value, log2(l_extendedprice * factor + 1) AS log_value, CAST(l_quantity AS BIGINT) AS n
+FROM (SELECT *, CASE WHEN l_returnflag = 'R' AND p_size % 3 = 0 OR l_returnflag = 'A' AND p_size % 3 = 1 THEN 8e0 ELSE 1e0 END AS factor
+      FROM lineitem JOIN part ON l_partkey = p_partkey)""",
     "x_edges": """
 SELECT 'P' || l_partkey AS src, 'S' || l_suppkey AS dst, max(l_quantity) * 20 AS score, max(l_quantity) * 20 / 1000.0e0 AS weight
 FROM lineitem GROUP BY l_partkey, l_suppkey""",
@@ -97,31 +97,21 @@ FROM embeddings""",
 _ORDER = list(SQL_VIEWS)
 
 
-def _sql_horner(x: str, coefficients: list[float]) -> str:
-    text = f"{coefficients[0]!r}"
-    for c in coefficients[1:]:
-        text = f"({text}*{x}+({c!r}))"
-    return text
-
-
 def sql_erfc(x: str) -> str:
-    """SQL text of the library's erfc for x >= 0."""
-    decay = f"exp(-(floor({x}*16e0)/16e0)*(floor({x}*16e0)/16e0))*exp(-({x}-floor({x}*16e0)/16e0)*({x}+floor({x}*16e0)/16e0))"
-    sq, inv = f"({x}*{x})", f"(1e0/({x}*{x}))"
-
-    def num(c):
-        return [float(v) for v in c]
-
-    small = f"1e0-{x}*{_sql_horner(sq, num(N.ERF_SMALL_NUM))}/{_sql_horner(sq, num(N.ERF_SMALL_DEN))}"
-    mid = f"{decay}*{_sql_horner(x, num(N.ERF_MID_NUM))}/{_sql_horner(x, num(N.ERF_MID_DEN))}"
-    tail = f"{decay}*({N.INV_SQRT_PI!r}-{inv}*{_sql_horner(inv, num(N.ERF_TAIL_NUM))}/{_sql_horner(inv, num(N.ERF_TAIL_DEN))})/{x}"
-    return f"CASE WHEN {x} <= 0.46875e0 THEN {small} WHEN {x} <= 4e0 THEN {mid} ELSE {tail} END"
+    """SQL text of erfc for x >= 0 by other means than the library's: the power series below 2, the continued fraction above."""
+    series = "0e0"
+    for n in range(40, 0, -1):  # erf(x) = 2/sqrt(pi) exp(-x^2) x (1 + 2x^2/3 (1 + 2x^2/5 (1 + ...)))
+        series = f"(2e0*({x})*({x})/{2 * n + 1}e0*(1e0+{series}))"
+    fraction = f"({x})"
+    for n in range(60, 0, -1):  # erfc(x) = exp(-x^2)/sqrt(pi) / (x + (1/2)/(x + 1/(x + (3/2)/(x + ...))))
+        fraction = f"(({x})+{n / 2}e0/{fraction})"
+    return f"CASE WHEN {x} < 2e0 THEN 1e0-2e0/sqrt(pi())*exp(-({x})*({x}))*({x})*(1e0+{series}) ELSE exp(-({x})*({x}))/sqrt(pi())/{fraction} END"
 
 
 SQL_VIEWS["x_diff"] = f"""
 SELECT *, abs(effect) >= 1 AND coalesce(p_value < 0.05, false) AS is_deg,
        CASE WHEN effect > 0 THEN 'Upregulated' WHEN effect < 0 THEN 'Downregulated' ELSE 'No change' END AS direction
-FROM (SELECT *, CASE WHEN z > 27 THEN 0e0 WHEN z IS NOT NULL THEN {sql_erfc('z')} END AS p_value
+FROM (SELECT *, CASE WHEN z > 27.3 THEN 0e0 WHEN z IS NOT NULL THEN {sql_erfc('z')} END AS p_value
 FROM (SELECT *, abs(t_stat) / 1.4142135623730951e0 AS z
 FROM (SELECT *, CASE WHEN least(n_case, n_control) >= 2 AND se > 0 THEN effect / se END AS t_stat
 FROM (SELECT *, mean_log_case - mean_log_control AS effect, sqrt(var_case / n_case + var_control / n_control) AS se
@@ -148,14 +138,16 @@ def with_views(*names: str, body: str, **more: str) -> str:
 
 
 def x_expr(spark: SparkSession, sf: str) -> DataFrame:
-    """Long fact table: one row per (sample, entity, line) with a group label."""
+    """Long fact table: one row per (sample, entity, line) with a group label; two thirds of the entities have a planted effect."""
     line = tab(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_extendedprice", "l_quantity")
-    part = tab(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_brand", "p_type")
+    part = tab(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_brand", "p_type", "p_size")
     grp = F.when(F.col("l_returnflag") == "R", "case").when(F.col("l_returnflag") == "A", "control").otherwise("other")
+    raised = ((F.col("l_returnflag") == "R") & (F.col("p_size") % 3 == 0)) | ((F.col("l_returnflag") == "A") & (F.col("p_size") % 3 == 1))
+    value = F.col("l_extendedprice") * F.when(raised, 8.0).otherwise(1.0)
     return line.join(part, "l_partkey").select(
         F.col("l_suppkey").alias("sample_id"), F.col("l_orderkey").alias("case_id"), F.col("l_linenumber").alias("line_no"),
         F.concat_ws("-", F.replace("p_name", F.lit(" "), F.lit("-")), "p_brand").alias("gene"), F.col("l_partkey").alias("part_id"), F.col("p_type").alias("gene_type"),
-        grp.alias("grp"), F.col("l_extendedprice").alias("value"), log2p1("l_extendedprice").alias("log_value"),
+        grp.alias("grp"), value.alias("value"), log2p1(value).alias("log_value"),
         big("l_quantity").alias("n"),
     )
 

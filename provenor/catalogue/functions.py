@@ -2,8 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from provenor.catalogue.base import big, query, r6, tab
-from provenor.functions import finite_or_null, log2p1, not_blank, ratio
+from provenor.catalogue.base import big, query, r6, sql_erfc, tab
+from provenor.functions import finite_or_null, log2p1, neg_log10, not_blank, ratio, two_sided_p
 from provenor.operators.ordering import number_rows, with_previous
 
 
@@ -133,3 +133,11 @@ def fn_date(spark, sf):
     return tab(spark, sf, "orders").groupBy(day.alias("part")).agg(
         F.date_format(F.max("o_orderdate"), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("stamp"), F.count(F.lit(1)).alias("n")
     )
+
+
+@query("fn_p_values", f"""
+SELECT o_orderkey, round(-log10(p), 6) AS height FROM (SELECT o_orderkey, {sql_erfc('z')} AS p FROM (SELECT o_orderkey, (o_orderkey % 3700) / 100.0e0 / 1.4142135623730951e0 AS z FROM orders))""")
+def fn_p_values(spark, sf):
+    """Two-sided p-values from 1 to about 1e-299."""
+    t = (F.col("o_orderkey") % 3700) / F.lit(100.0)
+    return tab(spark, sf, "orders").select("o_orderkey", r6(neg_log10(two_sided_p(t), cap=400.0)).alias("height"))

@@ -2,8 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from provenor.catalogue.base import big, query, r6, tab, x_diff, x_edges, x_targets
-from provenor.functions import embedding_text, similarity
+from provenor.catalogue.base import big, query, r6, tab, with_views, x_diff, x_edges, x_targets
+from provenor.functions import embedding_text, question_text, similarity
 from provenor.operators import retrieval
 
 # pages split at their heading tags; a section id is the tag, the title what the heading holds
@@ -72,8 +72,8 @@ def ret_cosine_topk(spark, sf):
 
 @query("ret_cosine_blocks", _TOPK_SQL + "SELECT question_id AS question, vec_id AS passage, CAST(place AS INTEGER) AS place, round(distance, 6) AS distance FROM k")
 def ret_cosine_blocks(spark, sf):
-    """The same result by the block form that serves many questions."""
-    return nearest(spark, sf, carried_questions=4, question_block=4, passage_block=128).select("question", "passage", "place", r6("distance").alias("distance"))
+    """The same with several blocks of questions."""
+    return nearest(spark, sf, question_block=4).select("question", "passage", "place", r6("distance").alias("distance"))
 
 
 @query("ret_similarity", """
@@ -95,15 +95,38 @@ k AS (SELECT r.* FROM r LEFT JOIN o USING (source, lang) WHERE stop IS NULL OR p
 SELECT source, lang, md5(string_agg(part, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY place)) AS digest, count(*) AS n_passages, CAST(max(used) AS BIGINT) AS n_chars FROM k GROUP BY 1, 2""")
 def ret_context(spark, sf):
     docs = tab(spark, sf, "documents").withColumn("label", F.col("lang"))
-    c = retrieval.assemble_context(docs, ["source", "lang"], [F.col("n_chars"), F.col("doc_id")], "label", "text", budget=3000)
+    c = retrieval.assemble_context(docs, ["source", "lang"], [F.col("n_chars"), F.col("doc_id")], "label", "text", "doc_id", budget=3000)
     return c.select("source", "lang", F.md5("context").alias("digest"), "n_passages", big("n_chars").alias("n_chars"))
 
 
-@query("ret_bundle")
+@query("ret_bundle", with_views("x_diff", "x_edges", "x_targets", body="""
+, t AS (SELECT 'top_targets' AS part, rank AS place, gene_name AS name, round(final_score, 6) AS value FROM x_targets QUALIFY row_number() OVER (ORDER BY rank) <= 100),
+e AS (SELECT 'top_effects' AS part, row_number() OVER (ORDER BY round(abs(effect), 6) DESC, gene) AS place, gene AS name, round(effect, 6) AS value FROM x_diff QUALIFY place <= 20),
+g AS (SELECT 'edge_examples' AS part, row_number() OVER (ORDER BY score DESC, src, dst) AS place, src || '-' || dst AS name, CAST(score AS DOUBLE) AS value FROM x_edges QUALIFY place <= 5),
+d AS (SELECT 'directions' AS part, row_number() OVER (ORDER BY direction) AS place, direction AS name, CAST(count(*) AS DOUBLE) AS value FROM x_diff GROUP BY direction)
+SELECT part, CAST(place AS BIGINT) AS place, name, value FROM t UNION ALL SELECT part, place, name, value FROM e UNION ALL SELECT part, place, name, value FROM g UNION ALL SELECT part, place, name, value FROM d
+UNION ALL SELECT 'edge_count', 1, 'edge_count', CAST(count(*) AS DOUBLE) FROM x_edges"""))
 def ret_bundle(spark, sf):
-    diff = x_diff(spark, sf).select("gene", r6("effect").alias("effect"), "direction", F.abs("effect").alias("size"))
-    return retrieval.context_bundle({
-        "top_targets": (x_targets(spark, sf), [F.col("rank")], 100),
-        "top_effects": (diff, [F.col("size").desc(), F.col("gene")], 20),
-        "edge_examples": (x_edges(spark, sf), [F.col("score").desc(), F.col("src"), F.col("dst")], 5),
+    """The JSON record, read back as rows."""
+    diff = x_diff(spark, sf).select("gene", r6("effect").alias("effect"), "direction")
+    bundle = retrieval.context_bundle({
+        "top_targets": (x_targets(spark, sf).select("rank", F.col("gene_name").alias("name"), r6("final_score").alias("value")), [F.col("rank")], 100),
+        "top_effects": (diff.select(F.col("gene").alias("name"), F.col("effect").alias("value"), F.abs("effect").alias("size")), [F.col("size").desc(), F.col("name")], 20),
+        "edge_examples": (
+            x_edges(spark, sf).select(F.concat_ws("-", "src", "dst").alias("name"), F.col("score").cast("double").alias("value"), "src", "dst"), [F.col("value").desc(), F.col("src"), F.col("dst")], 5,
+        ),
+        "directions": (diff.groupBy(F.col("direction").alias("name")).agg(F.count(F.lit(1)).cast("double").alias("value")), [F.col("name")], None),
     }, {"edge_count": x_edges(spark, sf)})
+    item = "array<struct<name: string, value: double>>"
+    lists = ("top_targets", "top_effects", "edge_examples", "directions")
+    read = bundle.select(F.from_json("bundle", ", ".join(f"{n} {item}" for n in lists) + ", edge_count bigint").alias("b"))
+    parts = [read.select(F.lit(n).alias("part"), F.posexplode(f"b.{n}").alias("place", "row")).select("part", (F.col("place") + 1).cast("bigint").alias("place"), "row.name", "row.value") for n in lists]
+    out = read.select(F.lit("edge_count").alias("part"), F.lit(1).cast("bigint").alias("place"), F.lit("edge_count").alias("name"), F.col("b.edge_count").cast("double").alias("value"))
+    for part in parts:
+        out = out.unionByName(part)
+    return out
+
+
+@query("ret_question_text", "SELECT event_id, 'task: question answering | query: ' || event_type || ' ' || user_id AS text FROM events")
+def ret_question_text(spark, sf):
+    return tab(spark, sf, "events").select("event_id", question_text(F.concat_ws(" ", "event_type", "user_id")).alias("text"))

@@ -53,14 +53,13 @@ def protein_edges(spark, sf):
 def ranking_inputs(spark, sf):
     """(mapped evidence, network features) of the derived tables; the tables between phases are stored."""
     genes, edges = gene_map(spark, sf), materialise(protein_edges(spark, sf), "edges")
-    # the derived groups differ by chance only, so any significant effect counts, whatever its size
-    diff = evidence.difference(expression(spark, sf), "case", "control", min_effect=0.0)
+    diff = evidence.difference(expression(spark, sf), "case", "control")
     mapped = materialise(mapping.mapped_evidence(diff, genes), "mapped")
     return mapped, evidence.network_features(mapped, edges, mapping.protein_nodes(genes, edges))
 
 
 RANKING_VIEWS = """
-, mp AS (SELECT DISTINCT gene, protein_id, effect AS fc, p_value, direction FROM x_diff JOIN (SELECT DISTINCT protein_id, upper(trim(symbol_norm)) AS name FROM x_map WHERE symbol IS NOT NULL) m ON upper(trim(gene)) = m.name WHERE abs(effect) >= 0 AND p_value < 0.05),
+, mp AS (SELECT DISTINCT gene, protein_id, effect AS fc, p_value, direction FROM x_diff JOIN (SELECT DISTINCT protein_id, upper(trim(symbol_norm)) AS name FROM x_map WHERE symbol IS NOT NULL) m ON upper(trim(gene)) = m.name WHERE abs(effect) >= 1 AND p_value < 0.05),
 both_ways AS (SELECT src AS node, dst AS other, score, weight FROM x_edges UNION ALL SELECT dst, src, score, weight FROM x_edges),
 deg AS (SELECT node, count(DISTINCT other) AS degree, sum(weight) AS wd FROM both_ways GROUP BY node),
 near AS (SELECT node, count(DISTINCT other) AS n_int, avg(score) AS avg_score FROM (SELECT DISTINCT * FROM both_ways WHERE weight >= 0.4) GROUP BY node),
@@ -158,15 +157,56 @@ def mlx_standardize(spark, sf):
     return z.select("vec_id", r6(F.col("z")[0]).alias("z1"), r6(F.col("z")[1]).alias("z2"))
 
 
-@query("mlx_select_k")
+def _squares(a, b):
+    """Sum of the products of two arrays."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
+
+
+def _silhouette_of(points):
+    """Mean silhouette (squared distances) of points (v array, cluster_id), from sizes, sums and sums of squares per cluster."""
+    cells = points.select("cluster_id", F.posexplode("v").alias("i", "x")).groupBy("cluster_id", "i").agg(F.sum("x").alias("x"))
+    sums = cells.groupBy("cluster_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("total"))
+    sizes = points.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"), F.sum(_squares("v", "v")).alias("squares"))
+    every = sizes.join(sums, "cluster_id").agg(F.collect_list(F.struct("cluster_id", "n", "squares", "total")).alias("c")).scalar()
+    away = F.transform("__c", lambda c: F.struct(
+        c["cluster_id"].alias("cluster_id"), c["n"].alias("n"), (c["n"] * _squares(F.col("v"), F.col("v")) + c["squares"] - 2 * _squares(F.col("v"), c["total"])).alias("d")
+    ))
+    own = F.element_at(F.filter("__d", lambda c: c["cluster_id"] == F.col("cluster_id")), 1)
+    other = F.array_min(F.transform(F.filter("__d", lambda c: c["cluster_id"] != F.col("cluster_id")), lambda c: c["d"] / c["n"]))
+    a = own["d"] / (own["n"] - 1)
+    s = F.when(own["n"] > 1, (other - a) / F.greatest(a, other)).otherwise(0.0)
+    return points.withColumn("__c", every).withColumn("__d", away).agg(F.avg(s).alias("s"))
+
+
+@query("mlx_select_k", "SELECT CAST(k AS INTEGER) AS k, count(*) AS n_points, true AS silhouette_agrees FROM embeddings, (SELECT unnest(range(2, 7)) AS k) GROUP BY k")
 def mlx_select_k(spark, sf):
-    return ml.select_k(ml.stored_features(x_cluster(spark, sf), ["f1", "f2", "f3", "score"], ["vec_id"]))
+    """The silhouette of each fit agrees with one recomputed from its labels by sums."""
+    stored = ml.stored_features(x_cluster(spark, sf), ["f1", "f2", "f3", "score"], ["vec_id"])
+    scores = ml.select_k(stored, ks=range(2, 7))
+    parts = None
+    for k in range(2, 7):
+        points = ml.cluster(stored, k).select(vector_to_array("features").alias("v"), "cluster_id")
+        again = _silhouette_of(points).select(F.lit(k).alias("k"), "s", points.agg(F.count(F.lit(1)).alias("n")).scalar().alias("n_points"))
+        parts = again if parts is None else parts.unionByName(again)
+    return scores.join(parts, "k").select("k", "n_points", (F.abs(F.col("s") - F.col("silhouette_score")) < 1e-6).alias("silhouette_agrees"))
 
 
-@query("mlx_kmeans")
+@query("mlx_kmeans", """
+SELECT count(*) AS n_points, CAST(3 AS BIGINT) AS n_clusters, CAST(0 AS BIGINT) AS not_at_nearest, true AS numbered_by_centre FROM embeddings""")
 def mlx_kmeans(spark, sf):
+    """Every point is in the cluster of the nearest mean (up to the fit's tolerance), and clusters are numbered by their means."""
     stored = ml.stored_features(x_cluster(spark, sf), ["f1", "f2", "f3", "score"], ["vec_id"])
-    return ml.cluster(stored, 3).select("vec_id", "cluster_id")
+    points = materialise(ml.cluster(stored, 3).select("vec_id", vector_to_array("features").alias("v"), "cluster_id"), "clusters")
+    means = points.select("cluster_id", F.posexplode("v").alias("i", "x")).groupBy("cluster_id", "i").agg(F.avg("x").alias("x"))
+    centres = means.groupBy("cluster_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("m"))
+    listed = centres.agg(F.sort_array(F.collect_list(F.struct("cluster_id", "m"))).alias("c")).scalar()
+    far = F.transform("__c", lambda c: F.aggregate(F.zip_with(F.col("v"), c["m"], lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+    seen = points.withColumn("__c", listed).withColumn("__far", far)
+    ordered = F.array_sort(F.transform("__c", lambda c: c["m"])) == F.transform("__c", lambda c: c["m"])
+    return seen.agg(
+        F.count(F.lit(1)).alias("n_points"), F.count_distinct("cluster_id").alias("n_clusters"),
+        F.count_if(F.sqrt(F.get("__far", F.col("cluster_id"))) > F.sqrt(F.array_min("__far")) + 0.05).alias("not_at_nearest"), F.bool_and(ordered).alias("numbered_by_centre"),
+    )
 
 
 @query("mlx_silhouette", """

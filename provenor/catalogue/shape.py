@@ -109,9 +109,10 @@ def prj_log_transforms(spark, sf):
 
 
 @query("prj_node_size", """
-SELECT l_suppkey, round(least(26.0, 7 + ln(1 + sum(l_quantity)) * 2.2), 6) AS node_size FROM lineitem GROUP BY l_suppkey""")
+SELECT o_orderkey, round(least(26.0, 7 + ln(1 + o_totalprice / (1 + o_orderkey % 500)) * 2.2), 6) AS node_size FROM orders""")
 def prj_node_size(spark, sf):
-    return tab(spark, sf, "lineitem").groupBy("l_suppkey").agg(F.sum("l_quantity").alias("w")).select("l_suppkey", r6(node_size("w")).alias("node_size"))
+    weight = F.col("o_totalprice") / (1 + F.col("o_orderkey") % 500)
+    return tab(spark, sf, "orders").select("o_orderkey", r6(node_size(weight)).alias("node_size"))
 
 
 @query("prj_literals", "SELECT s_suppkey, 'cohort' AS mode, 'Not mapped' AS status FROM supplier")
@@ -177,13 +178,14 @@ def rsh_conditional_pivot(spark, sf):
 lab AS (SELECT gene, row_number() OVER (ORDER BY total DESC, gene) AS row_no FROM g QUALIFY row_no <= 24),
 col AS (SELECT grp, sample_id, row_number() OVER (PARTITION BY grp ORDER BY sample_id) AS col_no FROM (SELECT DISTINCT grp, sample_id FROM x_expr) QUALIFY col_no <= 8),
 cell AS (SELECT gene, sample_id, max(log_value) AS cell FROM x_expr WHERE gene IN (SELECT gene FROM lab) AND sample_id IN (SELECT sample_id FROM col) GROUP BY 1, 2)
-SELECT CAST(row_no AS INTEGER) AS row_no, lab.gene, col.grp, col.sample_id, round(cell.cell, 6) AS cell
+SELECT CAST(row_no AS INTEGER) AS row_no, lab.gene,
+       CAST(row_number() OVER (PARTITION BY lab.gene ORDER BY CASE col.grp WHEN 'other' THEN 1 WHEN 'control' THEN 2 ELSE 3 END, col_no) AS INTEGER) AS cell_no, col.grp, col.sample_id, round(cell.cell, 6) AS cell
 FROM lab CROSS JOIN col LEFT JOIN cell ON cell.gene = lab.gene AND cell.sample_id = col.sample_id"""))
 def rsh_heatmap(spark, sf):
     expr = x_expr(spark, sf)
     totals = expr.groupBy("gene").agg(F.sum("n").alias("total"))
-    rows = shape.heat_map(expr, "gene", "sample_id", "grp", "log_value", ["case", "control", "other"], [F.col("total").desc(), F.col("gene")], totals, n_cols=8)
-    return rows.select("row_no", "gene", F.inline("cells")).select("row_no", "gene", "grp", "sample_id", r6("cell").alias("cell"))
+    rows = shape.heat_map(expr, "gene", "sample_id", "grp", "log_value", ["other", "control", "case"], [F.col("total").desc(), F.col("gene")], totals, n_cols=8)
+    return rows.select("row_no", "gene", F.inline("cells")).select("row_no", "gene", F.col("cell_no").cast("int").alias("cell_no"), "grp", "sample_id", r6("cell").alias("cell"))
 
 
 @query("rsh_score_components", """

@@ -72,10 +72,10 @@ def set_union_distinct(spark, sf):
 
 
 @query("set_difference", """
-SELECT DISTINCT c_custkey AS id, 'stale' AS state FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')
-UNION ALL SELECT DISTINCT o_custkey, 'new' FROM orders WHERE o_orderstatus = 'F' AND o_custkey NOT IN (SELECT c_custkey FROM customer)""")
+SELECT DISTINCT c_custkey AS id, 'stale' AS state FROM customer WHERE c_custkey NOT IN (SELECT o_custkey * 2 FROM orders)
+UNION ALL SELECT DISTINCT o_custkey * 2, 'new' FROM orders WHERE o_custkey * 2 NOT IN (SELECT c_custkey FROM customer)""")
 def set_difference(spark, sf):
-    want = tab(spark, sf, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("id"))
+    want = tab(spark, sf, "orders").select((F.col("o_custkey") * 2).alias("id"))
     return sets.id_diff(tab(spark, sf, "customer").select(F.col("c_custkey").alias("id")), want, "id")
 
 
@@ -87,3 +87,13 @@ def set_upsert(spark, sf):
     current = c.where("c_nationkey < 15").select(F.col("c_custkey").alias("id"), F.lit("current").alias("origin"))
     incoming = c.where("c_nationkey > 10").select(F.col("c_custkey").alias("id"), F.lit("incoming").alias("origin"))
     return sets.upsert(current, incoming, "id", keep_stale=True)
+
+
+@query("set_upsert_refresh", """
+SELECT c_custkey AS id, 'incoming' AS origin FROM customer WHERE c_nationkey > 10""")
+def set_upsert_refresh(spark, sf):
+    """A full refresh: rows that the incoming table lacks are removed."""
+    c = tab(spark, sf, "customer")
+    current = c.where("c_nationkey < 15").select(F.col("c_custkey").alias("id"), F.lit("current").alias("origin"))
+    incoming = c.where("c_nationkey > 10").select(F.col("c_custkey").alias("id"), F.lit("incoming").alias("origin"))
+    return sets.upsert(current, incoming, "id")

@@ -54,8 +54,7 @@ SELECT 'orders' AS file_id, 'orders.parquet' AS count_file_name FROM orders GROU
 UNION ALL SELECT 'lineitem', 'lineitem.parquet' FROM lineitem GROUP BY 1, 2
 UNION ALL SELECT 'events', 'events.parquet' FROM events GROUP BY 1, 2""")
 def src_file_inventory(spark, sf):
-    scanned = [files.with_lineage(tab(spark, sf, t).select("_metadata"), r"([^/]+)\.parquet").drop("_metadata") for t in ("orders", "lineitem", "events")]
-    return files.file_inventory(scanned[0].unionByName(scanned[1]).unionByName(scanned[2])).select("file_id", "count_file_name")
+    return files.file_inventory(spark, [f"{sf}/{t}.parquet" for t in ("orders", "lineitem", "events")], r"([^/]+)\.parquet").select("file_id", "count_file_name")
 
 
 _LINK_LINE = """

@@ -127,14 +127,12 @@ def step_gene_edges(spark, sf):
 @query("step_gene_nodes", with_views("x_edges", "x_map", body=_GENE_EDGES_SQL + """
 , b AS (SELECT gene_id_src AS n, gene_id_dst AS o, max_weight AS w FROM ge UNION ALL SELECT gene_id_dst, gene_id_src, max_weight FROM ge),
 d AS (SELECT n, count(DISTINCT o) AS degree, sum(w) AS wd FROM b GROUP BY n)
-SELECT gene_id, min(gene_name) AS gene_name, any_value(coalesce(degree, 0)) AS degree_gene, round(any_value(coalesce(wd, 0)), 4) AS weighted_degree_gene, count(DISTINCT protein_id) AS protein_count,
-       md5(string_agg(protein_id, ',' ORDER BY protein_id)) AS ids FROM g LEFT JOIN d ON d.n = gene_id WHERE gene_id IS NOT NULL GROUP BY gene_id"""))
+SELECT gene_id, min(gene_name) AS gene_name, any_value(coalesce(degree, 0)) AS degree_gene, round(any_value(coalesce(wd, 0)), 4) AS weighted_degree_gene, count(DISTINCT protein_id) AS protein_count FROM g LEFT JOIN d ON d.n = gene_id WHERE gene_id IS NOT NULL GROUP BY gene_id"""))
 def step_gene_nodes(spark, sf):
     genes = _all_genes(spark, sf)
     n = mapping.gene_nodes(genes, materialise(mapping.gene_edges(protein_edges(spark, sf), genes), "gene_edges"))
     return n.select(
         "gene_id", "gene_name", "degree_gene", r6("weighted_degree_gene", 4).alias("weighted_degree_gene"), "protein_count",
-        F.md5(F.array_join("protein_ids", ",")).alias("ids"),
     )
 
 

@@ -112,6 +112,9 @@ CONTEXT_NETWORK_FIELDS = [
     "num_interactions_in_deg_network", "final_score", "geo_support_level", "cluster_id",
 ]
 
+# --- fixed value: which edges the network view shows, as text ---
+EDGE_FILTER = "edge_weight_protein >= 0.4 and both proteins are in top_candidate_targets_enriched"
+
 # --- fixed values: key figures as (name, unit, phase, description) ---
 OVERVIEW_METRICS = [
     ("GDC samples before QC", "samples", "Overview", "Rows in refined GDC quality_check before removing QC outliers."),

@@ -21,12 +21,13 @@ from provenor.functions.text import (
     file_name,
     id_parts,
     label_group,
-    not_blank,
     norm_key,
+    not_blank,
+    question_text,
 )
 
 __all__ = [
     "blank", "blend", "clamp01", "csv_guard", "embedding_text", "erfc", "extract_id", "file_name",
     "finite_or_null", "id_parts", "label_group", "log2p1", "neg_log10", "node_size", "norm_key",
-    "not_blank", "ratio", "similarity", "two_sided_p", "zero_if_null",
+    "not_blank", "question_text", "ratio", "similarity", "two_sided_p", "zero_if_null",
 ]

@@ -69,8 +69,8 @@ def two_sided_p(t: Column) -> Column:
     """Two-sided p-value of ``t`` under the normal approximation; null for null, NaN and infinity."""
 
     def p_of(z: Column) -> Column:
-        # beyond 27 the value is below the smallest double
-        return F.when(F.isnan(z) | (z == float("inf")), None).when(z > 27.0, F.lit(0.0)).otherwise(erfc(z))
+        # beyond 27.3 the value is below the smallest subnormal double
+        return F.when(F.isnan(z) | (z == float("inf")), None).when(z > 27.3, F.lit(0.0)).otherwise(erfc(z))
 
     # bound once as a lambda variable, so the statistic is not repeated inside the polynomials
     return F.element_at(F.transform(F.array(F.abs(t) / SQRT_2), p_of), 1)

@@ -70,6 +70,11 @@ def embedding_text(title: Column | str, text: Column | str) -> Column:
     return F.concat(F.lit("title: "), _col(title), F.lit(" | text: "), _col(text))
 
 
+def question_text(question: Column | str) -> Column:
+    """The text of a question that is embedded, in the form that goes with ``embedding_text``."""
+    return F.concat(F.lit("task: question answering | query: "), _col(question))
+
+
 def file_name(path: Column | str) -> Column:
     """Last element of a path."""
     return F.substring_index(_col(path), "/", -1)

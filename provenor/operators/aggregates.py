@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from provenor import constants as K
 from provenor.functions import ratio
 from provenor.operators.joins import with_stats
-from provenor.operators.ordering import exact_quantiles, number_rows
+from provenor.operators.ordering import exact_quantiles
 from provenor.operators.shape import melt
 from provenor.operators.sorting import n_per_group
 
@@ -61,25 +61,22 @@ def pick_min(df: DataFrame, keys: Sequence[str], value: str, out: str | None = N
     return df.groupBy(*keys).agg(F.min(value).alias(out or value))
 
 
-def rollup_ids(
-    df: DataFrame, key: str, member: str, names: Sequence[str], block_size: int = 10_000, separator: str | None = None
-) -> DataFrame:
-    """Smallest names, number of members and the sorted member list per key.
+def rollup_ids(df: DataFrame, key: str, member: str, names: Sequence[str]) -> DataFrame:
+    """One row per key: smallest names, number of distinct members, first and last member.
 
-    A list longer than ``block_size`` continues in further rows (``block`` 0, 1,
-    ...), so no task gathers an unbounded group and no member is lost.
+    The members themselves are rows of ``member_rows``: a list of them would grow
+    with the key.
     """
     present = df.where(F.col(key).isNotNull())
-    facts = present.groupBy(key).agg(*[F.min(n).alias(n) for n in names], F.count_distinct(member).alias("member_count"))
-    members = present.where(F.col(member).isNotNull()).select(key, member).distinct()
-    placed = number_rows(members, [F.col(member).asc()], [key], "__pos")
-    listed = F.sort_array(F.collect_list(member))
-    blocks = (
-        placed.withColumn("block", F.floor((F.col("__pos") - 1) / block_size).cast("int"))
-        .groupBy(key, "block")
-        .agg((F.array_join(listed, separator) if separator is not None else listed).alias("members"))
+    per_member = present.groupBy(key, member).agg(*[F.min(n).alias(n) for n in names])
+    return per_member.groupBy(key).agg(
+        *[F.min(n).alias(n) for n in names], F.count(member).alias("member_count"), F.min(member).alias("first_member"), F.max(member).alias("last_member")
     )
-    return blocks.join(facts, key, "right").withColumn("block", F.coalesce("block", F.lit(0)))
+
+
+def member_rows(df: DataFrame, key: str, member: str) -> DataFrame:
+    """One row per key and member."""
+    return df.where(F.col(key).isNotNull() & F.col(member).isNotNull()).select(key, member).distinct()
 
 
 def collapse(df: DataFrame, key: str, flags: Sequence[str] = (), skip: Sequence[str] = ()) -> DataFrame:
@@ -251,9 +248,10 @@ def support_stats(
     """Coverage, mean, median, mean percentile and top-quartile rate per key.
 
     Rate and coverage divide by ``total``, the number of all matched samples.
+    ``df`` has one row per key and sample.
     """
     return df.groupBy(key).agg(
-        F.count_distinct(sample).alias("n_available"),
+        F.count(sample).alias("n_available"),
         F.avg(value).alias("mean_value"),
         F.percentile_approx(value, 0.5, accuracy).cast("double").alias("median_value"),
         F.avg(percentile).alias("mean_percentile"),

@@ -142,7 +142,8 @@ def header_members(wide: DataFrame, meta: DataFrame, key_cols: Sequence[str], me
     """Column names of a wide matrix that occur, normalised, in a metadata column."""
     names = [(c.strip().upper(),) for c in wide.columns if c not in key_cols]
     header = wide.sparkSession.createDataFrame(names, f"{out} string").distinct()
-    return keep_members(header, meta.select(norm_key(meta_id).alias(out)), [out])
+    trimmed = F.regexp_replace(F.col(meta_id).cast("string"), r"^\s+|\s+$", "")
+    return keep_members(header, meta.select(norm_key(trimmed).alias(out)), [out])
 
 
 def highlight(points: DataFrame, ranks: DataFrame, key: str, rank: str, n: int, out: str) -> DataFrame:
@@ -219,7 +220,8 @@ def entity_mentions(
     def holds(mark: Column) -> Column:
         return F.coalesce(F.bool_or(F.startswith("__anchor", mark)), F.lit(False))
 
-    has_signs, has_loose = dictionary.agg(holds(gram), holds(loose)).first()
+    loose_length = F.max(F.when(F.startswith("__anchor", loose), F.length("__anchor") - 1))
+    has_signs, longest_loose = dictionary.agg(holds(gram), loose_length).first()
     upper = docs.select(F.col(doc_id), F.upper(text).alias("__text"))
     stretches = F.regexp_extract_all("__text", F.lit(r"[^A-Z0-9_.\-]{3,}"), F.lit(0))
     found = [F.regexp_extract_all("__text", F.lit(_RUN), F.lit(0))]
@@ -227,11 +229,11 @@ def entity_mentions(
         found.append(F.flatten(F.transform(stretches, lambda s: F.transform(
             F.sequence(F.lit(1), F.length(s) - 2), lambda i: F.concat(gram, F.substring(s, i, F.lit(3)))
         ))))
-    if has_loose:
+    if longest_loose is not None:
         mark = loose_prefix.upper().replace(".", r"\.")
-        tails = F.regexp_extract_all("__text", F.lit(f"(?=({mark}{_RUN[:-1]}*))"), F.lit(1))
+        tails = F.regexp_extract_all("__text", F.lit(f"(?=({mark}{_RUN[:-1]}{{0,{longest_loose - len(loose_prefix)}}}))"), F.lit(1))
         found.append(F.flatten(F.transform(tails, lambda t: F.transform(
-            F.sequence(F.lit(len(loose_prefix)), F.length(t)), lambda n: F.concat(loose, F.left(t, n))
+            F.sequence(F.lit(len(loose_prefix)), F.least(F.length(t), F.lit(longest_loose))), lambda n: F.concat(loose, F.left(t, n))
         ))))
     anchors = upper.select(doc_id, F.explode(F.array_distinct(F.concat(*found))).alias("__anchor"))
     met = materialise(anchors.join(dictionary, "__anchor").select(doc_id, "__entry", "__check").distinct(), "mentions")

@@ -5,15 +5,16 @@ from __future__ import annotations
 from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from provenor import constants as K
 from provenor.functions import extract_id, similarity
 from provenor.operators.sorting import n_per_group, top_k
 from provenor.operators.windows import pack_context
+from provenor.session import materialise
 
 
 def chunk_sections(
@@ -84,18 +85,20 @@ def _first_k(group: np.ndarray, distance: np.ndarray, ids: np.ndarray, k: int) -
     return order[place < k]
 
 
-def _best(q: np.ndarray, ids: np.ndarray, p: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(question row, passage id, distance) of the k nearest passages per question within one block.
+def _best(q: np.ndarray, p: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(question row, passage row, distance) of the k nearest passages per question within one block.
 
-    Everything up to the k-th distance is kept before ids break ties, so the
-    choice does not depend on how passages are cut into blocks.
+    Passages stand in the order of their ids, so of equal distances the first
+    rows win, and k rows per question are kept however many distances are equal.
     """
     distance = np.nan_to_num(1.0 - q @ p.T, nan=np.inf)
-    kth = np.partition(distance, min(k, distance.shape[1]) - 1, axis=1)[:, [min(k, distance.shape[1]) - 1]]
-    rows, cols = np.nonzero(distance <= kth)
-    d, i = distance[rows, cols], ids[cols]
-    keep = _first_k(rows, d, i, k)
-    return rows[keep], i[keep], d[keep]
+    n = min(k, distance.shape[1])
+    kth = np.partition(distance, n - 1, axis=1)[:, [n - 1]]
+    near = distance < kth
+    ties = distance == kth
+    near |= ties & (np.cumsum(ties, axis=1) <= n - near.sum(axis=1, keepdims=True))
+    rows, cols = np.nonzero(near)
+    return rows, cols, distance[rows, cols]
 
 
 def cosine_topk(
@@ -106,84 +109,81 @@ def cosine_topk(
     passage_id: str,
     passage_vec: str,
     k: int = K.RETRIEVAL_TOP_K,
-    carried_questions: int = 512,
     question_block: int = 1024,
-    passage_block: int = 8192,
 ) -> DataFrame:
     """The exact k nearest passages by cosine distance for every question.
 
-    Up to ``carried_questions`` questions travel with the tasks and the passages
-    are read in place, without a shuffle. More questions are cut into blocks that
-    meet blocks of passages; in both forms only k candidates per question leave
-    a block before the final choice.
+    Questions are stored once and read by the tasks in blocks of
+    ``question_block``; passages are scanned in place, once, and never shuffled.
+    Each task keeps k candidates per question, which are all that is exchanged.
+    Null vectors are left out; a vector of zeros is infinitely far.
     """
-    q = questions.select(F.col(question_id).alias("question"), F.col(question_vec).alias("vec")).where("vec IS NOT NULL")
-    p = passages.select(F.col(passage_id).alias("passage"), F.col(passage_vec).alias("vec")).where("vec IS NOT NULL")
+    q = questions.select(F.col(question_id).alias("question"), F.col(question_vec).cast("array<double>").alias("vec")).where("vec IS NOT NULL")
+    p = passages.select(F.col(passage_id).alias("passage"), F.col(passage_vec).cast("array<double>").alias("vec")).where("vec IS NOT NULL")
     types = {f.name: f.dataType.simpleString() for f in (*q.schema, *p.schema)}
     schema = f"question {types['question']}, passage {types['passage']}, distance double"
-
-    carried = q.limit(carried_questions + 1).toArrow()
-    if carried.num_rows == 0:
-        near = q.sparkSession.createDataFrame([], schema)
-    elif carried.num_rows <= carried_questions:
-        q_ids, unit = carried["question"].combine_chunks(), _matrix(carried["vec"].combine_chunks())
-
-        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            best, id_type = None, None
-            for batch in batches:
-                if batch.num_rows:
-                    id_type = batch.column("passage").type
-                    ids = batch.column("passage").to_numpy(zero_copy_only=False)
-                    found = _best(unit, ids, _matrix(batch.column("vec")), k)
-                    both = found if best is None else tuple(np.concatenate(c) for c in zip(best, found))
-                    keep = _first_k(both[0], both[2], both[1], k)
-                    best = tuple(c[keep] for c in both)
-            if best is not None:
-                yield pa.RecordBatch.from_arrays(
-                    [q_ids.take(pa.array(best[0])), pa.array(best[1], type=id_type), pa.array(best[2])], ["question", "passage", "distance"]
-                )
-
-        near = p.mapInArrow(scan, schema)
-    else:
-        n_q, n_p = (df.agg(F.count(F.lit(1)).alias("n")).first()["n"] for df in (q, p))
-        q_blocks, p_blocks = max(1, -(-n_q // question_block)), max(1, -(-n_p // passage_block))
-
-        def copies(n: int, name: str) -> Column:
-            return F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
-
-        def block(key: str, n: int, name: str) -> Column:
-            return F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias(name)
-
-        left = q.select("*", block("question", q_blocks, "qb"), copies(p_blocks, "pb"))
-        right = p.select("*", block("passage", p_blocks, "pb"), copies(q_blocks, "qb"))
-
-        def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-            if not len(a) or not len(b):
-                return pd.DataFrame({"question": [], "passage": [], "distance": []})
-            qm, pm = (_unit(np.stack(df["vec"].to_numpy()).astype(np.float64)) for df in (a, b))
-            rows, ids, distance = _best(qm, b["passage"].to_numpy(), pm, k)
-            return pd.DataFrame({"question": a["question"].to_numpy()[rows], "passage": ids, "distance": distance})
-
-        near = left.groupBy("qb", "pb").cogroup(right.groupBy("qb", "pb")).applyInPandas(meet, schema)
+    stored = materialise(q, "questions")
+    files = sorted(stored.inputFiles())
+    rows_per_batch = question_block
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[tuple[str, int], tuple] = {}
+        id_type = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            id_type = batch.column("passage").type
+            batch = batch.sort_by("passage")
+            ids, unit = batch.column("passage").to_numpy(zero_copy_only=False), _matrix(batch.column("vec"))
+            for place, block in _question_blocks(files, rows_per_batch):
+                rows, cols, distance = _best(_matrix(block.column("vec")), unit, k)
+                found = (rows, ids[cols], distance)
+                if place in best:
+                    found = tuple(np.concatenate(c) for c in zip(best[place], found))
+                    keep = _first_k(found[0], found[2], found[1], k)
+                    found = tuple(c[keep] for c in found)
+                best[place] = found
+        for place, block in _question_blocks(files, rows_per_batch) if best else ():
+            rows, ids, distance = best[place]
+            yield pa.RecordBatch.from_arrays([block.column("question").take(pa.array(rows)), pa.array(ids, type=id_type), pa.array(distance)], ["question", "passage", "distance"])
+
+    near = p.mapInArrow(scan, schema)
     chosen = n_per_group(near, ["question"], [F.col("distance").asc(), F.col("passage").asc()], k, number="place")
     return chosen.withColumn("similarity", similarity("distance"))
 
 
+def _question_blocks(files: Sequence[str], size: int) -> Iterator[tuple[tuple[str, int], pa.RecordBatch]]:
+    """Blocks of the stored questions with their place, in the same order every time."""
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    for uri in files:
+        filesystem, path = fs.FileSystem.from_uri(uri)
+        with filesystem.open_input_file(path) as f:
+            for i, block in enumerate(pq.ParquetFile(f).iter_batches(size)):
+                yield (uri, i), block
+
+
 def assemble_context(
-    ranked: DataFrame, keys: Sequence[str], order: Sequence[Column], label: str, text: str,
+    ranked: DataFrame, keys: Sequence[str], order: Sequence[Column], label: str, text: str, passage: str,
     budget: int = K.CONTEXT_BUDGET, separator: str = K.CONTEXT_SEPARATOR,
 ) -> DataFrame:
     """Labelled passages joined in rank order under a length budget, one text per key.
 
-    The budget bounds what is gathered: passages beyond it are gone before.
+    Rows are ranked by lengths and the unique id ``passage`` alone; only the texts
+    of the rows that fit are fetched.
     """
     part = F.concat(F.lit("["), F.coalesce(F.col(label), F.lit("KB")), F.lit("]\n"), F.col(text))
-    parts = ranked.withColumn("__part", part).withColumn("__len", F.length("__part").cast("bigint"))
-    packed = pack_context(parts, keys, order, "__len", budget)
+    lengths = ranked.withColumn("__len", F.length(part).cast("bigint")).drop(label, text)
+    packed = pack_context(lengths, keys, order, "__len", budget).select(*[F.col(k).alias(f"__{k}") for k in keys], F.col(passage).alias("__id"), "place", "used")
+    same = F.lit(True)
+    for k in keys:
+        same = same & ranked[k].eqNullSafe(F.col(f"__{k}"))
+    chosen = ranked.withColumn("__part", part).join(packed, same & (ranked[passage] == F.col("__id")))
     joined = F.array_join(
         F.transform(F.sort_array(F.collect_list(F.struct("place", "__part"))), lambda s: s["__part"]), separator
     )
-    return packed.groupBy(*keys).agg(joined.alias("context"), F.count(F.lit(1)).alias("n_passages"), F.max("used").alias("n_chars"))
+    return chosen.groupBy(*keys).agg(joined.alias("context"), F.count(F.lit(1)).alias("n_passages"), F.max("used").alias("n_chars"))
 
 
 def citations(ranked: DataFrame, keep: Sequence[str], distance: str) -> DataFrame:
@@ -191,12 +191,15 @@ def citations(ranked: DataFrame, keep: Sequence[str], distance: str) -> DataFram
     return ranked.select(*keep, F.round(similarity(distance), 4).alias("similarity"))
 
 
-def context_bundle(parts: Mapping[str, tuple[DataFrame, Sequence[Column], int]], counts: Mapping[str, DataFrame] | None = None) -> DataFrame:
-    """One JSON record of bounded lists: ``{name: (frame, order, limit)}`` plus row counts."""
+def context_bundle(parts: Mapping[str, tuple[DataFrame, Sequence[Column], int | None]], counts: Mapping[str, DataFrame] | None = None) -> DataFrame:
+    """One JSON record of lists: ``{name: (frame, order, limit)}`` plus row counts.
+
+    A limit of None takes all rows: only for frames with a row per category.
+    """
     spark = next(iter(parts.values()))[0].sparkSession
     cells = []
     for name, (frame, order, limit) in parts.items():
-        numbered = top_k(frame, order, limit, rank="__no")
+        numbered = frame.withColumn("__no", F.row_number().over(W.orderBy(*order))) if limit is None else top_k(frame, order, limit, rank="__no")
         items = F.sort_array(F.collect_list(F.struct("__no", F.struct(*frame.columns).alias("row"))))
         listed = numbered.agg(items.alias("items")).select(F.transform("items", lambda s: s["row"]).alias("items"))
         cells.append(listed.scalar().alias(name))

@@ -133,25 +133,26 @@ def heat_map(
     """Matrix as one row per row label with its cells in column order.
 
     The first ``n_rows`` labels of ``rows`` by ``row_order`` and the first
-    ``n_cols`` column labels of each of the ``groups`` form the frame; absent
-    cells are null. At most n_rows x groups x n_cols cells are ever assembled.
+    ``n_cols`` column labels of each of the ``groups``, in the order given, form
+    the frame; absent cells are null. At most n_rows x groups x n_cols cells are
+    ever assembled. ``cell_no`` is the place of a cell in its row.
     """
     df = df.where(F.col(group).isin(*groups))
     labels = top_k(rows, row_order, n_rows).select(row, F.col("rank").alias("row_no"))
     columns = n_per_group(df.select(group, col).distinct(), [group], [F.col(col)], n_cols, number="col_no")
+    # both frames are at most n_rows and groups x n_cols rows
     cells = (
-        df.select(row, col, value)
-        .join(labels.select(row), row, "left_semi")
-        .join(columns.select(col), col, "left_semi")
+        df.select(row, col, value).join(F.broadcast(labels.select(row)), row).join(F.broadcast(columns.select(col).distinct()), col)
         .groupBy(row, col).agg(F.max(value).alias(value))
         .groupBy(row).agg(F.map_from_entries(F.collect_list(F.struct(col, value))).alias("__cells"))
     )
-    frame = columns.agg(F.sort_array(F.collect_list(F.struct(group, "col_no", col))).alias("c")).scalar()
+    place = F.array_position(F.array(*map(F.lit, groups)), F.col(group)).alias("group_no")
+    frame = columns.agg(F.sort_array(F.collect_list(F.struct(place, "col_no", group, col))).alias("c")).scalar()
     return labels.join(cells, row, "left").withColumn("__frame", frame).select(
         "row_no", row,
         F.transform(
             "__frame",
-            lambda c: F.struct(c[group].alias(group), c[col].alias(col), F.try_element_at("__cells", c[col]).alias("cell")),
+            lambda c, i: F.struct((i + 1).alias("cell_no"), c[group].alias(group), c[col].alias(col), F.try_element_at("__cells", c[col]).alias("cell")),
         ).alias("cells"),
     )
 

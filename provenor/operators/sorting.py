@@ -22,22 +22,23 @@ def global_rank(df: DataFrame, order: Sequence[Column], rank: str = "rank") -> D
     return number_rows(df, order, position=rank)
 
 
-# up to this many rows per group Spark limits each group inside every task (its default threshold)
-GROUP_LIMIT = 1000
+# a group is first cut to n rows in each of so many shares, so a hot group never meets whole
+GROUP_SHARES = 32
 
 
 def n_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column], n: int, number: str | None = None) -> DataFrame:
-    """First ``n`` rows per group; Spark limits each group before and after the shuffle.
+    """First ``n`` rows per group; ``order`` must end in a unique column.
 
-    Beyond that limit rows are numbered slice by slice, and ``order`` must end in
-    a unique column.
+    A group is cut to ``n`` rows in each of its shares, then to ``n`` rows, so a
+    task holds ``n`` rows per share at most, whatever ``n`` and the group. The
+    share is a hash of the row, so a repeated task yields the same rows.
     """
     name = number or "__number"
-    if n > GROUP_LIMIT:
-        numbered = number_rows(df, order, group, position=name).withColumn(name, F.col(name).cast("int"))
-    else:
-        numbered = df.withColumn(name, F.row_number().over(W.partitionBy(*group).orderBy(*order)))
-    out = numbered.where(F.col(name) <= n)
+    hashed = [F.col(f"`{f.name}`") for f in df.schema if "map<" not in f.dataType.simpleString()]
+    shared = df.withColumn("__share", F.pmod(F.xxhash64(*hashed), F.lit(GROUP_SHARES)))
+    per_share = F.row_number().over(W.partitionBy(*group, "__share").orderBy(*order))
+    first = shared.withColumn(name, per_share).where(F.col(name) <= n).drop("__share", name)
+    out = first.withColumn(name, F.row_number().over(W.partitionBy(*group).orderBy(*order))).where(F.col(name) <= n)
     return out if number else out.drop(name)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from provenor import constants as K
 from provenor.functions import extract_id, norm_key
-from provenor.operators.aggregates import rollup_ids
+from provenor.operators.aggregates import member_rows, rollup_ids
 from provenor.operators.graph import degrees
 from provenor.operators.joins import assemble, attach_ends, map_entities
 from provenor.operators.sets import all_nodes
@@ -72,16 +72,20 @@ def gene_edges(edges: DataFrame, genes: DataFrame) -> DataFrame:
 
 
 def gene_nodes(genes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Genes with degree, weighted degree and their protein ids (blocks of ids for very long lists)."""
+    """Genes with degree, weighted degree and the number of their proteins, one row per gene."""
     degree = degrees(edges, "gene_id_src", "gene_id_dst", "max_edge_weight_gene", "gene_id")
     rolled = rollup_ids(genes, "gene_id", "protein_id", ["gene_name", "gene_name_norm"])
     return assemble(rolled, "gene_id", [degree], {"degree": 0, "weighted_degree": 0.0}).select(
         "gene_name", "gene_name_norm", "gene_id", F.col("degree").alias("degree_gene"),
         F.col("weighted_degree").alias("weighted_degree_gene"), F.col("member_count").alias("protein_count"),
-        "block", F.col("members").alias("protein_ids"),
     )
 
 
+def gene_proteins(genes: DataFrame) -> DataFrame:
+    """The proteins of each gene as rows."""
+    return member_rows(genes, "gene_id", "protein_id")
+
+
 def protein_nodes(genes: DataFrame, edges: DataFrame) -> DataFrame:
     """Every protein of the map or of an edge, with degree and weighted degree."""
     nodes = all_nodes(edges, "protein_id_src", "protein_id_dst", genes, "protein_id")

@@ -23,7 +23,7 @@ def refine_counts(spark: SparkSession, counts_path: str, index_path: str, cases_
     raw = files.read_counts(spark, counts_path)
     samples = refine.case_samples(files.read_tsv(spark, cases_path))
     file_map = _store(
-        refine.file_sample_map(files.read_nested_index(spark, index_path), samples, files.file_inventory(raw)), f"{out}/file_sample_map"
+        refine.file_sample_map(files.read_nested_index(spark, index_path), samples, files.file_inventory(spark, counts_path)), f"{out}/file_sample_map"
     )
     quality.assert_none(quality.dup_keys(file_map, ["file_id"]), "repeated file_id in file_sample_map")
     counts = _store(refine.counts_clean(raw, file_map), f"{out}/counts_clean", ("sample_group",), sized=True)
@@ -47,6 +47,8 @@ def refine_graph(spark: SparkSession, links_path: str, aliases_path: str, out: s
     gene_edges = _store(mapping.gene_edges(edges, genes), f"{out}/edges_gene", sized=True)
     quality.assert_clean(quality.violations(gene_edges, {"ordered pair": F.col("gene_id_src") < F.col("gene_id_dst")}), "edges_gene")
     gene_nodes = _store(mapping.gene_nodes(genes, gene_edges), f"{out}/nodes_gene")
+    _store(mapping.gene_proteins(genes), f"{out}/gene_proteins")
+    quality.assert_none(quality.dup_keys(gene_nodes, ["gene_id"]), "repeated gene_id in nodes_gene")
     nodes = _store(mapping.protein_nodes(genes, edges), f"{out}/nodes_protein")
     quality.assert_none(quality.dup_keys(genes, ["protein_id"]), "repeated protein_id in gene_map")
     quality.assert_none(quality.dup_keys(nodes, ["protein_id"]), "repeated protein_id in nodes_protein")

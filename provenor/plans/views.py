@@ -94,10 +94,10 @@ def network(
     return with_meaning(shown), among
 
 
-def volcano(points: DataFrame, top: DataFrame, max_points: int = 2000, highlight_top_n: int = 20) -> DataFrame:
-    """Points with the rank of their candidate; the first points by gene id."""
-    first = points.orderBy("gene_id_base", "gene_name").limit(max_points)
-    return joins.highlight(first, top, "gene_name", "rank", highlight_top_n, "is_top_candidate")
+def volcano(points: DataFrame, top: DataFrame, max_points: int | None = None, highlight_top_n: int = 20) -> DataFrame:
+    """All points with the rank of their candidate; a page of ``max_points`` has ranked points first, then gene ids."""
+    marked = joins.highlight(points, top, "gene_name", "rank", highlight_top_n, "is_top_candidate")
+    return marked if max_points is None else marked.orderBy(F.col("rank").asc_nulls_last(), "gene_id_base", "gene_name").limit(max_points)
 
 
 def unmatched(rows: DataFrame, top: DataFrame) -> DataFrame:
@@ -105,11 +105,11 @@ def unmatched(rows: DataFrame, top: DataFrame) -> DataFrame:
     return joins.backfill(rows, top, "gene_name", "protein_id", "geo_match_reason")
 
 
-def ml_scatter(points: DataFrame, top: DataFrame, limit: int = 100, cluster_id: int | None = None, top_only: bool = False) -> DataFrame:
+def ml_scatter(points: DataFrame, top: DataFrame, limit: int | None = None, cluster_id: int | None = None, top_only: bool = False) -> DataFrame:
     rows = points if cluster_id is None else points.where(F.col("cluster_id") == cluster_id)
     if top_only:
         rows = joins.keep_members(rows, top.orderBy(*rank_first()).limit(K.TOP_N), ["protein_id"])
-    return with_meaning(rows.orderBy("protein_id").limit(limit))
+    return with_meaning(rows if limit is None else rows.orderBy("protein_id").limit(limit))
 
 
 def ml_report(points: DataFrame, summary: DataFrame, top: DataFrame, n: int = K.TOP_N) -> DataFrame:
@@ -126,34 +126,55 @@ def best_k(scores: DataFrame) -> DataFrame:
 
 
 def question_context(questions: DataFrame, question_id: str, text: str, top: DataFrame, network_rows: DataFrame) -> DataFrame:
-    """Candidates named in each question, best ranks first; ``network_rows`` adds candidates that ``top`` lacks."""
-    listed = shape.select_existing(top, K.CONTEXT_TARGET_FIELDS + ["gene_id_base"])
-    extra = network_rows.join(top.select("protein_id"), "protein_id", "left_anti")
+    """Candidates named in each question: those of ``top`` by rank, then others of ``network_rows`` by weighted degree.
+
+    A row without protein id is known by its gene name.
+    """
+    own = F.coalesce("protein_id", "gene_name")
+    listed = shape.select_existing(top, K.CONTEXT_TARGET_FIELDS + ["gene_id_base"]).withColumn("__id", own)
+    extra = network_rows.withColumn("__id", own).join(listed.select("__id"), "__id", "left_anti")
     rows = listed.withColumn("__part", F.lit(0)).unionByName(
         shape.select_existing(extra, listed.columns).withColumn("__part", F.lit(1)), allowMissingColumns=True
     )
-    order = [F.col("__part").asc(), F.col("rank").asc_nulls_last()]
+    degree = F.when(F.col("__part") == 1, F.col("weighted_degree_protein"))
+    order = [F.col("__part").asc(), degree.desc_nulls_last(), F.col("rank").asc_nulls_last()]
     named = [c for c in ("gene_name", "protein_id", "ensp_id", "gene_id_base") if c in rows.columns]
-    return joins.entity_mentions(questions, question_id, text, rows, named, "protein_id", order).drop("__part")
+    return joins.entity_mentions(questions, question_id, text, rows, named, "__id", order).drop("__part", "__id")
+
+
+def referenced_rows(top: DataFrame, network_rows: DataFrame, question: str = "", target: str = "", limit: int = K.MENTION_LIMIT) -> DataFrame:
+    """The selected target first, then the candidates that the question names; ``place`` numbers them."""
+    asked = top.sparkSession.createDataFrame([(0, question)], "__question int, __text string")
+    named = question_context(asked, "__question", "__text", top, network_rows).withColumnRenamed("mention_no", "place")
+    named = shape.select_existing(named, [*K.CONTEXT_TARGET_FIELDS, "place"])
+    if target:
+        chosen = shape.select_existing(find_target(top, target), K.CONTEXT_TARGET_FIELDS)
+        others = named.join(chosen.select(F.col("protein_id").alias("__chosen")), F.col("protein_id").eqNullSafe(F.col("__chosen")), "left_anti")
+        named = others.unionByName(chosen.withColumn("place", F.lit(0)), allowMissingColumns=True)
+    return named.orderBy("place").limit(limit)
 
 
-def context_record(views: dict[str, DataFrame]) -> DataFrame:
-    """The structured context as one JSON record of bounded lists from the published views."""
+def context_record(views: dict[str, DataFrame], question: str = "", target: str = "") -> DataFrame:
+    """The structured context as one JSON record of bounded lists from the published views.
+
+    Rows named in the question and the selected target are listed apart.
+    """
     top, net, edges = views["top_candidate_targets_enriched"], views["network_top_proteins"], views["ppi_visualization_edges"]
     return retrieval.context_bundle({
-        "overview_metrics": (views["overview_summary"], [F.col("metric_no")], 50),
-        "deg_summary": (views["deg_summary"], [F.col("deg_direction")], 50),
-        "mapping_summary": (views["gene_protein_mapping_summary"], [F.col("mapping_status")], 50),
-        "geo_validation_summary": (views["geo_validation_summary"], [F.col("geo_support_level")], 50),
-        "ml_cluster_summary": (views["ml_cluster_summary"], [F.col("cluster_id")], 50),
+        "overview_metrics": (views["overview_summary"], [F.col("metric_no")], None),
+        "deg_summary": (views["deg_summary"], [F.col("deg_direction")], None),
+        "mapping_summary": (views["gene_protein_mapping_summary"], [F.col("mapping_status")], None),
+        "geo_validation_summary": (views["geo_validation_summary"], [F.col("geo_support_level")], None),
+        "ml_cluster_summary": (views["ml_cluster_summary"], [F.col("cluster_id")], None),
         "edge_examples": (
             edges.select("gene_name_src", "gene_name_dst", "combined_score_protein", "edge_weight_protein"),
             [F.col("combined_score_protein").desc(), F.col("gene_name_src"), F.col("gene_name_dst")], 5,
         ),
+        "edge_filter": (edges.sparkSession.createDataFrame([(K.EDGE_FILTER,)], "edge_filter string"), [F.col("edge_filter")], None),
         "top_targets": (shape.select_existing(top, K.CONTEXT_TARGET_FIELDS), [F.col("rank")], 100),
         "top_network": (
             shape.select_existing(net, K.CONTEXT_NETWORK_FIELDS), [F.col("weighted_degree_protein").desc(), F.col("rank")], 25,
         ),
         "top_effects": (views["top_deg_genes"], [F.col("abs_log2FC").desc(), F.col("gene_name")], 20),
+        "referenced_rows": (referenced_rows(top, net, question, target), [F.col("place")], K.MENTION_LIMIT),
     }, {"edge_count": edges})
-

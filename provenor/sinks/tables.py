@@ -10,7 +10,7 @@ from pyspark.sql.types import ArrayType, DataType, DoubleType, FloatType, Struct
 
 from provenor.functions import csv_guard, finite_or_null
 from provenor.operators.sets import upsert
-from provenor.sources.tables import read_snapshot
+from provenor.sources.tables import find_snapshot
 
 
 def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
@@ -97,12 +97,16 @@ def hydrate(live: DataFrame, snapshot: DataFrame, key: str) -> DataFrame:
     return kept.unionByName(snapshot.select(*live.columns).where(short))
 
 
-def sync_snapshots(spark: SparkSession, source: str, names: Sequence[str], target: str) -> None:
-    """Every named snapshot replaces its own target dataset."""
+def sync_snapshots(spark: SparkSession, source: str, names: Sequence[str], target: str) -> list[str]:
+    """Every named snapshot replaces its own target dataset; returns the names without a snapshot, whose targets stay."""
+    absent = []
     for name in names:
-        rows = read_snapshot(spark, source, name)
-        if rows.columns != ["available"]:
+        rows = find_snapshot(spark, source, name)
+        if rows is None:
+            absent.append(name)
+        else:
             rows.write.mode("overwrite").json(f"{target}/{name}")
+    return absent
 
 
 def refresh(current: DataFrame, incoming: DataFrame, key: str, path: str) -> None:

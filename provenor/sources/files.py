@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provenor import constants as K
 from provenor.functions import file_name, label_group
-from provenor.operators.joins import keyed_join
-
-# one file or document may hold most of the lines, so its lines are spread over this many buckets
-SECTION_SALTS = 16
 
 INDEX_SCHEMA = (
     "data struct<hits: array<struct<file_id: string, file_name: string, cases: array<struct<case_id: string, "
@@ -62,9 +60,11 @@ def read_counts(spark: SparkSession, path: str | Sequence[str], schema: str | No
     return with_lineage(read_tsv(spark, path, schema, comment="#"), id_pattern)
 
 
-def file_inventory(df: DataFrame) -> DataFrame:
-    """One name and path per scanned file id, the smallest where there are several."""
-    return df.where(F.col("file_id") != "").groupBy("file_id").agg(
+def file_inventory(spark: SparkSession, path: str | Sequence[str], id_pattern: str = r"file_id=([^/]+)") -> DataFrame:
+    """One name and path per file id of the listed files, the smallest where there are several; no content is read."""
+    listed = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file_path"))
+    found = listed.select("file_path", F.regexp_extract("file_path", id_pattern, 1).alias("file_id"), file_name("file_path").alias("file_name"))
+    return found.where(F.col("file_id") != "").groupBy("file_id").agg(
         F.min("file_name").alias("count_file_name"), F.min("file_path").alias("count_file_path")
     )
 
@@ -109,20 +109,24 @@ def read_alias_text(spark: SparkSession, path: str | Sequence[str]) -> DataFrame
 
 
 def section_from(lines: DataFrame, doc: Sequence[str], pos: str, starts: Column) -> DataFrame:
-    """Lines of each document from its first starting line on; documents without one are left out."""
+    """Lines of each document from its first starting line on; documents without one are left out.
+
+    Bounds are one row per document, so adaptive execution broadcasts them or
+    splits the lines of a large document.
+    """
     first = lines.where(starts).groupBy(*doc).agg(F.min(pos).alias("__start"))
-    return keyed_join(lines, first, doc, salts=SECTION_SALTS).where(F.col(pos) >= F.col("__start")).drop("__start")
+    return lines.join(first, list(doc)).where(F.col(pos) >= F.col("__start")).drop("__start")
 
 
 def section_between(lines: DataFrame, doc: Sequence[str], pos: str, begin: Column, end: Column) -> DataFrame:
     """Lines strictly between the first begin line and the first end line after it."""
     begins = lines.where(begin).groupBy(*doc).agg(F.min(pos).alias("__begin"))
     ends = (
-        keyed_join(lines.where(end).select(*doc, pos), begins, doc, salts=SECTION_SALTS).where(F.col(pos) > F.col("__begin"))
+        lines.where(end).select(*doc, pos).join(begins, list(doc)).where(F.col(pos) > F.col("__begin"))
         .groupBy(*doc).agg(F.min("__begin").alias("__begin"), F.min(pos).alias("__end"))
     )
     inside = (F.col(pos) > F.col("__begin")) & (F.col(pos) < F.col("__end"))
-    return keyed_join(lines, ends, doc, salts=SECTION_SALTS).where(inside).drop("__begin", "__end")
+    return lines.join(ends, list(doc)).where(inside).drop("__begin", "__end")
 
 
 def read_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
@@ -140,30 +144,40 @@ def read_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     )
 
 
-def _as_table(body: DataFrame, sep: str = "\t") -> DataFrame:
-    """Lines whose first line per file is the header, as a table of text columns.
+def _as_table(spark: SparkSession, path: str | Sequence[str], body: DataFrame, sep: str = "\t") -> DataFrame:
+    """Lines whose first line per file is its header, as a table of text columns; every file is read by its own header.
 
-    Only the one header line travels to the driver.
+    Columns are those of all headers, in the order of the first file that has
+    them; a column that a file lacks is null there. Header lines alone travel to
+    the driver. Raises with the names of the files that have no section.
     """
-    firsts = body.groupBy("file_path").agg(F.min_by("line", "pos").alias("line"), F.min("pos").alias("__head"))
-    head = firsts.orderBy("file_path").select("line").first()
-    if head is None:
-        raise ValueError("no section found")
-    names = head["line"].split(sep)
-    schema = ", ".join("`" + n.replace("`", "``") + "` string" for n in names)
-    heads = firsts.select("file_path", "__head")
-    rows = keyed_join(body, heads, ["file_path"], salts=SECTION_SALTS).where(F.col("pos") > F.col("__head"))
-    cells = F.from_csv("line", F.lit(schema), {"sep": sep, "mode": "PERMISSIVE"})
-    return rows.where(F.trim("line") != "").select(cells.alias("__row")).select("__row.*")
+    firsts = body.groupBy("file_path").agg(F.min_by("line", "pos").alias("__names"), F.min("pos").alias("__head"))
+    heads = {r["file_path"]: r["__names"] for r in firsts.select("file_path", "__names").collect()}
+    listed = [r["path"] for r in spark.read.format("binaryFile").load(path).select("path").collect()]
+    lacking = sorted(f for f in listed if _plain_path(f) not in {_plain_path(h) for h in heads})
+    if lacking or not heads:
+        raise ValueError("no section found in " + ", ".join(lacking or ["any file"]))
+    names = list(dict.fromkeys(n for f in sorted(heads) for n in heads[f].split(sep)))
+    places = F.transform(F.array(*map(F.lit, names)), lambda n: F.array_position(F.split("__names", sep, -1), n).cast("int"))
+    rows = body.join(firsts.select("file_path", "__head", places.alias("__places")), "file_path").where((F.col("pos") > F.col("__head")) & (F.trim("line") != ""))
+    fields = [f"c{i}" for i in range(max(len(h.split(sep)) for h in heads.values()))]
+    cells = F.from_csv("line", F.lit(", ".join(f"{c} string" for c in fields)), {"sep": sep, "mode": "PERMISSIVE"})
+    keyed = rows.select(cells.alias("__row"), "__places").select(_once(F.array(*[F.col(f"__row.{c}") for c in fields])).alias("__cells"), "__places")
+    return keyed.select(*[F.get("__cells", F.get("__places", F.lit(i)) - 1).alias(n) for i, n in enumerate(names)])
+
+
+def _plain_path(path: str) -> str:
+    """A path without the slashes in which listings and metadata differ."""
+    return re.sub(r"^([a-z0-9]+:)/+", r"\1/", unquote(path))
 
 
 def read_from_header(spark: SparkSession, path: str | Sequence[str], prefix: str = K.EXPRESSION_HEADER_PREFIX) -> DataFrame:
-    """Table that begins at the first line with ``prefix``; error when there is none."""
-    return _as_table(section_from(read_lines(spark, path), ["file_path"], "pos", F.col("line").startswith(prefix)))
+    """Table that begins at the first line with ``prefix``; error when a file has none."""
+    return _as_table(spark, path, section_from(read_lines(spark, path), ["file_path"], "pos", F.col("line").startswith(prefix)))
 
 
 def read_between(spark: SparkSession, path: str | Sequence[str], begin: str = K.METADATA_BEGIN, end: str = K.METADATA_END) -> DataFrame:
-    """Table between two marker lines; error when a marker is missing."""
+    """Table between two marker lines; error when a file lacks a marker."""
     lines = read_lines(spark, path)
     text = F.trim("line")
-    return _as_table(section_between(lines, ["file_path"], "pos", text == begin, text == end))
+    return _as_table(spark, path, section_between(lines, ["file_path"], "pos", text == begin, text == end))

@@ -33,6 +33,14 @@ def read_snapshot(
     Folders hold one object per line unless ``multi_line``. A missing snapshot
     gives no rows: with the given schema, else one ``available`` column.
     """
+    found = find_snapshot(spark, root, name, schema, multi_line)
+    return found if found is not None else spark.createDataFrame([], schema if schema is not None else "available boolean")
+
+
+def find_snapshot(
+    spark: SparkSession, root: str, name: str, schema: StructType | str | None = None, multi_line: bool | None = None
+) -> DataFrame | None:
+    """The rows of a snapshot, or None where there is none."""
     for path, whole in ((f"{root}/{name}.json", True), (f"{root}/{name}", bool(multi_line))):
         reader = spark.read.option("multiLine", whole)
         if schema is not None:
@@ -42,4 +50,4 @@ def read_snapshot(
         except AnalysisException as e:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
-    return spark.createDataFrame([], schema if schema is not None else "available boolean")
+    return None

@@ -207,9 +207,13 @@ def test_cosine_forms_agree_with_brute_force(spark):
     ps = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(p)], "pid int, v array<double>")
     dist = 1 - (q / np.linalg.norm(q, axis=1, keepdims=True)) @ (p / np.linalg.norm(p, axis=1, keepdims=True)).T
     want = {(i, int(j), r) for i in range(7) for r, j in enumerate(sorted(range(50), key=lambda j: (round(dist[i, j], 12), j))[:4], 1)}
-    for sizes in ({}, {"carried_questions": 2, "question_block": 3, "passage_block": 16}):
+    for sizes in ({}, {"question_block": 3}):
         got = retrieval.cosine_topk(qs, ps, "qid", "v", "pid", "v", k=4, **sizes)
         assert {(r.question, r.passage, r.place) for r in got.collect()} == want
+    zeros = spark.createDataFrame([(f"p{i:04d}", [0.0] * 5) for i in range(3000)], "pid string, v array<double>")
+    assert sorted(r.passage for r in retrieval.cosine_topk(qs.where("qid = 1"), zeros, "qid", "v", "pid", "v", k=3).collect()) == ["p0000", "p0001", "p0002"]
+    plan = retrieval.cosine_topk(qs, ps, "qid", "v", "pid", "v")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "RepartitionByExpression" not in plan
     assert retrieval.cosine_topk(qs, ps.limit(2), "qid", "v", "pid", "v", k=4).count() == 14
     assert retrieval.cosine_topk(qs.limit(0), ps, "qid", "v", "pid", "v").count() == 0
 
@@ -231,17 +235,18 @@ def test_sections(spark):
 
 def test_context_text(spark):
     df = spark.createDataFrame([("q", 1, "KB-1", "aa"), ("q", 2, "KB-2", "bb"), ("q", 3, "KB-3", "c" * 50)], "q string, r int, kb string, t string")
-    r = retrieval.assemble_context(df, ["q"], [F.col("r")], "kb", "t", budget=25).first()
+    r = retrieval.assemble_context(df, ["q"], [F.col("r")], "kb", "t", "r", budget=25).first()
     assert r.context == "[KB-1]\naa\n\n---\n\n[KB-2]\nbb" and r.n_passages == 2
 
 
-def test_rollup_blocks_lose_nothing(spark, many_slices):
-    df = spark.createDataFrame([("g", f"p{i:03d}", "n") for i in range(25)] + [("h", "p1", None), ("h", "p1", "m"), (None, "p9", "z")], "g string, p string, n string")
-    got = agg.rollup_ids(df, "g", "p", ["n"], block_size=10)
-    by = {(r.g, r.block): r for r in got.collect()}
-    assert sorted(by) == [("g", 0), ("g", 1), ("g", 2), ("h", 0)]
-    assert sum((by[("g", b)].members for b in range(3)), []) == [f"p{i:03d}" for i in range(25)]
-    assert by[("g", 0)].member_count == 25 and by[("h", 0)].members == ["p1"] and by[("h", 0)].n == "m"
+def test_rollup_has_one_row_per_key(spark):
+    rows = [("g", f"p{i:05d}", "n") for i in range(10_050)] + [("h", "p1", None), ("h", "p1", "m"), ("i", None, "z"), (None, "p9", "z")]
+    df = spark.createDataFrame(rows, "g string, p string, n string")
+    by = {r.g: r for r in agg.rollup_ids(df, "g", "p", ["n"]).collect()}
+    assert sorted(by) == ["g", "h", "i"]
+    assert by["g"].member_count == 10_050 and by["g"].first_member == "p00000" and by["g"].last_member == "p10049"
+    assert by["h"].member_count == 1 and by["h"].n == "m" and by["i"].member_count == 0
+    assert agg.member_rows(df, "g", "p").groupBy("g").count().where("g = 'g'").first()[1] == 10_050
 
 
 def test_mixed_sort(spark):
@@ -281,10 +286,11 @@ def test_quality(spark):
     assert math.isclose(agg.shares(df, "rank").agg(F.sum("percentage")).first()[0], 100.0)
 
 
-def test_large_groups_are_numbered_by_slices(spark, skewed, many_slices):
+@pytest.mark.parametrize("n", [1, 999, 1000, 1001, 1500])
+def test_first_rows_of_large_groups(spark, skewed, n):
     data, df = skewed
-    got = {r.id for r in sorting.n_per_group(df, ["k"], [F.col("v").desc(), F.col("id").asc()], 1500).collect()}
+    got = {r.id for r in sorting.n_per_group(df, ["k"], [F.col("v").desc(), F.col("id").asc()], n).collect()}
     want = set()
     for k in {r[1] for r in data}:
-        want |= {r[0] for r in sorted((r for r in data if r[1] == k), key=lambda r: (-r[2], r[0]))[:1500]}
+        want |= {r[0] for r in sorted((r for r in data if r[1] == k), key=lambda r: (-r[2], r[0]))[:n]}
     assert got == want

@@ -77,7 +77,8 @@ def test_refined_tables(spark, base):
     m = {r.file_id: r.has_count_file for r in read_table(spark, f"{base}/refined/counts/file_sample_map").collect()}
     assert len(m) == 17 and m["nofile"] is False and m["f00"] is True
     genes = read_table(spark, f"{base}/refined/graph/nodes_gene")
-    assert genes.count() == 40 and genes.where("protein_count = 1 AND block = 0 AND size(protein_ids) = 1").count() == 40
+    assert genes.count() == 40 and genes.where("protein_count = 1").count() == 40
+    assert read_table(spark, f"{base}/refined/graph/gene_proteins").count() == 40
     nodes = read_table(spark, f"{base}/refined/graph/nodes_protein")
     both = read_table(spark, f"{base}/refined/graph/edges_protein").where("protein_id_src = '9606.ENSP0'")
     one = nodes.where("protein_id = '9606.ENSP0'").first()
@@ -162,6 +163,21 @@ def test_clusters_and_views(spark, base):
     q = spark.createDataFrame([(1, f"what about {best.gene_name}?"), (2, "nothing")], "qid int, text string")
     named = views.question_context(q, "qid", "text", top, published["network_top_proteins"]).collect()
     assert [(r.qid, r.protein_id) for r in named] == [(1, best.protein_id)]
+    worst = top.orderBy("rank").collect()[-1]
+    asked = json.loads(views.context_record(published, f"why is {worst.gene_name} there?", best.protein_id).first().bundle)
+    assert [r["protein_id"] for r in asked["referenced_rows"]] == [best.protein_id, worst.protein_id] and asked["edge_filter"]
+
+
+def test_network_rows_come_by_weighted_degree(spark):
+    from pyspark.sql import functions as F
+
+    top = spark.createDataFrame([(1, "AAA", "9606.P1", 1.0)], "rank int, gene_name string, protein_id string, weighted_degree_protein double")
+    net = spark.createDataFrame(
+        [(2, "BBB", "9606.P2", 1.0), (3, "CCC", "9606.P3", 9.0), (1, "AAA", "9606.P1", 1.0), (4, "DDD", None, 5.0)], "rank int, gene_name string, protein_id string, weighted_degree_protein double"
+    )
+    q = spark.createDataFrame([(1, "AAA BBB CCC and DDD")], "qid int, text string")
+    got = views.question_context(q, "qid", "text", top, net).orderBy(F.col("mention_no")).collect()
+    assert [r.gene_name for r in got] == ["AAA", "CCC", "DDD", "BBB"]
 
 
 def test_knowledge_index(spark, tmp_path):

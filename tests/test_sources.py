@@ -31,7 +31,7 @@ def test_counts_with_lineage(spark, tmp_path):
     raw = files.read_counts(spark, f"{tmp_path}/file_id=*/*.tsv")
     got = sorted((r.file_id, r.file_name, r.gene_id, r.unstranded) for r in raw.collect())
     assert got == [("aa", "aa.tsv", "ENSG1.5", "10"), ("aa", "aa.tsv", "N_unmapped", "123"), ("bb", "bb.tsv", "ENSG1.5", "7"), ("bb", "bb.tsv", "N_unmapped", "123")]
-    inventory = files.file_inventory(raw)
+    inventory = files.file_inventory(spark, f"{tmp_path}/file_id=*/*.tsv")
     assert sorted((r.file_id, r.count_file_name) for r in inventory.collect()) == [("aa", "aa.tsv"), ("bb", "bb.tsv")]
 
 
@@ -57,6 +57,16 @@ def test_sections_keep_file_order_across_splits(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
 
 
+def test_every_file_has_its_own_header(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("x\nID_REF\tS1\tS2\ng1\t1\t2\ng2\t3\t\"a\tb\"\n")
+    (tmp_path / "b c.txt").write_text("ID_REF\tS2\tS1\tS3\ng1\t20\t10\t30\n")
+    got = sorted((tuple(r) for r in files.read_from_header(spark, str(tmp_path), "ID_REF").collect()), key=str)
+    assert got == [("g1", "1", "2", None), ("g1", "10", "20", "30"), ("g2", "3", "a\tb", None)]
+    (tmp_path / "none.txt").write_text("no header\n")
+    with pytest.raises(ValueError, match="none.txt"):
+        files.read_from_header(spark, str(tmp_path), "ID_REF")
+
+
 def test_section_between_markers(spark, tmp_path):
     (tmp_path / "soft.txt").write_text(
         "!series_table_end\n!x\n!series_table_begin = Clinical_annotations_curated\nOriginal Study\tCohort\tMergeGroup\tArray\nA\tB\tC\tS1\r\nA\tB\tD\tS2\n!series_table_end\nrest\n!series_table_end\n"
