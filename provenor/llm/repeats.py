@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from provenor.llm.packing import deal, dealt, record_batch, shuffle_size, spark_schema
-from provenor.llm.words import U, Words, run_hash, slices
+from provenor.llm.words import U, Words, mix, run_hash, slices
 
 WINDOW = 50
 RUN_WORDS = 25
@@ -31,6 +31,7 @@ TOUCHED = pa.schema([("part", pa.int32()), ("cells", pa.binary()), ("twice", pa.
 BITMAP = pa.schema([("part", pa.int32()), ("bits", pa.binary())])
 WINDOWS = pa.schema([("part", pa.int32()), ("hashes", pa.binary()), ("starts", pa.binary()), ("owners", pa.binary()), ("ids", pa.binary()), ("marks", pa.binary())])
 MARKS = pa.schema([("__id", pa.int64()), ("__mark", pa.int64()), ("starts", pa.binary())])
+SENT = pa.schema([("to", pa.int32()), ("ids", pa.binary()), ("marks", pa.binary()), ("starts", pa.binary())])
 LAST = np.iinfo(np.int64).max
 
 
@@ -164,21 +165,28 @@ def _by_document(ids: np.ndarray, marks: np.ndarray, starts: np.ndarray) -> pa.R
     return record_batch(MARKS, __id=ids[first], __mark=marks[first], starts=[starts[a:b].tobytes() for a, b in zip(first, ends, strict=True)])
 
 
+def _sent(ids: np.ndarray, marks: np.ndarray, starts: np.ndarray, parts: int) -> pa.RecordBatch:
+    """Starts on their way to the part of their document."""
+    to = ((mix(marks.view(U)) >> U(32)) * U(parts) >> U(32)).astype(np.int32)
+    rows = [(p, ids[at].tobytes(), marks[at].tobytes(), starts[at].tobytes()) for p, at in dealt(to, parts)]
+    return record_batch(SENT, **dict(zip(SENT.names, map(list, zip(*rows, strict=True)), strict=True)))
+
+
 def later_windows(windows: DataFrame, parts: int) -> DataFrame:
-    """Starts of windows that a document with a smaller id also has, one row per document and part."""
+    """Starts of windows that a document with a smaller id also has, one row per document."""
     def unpack(rows: list[dict]) -> list[np.ndarray]:
         read = lambda name, kind: np.concatenate([np.frombuffer(r[name], kind) for r in rows])
         owners = [np.frombuffer(r["owners"], np.uint32) for r in rows]
         spread = lambda name: np.concatenate([np.frombuffer(r[name], np.int64)[o] for r, o in zip(rows, owners, strict=True)])
         return [read("hashes", U), read("starts", np.int32), spread("ids"), spread("marks")]
 
-    def go(batches):
+    def compare(batches):
         rows: dict[int, list[dict]] = {}
         for batch in batches:
             for row in batch.to_pylist():
                 if row["part"] < 0:
                     _, starts, ids, marks = unpack([row])
-                    yield _by_document(ids, marks, starts)
+                    yield _sent(ids, marks, starts, parts)
                 else:
                     rows.setdefault(row["part"], []).append(row)
         for own in rows.values():
@@ -188,10 +196,16 @@ def later_windows(windows: DataFrame, parts: int) -> DataFrame:
             first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
             later = ids > np.repeat(ids[first], np.diff(np.concatenate([first, [len(ids)]])))
             if later.any():
-                yield _by_document(ids[later], marks[later], starts[later])
+                yield _sent(ids[later], marks[later], starts[later], parts)
+
+    def gather(batches):
+        held = [[np.frombuffer(row[c], k) for c, k in (("ids", np.int64), ("marks", np.int64), ("starts", np.int32))] for batch in batches for row in batch.to_pylist()]
+        if held:
+            yield _by_document(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
     spread = windows.withColumn("to", F.when(F.col("part") < 0, F.pmod(F.xxhash64("ids"), F.lit(parts)).cast("int")).otherwise(F.col("part")))
-    return deal(spread, parts, "to").drop("to").mapInArrow(go, spark_schema(MARKS))
+    sent = deal(spread, parts, "to").drop("to").mapInArrow(compare, spark_schema(SENT))
+    return deal(sent, parts, "to").mapInArrow(gather, spark_schema(MARKS))
 
 
 def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, run: int = RUN_WORDS, bits: int = SKETCH_BITS) -> DataFrame:
@@ -216,8 +230,7 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", windo
     docs = df.select(*identity, df[text].alias("text"))
     bitmap = spark.sparkContext.broadcast(merged_sketch(partition_sketches(docs.select("text"), window, run, bits), bits))
     parts = shuffle_size(spark)
-    marks = later_windows(candidate_windows(docs, bitmap, window, run, bits, parts), parts)
-    marks = marks.groupBy("__id", "__mark").agg(F.collect_list("starts").alias("__starts"))
+    marks = later_windows(candidate_windows(docs, bitmap, window, run, bits, parts), parts).withColumnRenamed("starts", "__starts")
     joined = df.select(*(df[c].alias(f"__in_{c}") for c in keep), *identity, df[text].alias("__text")).join(marks, ["__id", "__mark"], "left").drop("__id", "__mark")
     kept = [f"__in_{c}" for c in keep]
     made = pa.schema([("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string())])
@@ -232,10 +245,9 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", windo
                     gone = 0
                     if starts:
                         edges = np.zeros(len(words) + 1, np.int32)
-                        for s in starts:
-                            at = np.frombuffer(s, np.int32)
-                            np.add.at(edges, at, 1)
-                            np.add.at(edges, at + window, -1)
+                        at = np.frombuffer(starts, np.int32)
+                        np.add.at(edges, at, 1)
+                        np.add.at(edges, at + window, -1)
                         covered = np.cumsum(edges[:-1]) > 0
                         gone = int(covered.sum())
                         words_kept = [w for w, c in zip(words, covered.tolist(), strict=True) if not c]
