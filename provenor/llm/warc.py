@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provenor.llm.packing import record_batch, shuffle_size, spark_schema
+from provenor.session import materialise
 
 #: Fixed values of the record format.
 VERSION = "WARC/1.1"
@@ -74,12 +75,18 @@ def gzip_member(data: bytes) -> bytes:
 
 
 def with_revisits(pages: DataFrame, key: str, url: str, payload: str, least_bytes: int) -> DataFrame:
-    """``page_id``, ``url``, ``html``, ``latest``: the id of the record that holds an equal payload, or null if the row holds it itself."""
+    """The rows of ``pages`` (``page_id``, ``url``, ``html``, ``digest``) and, for each (id, digest) that is a revisit, a row with ``latest``.
+
+    ``latest`` is the id of the record that holds the equal payload. Both kinds
+    of rows go through the same range shuffle, so payloads are moved once and
+    never joined.
+    """
     rows = pages.select(pages[key].cast("bigint").alias("page_id"), pages[url].cast("string").alias("url"), F.coalesce(pages[payload].cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.unhex(F.sha2("html", 256)))
-    groups = rows.where(F.octet_length("html") >= least_bytes).groupBy("digest").agg(F.max("page_id").alias("latest"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    joined = rows.join(groups, "digest", "left")
-    return joined.select("page_id", "url", "html", F.when(F.coalesce(F.col("page_id") < F.col("latest"), F.col("latest").isNotNull() & F.col("page_id").isNull()), F.col("latest")).alias("latest"))
+    ids = rows.where(F.octet_length("html") >= least_bytes).select("page_id", "digest")
+    groups = ids.groupBy("digest").agg(F.max("page_id").alias("latest"), F.count(F.lit(1)).alias("n")).where("n > 1 and latest is not null").drop("n")
+    earlier = ids.join(groups, "digest").where("page_id is null or page_id < latest").select("page_id", "digest", "latest").distinct()
+    return materialise(earlier, "revisits").unionByName(rows.withColumn("latest", F.lit(None).cast("bigint")), allowMissingColumns=True)
 
 
 def _open(folder: str):
@@ -96,18 +103,21 @@ def write_warc(pages: DataFrame, folder: str, key: str = "page_id", url: str = "
     id hold the payload, the others are revisits of it. A null payload is empty, a
     null url is an empty target, null ids come first and count as smaller than
     others; repeated rows are records of their own. Other columns are not
-    written. An empty table gives an empty manifest. Rows are ordered by (id, url,
-    payload). A file takes records until it reaches ``roll`` compressed bytes.
+    written. An empty table gives an empty manifest. Rows are ordered by (id, payload
+    digest, url). A file takes records until it reaches ``roll`` compressed bytes.
     """
     spark = pages.sparkSession
     rows = with_revisits(pages, key, url, payload, least_bytes)
-    ranged = rows.repartitionByRange(shuffle_size(spark), "page_id", "url").sortWithinPartitions("page_id", "url", "html")
+    ranged = rows.repartitionByRange(shuffle_size(spark), "page_id", "digest").sortWithinPartitions(
+        "page_id", "digest", F.col("latest").asc_nulls_last(), "url"
+    ).select("page_id", "url", "html", "digest", "latest")
 
     def run(batches):
         task = TaskContext.get()
         filesystem, root = _open(folder)
         filesystem.create_dir(f"{root}/data", recursive=True)
         name, held, size, records = 0, [], 0, 0
+        revisit: tuple = ()
 
         def close() -> pa.RecordBatch:
             final = f"data/part-{task.partitionId():05d}-{name:05d}.warc.gz"
@@ -119,9 +129,13 @@ def write_warc(pages: DataFrame, folder: str, key: str = "page_id", url: str = "
             return record_batch(FILES, file=[final], bytes=[len(data)], records=[records], sha256=[hashlib.sha256(data).hexdigest()])
 
         for batch in batches:
-            for page, target, html, latest in zip(*(batch.column(c) for c in ("page_id", "url", "html", "latest")), strict=True):
-                body = html.as_buffer().to_pybytes() if html.is_valid else b""
-                member = gzip_member(record(page.as_py(), target.as_py(), body, latest.as_py(), latest.is_valid))
+            for page, target, html, digest, latest in zip(*(batch.column(c) for c in ("page_id", "url", "html", "digest", "latest")), strict=True):
+                own = (page.as_py(), digest.as_py())
+                if latest.is_valid:  # stands before the rows that it is about
+                    revisit = (*own, latest.as_py())
+                    continue
+                earlier = revisit[2] if revisit[:2] == own else None
+                member = gzip_member(record(own[0], target.as_py(), html.as_buffer().to_pybytes(), earlier, earlier is not None))
                 held.append(member)
                 size, records = size + len(member), records + 1
                 if size >= roll:
@@ -137,10 +151,17 @@ def write_warc(pages: DataFrame, folder: str, key: str = "page_id", url: str = "
 
 def parse(data: bytes, name: str) -> Iterator[tuple]:
     """The records of a file, member by member."""
-    while data:
-        inflate = zlib.decompressobj(31)
-        raw = inflate.decompress(data) + inflate.flush()
-        data = inflate.unused_data
+    at = 0
+    while at < len(data):
+        inflate, found = zlib.decompressobj(31), []
+        while not inflate.eof:
+            piece = data[at : at + 65_536]
+            if not piece:
+                raise ValueError(f"{name} ends within a record")
+            found.append(inflate.decompress(piece))
+            at += len(piece)
+        at -= len(inflate.unused_data)
+        raw = b"".join(found)
         head, rest = raw.split(b"\r\n\r\n", 1)
         fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
         block = rest[: int(fields["Content-Length"])]
