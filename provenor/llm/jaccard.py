@@ -30,10 +30,11 @@ MAX_SKETCH_BITS = 1 << 16
 CHUNK = 1024
 RUN = 1 << 22
 
-SIGNED = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("check", pa.int64()), ("sketch", pa.binary())])
+SIGNED = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("check", pa.int64()), ("sketch", pa.binary()), ("coarse", pa.binary())])
 PACKED = pa.schema([("part", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("nodes", pa.binary())])
 MEMBERS = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("rep", pa.int64())])
 PAIRS = pa.schema([("x", pa.int64()), ("y", pa.int64())])
+PACKED_PAIRS = pa.schema([("part", pa.int32()), ("x", pa.binary()), ("y", pa.binary())])
 SETS = pa.schema([("node", pa.int64()), ("elements", pa.binary())])
 
 
@@ -106,9 +107,10 @@ def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[pa.Record
 def signatures(docs: DataFrame, n: int) -> DataFrame:
     def run(batches):
         for part, sets in _sets(batches, n):
-            nodes = [node_of(s) for s in sets]
+            nodes, sketches = [node_of(s) for s in sets], [parity_sketch(s) for s in sets]
             yield record_batch(
-                SIGNED, id=part.column("id"), n=[len(s) for s in sets], node=[a for a, _ in nodes], check=[b for _, b in nodes], sketch=[parity_sketch(s) for s in sets]
+                SIGNED, id=part.column("id"), n=[len(s) for s in sets], node=[a for a, _ in nodes], check=[b for _, b in nodes], sketch=sketches,
+                coarse=[fold(np.frombuffer(s, np.uint8), len(s) // 2).tobytes() for s in sketches],
             )
 
     return docs.mapInArrow(run, spark_schema(SIGNED))
@@ -273,22 +275,25 @@ def sorted_groups(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa
         yield pa.Table.from_batches(waiting)
 
 
-def cross_pairs(rest: DataFrame) -> DataFrame:
-    """Pairs of sets of different components that share a code and pass the screen, from rows key, node, label, n, sketch.
+def cross_pairs(rest: DataFrame, closest: bool) -> DataFrame:
+    """Distinct pairs of sets of different components that share a code and pass a coarse screen, from rows key, node, label, n, coarse.
 
-    A code with many sets is dealt as pairs of chunks of ``CHUNK`` sets each, so a
-    task holds two chunks at a time and only pairs that pass leave it.
+    With ``closest`` only the nearest pair of each two components that meet in a
+    code. A code with many sets is dealt as pairs of chunks of ``CHUNK`` sets each,
+    so a task holds two chunks at a time. Sets that share many codes are found
+    many times: pairs travel packed and the repeated ones end at their destination.
     """
+    parts = shuffle_size(rest.sparkSession)
     sizes = rest.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
     chunk = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
     spread = rest.join(sizes, "key").withColumn("own", chunk).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     spread = spread.withColumn("meeting", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")))
-    spread = spread.select("meeting", "own", "other", "node", "label", "n", "sketch").repartition(shuffle_size(rest.sparkSession), "meeting").sortWithinPartitions("meeting", "own", "node")
+    spread = spread.select("meeting", "own", "other", "node", "label", "n", "coarse").repartition(parts, "meeting").sortWithinPartitions("meeting", "own", "node")
 
     def run(batches):
         for table in sorted_groups(batches, "meeting"):
             meeting, own, other, node, label, size = (table.column(c).to_numpy() for c in ("meeting", "own", "other", "node", "label", "n"))
-            sketches = [np.frombuffer(s, np.uint8) for s in table.column("sketch").to_pylist()]
+            sketches = [np.frombuffer(s, np.uint8) for s in table.column("coarse").to_pylist()]
             first = np.flatnonzero(np.concatenate([[True], meeting[1:] != meeting[:-1]]))
             found = []
             for a, b in zip(first, [*first[1:], len(meeting)], strict=True):
@@ -296,17 +301,42 @@ def cross_pairs(rest: DataFrame) -> DataFrame:
                 bits = np.stack([fold(s, width) for s in sketches[a:b]])
                 m, l, s, o = node[a:b], label[a:b], size[a:b], own[a:b]
                 within = bool((own[a:b] == other[a:b]).all())
+                passed = []
                 for i in range(b - a - 1):
                     j = np.arange(i + 1, b - a)
                     j = j[(l[j] != l[i]) & may_link(s[j], s[i]) & (within | (o[j] != o[i]))]
                     if len(j):
-                        j = j[np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1) <= (s[j] + s[i]) // 9]
-                        found.append(np.stack([np.minimum(m[j], m[i]), np.maximum(m[j], m[i])]))
+                        apart = np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1).astype(np.int64)
+                        near = apart <= (s[j] + s[i]) // 9
+                        passed.append(np.stack([np.full(near.sum(), i), j[near], apart[near]]))
+                if passed:
+                    i, j, apart = np.concatenate(passed, axis=1)
+                    if closest:
+                        low, high = np.minimum(l[i], l[j]), np.maximum(l[i], l[j])
+                        order = np.lexsort((j, i, apart, high, low))
+                        low, high, i, j = low[order], high[order], i[order], j[order]
+                        lead = np.concatenate([[True], (low[1:] != low[:-1]) | (high[1:] != high[:-1])])[: len(i)]
+                        i, j = i[lead], j[lead]
+                    found.append(np.stack([np.minimum(m[i], m[j]), np.maximum(m[i], m[j])]))
             if found:
-                pairs = np.unique(np.concatenate(found, axis=1), axis=1)
-                yield record_batch(PAIRS, x=pairs[0], y=pairs[1])
+                x, y = np.unique(np.concatenate(found, axis=1), axis=1)
+                to = ((mix(x.view(U) ^ mix(y.view(U))) >> U(32)) * U(parts) >> U(32)).astype(np.int32)
+                rows = [(p, x[at].tobytes(), y[at].tobytes()) for p, at in dealt(to, parts)]
+                yield record_batch(PACKED_PAIRS, **dict(zip(PACKED_PAIRS.names, map(list, zip(*rows, strict=True)) if rows else [[]] * 3, strict=True)))
 
-    return spread.mapInArrow(run, spark_schema(PAIRS)).distinct()
+    def unite(batches):
+        held: dict[int, list] = {}
+        for batch in batches:
+            for row in batch.to_pylist():
+                own = held.setdefault(row["part"], [])
+                own.append(np.stack([np.frombuffer(row["x"], np.int64), np.frombuffer(row["y"], np.int64)]))
+                if len(own) > 256:
+                    held[row["part"]] = [np.unique(np.concatenate(own, axis=1), axis=1)]
+        for own in held.values():
+            x, y = np.unique(np.concatenate(own, axis=1), axis=1)
+            yield record_batch(PAIRS, x=x, y=y)
+
+    return deal(spread.mapInArrow(run, spark_schema(PACKED_PAIRS)), parts).mapInArrow(unite, spark_schema(PAIRS))
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = SHINGLE) -> DataFrame:
@@ -319,33 +349,35 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", n: i
     shingles, links with nothing and is its own component, as is a null id alone.
     Ids are integers; other columns are not read. An empty table gives an empty one.
 
-    Links are followed in two turns, and none is lost: every set is compared
-    with one representative per shared block code; then sets that share a code
-    and still lie in different components are compared with each other, in
-    chunks. A large group of copies thus costs one comparison per copy. Equal
-    sets are found by 128 bits of hash, block codes and shingles by 64.
+    Links are followed in three turns, and none is lost: every set is compared
+    with one representative per shared block code; then the nearest sets of any
+    two components that still share a code; then all sets that share a code and
+    lie in different components, in chunks. A large group of copies thus costs
+    few comparisons per copy. Equal sets are found by 128 bits of hash, block
+    codes and shingles by 64.
     """
     spark = df.sparkSession
     docs = df.select(df[key].cast("bigint").alias("id"), df[text].alias("text"))
     signed = materialise(signatures(docs, n), "signatures")
-    nodes = signed.where("n > 0").groupBy("node", "check").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    nodes = signed.where("n > 0").groupBy("node", "check").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("coarse").alias("coarse"))
     nodes = materialise(nodes, "nodes")
     largest = nodes.agg(F.max("n")).first()[0] or 0
     parts = shuffle_size(spark)
     met = materialise(members(packed_codes(docs, n, size_bands(largest), parts), parts), "members")
 
-    first = met.where("node <> rep").select(F.least("node", "rep").alias("x"), F.greatest("node", "rep").alias("y")).distinct()
-    links = materialise(verified(materialise(screened(first, nodes), "pairs"), nodes, docs, n), "links")
+    member = materialise(met.select("key", "node").distinct(), "codes")
+    tested = materialise(met.where("node <> rep").select(F.least("node", "rep").alias("x"), F.greatest("node", "rep").alias("y")).distinct(), "tested")
+    links = materialise(verified(materialise(screened(tested, nodes), "pairs"), nodes, docs, n), "links")
     joined = components(links, "x", "y")
-
-    label = F.coalesce("component", "node").alias("label")
-    placed = met.select("key", "node").distinct().join(joined, "node", "left").select("key", "node", label)
-    open_keys = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
-    rest = placed.join(open_keys, "key", "left_semi").join(nodes.select("node", "n", "sketch"), "node")
-    second = materialise(cross_pairs(rest).join(links, ["x", "y"], "left_anti"), "pairs")
-    if not second.isEmpty():
-        more = verified(second, nodes, docs, n)
-        joined = components(links.unionByName(more), "x", "y")
+    for closest in (True, False):
+        placed = member.join(joined, "node", "left").select("key", "node", F.coalesce("component", "node").alias("label"))
+        open_keys = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
+        rest = placed.join(open_keys, "key", "left_semi").join(nodes.select("node", "n", "coarse"), "node")
+        met_again = materialise(cross_pairs(rest, closest), "cross")
+        new = met_again.join(tested, ["x", "y"], "left_anti")
+        tested = tested.unionByName(met_again)
+        links = materialise(links.unionByName(verified(materialise(screened(new, nodes), "pairs"), nodes, docs, n)), "links")
+        joined = components(links, "x", "y")
 
     labelled = signed.join(joined, "node", "left").withColumn("label", F.when(F.col("n") > 0, F.coalesce("component", "node")))
     lowest = labelled.where("n > 0").groupBy("label").agg(F.min("id").alias("lowest"))
