@@ -26,7 +26,7 @@ from provenor.llm.words import U, Words, mix, slices
 from provenor.session import materialise
 
 VOCABULARY = 1 << 20
-PAIR_SLICE = 8 << 20
+PAIR_SLICE = 4 << 20
 BUCKETS = 32
 BINS = 256
 END = U(0x2545F4914F6CDD1D)
