@@ -25,11 +25,11 @@ MAX_REPEAT_PERCENT = 20
 #: Lowest and highest characters per token, highest share of byte tokens, lowest entropy of the tokens in bits as a share
 #: of the highest that so many tokens can have.
 BANDS: dict[str, tuple[float, float, float, float]] = {
-    "en": (1.0, 8.0, 0.20, 0.58),
-    "de": (1.0, 8.0, 0.20, 0.58),
-    "fr": (1.0, 8.0, 0.20, 0.58),
-    "es": (1.0, 8.0, 0.20, 0.58),
-    "latin": (1.0, 8.0, 0.25, 0.58),
+    "en": (1.0, 8.0, 0.20, 0.71),
+    "de": (1.0, 8.0, 0.20, 0.71),
+    "fr": (1.0, 8.0, 0.20, 0.71),
+    "es": (1.0, 8.0, 0.20, 0.71),
+    "latin": (1.0, 8.0, 0.25, 0.65),
     "other": (0.20, 8.0, 1.00, 0.40),
 }
 
@@ -87,7 +87,7 @@ class Fertility:
         if new:
             if len(self.known) + len(new) > self.remember:
                 self.known = {w: self.known[w] for w in set(words) if w in self.known}
-            encoded = self.sp.encode(["\u2581" + w.decode("utf-8") for w in new], num_threads=1)
+            encoded = self.sp.encode([w.decode("utf-8") for w in new], num_threads=1)
             self.known.update(zip(new, (np.array(x, np.int32) for x in encoded), strict=True))
         return [self.known[w] for w in words]
 
