@@ -130,7 +130,7 @@ class Vocabulary:
     def decode(self, ids: np.ndarray) -> str:
         """The text of the ids; adjacent bytes join, and bytes that are no text become U+FFFD."""
         if not self.is_byte[ids].any():
-            return "".join(map(self.texts.__getitem__, ids.tolist())).replace(SPACE, " ")
+            return "".join(map(self.texts.__getitem__, ids.tolist())).replace(SPACE, " ").removeprefix(" ")
         parts, held = [], bytearray()
         for i in ids.tolist():
             value = self.values[i]
@@ -143,7 +143,7 @@ class Vocabulary:
             parts.append(self.texts[i])
         if held:
             parts.append(held.decode("utf-8", "replace"))
-        return "".join(parts).replace(SPACE, " ")
+        return "".join(parts).replace(SPACE, " ").removeprefix(" ")
 
     def matrix(self, text: str, n: int) -> np.ndarray:
         """Best scores from each entry offset to each exit offset of a chunk of ``n`` characters; ``text`` reaches past it by a piece.
@@ -275,8 +275,8 @@ def _giants(giants: DataFrame, model: bytes, chunk: int) -> DataFrame:
 def encode(df: DataFrame, model: bytes, text: str = "text", ids: str = "ids", chunk: int = CHUNK_CHARS) -> DataFrame:
     """The rows of ``df`` with ``ids``, the piece ids of the whole text (array of int).
 
-    Spaces are written U+2581 and nothing else is normalised, so ``decode`` gives
-    the text back; a U+2581 in a text comes back as a space. A null text has null
+    Spaces are written U+2581, one more stands before the text, and nothing else
+    is normalised, so ``decode`` gives the text back; a U+2581 in a text comes back as a space. A null text has null
     ids, an empty one none. Rows that repeat are encoded alike; an empty table
     gives an empty one; a column of ``df`` named ``ids`` gives way. Texts longer
     than ``chunk`` characters go through the chunk scan, all others are solved where
@@ -284,7 +284,7 @@ def encode(df: DataFrame, model: bytes, text: str = "text", ids: str = "ids", ch
     segmentations of equal score may be told apart otherwise than in one piece.
     """
     keep = [c for c in df.columns if c != ids]
-    rows = df.select(*(F.col(c).alias(f"__in_{c}") for c in keep), F.replace(df[text], F.lit(" "), F.lit(SPACE)).alias("body"))
+    rows = df.select(*(F.col(c).alias(f"__in_{c}") for c in keep), F.when(df[text] == "", "").otherwise(F.concat(F.lit(SPACE), F.replace(df[text], F.lit(" "), F.lit(SPACE)))).alias("body"))
     rows = rows.withColumn("doc", F.when(F.length("body") > chunk, F.xxhash64("body")))
     kept = [f"__in_{c}" for c in keep]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*kept).schema), "ids array<int>"])
