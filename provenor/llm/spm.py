@@ -21,9 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from provenor.llm.packing import record_batch, shuffle_size, spark_schema
+from provenor.llm.words import slices
 from provenor.session import materialise
 
 CHUNK_CHARS = 16_384
+ROWS_BYTES = 1 << 20
+MANY_LENGTH = 24
+REMEMBERED = 100_000
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
 LOWEST = -np.inf
@@ -47,15 +51,71 @@ class Vocabulary:
         self.pieces = {sp.IdToPiece(i): (i, sp.GetScore(i)) for i in every if i not in special}
         self.longest = max(map(len, self.pieces))
         self.prefixes = {p[:n] for p in self.pieces for n in range(1, len(p) + 1)}
-        self.is_byte = np.array([sp.IsByte(i) for i in every])
         self.unknown = min(score for _, score in self.pieces.values()) - UNKNOWN_PENALTY
         self.texts = [sp.IdToPiece(i) for i in every]
         self.values = [int(t[3:5], 16) if i in special and sp.IsByte(i) else None for i, t in enumerate(self.texts)]
+        # a byte below 128 is a character of its own
+        self.is_high = np.array([v is not None and v > 127 for v in self.values])
+        self.texts = [t if v is None or v > 127 else chr(v) for t, v in zip(self.texts, self.values, strict=True)]
         # units may only be parted where no piece can stand
         spaces_lead = all(SPACE not in p.lstrip(SPACE) for p in self.pieces)
         breaks_alone = all("\n" not in p or len(p) == 1 for p in self.pieces)
         self.unit = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n+" if spaces_lead and breaks_alone else "(?s).+")
+        self.piece_scores = [sp.GetScore(i) if i not in special else 0.0 for i in every]
         self.known: dict[str, list[int]] = {}
+        self._number_trie()
+
+    def _number_trie(self) -> None:
+        """The pieces as a trie of numbers, for solving many units at once."""
+        chars = sorted({c for p in self.pieces for c in p})
+        self.char_ids = np.zeros(0x110000, np.uint16)
+        self.char_ids[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
+        states = {prefix: i for i, prefix in enumerate(sorted(self.prefixes), 1)}
+        key = lambda prefix: states.get(prefix[:-1], 0) * 65_536 + int(self.char_ids[ord(prefix[-1])])
+        steps = sorted((key(prefix), state) for prefix, state in states.items())
+        self.step_keys, self.step_to = (np.array(x, np.int64) for x in zip(*steps, strict=True))
+        self.state_piece, self.state_score = np.full(len(states) + 1, -1, np.int32), np.full(len(states) + 1, LOWEST)
+        for piece, (i, score) in self.pieces.items():
+            self.state_piece[states[piece]], self.state_score[states[piece]] = i, score
+
+    def solve(self, units: list[str]) -> None:
+        """Remembers the segmentation of units of at most ``MANY_LENGTH`` characters, all of them place by place.
+
+        Units with unknown characters are left to ``encode_unit``.
+        """
+        codes = np.array(units, f"U{MANY_LENGTH}").view(np.uint32).reshape(len(units), MANY_LENGTH)
+        chars, length = self.char_ids[codes], (codes != 0).sum(axis=1)
+        known = np.flatnonzero(((chars != 0).sum(axis=1) == length) & (length == [len(u) for u in units]))
+        chars, length = chars[known].astype(np.int64), length[known]
+        best = np.full((len(known), MANY_LENGTH + 1), LOWEST)
+        best[:, 0] = 0.0
+        back, piece = np.zeros(best.shape, np.int8), np.zeros(best.shape, np.int32)
+        for at in range(int(length.max(initial=0))):
+            row = np.flatnonzero((length > at) & (best[:, at] > LOWEST))
+            state = np.zeros(len(row), np.int64)
+            for end in range(at + 1, min(at + self.longest, MANY_LENGTH) + 1):
+                key = state * 65_536 + chars[row, end - 1]
+                found = np.minimum(np.searchsorted(self.step_keys, key), len(self.step_keys) - 1)
+                alive = (self.step_keys[found] == key) & (length[row] >= end)
+                row, state = row[alive], self.step_to[found[alive]]
+                if not len(row):
+                    break
+                score = best[row, at] + self.state_score[state]
+                better = score > best[row, end]
+                to = row[better]
+                best[to, end], back[to, end], piece[to, end] = score[better], at, self.state_piece[state[better]]
+        place, row = length.copy(), np.arange(len(known))
+        trace = np.zeros((len(known), MANY_LENGTH), np.int32)
+        count = np.zeros(len(known), np.int64)
+        while (going := place > 0).any():
+            r = row[going]
+            trace[r, MANY_LENGTH - 1 - count[r]] = piece[r, place[r]]
+            count[r] += 1
+            place[r] = back[r, place[r]]
+        solved = best[row, length] > LOWEST
+        for i, n, ids, ok in zip(known.tolist(), count.tolist(), trace, solved.tolist(), strict=True):
+            if ok:
+                self.known[units[i]] = ids[MANY_LENGTH - n :].tolist()
 
     def edges(self, text: str, at: int, limit: int) -> Iterator[tuple[int, float, int | None]]:
         """Pieces that start at ``at``: their end, score and id; an unknown character has none."""
@@ -85,6 +145,12 @@ class Vocabulary:
                         best[end], back[end] = base + score, at
         return best, back
 
+    def score(self, ids: list[int], text: str) -> float:
+        """The sum of the scores of the pieces that make up ``text``; unknown characters stand in for their bytes."""
+        known = sum(self.piece_scores[i] for i in ids)
+        covered = sum(len(self.texts[i]) for i in ids if self.values[i] is None)
+        return known + self.unknown * (len(text) - covered)
+
     def ids_between(self, text: str, a: int, b: int) -> list[int]:
         found = self.pieces.get(text[a:b])
         if found:
@@ -115,12 +181,34 @@ class Vocabulary:
                         best[end], back[end] = base + found[1], at
                     end += 1
             ids = self.trace(unit, back, 0, n)
-            if len(unit) <= 64:
-                if len(self.known) > 300_000:
-                    self.known.clear()
+            if len(unit) <= 2 * MANY_LENGTH:
                 self.known[unit] = ids
         return ids
 
+    def learn(self, units: list[list[str] | None]) -> None:
+        """Solves the units that are not known; what is known is bounded."""
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        new = list({u for own in units if own for u in own if u not in self.known and len(u) <= MANY_LENGTH})
+        for at in range(0, len(new), 20_000):
+            self.solve(new[at : at + 20_000])
+
+    def encode_all(self, texts: list[str | None]) -> list[list[int] | None]:
+        """The ids of many texts; their new units are solved together."""
+        units = [None if t is None else self.unit.findall(t) for t in texts]
+        self.learn(units)
+        known = self.known
+        out: list[list[int] | None] = []
+        for own in units:
+            if own is None:
+                out.append(None)
+                continue
+            ids: list[int] = []
+            for u in own:
+                ids += known.get(u) or self.encode_unit(u)
+            out.append(ids)
+        return out
+
     def encode(self, escaped: str) -> list[int]:
         out: list[int] = []
         for unit in self.unit.findall(escaped):
@@ -129,7 +217,7 @@ class Vocabulary:
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of the ids; adjacent bytes join, and bytes that are no text become U+FFFD."""
-        if not self.is_byte[ids].any():
+        if not self.is_high[ids].any():
             return "".join(map(self.texts.__getitem__, ids.tolist())).replace(SPACE, " ").removeprefix(" ")
         parts, held = [], bytearray()
         for i in ids.tolist():
@@ -161,15 +249,24 @@ class Vocabulary:
                 else:
                     out[i, i - n] = 0.0  # the entry lies beyond a short chunk
             return out
-        tail, _ = self.forward(text[meet:], {0: 0.0}, n - meet)
+        last = meet + self.tail(text[meet:n])  # up to here units are solved as everywhere
+        middle = self.score(self.encode(text[meet:last]), text[meet:last])
+        tail, _ = self.forward(text[last:], {0: 0.0}, n - last)
         ahead = np.full(size, LOWEST)
         reach = min(size, len(text) - n + 1)
-        ahead[:reach] = tail[n - meet : n - meet + reach]
+        ahead[:reach] = [middle + x for x in tail[n - last : n - last + reach]]
         for i in range(min(size, meet + 1)):
             head, _ = self.forward(text[:meet], {i: 0.0}, meet)
             out[i] = head[meet] + ahead
         return out
 
+    def tail(self, text: str) -> int:
+        """The last place in ``text`` that no piece spans, or its start."""
+        for at in range(len(text) - 1, 0, -1):
+            if self._apart(text[at - 1], text[at]):
+                return at
+        return 0
+
     def meeting(self, text: str, n: int) -> int | None:
         """A place before the chunk's end, and beyond every entry offset, that no piece spans."""
         for found in self.unit.finditer(text, min(self.longest, len(text))):
@@ -208,6 +305,15 @@ def entries_and_exits(matrices: list[np.ndarray]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
+def _lists(found: list) -> pa.ListArray:
+    """Lists of ids as one column; None stays null."""
+    sizes = np.array([0 if x is None else len(x) for x in found], np.int64)
+    flat = np.concatenate([np.zeros(0, np.int32), *(np.array(x, np.int32) for x in found if x is not None)])
+    ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    empty = pa.array([x is None for x in found], pa.bool_())
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat), mask=empty)
+
+
 def _giants(giants: DataFrame, model: bytes, chunk: int) -> DataFrame:
     """``doc`` and its chunks' ids in order, for texts longer than a chunk."""
     spark = giants.sparkSession
@@ -226,8 +332,11 @@ def _giants(giants: DataFrame, model: bytes, chunk: int) -> DataFrame:
     def to_matrix(batches):
         vocabulary = vocabulary_of(model)
         for batch in batches:
-            found = [vocabulary.matrix(t, n).tobytes() for t, n in zip(batch.column("body").to_pylist(), batch.column("n").to_pylist(), strict=True)]
-            yield record_batch(MATRICES, doc=batch.column("doc"), chunk=batch.column("chunk"), matrix=found)
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                vocabulary.learn([vocabulary.unit.findall(t) for t in part.column("body").to_pylist()])
+                found = [vocabulary.matrix(t, n).tobytes() for t, n in zip(part.column("body").to_pylist(), part.column("n").to_pylist(), strict=True)]
+                yield record_batch(MATRICES, doc=part.column("doc"), chunk=part.column("chunk"), matrix=found)
 
     def scan(batches):
         waiting: tuple[int, list, list] | None = None
@@ -254,19 +363,21 @@ def _giants(giants: DataFrame, model: bytes, chunk: int) -> DataFrame:
     def trace(batches):
         vocabulary = vocabulary_of(model)
         for batch in batches:
-            out = []
-            for text, n, entry, leave in zip(*(batch.column(c).to_pylist() for c in ("body", "n", "entry", "leave")), strict=True):
-                if entry >= n + leave:  # a piece from before reaches over the whole chunk
-                    out.append(b"")
-                    continue
-                meet = vocabulary.meeting(text, n)
-                if meet is None:
-                    _, back = vocabulary.forward(text, {entry: 0.0}, n)
-                    ids = vocabulary.trace(text, back, entry, n + leave)
-                else:
-                    ids = vocabulary.encode(text[entry:meet]) + vocabulary.encode(text[meet : n + leave])
-                out.append(np.array(ids, np.int32).tobytes())
-            yield record_batch(TRACED, doc=batch.column("doc"), chunk=batch.column("chunk"), ids=out)
+            for at in range(0, batch.num_rows, 64):
+                part, out = batch.slice(at, 64), []
+                rows = list(zip(*(part.column(c).to_pylist() for c in ("body", "n", "entry", "leave")), strict=True))
+                vocabulary.learn([vocabulary.unit.findall(text) for text, *_ in rows])
+                for text, n, entry, leave in rows:
+                    meet = vocabulary.meeting(text, n)
+                    if entry >= n + leave:  # a piece from before reaches over the whole chunk
+                        ids = []
+                    elif meet is None:
+                        _, back = vocabulary.forward(text, {entry: 0.0}, n)
+                        ids = vocabulary.trace(text, back, entry, n + leave)
+                    else:
+                        ids = vocabulary.encode(text[entry:meet]) + vocabulary.encode(text[meet : n + leave])
+                    out.append(np.array(ids, np.int32).tobytes())
+                yield record_batch(TRACED, doc=part.column("doc"), chunk=part.column("chunk"), ids=out)
 
     traced = chunks.join(states, ["doc", "chunk"]).select("doc", "chunk", "n", "body", "entry", "leave").mapInArrow(trace, spark_schema(TRACED))
     return traced.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("chunk", "ids"))).alias("pieces"))
@@ -292,10 +403,9 @@ def encode(df: DataFrame, model: bytes, text: str = "text", ids: str = "ids", ch
     def solve(batches):
         vocabulary = vocabulary_of(model)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                found = [None if t is None else np.array(vocabulary.encode(t), np.int32) for t in part.column("body").to_pylist()]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(found, pa.list_(pa.int32()))], names=[*kept, "ids"])
+            for part in slices(batch, "body", ROWS_BYTES):
+                found = vocabulary.encode_all(part.column("body").to_pylist())
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), _lists(found)], names=[*kept, "ids"])
 
     short = rows.where("doc is null").select(*kept, "body").mapInArrow(solve, schema)
     long = rows.where("doc is not null")
@@ -303,8 +413,10 @@ def encode(df: DataFrame, model: bytes, text: str = "text", ids: str = "ids", ch
 
     def join_up(batches):
         for batch in batches:
-            found = [np.frombuffer(b"".join(p["ids"] for p in pieces), np.int32) for pieces in batch.column("pieces").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(found, pa.list_(pa.int32()))], names=[*kept, "ids"])
+            for at in range(0, batch.num_rows, 16):
+                part = batch.slice(at, 16)
+                found = [np.frombuffer(b"".join(p["ids"] for p in pieces), np.int32) for pieces in part.column("pieces").to_pylist()]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), _lists(found)], names=[*kept, "ids"])
 
     joined = long.select("doc", *kept).join(traced, "doc").select(*kept, "pieces").mapInArrow(join_up, schema)
     return short.unionByName(joined).select(*(F.col(f"__in_{c}").alias(c) for c in keep), F.col("ids").alias(ids))
@@ -318,8 +430,8 @@ def decode(df: DataFrame, model: bytes, ids: str = "ids", text: str = "decoded")
     def run(batches):
         vocabulary = vocabulary_of(model)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
                 found = [vocabulary.decode(x.values.to_numpy()) if x.is_valid else None for x in part.column(ids)]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(found, pa.string())], names=[*keep, text])
 
