@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from provenor.catalogue.base import SQL_LINES, big, doc_lines, money, query, tab
+from provenor.session import working_path
 from provenor.sources import files, landing, tables
 
 
@@ -164,3 +165,95 @@ def src_landed_audit(spark, sf):
     return landing.index_landed(manifest, landed, "key", ["size"]).groupBy("status").agg(
         F.count(F.lit(1)).alias("n"), F.min("key").alias("first_key")
     )
+
+
+def _text_files(lines, spark, label):
+    """Writes (file, pos, value) as one text file per ``file``, in order, and returns the folder."""
+    path = working_path(spark, label)
+    lines.repartition("file").sortWithinPartitions("file", "pos").select("file", "value").write.partitionBy("file").text(path)
+    return path
+
+
+def _supplier_lines(spark, sf):
+    """Supplier rows in two files, by key; the second file has its columns in another order."""
+    odd = F.col("s_suppkey") % 2 == 1
+    cells = F.when(odd, F.concat_ws("\t", "s_suppkey", "s_name", "s_nationkey")).otherwise(F.concat_ws("\t", "s_suppkey", "s_nationkey", "s_name"))
+    rows = tab(spark, sf, "supplier").select(F.when(odd, "a").otherwise("b").alias("file"), (F.col("s_suppkey") + 10).alias("pos"), cells.alias("value"))
+    return rows, ["ID_REF\tname\tnation", "ID_REF\tnation\tname"]
+
+
+def _with_lines(spark, rows, extra):
+    return rows.unionByName(spark.createDataFrame(extra, "file string, pos bigint, value string"))
+
+
+@query("src_read_from_header", "SELECT CAST(s_suppkey AS VARCHAR) AS id, s_name AS name, CAST(s_nationkey AS VARCHAR) AS nation FROM supplier")
+def src_read_from_header(spark, sf):
+    rows, heads = _supplier_lines(spark, sf)
+    extra = [(f, i, v) for f, head in zip("ab", heads) for i, v in ((0, "intro"), (1, "ID_REFERENCE"), (2, head))]
+    got = files.read_from_header(spark, _text_files(_with_lines(spark, rows, extra), spark, "matrix"), "ID_REF\t")
+    return got.select(F.col("ID_REF").alias("id"), "name", "nation")
+
+
+@query("src_read_between", "SELECT CAST(s_suppkey AS VARCHAR) AS id, s_name AS name, CAST(s_nationkey AS VARCHAR) AS nation FROM supplier")
+def src_read_between(spark, sf):
+    rows, heads = _supplier_lines(spark, sf)
+    last = 2**40
+    extra = [(f, i, v) for f, head in zip("ab", heads) for i, v in ((0, "!end"), (1, "!begin"), (2, head), (last, "!end"), (last + 1, "after"), (last + 2, "!end"))]
+    got = files.read_between(spark, _text_files(_with_lines(spark, rows, extra), spark, "sections"), "!begin", "!end")
+    return got.select(F.col("ID_REF").alias("id"), "name", "nation")
+
+
+@query("src_read_counts", "SELECT 'n' || s_nationkey AS file_id, s_name AS gene, CAST(s_suppkey AS VARCHAR) AS n FROM supplier")
+def src_read_counts(spark, sf):
+    supplier = tab(spark, sf, "supplier")
+    rows = supplier.select(F.concat(F.lit("n"), "s_nationkey").alias("file"), (F.col("s_suppkey") + 10).alias("pos"), F.concat_ws("\t", "s_name", "s_suppkey").alias("value"))
+    heads = supplier.select(F.concat(F.lit("n"), "s_nationkey").alias("file")).distinct().select(
+        "file", F.inline(F.array(F.struct(F.lit(0).cast("bigint").alias("pos"), F.lit("# comment").alias("value")), F.struct(F.lit(1).cast("bigint").alias("pos"), F.lit("gene\tn").alias("value"))))
+    )
+    path = _text_files(rows.unionByName(heads), spark, "counts")
+    return files.read_counts(spark, path, id_pattern=r"file=([^/]+)").select("file_id", "gene", "n")
+
+
+@query("src_read_tsv", "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, c_mktsegment FROM customer")
+def src_read_tsv(spark, sf):
+    path = working_path(spark, "table")
+    tab(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment").write.option("sep", "\t").option("header", True).csv(path)
+    return files.read_tsv(spark, path)
+
+
+@query("src_read_nested_index", "SELECT 'F' || o_orderkey AS file_id, 'C' || o_custkey AS case_id, 'S' || o_orderkey AS sample_id FROM orders")
+def src_read_nested_index(spark, sf):
+    sample = F.struct(F.concat(F.lit("S"), "o_orderkey").alias("sample_id"), F.lit("Primary Tumor").alias("sample_type"))
+    case = F.struct(F.concat(F.lit("C"), "o_custkey").alias("case_id"), F.array(sample).alias("samples"))
+    hit = F.struct(F.concat(F.lit("F"), "o_orderkey").alias("file_id"), F.array(case).alias("cases"))
+    path = working_path(spark, "index")
+    tab(spark, sf, "orders").select(F.struct(F.array(hit).alias("hits")).alias("data")).write.json(path)
+    return files.read_nested_index(spark, path, multi_line=False).select("file_id", "case_id", "sample_id")
+
+
+@query("src_read_edge_text", "SELECT 'P' || l_partkey AS src, 'S' || l_suppkey AS dst, CAST(CAST(l_quantity AS BIGINT) AS DOUBLE) AS score FROM lineitem")
+def src_read_edge_text(spark, sf):
+    path = working_path(spark, "links")
+    tab(spark, sf, "lineitem").select(F.concat(F.lit("P"), "l_partkey", F.lit("  S"), "l_suppkey", F.lit(" "), big("l_quantity"))).write.text(path)
+    return files.read_edge_text(spark, path)
+
+
+@query("src_read_alias_text", "SELECT 'P' || p_partkey AS protein_id, p_name AS alias_value, p_type AS source FROM part")
+def src_read_alias_text(spark, sf):
+    path = working_path(spark, "aliases")
+    tab(spark, sf, "part").select(F.concat_ws("\t", F.concat(F.lit("P"), "p_partkey"), "p_name", "p_type")).write.text(path)
+    return files.read_alias_text(spark, path)
+
+
+@query("src_line_digests", """
+SELECT file, count(*) AS n_lines, count(*) = max(total) AS whole FROM (SELECT 'n' || (c_nationkey % 3) AS file, count(*) OVER (PARTITION BY c_nationkey % 3) AS total FROM customer) GROUP BY file""")
+def src_line_digests(spark, sf):
+    """Two copies of the same lines, written in different orders, have the same digests."""
+    lines = tab(spark, sf, "customer").select(F.concat(F.lit("n"), F.col("c_nationkey") % 3).alias("file"), F.col("c_custkey").alias("pos"), F.col("c_name").alias("value"))
+    found = []
+    for order in (F.col("pos"), -F.col("pos")):
+        digests = landing.line_digests(spark, _text_files(lines.withColumn("pos", order), spark, "digests")).groupBy("n_lines").agg(F.collect_set("digest").alias("digest"))
+        found.append(digests)
+    sizes = lines.groupBy("file").agg(F.count(F.lit(1)).alias("n_lines"))
+    same = found[0].join(found[1].withColumnRenamed("digest", "again"), "n_lines").select("n_lines", F.array_sort("digest").eqNullSafe(F.array_sort("again")).alias("whole"))
+    return sizes.join(same, "n_lines", "left").select("file", "n_lines", F.coalesce("whole", F.lit(False)).alias("whole"))

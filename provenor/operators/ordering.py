@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from provenor.session import materialise
 
-_KEY, _SLICE, _LOCAL = "__key", "__slice", "__local"
+_KEY, _SLICE, _LOCAL, _PLACE = "__key", "__slice", "__local", "__place"
 
 
 def stored_input(df: DataFrame, stored: bool) -> DataFrame:
@@ -29,10 +29,11 @@ def stored_input(df: DataFrame, stored: bool) -> DataFrame:
 
 
 def _slices(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """Rows tagged with a struct key (null parts compare equal) and their slice number."""
+    """Rows tagged with a struct key (null parts compare equal), their slice number and their place in the order of the slice."""
     tagged = df.withColumn(_KEY, F.struct(*[F.col(k) for k in keys]) if keys else F.struct(F.lit(0).alias("all")))
     ranged = tagged.repartitionByRange(*[F.col(k) for k in keys], *order)
-    return materialise(ranged.withColumn(_SLICE, F.spark_partition_id()), "slices")
+    placed = ranged.sortWithinPartitions(*[F.col(k) for k in keys], *order)
+    return materialise(placed.withColumns({_SLICE: F.spark_partition_id(), _PLACE: F.monotonically_increasing_id()}), "slices")
 
 
 def _slice_totals(sliced: DataFrame, sums: Mapping[str, str]) -> DataFrame:
@@ -41,7 +42,7 @@ def _slice_totals(sliced: DataFrame, sums: Mapping[str, str]) -> DataFrame:
     One row per (key, slice), so this window runs over aggregates only.
     """
     parts = sliced.groupBy(_KEY, _SLICE).agg(
-        F.count(F.lit(1)).alias("__rows"), *[F.sum(c).alias(f"__sum_{o}") for o, c in sums.items()]
+        F.count(F.lit(1)).alias("__rows"), F.min(_PLACE).alias("__first"), *[F.sum(c).alias(f"__sum_{o}") for o, c in sums.items()]
     )
     per_key = W.partitionBy(_KEY)
     before = per_key.orderBy(_SLICE).rowsBetween(W.unboundedPreceding, -1)
@@ -50,7 +51,7 @@ def _slice_totals(sliced: DataFrame, sums: Mapping[str, str]) -> DataFrame:
         F.sum("__rows").over(per_key).alias("__rows_total"),
     ]
     cols += [F.sum(f"__sum_{o}").over(before).alias(f"__before_{o}") for o in sums]
-    return parts.select(_KEY, _SLICE, *cols)
+    return parts.select(_KEY, _SLICE, "__first", *cols)
 
 
 def number_rows(
@@ -64,17 +65,17 @@ def number_rows(
     """Number rows 1..n per key in ``order``, which must end in a unique column.
 
     ``total`` names an extra column with n; ``running`` maps output names to
-    columns whose running sum (this row included) is wanted.
+    columns whose running sum (this row included) is wanted. Slices are stored in
+    order with each row's place, so plain numbering needs no second sort.
     """
     running = dict(running or {})
     sliced = _slices(df, keys, order)
-    local = W.partitionBy(_KEY, _SLICE).orderBy(*order)
-    upto = local.rowsBetween(W.unboundedPreceding, W.currentRow)
-    numbered = sliced.withColumn(_LOCAL, F.row_number().over(local))
+    upto = W.partitionBy(_KEY, _SLICE).orderBy(_PLACE).rowsBetween(W.unboundedPreceding, W.currentRow)
+    numbered = sliced
     for out, col in running.items():
         numbered = numbered.withColumn(f"__run_{out}", F.sum(col).over(upto))
     joined = numbered.join(_slice_totals(sliced, running), [_KEY, _SLICE])
-    extra = [(F.col("__rows_before") + F.col(_LOCAL)).cast("bigint").alias(position)]
+    extra = [(F.col("__rows_before") + F.col(_PLACE) - F.col("__first") + 1).cast("bigint").alias(position)]
     if total:
         extra.append(F.col("__rows_total").cast("bigint").alias(total))
     for out in running:
@@ -94,7 +95,7 @@ def with_previous(
     the slices, one per key and slice, are all that is exchanged.
     """
     sliced = _slices(df, keys, order)
-    local = W.partitionBy(_KEY, _SLICE).orderBy(*order)
+    local = W.partitionBy(_KEY, _SLICE).orderBy(_PLACE)
     inner = [F.lag(v).over(local).alias(f"__in_{v}") for v in values]
     looked = sliced.select("*", *inner, F.row_number().over(local).alias(_LOCAL))
     per_slice = W.partitionBy(_KEY).orderBy(_SLICE)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from provenor import constants as K
 from provenor.operators import quality, stats
 from provenor.plans import clusters, evidence, mapping, refine, snapshots, support
+from provenor.session import job
 from provenor.sinks.tables import metrics_table, write_sized, write_table
 from provenor.sources import files
 from provenor.sources.tables import read_table
@@ -18,6 +19,7 @@ def _store(df: DataFrame, path: str, partition_by: tuple[str, ...] = (), sized:
     return read_table(df.sparkSession, path)
 
 
+@job
 def refine_counts(spark: SparkSession, counts_path: str, index_path: str, cases_path: str, out: str) -> None:
     """Sample map, clean counts by group, protein-coding counts and sample QC."""
     raw = files.read_counts(spark, counts_path)
@@ -37,6 +39,7 @@ def refine_counts(spark: SparkSession, counts_path: str, index_path: str, cases_
     quality.assert_clean(quality.out_of_range(qc, {"pct_zero_genes": (0.0, 1.0)}, null_is_bad=True), "quality_check")
 
 
+@job
 def refine_graph(spark: SparkSession, links_path: str, aliases_path: str, out: str) -> None:
     """Entity map, protein and gene edges, protein and gene nodes."""
     genes = _store(mapping.gene_map(files.read_alias_text(spark, aliases_path)), f"{out}/gene_map")
@@ -56,6 +59,7 @@ def refine_graph(spark: SparkSession, links_path: str, aliases_path: str, out: s
     quality.assert_clean(quality.out_of_range(nodes, {"degree_protein": (0, None), "weighted_degree_protein": (0, None)}), "nodes_protein")
 
 
+@job
 def refine_cohort(spark: SparkSession, expression_path: str, metadata_path: str, out: str) -> None:
     """Cohort matrix and annotations with a table of run metrics."""
     expr = _store(refine.cohort_expression(spark, expression_path), f"{out}/expression")
@@ -65,6 +69,7 @@ def refine_cohort(spark: SparkSession, expression_path: str, metadata_path: str,
     _store(m.unionByName(metrics_table(meta, {"metadata_rows": (rows, "rows after cleaning")})), f"{out}/run_metrics")
 
 
+@job
 def analyse(spark: SparkSession, counts: str, graph: str, out: str, mart: str, top_n: int = K.TOP_N) -> None:
     """QC-passed expression, difference test, mapping, network features and ranked candidates."""
     qc = read_table(spark, f"{counts}/quality_check")
@@ -90,6 +95,7 @@ def analyse(spark: SparkSession, counts: str, graph: str, out: str, mart: str, t
     _store(ranked.where(F.col("rank") <= top_n), f"{mart}/top_candidate_targets")
 
 
+@job
 def validate(spark: SparkSession, cohort: str, out: str, mart: str) -> None:
     """Cohort support of the top candidates, its summary and the support ranking."""
     top = read_table(spark, f"{mart}/top_candidate_targets")
@@ -104,6 +110,7 @@ def validate(spark: SparkSession, cohort: str, out: str, mart: str) -> None:
     _store(support.supported_top_candidates(result, stored=True), f"{out}/geo_supported_top_candidates")
 
 
+@job
 def cluster(spark: SparkSession, out: str, mart: str) -> None:
     """Clusters of all candidates and the enriched ranking."""
     features = _store(clusters.ml_features(read_table(spark, f"{out}/candidate_target_features")), f"{out}/ml_candidate_features")
@@ -117,6 +124,7 @@ def cluster(spark: SparkSession, out: str, mart: str) -> None:
     _store(clusters.enriched_targets(top, result, points), f"{mart}/top_candidate_targets_enriched")
 
 
+@job
 def publish(spark: SparkSession, counts: str, graph: str, out: str, mart: str, target: str) -> dict[str, DataFrame]:
     """All published views as JSON datasets."""
     def t(path: str) -> DataFrame:

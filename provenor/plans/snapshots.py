@@ -15,6 +15,7 @@ from provenor.operators.joins import attach_one, missing
 from provenor.operators.shape import heat_map, with_literals
 from provenor.operators.sorting import top_k
 from provenor.sinks.tables import write_snapshot
+from provenor.session import materialise
 
 
 def dashboard_rollups(parts: Mapping[str, tuple[DataFrame, Column]]) -> DataFrame:
@@ -71,11 +72,12 @@ def snapshots(t: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
     """
     qc, deg, mapped = t["qc"], t["deg"], t["mapped"]
     ok = ~(F.col("is_outlier_library_size") | F.col("is_outlier_detected_genes"))
-    top = attach_one(t["top_enriched"], mapped, "protein_id", "gene_confidence").orderBy("rank")
+    # both are used by several views; stored, they are read and joined once
+    top = materialise(attach_one(t["top_enriched"], mapped, "protein_id", "gene_confidence"), "top").orderBy("rank")
     nodes = top.select(*K.NODE_COLUMNS, node_size("weighted_degree_protein").alias("node_size"))
-    edges = induced_subgraph(
+    edges = materialise(induced_subgraph(
         t["edges"], top, "protein_id", "protein_id_src", "protein_id_dst", "edge_weight_protein", attrs=["gene_name"]
-    ).select("protein_id_src", "protein_id_dst", "gene_name_src", "gene_name_dst", "combined_score_protein", "edge_weight_protein")
+    ).select("protein_id_src", "protein_id_dst", "gene_name_src", "gene_name_dst", "combined_score_protein", "edge_weight_protein"), "edges")
     called = top_different(deg)
     unmapped = missing(called, mapped, ["gene_id_base"])
     shown = F.when(F.col("is_deg"), F.col("deg_direction")).otherwise(K.NOT_SIGNIFICANT)

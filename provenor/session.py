@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,7 +37,8 @@ def build_session(app_name: str = "provenor", master: str | None = None, **extra
 def shared_root(spark: SparkSession) -> str:
     """The folder all executors can reach: ``spark.checkpoint.dir``.
 
-    Only a local master may fall back to a temporary folder of this machine.
+    Only a local master may do without the setting; its temporary folder goes
+    when the process ends.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if root:
@@ -40,13 +46,35 @@ def shared_root(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     root = tempfile.mkdtemp(prefix="provenor-")
+    atexit.register(shutil.rmtree, root, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(root)
     return spark.sparkContext.getCheckpointDir()
 
 
+_JOB: ContextVar[str | None] = ContextVar("provenor_job", default=None)
+
+
 def working_path(spark: SparkSession, label: str) -> str:
-    """A fresh path under the shared folder."""
-    return f"{shared_root(spark).rstrip('/')}/provenor/{label}-{uuid.uuid4().hex}"
+    """A fresh path under the shared folder, in the folder of the running job if there is one."""
+    folder = _JOB.get() or spark.sparkContext.applicationId
+    return f"{shared_root(spark).rstrip('/')}/provenor/{folder}/{label}-{uuid.uuid4().hex}"
+
+
+def job(run: Callable) -> Callable:
+    """A step whose results are all written: what it stored in between is removed when it ends, well or not."""
+    @wraps(run)
+    def wrapped(spark: SparkSession, *args, **kwargs):
+        if _JOB.get():
+            return run(spark, *args, **kwargs)
+        token = _JOB.set(f"job-{uuid.uuid4().hex}")
+        try:
+            return run(spark, *args, **kwargs)
+        finally:
+            path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_root(spark).rstrip('/')}/provenor/{_JOB.get()}")
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            _JOB.reset(token)
+
+    return wrapped
 
 
 def materialise(df: DataFrame, label: str = "stage") -> DataFrame:

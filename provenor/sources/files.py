@@ -32,8 +32,9 @@ def flatten_index(df: DataFrame) -> DataFrame:
     )
 
 
-def read_nested_index(spark: SparkSession, path: str | Sequence[str], schema: str = INDEX_SCHEMA) -> DataFrame:
-    return flatten_index(spark.read.schema(schema).option("multiLine", True).json(path))
+def read_nested_index(spark: SparkSession, path: str | Sequence[str], schema: str = INDEX_SCHEMA, multi_line: bool = True) -> DataFrame:
+    """One document per file, or one per line, which a large file can be split at."""
+    return flatten_index(spark.read.schema(schema).option("multiLine", multi_line).json(path))
 
 
 def read_tsv(spark: SparkSession, path: str | Sequence[str], schema: str | None = None, comment: str | None = None) -> DataFrame:

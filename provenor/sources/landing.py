@@ -28,11 +28,20 @@ def plan_manifest(df: DataFrame, root: str, run_date: str | Column, subdir: str
     }).withColumn("raw_path", F.concat_ws("/", "raw_dir", name))
 
 
-def landed_files(spark: SparkSession, path: str | Sequence[str], with_md5: bool = False) -> DataFrame:
-    """Landed files with name and size; contents are only read for the checksum."""
+def landed_files(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """Landed files with name and size from the listing; no content is read."""
     files = spark.read.format("binaryFile").load(path)
-    cols = [F.col("path"), file_name("path").alias("filename"), F.col("length").alias("size"), F.col("modificationTime").alias("landed_at")]
-    return files.select(*cols, *([F.md5("content").alias("md5")] if with_md5 else []))
+    return files.select(F.col("path"), file_name("path").alias("filename"), F.col("length").alias("size"), F.col("modificationTime").alias("landed_at"))
+
+
+def line_digests(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """Lines and a digest of the lines of each text file, added up from blocks, so that no file meets in one task.
+
+    Equal files have equal digests; the order of lines does not count.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+    total = F.sum(F.xxhash64("value").cast("decimal(38,0)"))
+    return lines.groupBy("path").agg(F.count(F.lit(1)).alias("n_lines"), total.cast("string").alias("digest")).withColumn("filename", file_name("path"))
 
 
 def index_landed(manifest: DataFrame, landed: DataFrame, key: str, checks: Sequence[str]) -> DataFrame:

@@ -4,9 +4,13 @@ from provenor.session import build_session
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = build_session(
-        "tests", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "6g"}
+        "tests", "local[8]",
+        **{
+            "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "6g",
+            "spark.checkpoint.dir": tmp_path_factory.mktemp("checkpoints").as_uri(),
+        },
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session

@@ -99,12 +99,19 @@ def test_landing(spark, tmp_path):
     manifest = spark.createDataFrame([("links", "l.txt.gz", "links", 3), ("aliases", "a.txt.gz", "aliases", 5), ("x", "extra.gz", "links", 9)], "dataset string, filename string, hdfs_subdir string, size bigint")
     plan = {r.dataset: r.raw_path for r in landing.plan_manifest(manifest, "/raw", "2024-01-07").collect()}
     assert plan["aliases"] == "/raw/aliases/run_date=2024-01-07/a.txt.gz"
-    seen = landing.landed_files(spark, f"{tmp_path}/links/*/*", with_md5=True)
+    seen = landing.landed_files(spark, f"{tmp_path}/links/*/*")
     done, failed = landing.split_landed(landing.index_landed(manifest, seen, "filename", ["size"]))
     assert [(r.dataset, r.landed_size) for r in done.collect()] == [("links", 3)]
     assert sorted((r.dataset, r.status) for r in failed.collect()) == [("aliases", "missing"), ("x", "mismatched")]
 
 
+def test_line_digests(spark, tmp_path):
+    for name, text in (("a.txt", "x\ny\n"), ("b.txt", "y\nx\n"), ("c.txt", "x\nz\n")):
+        (tmp_path / name).write_text(text)
+    got = {r.filename: (r.n_lines, r.digest) for r in landing.line_digests(spark, str(tmp_path)).collect()}
+    assert got["a.txt"] == got["b.txt"] != got["c.txt"] and got["c.txt"][0] == 2
+
+
 def test_landing_stream_is_incremental(spark, tmp_path):
     from provenor.streaming.landing import index_new_files
 

@@ -1,11 +1,12 @@
 """Compare registered queries with their SQL on one scale: python tools_check.py [sf] [name-prefix ...]."""
 import sys
 import time
+from pathlib import Path
 
 import duckdb
 import pandas as pd
 
-sys.path.insert(0, "/root/repo")
+sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 from provenor.catalogue import ORACLES, QUERIES  # noqa: E402
 from provenor.session import build_session  # noqa: E402
 
