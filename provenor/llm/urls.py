@@ -19,6 +19,10 @@ FEATURES = [
 ]
 
 
+#: Suffixes (last two host labels) share so many hashed buckets, which bounds what is broadcast.
+SUFFIX_BUCKETS = 1 << 16
+
+
 def lower_ascii(c: Column) -> Column:
     """A-Z lower-cased, other letters as they are."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -68,7 +72,7 @@ def lexical(df: DataFrame) -> DataFrame:
         "host_digit_ratio": share(_count(host, "0-9"), host), "hyphens": _count(path, "-"), "host_hyphens": _count(host, "-"),
         "n_params": F.when(query == "", 0.0).otherwise(_count(query, "&") + 1), "has_fragment": url.contains("#").cast("double"),
         "is_https": F.startswith(url, F.lit("https://")).cast("double"), "path_entropy": entropy(path), "host_entropy": entropy(host),
-        "vowel_ratio": share(_count(host, "aeiou"), host), "__suffix": F.substring_index(host, ".", -2),
+        "vowel_ratio": share(_count(host, "aeiou"), host), "__suffix": F.pmod(F.xxhash64(F.substring_index(host, ".", -2)), F.lit(SUFFIX_BUCKETS)),
     })
 
 
@@ -82,13 +86,13 @@ def prepared(df: DataFrame, url: str, rules: Sequence[tuple[str, str]]) -> DataF
 
 
 def suffix_statistics(labelled: DataFrame) -> DataFrame:
-    """Per suffix (last two host labels), over all labelled urls: how many, and how many are blocked. Rows: at most one per suffix."""
+    """Per hashed suffix, over all labelled urls: how many, and how many are blocked. At most ``SUFFIX_BUCKETS`` rows."""
     return labelled.groupBy("__suffix").agg(F.count(F.lit(1)).cast("double").alias("__n"), F.sum("__label").cast("double").alias("__blocked"))
 
 
 def with_suffix(df: DataFrame, statistics: DataFrame, own: Column | None = None) -> DataFrame:
     """Smoothed share of blocked urls of the suffix; ``own`` (0/1) is the row's label, left out of its own statistics."""
-    joined = df.join(statistics, "__suffix", "left")
+    joined = df.join(F.broadcast(statistics), "__suffix", "left")  # a bounded table
     n, blocked = F.coalesce("__n", F.lit(0.0)), F.coalesce("__blocked", F.lit(0.0))
     if own is not None:
         n, blocked = n - 1, blocked - own
