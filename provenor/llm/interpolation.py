@@ -7,8 +7,10 @@ expectation-maximisation on held-out documents. The ``vocabulary`` most frequent
 tokens are told apart; all rarer ones form one class whose probability is shared
 equally by its types and one unseen type, so probabilities add up to one.
 
-Bigrams of all texts travel packed, dealt by a hash of both tokens, with the
-documents they stand in: what meets in a partition is counted and scored there.
+The distinct bigrams of a slice of texts travel packed, dealt by a hash of both
+tokens; their counts over all slices come back in the same order and meet the
+slice's tokens again, where its texts are scored. What is moved follows the
+tokens, not the number of partitions.
 """
 
 from __future__ import annotations
@@ -22,11 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from provenor.llm.packing import deal, dealt, record_batch, shuffle_size, spark_schema
-from provenor.llm.words import U, Words, mix, slices
+from provenor.llm.words import U, Words, mix, run_hash, slices
 from provenor.session import materialise
 
 VOCABULARY = 1 << 20
-PAIR_SLICE = 4 << 20
 BUCKETS = 32
 BINS = 256
 END = U(0x2545F4914F6CDD1D)
@@ -37,9 +38,9 @@ FOUND = pa.schema([
     ("mark", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()),
 ])
 RARE = pa.schema([("mark", pa.int64()), ("word", pa.int64()), ("f", pa.int64())])
-PAIRS = pa.schema([("part", pa.int32()), ("marks", pa.binary()), ("held", pa.binary()), ("keys", pa.binary()), ("sizes", pa.binary()), ("docs", pa.binary()), ("times", pa.binary())])
+PAIRS = pa.schema([("part", pa.int32()), ("slice", pa.int64()), ("keys", pa.binary()), ("trained", pa.binary()), ("held", pa.binary())])
 CELLS = pa.schema([("cell", pa.int64()), ("n", pa.int64())])
-SUMS = pa.schema([("to", pa.int64()), ("marks", pa.binary()), ("sums", pa.binary())])
+MEETING = pa.schema([("slice", pa.int64()), ("part", pa.int32()), ("counts", pa.binary()), ("marks", pa.binary()), ("first", pa.binary()), ("ids", pa.binary())])
 SCORES = pa.schema([("mark", pa.int64()), ("score", pa.float64())])
 
 
@@ -184,44 +185,48 @@ def frequent(table: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, int]:
     return words[order], counts[order], low
 
 
+class SliceTokens:
+    """The token ids of a slice, its distinct bigrams in order, and the part of each."""
+
+    def __init__(self, ids: np.ndarray, first: np.ndarray, start: int, parts: int):
+        before = np.concatenate([[start], ids[:-1]]).astype(U)
+        before[first[:-1]] = start
+        self.keys, self.back = np.unique(before << U(32) | ids.astype(U), return_inverse=True)
+        self.parts = ((mix(self.keys) >> U(32)) * U(parts) >> U(32)).astype(np.int32)
+
+
+def slices_of(batches, m: Model):
+    """Each slice with its tokens, their ids and an id of the slice that follows from its texts."""
+    for batch in batches:
+        for part in slices(batch, "text"):
+            tokens = Tokens(part.column("text"))
+            marks = part.column("mark").to_numpy().astype(np.int64)
+            name = int(run_hash(mix(marks.view(U)), len(marks)).view(np.int64)[0])
+            yield part, tokens, m.ids(tokens.hash).astype(np.uint32), marks, name
+
+
 def packed_pairs(docs: DataFrame, model, parts: int) -> DataFrame:
-    """The bigrams of all texts with the documents they stand in, one row per slice and part."""
+    """The distinct bigrams of each slice, how often texts that teach have them and how often those held out."""
     def run(batches):
         m: Model = model.value
         start = int(m.ids(np.array([END]))[0])
-        for batch in batches:
-            for part in slices(batch, "text", PAIR_SLICE):
-                tokens = Tokens(part.column("text"))
-                second = m.ids(tokens.hash).astype(U)
-                first = np.concatenate([[U(start)], second[:-1]])
-                first[tokens.first[:-1]] = start
-                keys = first << U(32) | second
-                order = np.argsort(keys, kind="stable")
-                keys, owner = keys[order], tokens.owner[order]
-                new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])])
-                at = np.flatnonzero(new)
-                times = np.diff(np.append(at, len(keys))).astype(np.uint32)
-                keys, owner = keys[at], owner[at].astype(np.uint32)
-                marks = part.column("mark").to_numpy()
-                held = part.column("held").to_numpy(zero_copy_only=False).astype(np.uint8)
-                rows = []
-                for p, at in dealt(((mix(keys) >> U(32)) * U(parts) >> U(32)).astype(np.int32), parts):
-                    own = keys[at]
-                    head = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-                    docs_here, local = np.unique(owner[at], return_inverse=True)
-                    steps = own[head].copy()
-                    steps[1:] = own[head][1:] - own[head][:-1]
-                    rows.append((
-                        p, marks[docs_here].tobytes(), held[docs_here].tobytes(), pack(steps), pack(np.diff(np.append(head, len(own))).astype(np.uint32)),
-                        pack(local.astype(np.uint32)), pack(times[at]),
-                    ))
-                yield record_batch(PAIRS, **dict(zip(PAIRS.names, map(list, zip(*rows, strict=True)), strict=True)))
+        for part, tokens, ids, _, name in slices_of(batches, m):
+            own = SliceTokens(ids, tokens.first, start, parts)
+            held = part.column("held").to_numpy(zero_copy_only=False)[tokens.owner]
+            heard = np.bincount(own.back[held], minlength=len(own.keys)).astype(np.uint32)
+            trained = np.bincount(own.back[~held], minlength=len(own.keys)).astype(np.uint32)
+            rows = []
+            for p, at in dealt(own.parts, parts):
+                steps = own.keys[at].copy()
+                steps[1:] -= own.keys[at][:-1]
+                rows.append((p, name, pack(steps), pack(trained[at]), pack(heard[at])))
+            yield record_batch(PAIRS, **dict(zip(PAIRS.names, map(list, zip(*rows, strict=True)), strict=True)))
 
     return docs.mapInArrow(run, spark_schema(PAIRS))
 
 
-def counted(batches: Iterator[pa.RecordBatch], finish) -> Iterator[pa.RecordBatch]:
-    """Calls ``finish`` with the bigrams of each slice of a part and their training counts over all slices."""
+def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, np.ndarray, np.ndarray]]:
+    """Each row of a part with its bigrams and their training counts over all slices."""
     parts: dict[int, list[dict]] = {}
     for batch in batches:
         for row in batch.to_pylist():
@@ -229,34 +234,27 @@ def counted(batches: Iterator[pa.RecordBatch], finish) -> Iterator[pa.RecordBatc
     for rows in parts.values():
         totals: list[tuple[np.ndarray, np.ndarray]] = []
         for row in rows:
-            keys, sizes = np.cumsum(unpack(row["keys"], U), dtype=U), unpack(row["sizes"], np.uint32)
-            trained = unpack(row["times"], np.uint32) * (1 - np.frombuffer(row["held"], np.uint8)[unpack(row["docs"], np.uint32)])
-            totals.append((keys, np.add.reduceat(trained, heads(sizes))))
+            totals.append((np.cumsum(unpack(row["keys"], U), dtype=U), unpack(row["trained"], np.uint32)))
             if len(totals) > 16:
                 totals = [summed(totals)]
         words, counts = summed(totals)
         for row in rows:
-            keys, sizes = np.cumsum(unpack(row["keys"], U), dtype=U), unpack(row["sizes"], np.uint32)
-            yield finish(row, keys, sizes, counts[np.searchsorted(words, keys)])
+            keys = np.cumsum(unpack(row["keys"], U), dtype=U)
+            yield row, keys, counts[np.searchsorted(words, keys)]
 
 
 def held_out_cells(pairs: DataFrame, model) -> DataFrame:
     """How many held-out bigrams have each binned pair of estimates, per bucket of the context."""
     def run(batches):
         m: Model = model.value
-
-        def finish(row, keys, sizes, c12):
-            held = np.frombuffer(row["held"], np.uint8)[unpack(row["docs"], np.uint32)]
-            times = np.add.reduceat(unpack(row["times"], np.uint32) * held, heads(sizes)).astype(np.int64)
+        found = []
+        for row, keys, c12 in counted(batches):
+            times = unpack(row["held"], np.uint32).astype(np.int64)
             some = times > 0
             first, second = (keys[some] >> U(32)).astype(np.int64), (keys[some] & U(0xFFFFFFFF)).astype(np.int64)
             p2, p1, _ = m.estimates(first, second, c12[some])
             cells, back = np.unique((m.bucket(first) * BINS + binned(p2)) * BINS + binned(p1), return_inverse=True)
-            return cells, np.bincount(back, times[some], len(cells)).astype(np.int64)
-
-        found = []
-        for cells in counted(batches, finish):
-            found.append(cells)
+            found.append((cells, np.bincount(back, times[some], len(cells)).astype(np.int64)))
             if len(found) > 64:
                 found = [summed(found)]
         if found:
@@ -266,31 +264,48 @@ def held_out_cells(pairs: DataFrame, model) -> DataFrame:
     return pairs.mapInArrow(run, spark_schema(CELLS)).groupBy("cell").agg(F.sum("n").alias("n"))
 
 
-def pair_scores(pairs: DataFrame, model, parts: int) -> DataFrame:
-    """``mark`` and the sum of log10 probabilities of its bigrams."""
-    def run(batches):
-        m: Model = model.value
-
-        def finish(row, keys, sizes, c12):
-            first, second = (keys >> U(32)).astype(np.int64), (keys & U(0xFFFFFFFF)).astype(np.int64)
-            p2, p1, p0 = m.estimates(first, second, c12)
-            w = m.weights[m.bucket(first)]
-            logs = np.repeat(np.log10(w[:, 0] * p2 + w[:, 1] * p1 + w[:, 2] * p0), sizes)
-            sums = np.bincount(unpack(row["docs"], np.uint32), logs * unpack(row["times"], np.uint32))
-            return record_batch(SUMS, to=[int(np.frombuffer(row["marks"][:8], np.int64)[0])], marks=[row["marks"]], sums=[sums.tobytes()])
+def pair_scores(docs: DataFrame, pairs: DataFrame, model, parts: int) -> DataFrame:
+    """``mark`` and the log10 probability of each text, one row per row of ``docs``."""
+    def answers(batches):
+        for row, _, c12 in counted(batches):
+            yield record_batch(MEETING, slice=[row["slice"]], part=[row["part"]], counts=[pack(c12.astype(np.uint32))], marks=[None], first=[None], ids=[None])
 
-        yield from counted(batches, finish)
+    def questions(batches):
+        for _, tokens, ids, marks, name in slices_of(batches, model.value):
+            yield record_batch(MEETING, slice=[name], part=[-1], counts=[None], marks=[marks.tobytes()], first=[tokens.first.astype(np.int64).tobytes()], ids=[pack(ids)])
 
-    def explode(batches):
-        held: dict[int, float] = {}
+    def scored(asked: list[dict], got: dict[int, bytes]) -> Iterator[pa.RecordBatch]:
+        m: Model = model.value
+        start = int(m.ids(np.array([END]))[0])
+        for row in asked:  # more than one only where slices are equal
+            marks, first = np.frombuffer(row["marks"], np.int64), np.frombuffer(row["first"], np.int64)
+            own = SliceTokens(unpack(row["ids"], np.uint32), first, start, parts)
+            c12 = np.zeros(len(own.keys), np.int64)
+            for p, at in dealt(own.parts, parts):
+                c12[at] = unpack(got[p], np.uint32)
+            before, after = (own.keys >> U(32)).astype(np.int64), (own.keys & U(0xFFFFFFFF)).astype(np.int64)
+            p2, p1, p0 = m.estimates(before, after, c12)
+            w = m.weights[m.bucket(before)]
+            logs = np.log10(w[:, 0] * p2 + w[:, 1] * p1 + w[:, 2] * p0)
+            yield record_batch(SCORES, mark=marks, score=np.add.reduceat(logs[own.back], first[:-1]))
+
+    def meet(batches):
+        asked: list[dict] = []
+        got: dict[int, bytes] = {}
+        current = None
         for batch in batches:
             for row in batch.to_pylist():
-                for mark, score in zip(np.frombuffer(row["marks"], np.int64).tolist(), np.frombuffer(row["sums"]).tolist(), strict=True):
-                    held[mark] = held.get(mark, 0.0) + score
-        yield record_batch(SCORES, mark=list(held), score=list(held.values()))
+                if row["slice"] != current:
+                    yield from scored(asked, got)
+                    asked, got, current = [], {}, row["slice"]
+                if row["part"] < 0:
+                    asked.append(row)
+                else:
+                    got[row["part"]] = row["counts"]
+        yield from scored(asked, got)
 
-    sums = pairs.mapInArrow(run, spark_schema(SUMS))
-    return sums.repartition(parts, "to").mapInArrow(explode, spark_schema(SCORES))
+    both = pairs.mapInArrow(answers, spark_schema(MEETING)).unionByName(docs.mapInArrow(questions, spark_schema(MEETING)))
+    return both.repartition(parts, "slice").sortWithinPartitions("slice", "part").mapInArrow(meet, spark_schema(SCORES))
 
 
 def score(df: DataFrame, held_out, key: str = "doc_id", text: str = "text", vocabulary: int = VOCABULARY) -> DataFrame:
@@ -352,7 +367,7 @@ def score(df: DataFrame, held_out, key: str = "doc_id", text: str = "text", voca
     cells = held_out_cells(pairs, unlearned).toArrow()
     m.learn(cells.column("cell").to_numpy(), cells.column("n").to_numpy().astype(float))
     learned = spark.sparkContext.broadcast(m)
-    score_rows = pair_scores(pairs, learned, parts)
+    score_rows = pair_scores(docs, pairs, learned, parts)
 
     zero, nothing = F.lit(0), F.lit(None)
     every = (
