@@ -209,6 +209,38 @@ def test_leaks_are_found_and_clean_texts_left(spark):
     assert latent.contaminated(spark.createDataFrame([], "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).count() == 0
 
 
+def test_leaks_do_not_depend_on_the_cosine(spark):
+    rng = random.Random(8)
+    vocabulary = [f"v{i}" for i in range(2000)]
+    weights = [1 / (k + 3) for k in range(2000)]
+    make = lambda k: rng.choices(vocabulary, weights, k=k)
+    items = [(i, " ".join(make(rng.choice([5, 8, 9, 15, 24, 32, 33, 50, 64])))) for i in range(3000)]
+    docs = []
+    for i in range(120):
+        words, leak = make(100), items[i * 25][1].split()
+        leak = [rng.choice(vocabulary) if i % 3 and rng.random() < 0.35 and k < len(leak) - 8 else w for k, w in enumerate(leak)]
+        docs.append((i, " ".join([*words[: i % 50], *leak, *words[i % 50 :]])))
+    got = latent.contaminated(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    numbers = {w: i for i, w in enumerate(vocabulary)}
+    coded = [(i, [numbers[w] for w in t.split()]) for i, t in items]
+    given = [(i, len(w), latent.masks_of(w), latent.masks_of(w[-8:])) for i, w in coded]
+    counts = np.zeros((len(items), len(vocabulary)), np.int32)
+    for i, w in coded:
+        np.add.at(counts[i], w, 1)
+    least = np.array([n if n <= 8 else max(8, 0.6 * n) for _, n, *_ in given])
+    want = set()
+    for d, text in docs:
+        words = [numbers[w] for w in text.split()]
+        for at in range(0, len(words), 16):
+            for span in (48, 96):
+                window = words[at : at + span]
+                for i in np.flatnonzero(counts[:, np.unique(window)].sum(axis=1) >= least):
+                    item, n, mask, last = given[i]
+                    if (span == 48) == (n <= 32) and latent.lcs(mask, n, window) >= least[i] and latent.lcs(last, min(n, 8), window) >= min(n, 8) / 2:
+                        want.add((d, item))
+    assert len(want) >= 100 and {(r["doc_id"], r["item_id"]) for r in got} == want
+
+
 def test_bit_parallel_lcs():
     rng = random.Random(5)
     for _ in range(200):
