@@ -3,14 +3,17 @@
 The probability of a token after another mixes maximum-likelihood estimates of
 the bigram, the unigram and a uniform distribution. The weights depend on how
 often the context occurs (one set per power of two) and are learned by
-expectation-maximisation on held-out documents. The ``vocabulary`` most frequent
-tokens are told apart; all rarer ones form one class whose probability is shared
-equally by its types and one unseen type, so probabilities add up to one.
-
-The distinct bigrams of a slice of texts travel packed, dealt by a hash of both
-tokens; their counts over all slices come back in the same order and meet the
-slice's tokens again, where its texts are scored. What is moved follows the
-tokens, not the number of partitions.
+expectation-maximisation on held-out documents. Every token has its own counts,
+however many types there are; tokens never heard form one class that stands for
+one unseen type, so probabilities add up to one. Only where ``vocabulary`` is
+given, all but that many most frequent tokens join this class, whose probability
+its types share equally.
+
+The distinct tokens and bigrams of a slice of texts travel packed, dealt by their
+hashes; their counts over all slices come back in the same order and meet the
+slice's tokens again, where its texts are scored. No table of tokens reaches the
+driver or every task, and what is moved follows the tokens, not the number of
+partitions.
 """
 
 from __future__ import annotations
@@ -27,21 +30,26 @@ from provenor.llm.packing import deal, dealt, record_batch, shuffle_size, spark_
 from provenor.llm.words import U, Words, mix, run_hash, slices
 from provenor.session import materialise
 
-VOCABULARY = 1 << 20
 BUCKETS = 32
 BINS = 256
 END = U(0x2545F4914F6CDD1D)
+RARE = U(0x9FB21C651E98DF25)
 
-COUNTS = pa.schema([("part", pa.int32()), ("words", pa.binary()), ("counts", pa.binary())])
-TABLE = pa.schema([("word", pa.int64()), ("c", pa.int64())])
-FOUND = pa.schema([
-    ("mark", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()),
-])
-RARE = pa.schema([("mark", pa.int64()), ("word", pa.int64()), ("f", pa.int64())])
-PAIRS = pa.schema([("part", pa.int32()), ("slice", pa.int64()), ("keys", pa.binary()), ("trained", pa.binary()), ("held", pa.binary())])
+PACKED = pa.schema([("part", pa.int32()), ("slice", pa.int64()), ("keys", pa.binary()), ("trained", pa.binary())])
+TOLD = pa.schema([("word", pa.int64())])
 CELLS = pa.schema([("cell", pa.int64()), ("n", pa.int64())])
-MEETING = pa.schema([("slice", pa.int64()), ("part", pa.int32()), ("counts", pa.binary()), ("marks", pa.binary()), ("first", pa.binary()), ("ids", pa.binary())])
-SCORES = pa.schema([("mark", pa.int64()), ("score", pa.float64())])
+MEETING = pa.schema([
+    ("slice", pa.int64()), ("part", pa.int32()), ("counts", pa.binary()), ("ids", pa.binary()), ("null", pa.binary()), ("held", pa.binary()), ("first", pa.binary()),
+    ("words", pa.binary()), ("back", pa.binary()),
+])
+HEARD = pa.schema([
+    ("bins", pa.binary()), ("ids", pa.binary()), ("null", pa.binary()), ("held", pa.binary()), ("first", pa.binary()), ("start", pa.int64()), ("back", pa.binary()),
+    ("heard", pa.binary()), ("pairs", pa.binary()),
+])
+SCORES = pa.schema([
+    ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()),
+    ("score", pa.float64()),
+])
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -55,11 +63,6 @@ def unpack(data: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(size, len(raw) // size).T).view(kind).ravel()
 
 
-def heads(sizes: np.ndarray) -> np.ndarray:
-    """Where runs of the given sizes begin."""
-    return np.cumsum(sizes, dtype=np.int64) - sizes.astype(np.int64)
-
-
 class Tokens:
     """The tokens of a slice: lower-cased words, and one end per text."""
 
@@ -70,72 +73,40 @@ class Tokens:
         self.owner = np.repeat(np.arange(len(words.first) - 1), np.diff(self.first))
 
 
-def training_counts(docs: DataFrame, parts: int) -> DataFrame:
-    """``word`` (64-bit hash) and ``c`` of every token of the texts that are not held out."""
-    def flush(held):
-        words, back = np.unique(np.concatenate([w for w, _ in held]), return_inverse=True)
-        counts = np.bincount(back, np.concatenate([c for _, c in held])).astype(np.uint32)
-        rows = [(p, words[at].tobytes(), counts[at].tobytes()) for p, at in dealt(((words >> U(32)) * U(parts) >> U(32)).astype(np.int32), parts)]
-        return record_batch(COUNTS, **dict(zip(COUNTS.names, map(list, zip(*rows, strict=True)), strict=True)))
-
-    def count(batches):
-        held, size = [], 0
-        for batch in batches:
-            for part in slices(batch, "text"):
-                held.append(np.unique(Tokens(part.column("text")).hash, return_counts=True))
-                size += len(held[-1][0])
-                if size > 2_000_000:
-                    yield flush(held)
-                    held, size = [], 0
-        if held:
-            yield flush(held)
-
-    def add(batches):
-        rows: dict[int, list] = {}
-        for batch in batches:
-            for row in batch.to_pylist():
-                own = rows.setdefault(row["part"], [])
-                own.append((np.frombuffer(row["words"], U), np.frombuffer(row["counts"], np.uint32)))
-                if len(own) > 64:
-                    rows[row["part"]] = [summed(own)]
-        for own in rows.values():
-            words, counts = summed(own)
-            yield record_batch(TABLE, word=words.view(np.int64), c=counts.astype(np.int64))
-
-    packed = docs.where("not held").mapInArrow(count, spark_schema(COUNTS))
-    return deal(packed, parts).mapInArrow(add, spark_schema(TABLE))
-
-
 def summed(rows: list) -> tuple[np.ndarray, np.ndarray]:
     words, back = np.unique(np.concatenate([w for w, _ in rows]), return_inverse=True)
     return words, np.bincount(back, np.concatenate([c for _, c in rows])).astype(np.int64)
 
 
+def count_bin(counts: np.ndarray) -> np.ndarray:
+    """64 bins per power of two; -1 for what never occurs."""
+    return np.where(counts > 0, np.floor(np.log2(np.maximum(counts, 1)) * 64), -1).astype(np.int64)
+
+
 class Model:
-    """Counts of the told-apart tokens (ids in the order of their hashes; the next id is the rare class), totals and weights."""
+    """The count bins of the tokens told apart, how many tokens are in each, totals and weights.
 
-    def __init__(self, words: np.ndarray, counts: np.ndarray, tokens: int, types: int):
-        self.words, self.tokens, self.types = words, tokens, types
-        self.rare_types = types - len(words)
-        self.counts = np.append(counts, tokens - counts.sum()).astype(np.int64)
+    All other tokens are of the rare class; without ``told``, every type is told apart.
+    """
+
+    def __init__(self, bins: np.ndarray, counts: np.ndarray, tokens: int, types: int, told: int | None = None):
+        self.low, self.tokens, self.types = int(min(bins, default=1 << 30)), tokens, types
+        self.rare_types = 0 if told is None else types - told
+        self.rare_count = tokens - int(np.sum(counts))
         self.weights = np.tile([0.6, 0.3, 0.1], (BUCKETS, 1))
 
-    def ids(self, hashes: np.ndarray) -> np.ndarray:
-        unique, back = np.unique(hashes, return_inverse=True)
-        at = np.searchsorted(self.words, unique)
-        found = np.zeros(len(unique), bool)
-        if len(self.words):
-            found = self.words[np.minimum(at, len(self.words) - 1)] == unique
-        return np.where(found, at, len(self.words))[back]
+    def classes(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which tokens that occur so often are of the rare class, and how often each token or its class occurs."""
+        rare = (counts == 0) | (count_bin(counts) < self.low)
+        return rare, np.where(rare, self.rare_count, counts)
 
-    def bucket(self, first: np.ndarray) -> np.ndarray:
-        return np.log2(np.maximum(self.counts[first], 1)).astype(np.int64).clip(0, BUCKETS - 1)
+    def bucket(self, c1: np.ndarray) -> np.ndarray:
+        return np.log2(np.maximum(c1, 1)).astype(np.int64).clip(0, BUCKETS - 1)
 
-    def estimates(self, first: np.ndarray, second: np.ndarray, c12: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-        share = np.where(second == len(self.words), 1.0 / (self.rare_types + 1), 1.0)
-        p2 = share * c12 / np.maximum(self.counts[first], 1)
-        p1 = share * self.counts[second] / max(self.tokens, 1)
-        return p2, p1, 1.0 / (self.types + 1)
+    def estimates(self, c1: np.ndarray, c2: np.ndarray, rare: np.ndarray, c12: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        """Of bigrams whose tokens occur ``c1`` and ``c2`` times, the second in the rare class or not."""
+        share = np.where(rare, 1.0 / (self.rare_types + 1), 1.0)
+        return share * c12 / np.maximum(c1, 1), share * c2 / max(self.tokens, 1), 1.0 / (self.types + 1)
 
     def learn(self, cells: np.ndarray, times: np.ndarray, rounds: int = 60) -> None:
         """Expectation-maximisation on the binned estimates of all held-out bigrams."""
@@ -170,124 +141,121 @@ def value(bins: np.ndarray) -> np.ndarray:
     return np.where(bins == BINS - 1, 0.0, 2.0 ** (-bins / 8))
 
 
-def frequent(table: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """The tokens that occur often enough for at most ``most`` of them to qualify, and the count from which they do."""
-    binned_count = F.floor(F.log2("c") * 64).cast("int")
-    histogram = {r["b"]: r["n"] for r in table.groupBy(binned_count.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    total, low = 0, max(histogram, default=0) + 1
-    for b in sorted(histogram, reverse=True):
-        if total + histogram[b] > most:
-            break
-        total, low = total + histogram[b], b
-    rows = table.where(binned_count >= low).toArrow()
-    words, counts = rows.column("word").to_numpy().view(U), rows.column("c").to_numpy()
-    order = np.argsort(words)
-    return words[order], counts[order], low
+def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
+    return ((mix(keys) >> U(32)) * U(parts) >> U(32)).astype(np.int32)
+
 
+def packed_keys(keys: np.ndarray) -> bytes:
+    """Ascending keys as steps."""
+    steps = keys.copy()
+    steps[1:] -= keys[:-1]
+    return pack(steps)
 
-class SliceTokens:
-    """The token ids of a slice, its distinct bigrams in order, and the part of each."""
 
-    def __init__(self, ids: np.ndarray, first: np.ndarray, start: int, parts: int):
-        before = np.concatenate([[start], ids[:-1]]).astype(U)
-        before[first[:-1]] = start
-        self.keys, self.back = np.unique(before << U(32) | ids.astype(U), return_inverse=True)
-        self.parts = ((mix(self.keys) >> U(32)) * U(parts) >> U(32)).astype(np.int32)
+def batch_of(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
+    return record_batch(schema, **dict(zip(schema.names, map(list, zip(*rows, strict=True)) if rows else [[]] * len(schema.names), strict=True)))
 
 
-def slices_of(batches, m: Model):
-    """Each slice with its tokens, their ids and an id of the slice that follows from its texts."""
+def slices_of(batches):
+    """Each slice with its tokens, the distinct ones, and an id of the slice that follows from its texts."""
     for batch in batches:
         for part in slices(batch, "text"):
             tokens = Tokens(part.column("text"))
             marks = part.column("mark").to_numpy().astype(np.int64)
             name = int(run_hash(mix(marks.view(U)), len(marks)).view(np.int64)[0])
-            yield part, tokens, m.ids(tokens.hash).astype(np.uint32), marks, name
+            words, back = np.unique(tokens.hash, return_inverse=True)
+            yield part, tokens, words, back, name
 
 
-def packed_pairs(docs: DataFrame, model, parts: int) -> DataFrame:
-    """The distinct bigrams of each slice, how often texts that teach have them and how often those held out."""
+def bigrams(back: np.ndarray, first: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First and second token of the distinct bigrams of a slice, by their numbers in it, and the bigram of each token."""
+    before = np.concatenate([[start], back[:-1]]).astype(U)
+    before[first[:-1]] = start
+    keys, at = np.unique(before << U(32) | back.astype(U), return_inverse=True)
+    return (keys >> U(32)).astype(np.int64), (keys & U(0xFFFFFFFF)).astype(np.int64), at
+
+
+def pair_keys(words: np.ndarray, one: np.ndarray, two: np.ndarray, told: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes of the bigrams, and the one of each; tokens outside ``told`` count as one."""
+    names = words if told is None else np.where(np.isin(words, told), words, RARE)
+    return np.unique(mix(names[one] + mix(names[two] ^ END)), return_inverse=True)
+
+
+def packed(docs: DataFrame, parts: int, told=None, pairs: bool = True) -> DataFrame:
+    """The distinct tokens and bigrams of each slice and how often texts that teach have them; bigrams in parts ``parts`` and up. One partition has a part of each."""
     def run(batches):
-        m: Model = model.value
-        start = int(m.ids(np.array([END]))[0])
-        for part, tokens, ids, _, name in slices_of(batches, m):
-            own = SliceTokens(ids, tokens.first, start, parts)
-            held = part.column("held").to_numpy(zero_copy_only=False)[tokens.owner]
-            heard = np.bincount(own.back[held], minlength=len(own.keys)).astype(np.uint32)
-            trained = np.bincount(own.back[~held], minlength=len(own.keys)).astype(np.uint32)
+        for part, tokens, words, back, name in slices_of(batches):
+            taught = ~part.column("held").to_numpy(zero_copy_only=False)[tokens.owner]
+            found = [(words, back, 0)]
+            if pairs:
+                one, two, at = bigrams(back, tokens.first, int(np.searchsorted(words, END)))
+                keys, again = pair_keys(words, one, two, told and told.value)
+                found.append((keys, again[at], parts))
             rows = []
-            for p, at in dealt(own.parts, parts):
-                steps = own.keys[at].copy()
-                steps[1:] -= own.keys[at][:-1]
-                rows.append((p, name, pack(steps), pack(trained[at]), pack(heard[at])))
-            yield record_batch(PAIRS, **dict(zip(PAIRS.names, map(list, zip(*rows, strict=True)), strict=True)))
+            for keys, at, base in found:
+                trained = np.bincount(at[taught], minlength=len(keys)).astype(np.uint32)
+                rows += [(base + p, name, packed_keys(keys[own]), pack(trained[own])) for p, own in dealt(part_of(keys, parts), parts)]
+            yield batch_of(PACKED, rows)
 
-    return docs.mapInArrow(run, spark_schema(PAIRS))
+    rows = docs.mapInArrow(run, spark_schema(PACKED))
+    return deal(rows.withColumn("lot", F.pmod("part", F.lit(parts))), parts, "lot").drop("lot")
 
 
-def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, np.ndarray, np.ndarray]]:
-    """Each row of a part with its bigrams and their training counts over all slices."""
+def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict], np.ndarray, np.ndarray]]:
+    """Each part, its rows, its keys and their training counts over all slices."""
     parts: dict[int, list[dict]] = {}
     for batch in batches:
         for row in batch.to_pylist():
             parts.setdefault(row["part"], []).append(row)
-    for rows in parts.values():
-        totals: list[tuple[np.ndarray, np.ndarray]] = []
+    for part, rows in parts.items():
+        found: list[tuple[np.ndarray, np.ndarray]] = []
         for row in rows:
-            totals.append((np.cumsum(unpack(row["keys"], U), dtype=U), unpack(row["trained"], np.uint32)))
-            if len(totals) > 16:
-                totals = [summed(totals)]
-        words, counts = summed(totals)
-        for row in rows:
-            keys = np.cumsum(unpack(row["keys"], U), dtype=U)
-            yield row, keys, counts[np.searchsorted(words, keys)]
+            found.append((np.cumsum(unpack(row["keys"], U), dtype=U), unpack(row["trained"], np.uint32)))
+            if len(found) > 16:
+                found = [summed(found)]
+        yield part, rows, *summed(found)
 
 
-def held_out_cells(pairs: DataFrame, model) -> DataFrame:
-    """How many held-out bigrams have each binned pair of estimates, per bucket of the context."""
-    def run(batches):
-        m: Model = model.value
-        found = []
-        for row, keys, c12 in counted(batches):
-            times = unpack(row["held"], np.uint32).astype(np.int64)
-            some = times > 0
-            first, second = (keys[some] >> U(32)).astype(np.int64), (keys[some] & U(0xFFFFFFFF)).astype(np.int64)
-            p2, p1, _ = m.estimates(first, second, c12[some])
-            cells, back = np.unique((m.bucket(first) * BINS + binned(p2)) * BINS + binned(p1), return_inverse=True)
-            found.append((cells, np.bincount(back, times[some], len(cells)).astype(np.int64)))
-            if len(found) > 64:
-                found = [summed(found)]
-        if found:
-            cells, times = summed(found)
-            yield record_batch(CELLS, cell=cells, n=times)
+def histogram(counts: np.ndarray) -> np.ndarray:
+    """Count bins, their types and their tokens."""
+    counts = counts[counts > 0]
+    bins, back = np.unique(count_bin(counts), return_inverse=True)
+    return np.stack([bins, np.bincount(back, minlength=len(bins)), np.bincount(back, counts, len(bins)).astype(np.int64)])
+
 
-    return pairs.mapInArrow(run, spark_schema(CELLS)).groupBy("cell").agg(F.sum("n").alias("n"))
+def by_key(keys: np.ndarray, got: dict[int, bytes], parts: int, base: int) -> np.ndarray:
+    """The counts that came back, in the order of the keys."""
+    out = np.zeros(len(keys), np.int64)
+    for p, at in dealt(part_of(keys, parts), parts):
+        out[at] = unpack(got[base + p], np.int64)
+    return out
 
 
-def pair_scores(docs: DataFrame, pairs: DataFrame, model, parts: int) -> DataFrame:
-    """``mark`` and the log10 probability of each text, one row per row of ``docs``."""
+def heard_slices(docs: DataFrame, parts: int, told) -> DataFrame:
+    """Each slice: its rows, their tokens, and the training counts of its distinct tokens and bigrams; and rows with count bins only."""
     def answers(batches):
-        for row, _, c12 in counted(batches):
-            yield record_batch(MEETING, slice=[row["slice"]], part=[row["part"]], counts=[pack(c12.astype(np.uint32))], marks=[None], first=[None], ids=[None])
+        for part, rows, keys, counts in totals(batches):
+            if part < parts:
+                yield batch_of(MEETING, [(None, -2, histogram(counts).astype(np.int64).tobytes(), *[None] * 6)])
+            for row in rows:
+                own = counts[np.searchsorted(keys, np.cumsum(unpack(row["keys"], U), dtype=U))]
+                yield batch_of(MEETING, [(row["slice"], part, pack(own.astype(np.int64)), *[None] * 6)])
 
     def questions(batches):
-        for _, tokens, ids, marks, name in slices_of(batches, model.value):
-            yield record_batch(MEETING, slice=[name], part=[-1], counts=[None], marks=[marks.tobytes()], first=[tokens.first.astype(np.int64).tobytes()], ids=[pack(ids)])
-
-    def scored(asked: list[dict], got: dict[int, bytes]) -> Iterator[pa.RecordBatch]:
-        m: Model = model.value
-        start = int(m.ids(np.array([END]))[0])
-        for row in asked:  # more than one only where slices are equal
-            marks, first = np.frombuffer(row["marks"], np.int64), np.frombuffer(row["first"], np.int64)
-            own = SliceTokens(unpack(row["ids"], np.uint32), first, start, parts)
-            c12 = np.zeros(len(own.keys), np.int64)
-            for p, at in dealt(own.parts, parts):
-                c12[at] = unpack(got[p], np.uint32)
-            before, after = (own.keys >> U(32)).astype(np.int64), (own.keys & U(0xFFFFFFFF)).astype(np.int64)
-            p2, p1, p0 = m.estimates(before, after, c12)
-            w = m.weights[m.bucket(before)]
-            logs = np.log10(w[:, 0] * p2 + w[:, 1] * p1 + w[:, 2] * p0)
-            yield record_batch(SCORES, mark=marks, score=np.add.reduceat(logs[own.back], first[:-1]))
+        for part, tokens, words, back, name in slices_of(batches):
+            ids = part.column("id")
+            yield batch_of(MEETING, [(
+                name, -1, None, ids.fill_null(0).to_numpy().astype(np.int64).tobytes(), ids.is_null().to_numpy(zero_copy_only=False).tobytes(),
+                part.column("held").to_numpy(zero_copy_only=False).tobytes(), tokens.first.astype(np.int64).tobytes(), packed_keys(words), pack(back.astype(np.uint32)),
+            )])
+
+    def heard(row, got):
+        words, back, first = np.cumsum(unpack(row["words"], U), dtype=U), unpack(row["back"], np.uint32), np.frombuffer(row["first"], np.int64)
+        start = int(np.searchsorted(words, END))
+        one, two, _ = bigrams(back, first, start)
+        keys, again = pair_keys(words, one, two, told and told.value)
+        counts, together = by_key(words, got, parts, 0), by_key(keys, got, parts, parts)[again]
+        return batch_of(HEARD, [(None, row["ids"], row["null"], row["held"], row["first"], start, row["back"], pack(counts), pack(together))])
 
     def meet(batches):
         asked: list[dict] = []
@@ -295,20 +263,110 @@ def pair_scores(docs: DataFrame, pairs: DataFrame, model, parts: int) -> DataFra
         current = None
         for batch in batches:
             for row in batch.to_pylist():
+                if row["part"] == -2:
+                    yield batch_of(HEARD, [(row["counts"], *[None] * 8)])
+                    continue
                 if row["slice"] != current:
-                    yield from scored(asked, got)
+                    yield from (heard(x, got) for x in asked)  # more than one only where slices are equal
                     asked, got, current = [], {}, row["slice"]
-                if row["part"] < 0:
+                if row["part"] == -1:
                     asked.append(row)
                 else:
                     got[row["part"]] = row["counts"]
-        yield from scored(asked, got)
+        yield from (heard(x, got) for x in asked)
 
-    both = pairs.mapInArrow(answers, spark_schema(MEETING)).unionByName(docs.mapInArrow(questions, spark_schema(MEETING)))
-    return both.repartition(parts, "slice").sortWithinPartitions("slice", "part").mapInArrow(meet, spark_schema(SCORES))
+    both = packed(docs, parts, told).mapInArrow(answers, spark_schema(MEETING)).unionByName(docs.mapInArrow(questions, spark_schema(MEETING)))
+    return both.repartition(parts, "slice").sortWithinPartitions("slice", "part").mapInArrow(meet, spark_schema(HEARD))
 
 
-def score(df: DataFrame, held_out, key: str = "doc_id", text: str = "text", vocabulary: int = VOCABULARY) -> DataFrame:
+def told_apart(docs: DataFrame, parts: int, vocabulary: int) -> np.ndarray:
+    """The hashes of the most frequent tokens: as many whole count bins as have at most ``vocabulary`` types."""
+    words = materialise(packed(docs, parts, pairs=False), "words")
+
+    def bins(batches):
+        for _, _, _, counts in totals(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([histogram(counts).astype(np.int64).tobytes()], pa.binary())], names=["bins"])
+
+    low = model_of([r["bins"] for r in words.mapInArrow(bins, "bins binary").toLocalIterator()], vocabulary).low
+
+    def told(batches):
+        for _, _, keys, counts in totals(batches):
+            yield record_batch(TOLD, word=keys[(counts > 0) & (count_bin(counts) >= low)].view(np.int64))
+
+    return np.sort(words.mapInArrow(told, spark_schema(TOLD)).toArrow().column("word").to_numpy().view(U))
+
+
+def model_of(parts: list[bytes], vocabulary: int | None) -> Model:
+    """From the histograms of all parts: all tokens told apart, or those of ``told_apart``."""
+    bins: dict[int, np.ndarray] = {}
+    for data in parts:
+        for b, *n in np.frombuffer(data, np.int64).reshape(3, -1).T.tolist():
+            bins[b] = bins.get(b, np.zeros(2, np.int64)) + n
+    kept, told = [], 0
+    for b in sorted(bins, reverse=True):
+        if vocabulary is not None and told + bins[b][0] > vocabulary:
+            break
+        kept.append(b)
+        told += int(bins[b][0])
+    types, tokens = (int(sum(n[i] for n in bins.values())) for i in (0, 1))
+    return Model(np.array(kept), np.array([bins[b][1] for b in kept], np.int64), tokens, types, told)
+
+
+class Estimates:
+    """A slice read back: its rows, its distinct bigrams and what their estimates need."""
+
+    def __init__(self, row: dict, m: Model):
+        back, self.heard = unpack(row["back"], np.uint32), unpack(row["heard"], np.int64)
+        self.first, self.held = np.frombuffer(row["first"], np.int64), np.frombuffer(row["held"], bool)
+        self.owner = np.repeat(np.arange(len(self.held)), np.diff(self.first))
+        one, two, self.back = bigrams(back, self.first, row["start"])
+        self.heard_tokens = self.heard[back]
+        rare, counts = m.classes(self.heard)
+        self.bucket = m.bucket(counts[one])
+        self.p2, self.p1, self.p0 = m.estimates(counts[one], counts[two], rare[two], unpack(row["pairs"], np.int64))
+
+
+def held_out_cells(heard: DataFrame, model) -> DataFrame:
+    """How many held-out bigrams have each binned pair of estimates, per bucket of the context."""
+    def run(batches):
+        found = []
+        for batch in batches:
+            for row in batch.to_pylist():
+                own = Estimates(row, model.value)
+                times = np.bincount(own.back[own.held[own.owner]], minlength=len(own.p2))
+                some = times > 0
+                cells, back = np.unique(((own.bucket * BINS + binned(own.p2)) * BINS + binned(own.p1))[some], return_inverse=True)
+                found.append((cells, np.bincount(back, times[some], len(cells)).astype(np.int64)))
+                if len(found) > 64:
+                    found = [summed(found)]
+        if found:
+            cells, times = summed(found)
+            yield record_batch(CELLS, cell=cells, n=times)
+
+    return heard.mapInArrow(run, spark_schema(CELLS)).groupBy("cell").agg(F.sum("n").alias("n"))
+
+
+def scores(heard: DataFrame, model) -> DataFrame:
+    """The result, one row per text."""
+    def run(batches):
+        m: Model = model.value
+        for batch in batches:
+            for row in batch.to_pylist():
+                own = Estimates(row, m)
+                w = m.weights[own.bucket]
+                logs = np.log10(w[:, 0] * own.p2 + w[:, 1] * own.p1 + w[:, 2] * own.p0)[own.back]
+                base = np.log10((own.heard_tokens + 1) / float(m.tokens + m.types + 1))
+                at, n = own.first[:-1], len(own.held)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.frombuffer(row["ids"], np.int64), mask=np.frombuffer(row["null"], bool)), pa.array(own.held), pa.array(np.diff(own.first)),
+                    pa.array(np.bincount(own.owner[own.heard_tokens > 0], minlength=n).astype(np.int64)), pa.array(np.full(n, m.tokens, np.int64)),
+                    pa.array(np.add.reduceat(base, at)), pa.array(np.add.reduceat(logs, at)),
+                ], schema=SCORES)
+
+    return heard.mapInArrow(run, spark_schema(SCORES))
+
+
+def score(df: DataFrame, held_out, key: str = "doc_id", text: str = "text", vocabulary: int | None = None) -> DataFrame:
     """``doc_id``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score`` for each row of ``df``.
 
     ``held_out`` is a boolean column: rows that only teach the weights; a null
@@ -317,7 +375,8 @@ def score(df: DataFrame, held_out, key: str = "doc_id", text: str = "text", voca
     rows nothing is known and every estimate is uniform; without held-out rows
     the weights stay as they start. An empty table gives an empty one.
     ``base_score`` uses add-one unigrams over all tokens; ``score`` the
-    interpolated bigrams, the end token standing before the first word.
+    interpolated bigrams, the end token standing before the first word. All
+    tokens are told apart unless ``vocabulary`` bounds their number.
     """
     spark = df.sparkSession
     parts = shuffle_size(spark)
@@ -325,62 +384,10 @@ def score(df: DataFrame, held_out, key: str = "doc_id", text: str = "text", voca
         df[key].cast("bigint").alias("id"), F.xxhash64(df[key].isNull(), df[key].cast("bigint"), df[text].isNull(), df[text]).alias("mark"),
         F.coalesce(held_out, F.lit(False)).alias("held"), df[text].alias("text"),
     )
-    table = materialise(training_counts(docs, parts), "word-counts")
-    totals = table.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    tokens, types = int(totals["n"]), int(totals["v"])
-    words, counts, low = frequent(table, vocabulary)
-    m = Model(words, counts, tokens, types)
-    unlearned = spark.sparkContext.broadcast(m)
-    smoothed = float(tokens + types + 1)
-
-    def known(batches):
-        told: Model = unlearned.value
-        for batch in batches:
-            for part in slices(batch, "text"):
-                t = Tokens(part.column("text"))
-                ids = told.ids(t.hash)
-                apart = ids < len(told.words)
-                n = part.num_rows
-                base = np.bincount(t.owner[apart], np.log10((told.counts[ids[apart]] + 1) / smoothed), n)
-                yield record_batch(
-                    FOUND, mark=part.column("mark"), doc_id=part.column("id"), held_out=part.column("held"), n_tokens=np.diff(t.first),
-                    known=np.bincount(t.owner[apart], minlength=n), base=base,
-                )
-
-    def rare(batches):
-        told: Model = unlearned.value
-        for batch in batches:
-            for part in slices(batch, "text"):
-                t = Tokens(part.column("text"))
-                at = np.flatnonzero(told.ids(t.hash) == len(told.words))
-                pairs, times = np.unique(np.stack([t.owner[at].astype(U), t.hash[at]]), axis=1, return_counts=True) if len(at) else (np.zeros((2, 0), U), [])
-                yield record_batch(RARE, mark=part.column("mark").to_numpy()[pairs[0].astype(np.int64)], word=pairs[1].view(np.int64), f=times)
-
-    told_rows = docs.mapInArrow(known, spark_schema(FOUND))
-    few = table.where(F.floor(F.log2("c") * 64).cast("int") < low)
-    seen = docs.mapInArrow(rare, spark_schema(RARE)).join(few, "word", "left")
-    rare_rows = seen.select(
-        "mark", F.when(F.col("c").isNotNull(), F.col("f")).otherwise(F.lit(0)).alias("known"), (F.col("f") * F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(smoothed))).alias("base")
-    )
-
-    pairs = materialise(deal(packed_pairs(docs, unlearned, parts), parts), "pairs")
-    cells = held_out_cells(pairs, unlearned).toArrow()
+    told = None if vocabulary is None else spark.sparkContext.broadcast(told_apart(docs, parts, vocabulary))
+    heard = materialise(heard_slices(docs, parts, told), "slices")
+    m = model_of([r["bins"] for r in heard.where("bins is not null").select("bins").toLocalIterator()], vocabulary)
+    rows = heard.where("bins is null")
+    cells = held_out_cells(rows, spark.sparkContext.broadcast(m)).toArrow()
     m.learn(cells.column("cell").to_numpy(), cells.column("n").to_numpy().astype(float))
-    learned = spark.sparkContext.broadcast(m)
-    score_rows = pair_scores(docs, pairs, learned, parts)
-
-    zero, nothing = F.lit(0), F.lit(None)
-    every = (
-        told_rows.select("mark", "doc_id", "held_out", "n_tokens", "known", "base", F.lit(0.0).alias("score"), F.lit(1).alias("rows"))
-        .unionByName(rare_rows.select("mark", nothing.cast("bigint").alias("doc_id"), nothing.cast("boolean").alias("held_out"), nothing.cast("bigint").alias("n_tokens"), "known", "base", F.lit(0.0).alias("score"), zero.alias("rows")))
-        .unionByName(score_rows.select("mark", nothing.cast("bigint").alias("doc_id"), nothing.cast("boolean").alias("held_out"), nothing.cast("bigint").alias("n_tokens"), zero.cast("bigint").alias("known"), F.lit(0.0).alias("base"), "score", zero.alias("rows")))
-    )
-    one = every.groupBy("mark").agg(
-        F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"), F.sum("known").alias("known"), F.sum("base").alias("base"),
-        F.sum("score").alias("total"), F.sum("rows").alias("rows"),
-    )
-    n = F.col("rows")
-    return one.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("bigint"), n))).select(
-        "doc_id", "held_out", "n_tokens", (F.col("known") / n).cast("bigint").alias("n_known"), F.lit(tokens).cast("bigint").alias("train_tokens"),
-        (F.col("base") / n).alias("base_score"), (F.col("total") / n).alias("score"),
-    )
+    return scores(rows, spark.sparkContext.broadcast(m))

@@ -161,6 +161,21 @@ def test_scores_equal_brute_force(spark, monkeypatch, vocabulary):
         assert r["base_score"] == pytest.approx(base, abs=1e-6) and r["score"] == pytest.approx(total, abs=1e-6)
 
 
+def test_every_type_has_its_own_counts(spark, monkeypatch):
+    monkeypatch.setattr(interpolation.Model, "learn", lambda m, cells, times: setattr(m, "weights", np.tile((0.5, 0.3, 0.2), (interpolation.BUCKETS, 1))))
+    docs = spark.range(0, 1_200, 1, 4).select(
+        F.col("id").alias("doc_id"), F.expr("array_join(transform(sequence(0, 999), i -> concat('w', id * 1000 + i)), ' ')").alias("text"), F.lit(False).alias("held")
+    )
+    probes = spark.createDataFrame([(-1, "w5000 w5001", True), (-2, "w5001 w5000", True), (-3, "unheard w5000", True)], "doc_id bigint, text string, held boolean")
+    got = {r["doc_id"]: r["score"] for r in interpolation.score(docs.unionByName(probes), F.col("held")).where("doc_id < 0").collect()}
+    types, n = 1_200_001, 1_200 * 1001
+    p = lambda c12, c1, c2: 0.5 * c12 / max(c1, 1) + 0.3 * c2 / n + 0.2 / (types + 1)
+    want = {
+        -1: [p(1, 1200, 1), p(1, 1, 1), p(0, 1, 1200)], -2: [p(0, 1200, 1), p(0, 1, 1), p(0, 1, 1200)], -3: [p(0, 1200, 0), p(0, 0, 1), p(0, 1, 1200)],
+    }
+    assert got == {d: pytest.approx(sum(map(math.log10, x)), abs=1e-9) for d, x in want.items()}
+
+
 def test_scores_of_repeated_and_no_rows(spark):
     held = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
     df = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (None, "a b"), (4, None)], "doc_id bigint, text string")
