@@ -2,8 +2,10 @@
 
 A public vocabulary is applied to every word of a text on its own. Characters
 per token, the share of tokens that are raw bytes (characters the vocabulary
-does not know) and the entropy of the tokens tell prose from junk; each has a
-band per language, or per script where the language is unknown.
+does not know), the share of words that are one token and the entropy of the
+tokens tell prose from junk; each has a band per language, or per script where
+the language is unknown. Prose of every language has words that the vocabulary
+knows whole; encoded data, keys and random letters fall into fragments.
 """
 
 from __future__ import annotations
@@ -23,20 +25,20 @@ MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 
 #: Lowest and highest characters per token, highest share of byte tokens, lowest entropy of the tokens in bits as a share
-#: of the highest that so many tokens can have.
-BANDS: dict[str, tuple[float, float, float, float]] = {
-    "en": (1.0, 8.0, 0.20, 0.71),
-    "de": (1.0, 8.0, 0.20, 0.71),
-    "fr": (1.0, 8.0, 0.20, 0.71),
-    "es": (1.0, 8.0, 0.20, 0.71),
-    "latin": (1.0, 8.0, 0.25, 0.65),
-    "other": (0.20, 8.0, 1.00, 0.40),
+#: of the highest that so many tokens can have, lowest share of words that are one token.
+BANDS: dict[str, tuple[float, ...]] = {
+    "en": (1.0, 8.0, 0.20, 0.71, 0.10),
+    "de": (1.0, 8.0, 0.20, 0.71, 0.10),
+    "fr": (1.0, 8.0, 0.20, 0.71, 0.10),
+    "es": (1.0, 8.0, 0.20, 0.71, 0.10),
+    "latin": (1.0, 8.0, 0.25, 0.65, 0.05),
+    "other": (0.20, 8.0, 1.00, 0.40, 0.0),
 }
 
 OUT = pa.schema([
     ("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()), ("n_dup_lines", pa.int64()), ("n_repeat_words", pa.int64()),
     ("base_failed", pa.bool_()), ("kept", pa.bool_()), ("chars_per_token", pa.float64()), ("byte_share", pa.float64()), ("token_entropy", pa.float64()),
-    ("band", pa.string()),
+    ("band", pa.string()), ("whole_share", pa.float64()),
 ])
 
 
@@ -65,10 +67,10 @@ def band_of(lang: str | None, text_chars: int, latin_chars: int, bands: Mapping[
     return "latin" if 2 * latin_chars >= text_chars else "other"
 
 
-def in_band(band: tuple, chars_per_token: float, byte_share: float, entropy: float, tokens: int) -> bool:
-    low, high, most_bytes, least_entropy = band
+def in_band(band: tuple, chars_per_token: float, byte_share: float, entropy: float, tokens: int, whole: float) -> bool:
+    low, high, most_bytes, least_entropy, *least_whole = band
     most = np.log2(tokens) if tokens > 1 else 1.0
-    return bool(low <= chars_per_token <= high and byte_share <= most_bytes and entropy >= least_entropy * min(most, 8.0))
+    return bool(low <= chars_per_token <= high and byte_share <= most_bytes and entropy >= least_entropy * min(most, 8.0) and all(whole >= x for x in least_whole))
 
 
 class Fertility:
@@ -98,18 +100,20 @@ def measure(words: Words, d: int, lang: str | None, fertility: Fertility, bands:
     n, chars = len(parts), len(b"".join(parts).decode("utf-8"))
     repeated = repeat_words(words.hash[words.first[d] : words.first[d + 1]])
     failed = n < MIN_WORDS or 100 * repeated > MAX_REPEAT_PERCENT * n
-    cpt = share = entropy = 0.0
-    latin = sum(text.count(c) for c in "aeiounrst") * 2 if lang not in bands else 0
+    cpt = share = entropy = whole = 0.0
+    latin = max(sum(text.count(c) for c in "aeiounrst") * 2, int((np.frombuffer(b"".join(parts), np.uint8) < 128).sum())) if lang not in bands else 0
     band = band_of(lang, chars, latin, bands)
     kept = False
     if n:
-        ids = np.concatenate(fertility.ids(parts))
+        pieces = fertility.ids(parts)
+        whole = sum(len(x) <= 1 for x in pieces) / n
+        ids = np.concatenate(pieces)
         ids = ids[ids >= 0]
         tokens = len(ids)
         p = np.unique(ids, return_counts=True)[1] / tokens
         cpt, share, entropy = chars / tokens, float(fertility.is_byte[ids].mean()), float(-(p * np.log2(p)).sum())
-        kept = not failed and in_band(bands[band], cpt, share, entropy, tokens)
-    return n, chars, sum(text.count(c) for c in SYMBOLS), dup_lines(text), repeated, failed, kept, cpt, share, entropy, band
+        kept = not failed and in_band(bands[band], cpt, share, entropy, tokens, whole)
+    return n, chars, sum(text.count(c) for c in SYMBOLS), dup_lines(text), repeated, failed, kept, cpt, share, entropy, band, whole
 
 
 def model_bytes(spark, path: str) -> bytes:
@@ -134,7 +138,9 @@ def quality_rules(
     ``df`` that has the name of a measure gives way to the measure. A null or
     empty text, or one of white space only, has no words and is not kept. Rows
     that repeat are judged alike, an empty table gives an empty one. Bands must
-    have ``latin`` and ``other`` for rows of unknown or null language. The model
+    have ``latin`` and ``other`` for rows of unknown or null language, ``latin`` being
+    for texts that are half ASCII or more, too; the lowest share of words that are
+    one token may be left out of a band. The model
     (under 1 MB) travels with the tasks; nothing is shuffled.
     """
     measures = set(OUT.names)

@@ -1,5 +1,6 @@
 """Quality rules, SentencePiece, language-model scores, latent search and licences."""
 
+import base64
 import math
 import random
 import zlib
@@ -46,6 +47,25 @@ def test_fertility_measures(spark, model):
     assert got["byte_share"] > 0
 
 
+def test_encoded_and_random_strings_are_not_kept(spark, model):
+    rng = random.Random(9)
+    junk = [
+        lambda: base64.b64encode(rng.randbytes(30)).decode(), lambda: rng.randbytes(16).hex(), lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=9)),
+    ]
+    docs = [(i, " ".join(junk[i % 3]() for _ in range(10 + i)), ["en", "de", "fr", "es", "it", None][i // 3 % 6]) for i in range(90)]
+    prose = [
+        ("The committee met on Tuesday to discuss the new budget, and most members agreed that the plan needs further work before the vote.", "en"),
+        ("Der Ausschuss hat am Dienstag über den neuen Haushalt beraten, und die meisten Mitglieder waren sich einig, dass noch Arbeit nötig ist.", "de"),
+        ("Le comité s'est réuni mardi pour discuter du nouveau budget, et la plupart des membres pensent que le projet doit encore être revu.", "fr"),
+        ("El comité se reunió el martes para discutir el nuevo presupuesto, y la mayoría de los miembros cree que falta trabajo antes del voto.", "es"),
+        ("Komitet spotkał się we wtorek, aby omówić nowy budżet, a większość członków uznała, że plan wymaga dalszej pracy przed głosowaniem.", None),
+        ("Комитет собрался во вторник, чтобы обсудить новый бюджет, и большинство членов согласилось, что план требует доработки.", None),
+    ]
+    docs += [(1000 + i, t, lang) for i, (t, lang) in enumerate(prose)]
+    kept = {r["doc_id"] for r in fertility.quality_rules(spark.createDataFrame(docs, DOCS), model).where("kept").collect()}
+    assert kept == {1000 + i for i in range(len(prose))}
+
+
 def unigram_model(model):
     """The same pieces for the library's unigram search, which adds scores in single precision: those of -1e9 would blur all others."""
     pb2 = pytest.importorskip("sentencepiece.sentencepiece_model_pb2")
