@@ -19,8 +19,8 @@ FEATURES = [
 ]
 
 
-#: Suffixes (last two host labels) share so many hashed buckets, which bounds what is broadcast.
-SUFFIX_BUCKETS = 1 << 16
+#: A suffix (last two host labels) is spread over so many shares of its rows where it is joined.
+SALTS = 16
 
 
 def lower_ascii(c: Column) -> Column:
@@ -72,7 +72,7 @@ def lexical(df: DataFrame) -> DataFrame:
         "host_digit_ratio": share(_count(host, "0-9"), host), "hyphens": _count(path, "-"), "host_hyphens": _count(host, "-"),
         "n_params": F.when(query == "", 0.0).otherwise(_count(query, "&") + 1), "has_fragment": url.contains("#").cast("double"),
         "is_https": F.startswith(url, F.lit("https://")).cast("double"), "path_entropy": entropy(path), "host_entropy": entropy(host),
-        "vowel_ratio": share(_count(host, "aeiou"), host), "__suffix": F.pmod(F.xxhash64(F.substring_index(host, ".", -2)), F.lit(SUFFIX_BUCKETS)),
+        "vowel_ratio": share(_count(host, "aeiou"), host), "__suffix": F.substring_index(host, ".", -2),
     })
 
 
@@ -86,13 +86,18 @@ def prepared(df: DataFrame, url: str, rules: Sequence[tuple[str, str]]) -> DataF
 
 
 def suffix_statistics(labelled: DataFrame) -> DataFrame:
-    """Per hashed suffix, over all labelled urls: how many, and how many are blocked. At most ``SUFFIX_BUCKETS`` rows."""
+    """Per suffix, over all labelled urls: how many, and how many are blocked."""
     return labelled.groupBy("__suffix").agg(F.count(F.lit(1)).cast("double").alias("__n"), F.sum("__label").cast("double").alias("__blocked"))
 
 
 def with_suffix(df: DataFrame, statistics: DataFrame, own: Column | None = None) -> DataFrame:
-    """Smoothed share of blocked urls of the suffix; ``own`` (0/1) is the row's label, left out of its own statistics."""
-    joined = df.join(F.broadcast(statistics), "__suffix", "left")  # a bounded table
+    """Smoothed share of blocked urls of the suffix; ``own`` (0/1) is the row's label, left out of its own statistics.
+
+    Rows of one suffix are salted by a hash of the row, so that no task gets all of a frequent one.
+    """
+    salted = statistics.withColumn("__salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    row = [c for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind]
+    joined = df.withColumn("__salt", F.pmod(F.xxhash64(*row), F.lit(SALTS)).cast("int")).join(salted, ["__suffix", "__salt"], "left").drop("__salt")
     n, blocked = F.coalesce("__n", F.lit(0.0)), F.coalesce("__blocked", F.lit(0.0))
     if own is not None:
         n, blocked = n - 1, blocked - own

@@ -1,6 +1,7 @@
 """Chat formatting, WARC, URL filter and the pipeline."""
 
 import gzip
+import math
 import random
 
 import duckdb
@@ -180,6 +181,18 @@ def test_pipeline_equals_brute_force(spark):
     assert sorted(r["doc_id"] for r in last.collect()) == sorted(set(expected) - inside)
 
 
+def test_suffix_statistics_are_not_shared(spark):
+    hosts = spark.range(0, 100_000, 1, 4).select(F.concat(F.lit("https://a.d"), "id", F.lit(".net/p")).alias("url"), F.lit(1.0).alias("__label"))
+    labelled = urls.lexical(urls.prepared(hosts.select(F.col("url").alias("u"), "__label"), "u", []))
+    statistics = urls.suffix_statistics(labelled)
+    assert statistics.count() == 100_000 and statistics.agg(F.max("__n")).first()[0] == 1
+    asked = spark.createDataFrame([(f"http://x.unknown{i}.net/",) for i in range(200)] + [("http://x.d7.net/",)] * 3, "u string")
+    got = urls.with_suffix(urls.lexical(urls.prepared(asked, "u", [])), statistics).select("u", "suffix_block_rate", "suffix_log_count").collect()
+    assert len(got) == 203
+    for r in got:
+        assert (r[1], r[2]) == ((2 / 3, pytest.approx(math.log(2))) if "d7" in r["u"] else (0.5, 0.0))
+
+
 def test_pipeline_stages_take_empty_tables(spark):
     import corpus_pipeline
 
