@@ -1,6 +1,8 @@
 """Licence scan: a trained paragraph classifier, confirmed by templates.
 
-Paragraphs are lines; long lines are read in overlapping windows. Hashed word
+Notices are sought in lines, in each two consecutive lines and in paragraphs
+(lines up to a blank one), so that wrapped ones are found; what is long is read
+in overlapping windows. Hashed word
 unigrams and bigrams feed a multinomial logistic regression (Spark ML) with one
 class per licence family and one for unknown text. Its probabilities are
 calibrated by a temperature found on held-out examples, and a prediction only
@@ -109,14 +111,8 @@ def word_hashes(texts: list[str]) -> list[np.ndarray]:
     return [words.hash[a:b] for a, b in zip(words.first[:-1], words.first[1:], strict=True)]
 
 
-def paragraphs(words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of lines, and of half-overlapping windows of lines of more than ``LINE_WORDS`` words."""
-    breaks = np.concatenate([[0], np.cumsum(words.data == 10)])
-    line = breaks[words.start]
-    owner = words.owner()
-    new = np.concatenate([[True], (line[1:] != line[:-1]) | (owner[1:] != owner[:-1])]) if len(line) else np.zeros(0, bool)
-    start = np.flatnonzero(new)
-    end = np.append(start[1:], len(line))
+def windows(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ranges of words as they are, or as half-overlapping windows where they have more than ``LINE_WORDS`` words."""
     step = LINE_WORDS // 2
     pieces = np.maximum(1, -(-(end - start - LINE_WORDS) // step) + 1)
     place = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
@@ -124,6 +120,25 @@ def paragraphs(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return first, np.minimum(first + LINE_WORDS, np.repeat(end, pieces))
 
 
+def paragraphs(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the windows of lines, of two consecutive lines and of paragraphs, in the order of their starts."""
+    breaks = np.concatenate([[0], np.cumsum(words.data == 10)])
+    line = breaks[words.start]
+    owner = words.owner()
+    if not len(line):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    apart = owner[1:] != owner[:-1]
+    start = np.flatnonzero(np.concatenate([[True], (line[1:] != line[:-1]) | apart]))
+    top = np.flatnonzero(np.concatenate([[True], (line[1:] > line[:-1] + 1) | apart]))
+    end, bottom = np.append(start[1:], len(line)), np.append(top[1:], len(line))
+    follows = np.flatnonzero(~np.isin(start[1:], top))
+    many = np.searchsorted(start, bottom) - np.searchsorted(start, top) > 2
+    ranges = [(start, end), (start[follows], end[follows + 1]), (top[many], bottom[many])]
+    first, last = map(np.concatenate, zip(*(windows(a, b) for a, b in ranges if len(a)), strict=True))
+    found = np.unique(first * (len(line) + 1) + last)
+    return found // (len(line) + 1), found % (len(line) + 1)
+
+
 def examples(templates: dict[str, list[str]], noise: list[str], per_template: int, seed: int = 5) -> list[tuple[str, str]]:
     """Notices with words of the corpus around them, and cut short."""
     rng, out = random.Random(seed), []
@@ -196,13 +211,23 @@ def noise_paragraphs(docs: DataFrame, most: int) -> list[str]:
     return [t for t, h in zip(texts, word_hashes(texts), strict=True) if all(np.isin(k, pair_hash(h)).mean() < 0.3 for k in known if len(k))]
 
 
+def apart(ranges: list[tuple[int, int]]) -> int:
+    """How many ranges there are where those that overlap are one; given in the order of their starts."""
+    n, reach = 0, -1
+    for start, end in ranges:
+        n += start >= reach
+        reach = max(reach, end)
+    return n
+
+
 def scan(df: DataFrame, classifier: Classifier, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document and licence family found: ``doc_id``, ``family``, ``n_paragraphs``, ``probability``, ``template``, ``first_word``.
 
-    A paragraph counts when its most probable class is a family, with a
-    calibrated probability of a half or more, and it has 60 % of the word pairs of
-    one of the family's templates. ``probability`` and ``template`` are the
-    highest found, ``first_word`` the place of the first paragraph. Null and empty
+    A line, two consecutive lines or a window of a paragraph count when their most
+    probable class is a family, with a calibrated probability of a half or more,
+    and they have 60 % of the word pairs of one of the family's templates; those
+    that overlap count as one in ``n_paragraphs``. ``probability`` and
+    ``template`` are the highest found, ``first_word`` the place of the first. Null and empty
     texts have no paragraphs; repeated rows are reported each; other columns are
     not read; an empty table gives no rows. Nothing is shuffled.
     """
@@ -226,9 +251,9 @@ def scan(df: DataFrame, classifier: Classifier, key: str = "doc_id", text: str =
                     share = c.template(family, words.hash[first[k] : end[k]])
                     if share >= MIN_TEMPLATE:
                         d = int(np.searchsorted(words.first, first[k], side="right")) - 1
-                        hits.setdefault((d, family), []).append((float(p[k, best[k]]), share, int(first[k] - words.first[d])))
+                        hits.setdefault((d, family), []).append((float(p[k, best[k]]), share, int(first[k] - words.first[d]), int(end[k] - words.first[d])))
                 ids = part.column("id")
-                rows = [(ids[d].as_py(), f, len(h), max(x[0] for x in h), max(x[1] for x in h), min(x[2] for x in h)) for (d, f), h in hits.items()]
+                rows = [(ids[d].as_py(), f, apart([x[2:] for x in h]), max(x[0] for x in h), max(x[1] for x in h), min(x[2] for x in h)) for (d, f), h in hits.items()]
                 yield record_batch(FOUND, **dict(zip(FOUND.names, map(list, zip(*rows, strict=True)) if rows else [[]] * len(FOUND.names), strict=True)))
 
     return df.select(df[key].cast("bigint").alias("id"), df[text].alias("text")).mapInArrow(run, spark_schema(FOUND))

@@ -300,3 +300,35 @@ def test_licences(spark):
     assert len(found & right) >= 0.95 * len(right)
     assert not [x for x in found if x[0] >= 10_000]
     assert licences.scan(spark.createDataFrame([], "doc_id bigint, text string"), classifier).count() == 0
+
+
+WRAPPED = {
+    "GPL": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.""",
+    "LGPL": """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.""",
+    "BSD": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:""",
+    "Apache": """you may not use this file except in compliance
+with the License. You may obtain a copy of the
+License at apache.org/licenses/LICENSE-2.0""",
+}
+
+
+def test_wrapped_notices(spark):
+    rng = random.Random(7)
+    noise = [" ".join("".join(rng.choice("aeioulnrst") for _ in range(rng.randrange(2, 9))) for _ in range(rng.randrange(3, 60))) for _ in range(300)]
+    classifier = licences.fit(spark, noise)
+    docs, right = [], set()
+    for family, notice in WRAPPED.items():
+        lines = notice.split("\n")
+        for text in (notice, "\n".join(f" * {x}" for x in lines), "\n".join(f"# {x}" for x in lines), f"{noise[1]}\n\n{notice}\n\n{noise[2]}"):
+            right.add((len(docs), family))
+            docs.append((len(docs), text))
+    docs += [(1000 + i, "\n".join(rng.choices(noise, k=6))) for i in range(50)]
+    found = licences.scan(spark.createDataFrame(docs, "doc_id bigint, text string"), classifier).collect()
+    assert {(r["doc_id"], r["family"]) for r in found} == right and {r["n_paragraphs"] for r in found} == {1}
