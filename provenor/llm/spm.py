@@ -4,9 +4,11 @@ The best segmentation of a text maximises the sum of its piece scores. A text is
 a chain of units between which no piece can stand, so units are solved once and
 remembered. A giant text is cut into chunks at fixed places, whatever stands
 there. A piece may reach over a cut by less than the longest piece, so a chunk
-is a max-plus matrix from entry offsets to exit offsets; matrices combine
-associatively, which gives every chunk its own entry and exit, and each chunk is
-then traced back on its own.
+is a max-plus matrix from entry offsets to exit offsets. The matrices of one text
+meet in one task, where a vector goes through them from the first to the last and
+back, a serial scan that gives every chunk its entry and exit; each chunk is then
+traced back on its own. ``combine`` and ``scan_all`` show that the matrices combine
+associatively; the query does not use them.
 """
 
 from __future__ import annotations
