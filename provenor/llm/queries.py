@@ -12,13 +12,14 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provenor.llm import chat, fertility, interpolation, jaccard, latent, licences, repeats, spm, urls, warc
+from provenor.llm import chat, fertility, interpolation, jaccard, latent, licences, repeats, spm, tokens, urls, warc
 from provenor.session import working_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 PIECE_MODEL = f"{TOKENIZERS}/piece_bpe_32k.model"
+BYTE_MODEL = f"{TOKENIZERS}/byte_bpe_50k.json"
 
 
 def ship(spark: SparkSession) -> None:
@@ -185,3 +186,11 @@ def op5(spark, sf):
 @query("op7_licences")
 def op7(spark, sf):
     return licences.licences(table(spark, sf, "documents"))
+
+
+@query("op11_token_ids")
+def op11(spark, sf):
+    folder = working_path(spark, "ids")
+    tokens.write_ids(table(spark, sf, "documents").select("doc_id", "text"), folder, fertility.model_bytes(spark, BYTE_MODEL))
+    read = tokens.read_ids(spark, folder)
+    return read.select("doc_id", "start", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
