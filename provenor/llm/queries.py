@@ -12,7 +12,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provenor.llm import chat, fertility, interpolation, jaccard, latent, licences, repeats, spm, tokens, urls, warc
+from provenor.llm import chat, fertility, interpolation, jaccard, latent, licences, repeats, spm, tokens, urls, warc, whitening
 from provenor.session import working_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -194,3 +194,16 @@ def op11(spark, sf):
     tokens.write_ids(table(spark, sf, "documents").select("doc_id", "text"), folder, fertility.model_bytes(spark, BYTE_MODEL))
     read = tokens.read_ids(spark, folder)
     return read.select("doc_id", "start", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
+@query("op13_whitening")
+def op13(spark, sf):
+    vectors = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("x"))
+    scaled = whitening.usable(vectors, "x").withColumn("x", whitening.scaled(F.col("x")))
+    made = whitening.whiten(whitening.usable(scaled, "x"), "vec_id", "x")
+    explained = F.expr("array(" + ",".join(f"double('{float(e / made.trace) if made.trace else 0.0!r}')" for e in made.values[:32]) + ")")
+    wide = made.rows.withColumn("deviation", whitening.deviation("x", made.n, made.sums) if made.n else F.lit(None).cast("bigint"))
+    return wide.select("vec_id", "deviation", F.posexplode("whitened").alias("place", "whitened")).select(
+        "vec_id", (F.col("place") + 1).alias("component"), F.lit(made.n).cast("bigint").alias("n"), "deviation", "whitened",
+        (F.element_at(explained, F.col("place") + 1) if made.n else F.lit(None).cast("double")).alias("explained"), F.lit(made.identity_error).cast("double").alias("identity_error"),
+    )
