@@ -12,7 +12,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provenor.llm import chat, fertility, interpolation, jaccard, latent, licences, repeats, spm, tokens, urls, warc, whitening
+from provenor.llm import chat, fertility, interpolation, jaccard, latent, licences, repeats, runs, spm, tokens, urls, warc, whitening
 from provenor.session import working_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -207,3 +207,14 @@ def op13(spark, sf):
         "vec_id", (F.col("place") + 1).alias("component"), F.lit(made.n).cast("bigint").alias("n"), "deviation", "whitened",
         (F.element_at(explained, F.col("place") + 1) if made.n else F.lit(None).cast("double")).alias("explained"), F.lit(made.identity_error).cast("double").alias("identity_error"),
     )
+
+
+@query("op12_periodic_runs")
+def op12(spark, sf):
+    docs = runs.with_periodic_tails(table(spark, sf, "documents").select("doc_id", "text"))
+    found = runs.periodic_runs(docs, keep=("doc_id",))
+    line = lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(line(r), F.lit("\n"))), "")
+    return found.select(
+        "doc_id", "n_runs", "start", "length", "period", "exponent_milli", F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
