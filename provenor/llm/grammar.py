@@ -52,31 +52,48 @@ def symbol_lengths(symbols: np.ndarray, terminals: int, rule_lengths: np.ndarray
     return out
 
 
+def _slots(key: np.ndarray, bits: int) -> np.ndarray:
+    return (key * U(0x9E3779B97F4A7C15)) >> U(64 - bits)
+
+
 def frequent_pairs(symbols: np.ndarray, last: np.ndarray, least: int, most: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs to replace (sorted keys), the places of their occurrences and which pair each place has."""
-    places = np.flatnonzero(~last[:-1])
-    key = (symbols[places].astype(U) << U(32)) | symbols[places + 1].astype(U)
+    """Pairs to replace, the places of their occurrences and which pair each place has.
+
+    Pairs are found by a hash table with one pair a slot; one whose slot a more frequent pair has waits for a later round.
+    """
+    small = int(symbols.max()) < 0xFFFF  # 32-bit keys sort faster
+    width = np.uint32(16) if small else U(32)
+    wide = symbols.astype(np.uint32 if small else U)
+    key = (wide[:-1] << width) | wide[1:]
+    none = ~key.dtype.type(0)
+    key[last[:-1]] = none
     order = np.sort(key)
-    edge = np.flatnonzero(np.concatenate([[True], order[1:] != order[:-1], [True]])) if len(order) else np.zeros(1, np.int64)
+    order = order[: np.searchsorted(order, none)]
+    if not len(order):
+        return order, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    edge = np.flatnonzero(np.concatenate([[True], order[1:] != order[:-1], [True]]))
     times = np.diff(edge)
     many = np.flatnonzero(times >= least)
-    if most is not None and len(many) > most:
-        many = np.sort(many[np.lexsort((many, -times[many]))[:most]])
+    many = many[np.lexsort((many, -times[many]))[:most]]
     pairs = order[edge[many]]
     if not len(pairs):
-        return pairs, places[:0], places[:0]
+        return pairs, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    bits = max(16, int(8 * len(pairs)).bit_length())
+    slot = _slots(pairs.astype(U), bits)
+    first = np.unique(slot, return_index=True)[1]  # the most frequent one of each slot
+    table, number = np.full(1 << bits, none, key.dtype), np.zeros(1 << bits, np.int32)
+    table[slot[first]], number[slot[first]] = pairs[first], first
     starts, ends = np.zeros((2, int(symbols.max()) + 1), bool)
-    starts[(pairs >> U(32)).astype(np.int64)] = True
-    ends[(pairs & U(0xFFFFFFFF)).astype(np.int64)] = True
-    near = starts[symbols[places]] & ends[symbols[places + 1]]  # few others pass, so few are looked up in vain
-    places, key = places[near], key[near]
-    which = np.searchsorted(pairs, key)
-    which[which == len(pairs)] = 0
-    hit = pairs[which] == key
-    places, which = places[hit], which[hit]
-    fresh = np.concatenate([[True], np.diff(places) != 1])  # overlapping occurrences: every second one of a chain
-    first = np.maximum.accumulate(np.where(fresh, np.arange(len(places)), 0))
-    keep = (np.arange(len(places)) - first) % 2 == 0
+    starts[pairs >> width] = True
+    ends[pairs & key.dtype.type((1 << int(width)) - 1)] = True
+    places = np.flatnonzero(starts[symbols[:-1]] & ends[symbols[1:]])
+    near = key[places]
+    at = _slots(near.astype(U), bits)
+    hit = (table[at] == near) & (near != none)
+    places, which = places[hit], number[at[hit]].astype(np.int64)
+    fresh = np.concatenate([[True], np.diff(places) != 1])[: len(places)]  # overlapping occurrences: every second one of a chain
+    chain = np.maximum.accumulate(np.where(fresh, np.arange(len(places)), 0))
+    keep = (np.arange(len(places)) - chain) % 2 == 0
     return pairs, places[keep], which[keep]
 
 
@@ -86,7 +103,7 @@ def compress(ids: np.ndarray, last: np.ndarray, terminals: int, least: int = 2,
     Rounds go on until no pair occurs ``least`` times (2 at least), or until
     ``rounds`` rounds or ``rules`` rules are made. The order of ids alone decides the result.
     """
-    symbols, left, right, made = ids.astype(np.int64), [], [], [0]
+    symbols, left, right, made = ids.astype(np.int32), [], [], [0]
     last = last.copy()
     while (rounds is None or len(made) <= rounds) and len(symbols) > 1:
         room = None if rules is None else rules - made[-1]
@@ -98,8 +115,9 @@ def compress(ids: np.ndarray, last: np.ndarray, terminals: int, least: int = 2,
         keep = used[which]
         places, which = places[keep], (np.cumsum(used) - 1)[which[keep]]
         pairs = pairs[used]
-        left.append((pairs >> U(32)).astype(np.int64))
-        right.append((pairs & U(0xFFFFFFFF)).astype(np.int64))
+        width = pairs.dtype.type(pairs.dtype.itemsize * 4)
+        left.append((pairs >> width).astype(np.int64))
+        right.append((pairs & pairs.dtype.type((1 << int(width)) - 1)).astype(np.int64))
         symbols[places] = terminals + made[-1] + which
         last[places] = last[places + 1]
         stay = np.ones(len(symbols), bool)
@@ -107,7 +125,7 @@ def compress(ids: np.ndarray, last: np.ndarray, terminals: int, least: int = 2,
         symbols, last = symbols[stay], last[stay]
         made.append(made[-1] + len(pairs))
     none = [np.zeros(0, np.int64)]
-    return Grammar(terminals, np.concatenate(left or none), np.concatenate(right or none), made[1:], symbols, last)
+    return Grammar(terminals, np.concatenate(left or none), np.concatenate(right or none), made[1:], symbols.astype(np.int64), last)
 
 
 class Expander:

@@ -13,26 +13,26 @@ from __future__ import annotations
 
 import hashlib
 import os
-import re
 import struct
 import uuid
 from bisect import bisect_right
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provenor.llm.grammar import Expander, compress, symbol_lengths
+from provenor.llm.grammar import Expander, compress, ragged, symbol_lengths
 from provenor.llm.packing import record_batch, shuffle_size, spark_schema
 from provenor.llm.warc import _open
-from provenor.llm.words import slices
+from provenor.llm.words import range_hash, slices, text_bytes
 from provenor.operators.ordering import number_rows
 
 SHARD_IDS = 1 << 21  # a shard closes at the end of the document with which it reaches so many ids
 ROUNDS, PER_ROUND, LEAST = 6, 2500, 4
-REMEMBERED, REMEMBERED_CHARS = 200_000, 64
+REMEMBERED = 1_000_000
 RANGES_A_PARTITION, SAMPLES_A_RANGE = 4, 16
 
 #: Fixed values of the file format.
@@ -43,38 +43,107 @@ ENCODED = pa.schema([("range", pa.int32()), ("doc", pa.int64()), ("h", pa.int64(
 FILES = pa.schema([("file", pa.string()), ("range", pa.int32()), ("number", pa.int32()), ("bytes", pa.int64()), ("documents", pa.int64()), ("ids", pa.int64()), ("symbols", pa.int64()), ("rules", pa.int64()), ("sha256", pa.string())])
 DOCUMENTS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("ids", pa.binary()), ("file", pa.string())])
 
-#: Byte-level BPE splits before a blank that follows another character, so these pieces of a text are encoded on their own.
-PIECES = re.compile(r"\s*\S+(?:[^\S \n\t]\s*\S*)*|\s+")
+_SPACE, _SIGN, _ALNUM, _LEAD, _WIDE = 1, 2, 4, 8, 16
+_KIND = np.zeros(256, np.uint8)
+_KIND[[9, 10, 32]] = _SPACE
+_KIND[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = _SIGN
+_KIND[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = _ALNUM
+_KIND[0xC3:0xCA] = _LEAD  # two-byte letters U+00C0 to U+027F
+_KIND[0xE1:0xE4] = _WIDE  # three-byte characters, blanks among them
+
+
+def piece_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Places at which byte-level BPE always splits UTF-8 texts, so that what lies between can be encoded on its own.
+
+    These are the starts of the texts, blanks after another character than a blank, and ASCII signs
+    after an ASCII letter or digit or a Latin letter.
+    """
+    kind = _KIND[data]
+    at = np.flatnonzero((kind == _SPACE) | (kind == _SIGN))
+    at = at[at > 0]
+    one, two, three = data[at - 1], data[np.maximum(at - 2, 0)], data[np.maximum(at - 3, 0)]
+    many = one >= 0x80
+    blank = np.where(many, np.where(two >= 0xC0, two == 0xC2, _KIND[three] == _WIDE), (one <= 0x20) | (one == 0x7F))
+    letter = (_KIND[one] == _ALNUM) | (many & (_KIND[two] == _LEAD) & ~((two == 0xC3) & ((one == 0x97) | (one == 0xB7))))
+    cut = np.zeros(len(data) + 1, bool)
+    cut[at[np.where(kind[at] == _SPACE, ~blank, letter)]] = True
+    cut[offsets] = True
+    return np.flatnonzero(cut[:-1])
 
 
 class Encoder:
-    """Texts to ids with the ``tokenizers`` library, which encodes each distinct piece between blanks once.
+    """Texts to ids with the ``tokenizers`` library, which encodes each distinct piece (see ``piece_starts``) once.
 
-    Strings of special tokens in a text are ordinary text.
+    Pieces are told apart by 64-bit hashes. New ones go to the library in rows of ``TOGETHER``, which
+    it splits at their blanks; the bytes of the ids tell where each piece ends. Strings of special
+    tokens in a text are ordinary text.
     """
 
+    TOGETHER = 64
+
     def __init__(self, model: bytes, dtype):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core per task
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_buffer(model)
         self.tokenizer.encode_special_tokens = True
-        self.dtype = dtype
-        self.known: dict[str, bytes] = {}
-
-    def encode(self, texts: Iterable[str | None]) -> list[bytes]:
-        pieces = [PIECES.findall(t or "") for t in texts]
-        new = list(set().union(*pieces) - self.known.keys())
+        self.dtype = np.dtype(dtype)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.bytes_of = np.zeros(max(vocabulary.values()) + 2, np.int64)
+        self.bytes_of[list(vocabulary.values())] = [len(piece) for piece in vocabulary]  # one character stands for one byte
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[int, int] = {}
+        self.pool, self.start, self.length = np.zeros(0, self.dtype), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _found(self, rows: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(rows, add_special_tokens=False)]
+
+    def _learn(self, hashes: list[int], pieces: list[str]) -> None:
+        """Adds pieces: those that begin with a blank and end without may stand one after the other."""
+        chain = [k for k, p in enumerate(pieces) if p[0] in " \n\t" and not p[-1].isspace()]
+        joined, n = set(chain), self.TOGETHER
+        apart = [k for k in range(len(pieces)) if k not in joined]
+        alone = self._found([pieces[k] for k in apart])
+        rows = self._found(["".join(pieces[j] for j in chain[k : k + n]) for k in range(0, len(chain), n)])
+        ids = np.concatenate([np.zeros(0, self.dtype), *rows])
+        upto, ends = np.cumsum(self.bytes_of[ids]), np.cumsum([len(pieces[k].encode()) for k in chain])
+        stops = np.searchsorted(upto, ends) + 1
+        if len(chain) and (upto[-1] != ends[-1] or (upto[stops - 1] != ends).any()):
+            raise ValueError("the tokenizer does not split at blanks")
+        lengths = np.concatenate([np.diff(np.concatenate([[0], stops])), np.array([len(x) for x in alone], np.int64)]).astype(np.int64)
+        self.start = np.concatenate([self.start, len(self.pool) + np.cumsum(lengths) - lengths])
+        self.length = np.concatenate([self.length, lengths])
+        self.pool = np.concatenate([self.pool, ids, *alone])
+        base = len(self.known)
+        self.known.update((hashes[k], base + j) for j, k in enumerate([*chain, *apart]))
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text; a null is empty."""
+        data, offsets = text_bytes(texts)
+        starts = piece_starts(data, offsets)
+        ends = np.concatenate([starts[1:], [len(data)]])[: len(starts)]
+        names, first, which = np.unique(range_hash(data, starts, ends), return_index=True, return_inverse=True)
+        listed = names.tolist()
+        new = [k for k, h in enumerate(listed) if h not in self.known]
         if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = list(set().union(*pieces))
-        found = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-        self.known.update((p, np.array(e.ids, self.dtype).tobytes()) for p, e in zip(new, found, strict=True))
-        out = [b"".join(map(self.known.__getitem__, p)) for p in pieces]
-        for p in new:
-            if len(p) > REMEMBERED_CHARS:
-                del self.known[p]
-        return out
+            self._forget()
+            new = list(range(len(listed)))
+        if new:
+            whole = data.tobytes()
+            self._learn([listed[k] for k in new], [whole[starts[k] : ends[k]].decode() for k in first[new]])
+        number = np.array([self.known[h] for h in listed], np.int64)[which]
+        sizes = self.length[number]
+        ids = self.pool[ragged(self.start[number], sizes)]
+        upto = np.concatenate([[0], np.cumsum(sizes)])[np.searchsorted(starts, offsets)]
+        return [ids[a:b] for a, b in zip(upto[:-1], upto[1:], strict=True)]
+
+
+@lru_cache(1)
+def encoder(model: bytes, dtype: str) -> Encoder:
+    """One per worker process, kept for its next tasks."""
+    return Encoder(model, dtype)
 
 
 def vocabulary_size(model: bytes) -> int:
@@ -171,17 +240,17 @@ def write_ids(docs: DataFrame, folder: str, model: bytes, key: str = "doc_id", t
     """
     spark, size = docs.sparkSession, vocabulary_size(model)
     dtype = np.dtype("<u2" if size <= 65_536 else "<u4")
-    tail = np.array([end], dtype).tobytes()
+    kind, tail = dtype.str, np.array([end], dtype)
     body = docs[text].cast("string")
     rows = docs.select(docs[key].cast("bigint").alias("doc"), F.xxhash64(body).alias("h"), body.alias("text"))
     n = RANGES_A_PARTITION * shuffle_size(spark)
     bounds = range_bounds(rows.select("doc", "h", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).alias("size")), n)
 
     def encode(batches):
-        encoder = Encoder(model, dtype)
+        known = encoder(model, kind)
         for batch in batches:
-            for part in slices(batch, "text", 1 << 20):
-                ids = [x + tail for x in encoder.encode(part.column("text").to_pylist())]
+            for part in slices(batch, "text"):
+                ids = [np.concatenate([x, tail]).tobytes() for x in known.encode(part.column("text"))]
                 places = [bisect_right(bounds, (d is not None, d or 0, h)) for d, h in zip(part.column("doc").to_pylist(), part.column("h").to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(places, pa.int32()), part.column("doc"), part.column("h"), pa.array(ids, pa.binary())], schema=ENCODED)
 

@@ -58,6 +58,23 @@ def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES) -> Iterat
         start = stop
 
 
+def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of a column of texts and where each text begins; a null text is empty."""
+    texts = pc.fill_null(texts, "").cast(pa.large_string())
+    if isinstance(texts, pa.ChunkedArray):
+        texts = texts.combine_chunks()
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if offsets[-1] > offsets[0] else np.zeros(0, np.uint8)
+    return data, offsets - offsets[0]
+
+
+def range_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of the bytes from each start up to its end."""
+    sums = np.concatenate([[U(0)], np.cumsum(_BYTE_CODES[data] * _powers(_RADIX, len(data)), dtype=U)])
+    h = (sums[end] - sums[start]) * _powers(_RADIX_INVERSE, len(data) + 1)[start]
+    return mix(h + (end - start).astype(U) * U(_RADIX))
+
+
 class Words:
     """The words of a column of texts; a null text has none.
 
