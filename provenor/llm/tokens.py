@@ -32,7 +32,7 @@ from provenor.operators.ordering import number_rows
 
 SHARD_IDS = 1 << 21  # a shard closes at the end of the document with which it reaches so many ids
 ROUNDS, PER_ROUND, LEAST = 6, 2500, 4
-REMEMBERED = 1_000_000
+REMEMBERED = 600_000
 RANGES_A_PARTITION, SAMPLES_A_RANGE = 4, 16
 
 #: Fixed values of the file format.
