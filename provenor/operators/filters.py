@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from provenor import constants as K
 from provenor.functions import not_blank, norm_key
+from provenor.operators.sorting import page
 
 
 def keep_matching(df: DataFrame, col: str, pattern: str) -> DataFrame:
@@ -72,10 +73,10 @@ def candidate_filter(
 def search_targets(
     df: DataFrame, rank: str, limit: int, offset: int = 0, with_total: bool = True, tie: str | None = None, **criteria
 ) -> DataFrame:
-    """One page of the matching rows in rank order, missing ranks last, with the total."""
+    """One page of the matching rows in rank order, missing ranks last, with the total; deep pages need a unique rank or ``tie``."""
     hits = df.where(F.coalesce(candidate_filter(**criteria), F.lit(False)))
     order = [F.col(rank).asc_nulls_last()] + ([F.col(tie).asc()] if tie else [])
-    shown = hits.orderBy(*order).offset(offset).limit(limit)
+    shown = page(hits, order, limit, offset)
     if not with_total:
         return shown
     return shown.withColumn("total", hits.agg(F.count(F.lit(1)).alias("n")).scalar())

@@ -13,12 +13,13 @@ Order columns that come from floating-point aggregates should be stored before
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from provenor.session import materialise
+from provenor.session import materialise, working_path
 
 _KEY, _SLICE, _LOCAL, _PLACE = "__key", "__slice", "__local", "__place"
 
@@ -141,3 +142,46 @@ def exact_quantiles(
                 total = part if total is None else total + part
         aggs.append(total.alias(name))
     return numbered.where(wanted).groupBy(*keys).agg(*aggs)
+
+
+@dataclass(frozen=True)
+class Pages:
+    """A stored order that is read page by page: a page opens only the slices it lies in, wherever it is.
+
+    ``slices`` holds, per slice, its number, the place of its first row, the rows of all
+    slices before it and its own rows: one entry per task that wrote.
+    """
+
+    spark: SparkSession
+    path: str
+    schema: str
+    columns: tuple[str, ...]
+    slices: tuple[tuple[int, int, int, int], ...]
+
+    @property
+    def total(self) -> int:
+        return self.slices[-1][2] + self.slices[-1][3] if self.slices else 0
+
+    def page(self, limit: int, offset: int = 0) -> DataFrame:
+        """Rows offset+1 .. offset+limit in order; Parquet statistics on the place skip the row groups of the slice that are not needed."""
+        wanted = F.lit(False)
+        for number, first, before, rows in self.slices:
+            a, b = max(0, offset - before), min(rows, offset + limit - before)
+            if a < b:
+                wanted = wanted | ((F.col(_SLICE) == number) & F.col(_PLACE).between(first + a, first + b - 1))
+        stored = self.spark.read.schema(self.schema).parquet(self.path)
+        return stored.where(wanted).orderBy(_PLACE).select(*[F.col(f"`{c}`") for c in self.columns])
+
+
+def store_pages(df: DataFrame, order: Sequence[Column]) -> Pages:
+    """Writes ``df`` once as range slices in ``order``, which must end in a unique column, and counts their rows."""
+    spark, path = df.sparkSession, working_path(df.sparkSession, "pages")
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({_SLICE: F.spark_partition_id(), _PLACE: F.monotonically_increasing_id()})
+    placed.write.partitionBy(_SLICE).parquet(path)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in placed.schema)
+    counts = spark.read.schema(schema).parquet(path).groupBy(_SLICE).agg(F.min(_PLACE).alias("first"), F.count(F.lit(1)).alias("n")).orderBy(_SLICE).collect()
+    slices, before = [], 0
+    for r in counts:
+        slices.append((r[_SLICE], r["first"], before, r["n"]))
+        before += r["n"]
+    return Pages(spark, path, schema, tuple(df.columns), tuple(slices))

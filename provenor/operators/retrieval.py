@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -110,13 +110,18 @@ def cosine_topk(
     passage_vec: str,
     k: int = K.RETRIEVAL_TOP_K,
     question_block: int = 1024,
+    passage_bytes: int = 64 << 20,
 ) -> DataFrame:
     """The exact k nearest passages by cosine distance for every question.
 
-    Questions are stored once and read by the tasks in blocks of
-    ``question_block``; passages are scanned in place, once, and never shuffled.
-    Each task keeps k candidates per question, which are all that is exchanged.
-    Null vectors are left out; a vector of zeros is infinitely far.
+    The work is cut in tiles of one block of questions and one chunk of passages.
+    Passages are scanned in place, once, and never shuffled; a task holds a chunk of
+    ``passage_bytes`` of vectors, reads the stored questions in blocks of ``question_block``
+    once per chunk and passes on k candidates per question of the block at hand. It keeps
+    nothing else, so its memory grows neither with the questions nor with the passages;
+    the candidates of all chunks are cut to k by Spark. Null vectors are left out; a
+    vector of zeros is infinitely far. The shared folder must be a URI that
+    pyarrow opens: ``file:``, ``hdfs:``, ``s3:`` (also written ``s3a:``), ``gs:``, ``abfs:`` (also ``abfss:``).
     """
     q = questions.select(F.col(question_id).alias("question"), F.col(question_vec).cast("array<double>").alias("vec")).where("vec IS NOT NULL")
     p = passages.select(F.col(passage_id).alias("passage"), F.col(passage_vec).cast("array<double>").alias("vec")).where("vec IS NOT NULL")
@@ -124,44 +129,63 @@ def cosine_topk(
     schema = f"question {types['question']}, passage {types['passage']}, distance double"
     stored = materialise(q, "questions")
     files = sorted(stored.inputFiles())
-    rows_per_batch = question_block
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[tuple[str, int], tuple] = {}
-        id_type = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            id_type = batch.column("passage").type
-            batch = batch.sort_by("passage")
-            ids, unit = batch.column("passage").to_numpy(zero_copy_only=False), _matrix(batch.column("vec"))
-            for place, block in _question_blocks(files, rows_per_batch):
-                rows, cols, distance = _best(_matrix(block.column("vec")), unit, k)
-                found = (rows, ids[cols], distance)
-                if place in best:
-                    found = tuple(np.concatenate(c) for c in zip(best[place], found))
-                    keep = _first_k(found[0], found[2], found[1], k)
-                    found = tuple(c[keep] for c in found)
-                best[place] = found
-        for place, block in _question_blocks(files, rows_per_batch) if best else ():
-            rows, ids, distance = best[place]
-            yield pa.RecordBatch.from_arrays([block.column("question").take(pa.array(rows)), pa.array(ids, type=id_type), pa.array(distance)], ["question", "passage", "distance"])
+        return tiles(batches, lambda: _question_blocks(files, question_block), k, passage_bytes)
 
     near = p.mapInArrow(scan, schema)
     chosen = n_per_group(near, ["question"], [F.col("distance").asc(), F.col("passage").asc()], k, number="place")
     return chosen.withColumn("similarity", similarity("distance"))
 
 
-def _question_blocks(files: Sequence[str], size: int) -> Iterator[tuple[tuple[str, int], pa.RecordBatch]]:
-    """Blocks of the stored questions with their place, in the same order every time."""
+TILE_CELLS = 1 << 22
+
+
+def tiles(batches: Iterator[pa.RecordBatch], blocks: Callable[[], Iterator[pa.RecordBatch]], k: int, passage_bytes: int) -> Iterator[pa.RecordBatch]:
+    """(question, passage, distance) of the k nearest passages of each chunk for every question, one block of questions at a time."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= passage_bytes:
+            yield from _tiles_of_chunk(held, blocks, k)
+            held, size = [], 0
+    yield from _tiles_of_chunk(held, blocks, k)
+
+
+def _tiles_of_chunk(held: Sequence[pa.RecordBatch], blocks: Callable[[], Iterator[pa.RecordBatch]], k: int) -> Iterator[pa.RecordBatch]:
+    chunk = pa.Table.from_batches(held).sort_by("passage").combine_chunks() if held else None
+    if chunk is None or not chunk.num_rows:
+        return
+    id_type, ids = chunk.schema.field("passage").type, chunk.column("passage").to_numpy()
+    unit = _matrix(chunk.column("vec").combine_chunks())
+    for block in blocks():
+        if not block.num_rows:
+            continue
+        vectors, found = _matrix(block.column("vec")), None
+        step = max(k, TILE_CELLS // block.num_rows)
+        for at in range(0, len(ids), step):
+            rows, cols, distance = _best(vectors, unit[at : at + step], k)
+            new = (rows, ids[at + cols], distance)
+            if found is not None:
+                new = tuple(np.concatenate(c) for c in zip(found, new, strict=True))
+                keep = _first_k(new[0], new[2], new[1], k)
+                new = tuple(c[keep] for c in new)
+            found = new
+        rows, near, distance = found
+        yield pa.RecordBatch.from_arrays([block.column("question").take(pa.array(rows)), pa.array(near, type=id_type), pa.array(distance)], ["question", "passage", "distance"])
+
+
+def _question_blocks(files: Sequence[str], size: int) -> Iterator[pa.RecordBatch]:
+    """Blocks of the stored questions."""
     import pyarrow.parquet as pq
     from pyarrow import fs
 
     for uri in files:
-        filesystem, path = fs.FileSystem.from_uri(uri)
+        scheme, rest = uri.split(":", 1)
+        filesystem, path = fs.FileSystem.from_uri({"s3a": "s3", "s3n": "s3", "abfss": "abfs"}.get(scheme, scheme) + ":" + rest)
         with filesystem.open_input_file(path) as f:
-            for i, block in enumerate(pq.ParquetFile(f).iter_batches(size)):
-                yield (uri, i), block
+            yield from pq.ParquetFile(f).iter_batches(size)
 
 
 def assemble_context(

@@ -140,9 +140,8 @@ def heat_map(
     df = df.where(F.col(group).isin(*groups))
     labels = top_k(rows, row_order, n_rows).select(row, F.col("rank").alias("row_no"))
     columns = n_per_group(df.select(group, col).distinct(), [group], [F.col(col)], n_cols, number="col_no")
-    # both frames are at most n_rows and groups x n_cols rows
     cells = (
-        df.select(row, col, value).join(F.broadcast(labels.select(row)), row).join(F.broadcast(columns.select(col).distinct()), col)
+        df.select(row, col, value).join(labels.select(row), row).join(columns.select(col).distinct(), col)
         .groupBy(row, col).agg(F.max(value).alias(value))
         .groupBy(row).agg(F.map_from_entries(F.collect_list(F.struct(col, value))).alias("__cells"))
     )

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from provenor.operators.ordering import number_rows
+from provenor.operators.ordering import number_rows, store_pages
 
 
 def top_k(df: DataFrame, order: Sequence[Column], k: int, rank: str = "rank") -> DataFrame:
@@ -57,9 +57,34 @@ def arg_max(df: DataFrame, value: str, tie: str) -> DataFrame:
     return df.orderBy(F.col(value).desc_nulls_last(), F.col(tie).asc()).limit(1)
 
 
+# so many rows of an order are kept by every task of a top-k sort at most; pages beyond are cut from stored slices
+SHALLOW_ROWS = 10_000
+
+
 def page(df: DataFrame, order: Sequence[Column], limit: int, offset: int = 0) -> DataFrame:
-    """Rows offset+1 .. offset+limit of the given order."""
-    return df.orderBy(*order).offset(offset).limit(limit)
+    """Rows offset+1 .. offset+limit of the given order, which must end in a unique column.
+
+    A deep page is read from range slices with known row counts, so no task ever
+    sorts offset + limit rows; keep ``ordering.store_pages`` to read many pages of one order.
+    """
+    if offset + limit <= SHALLOW_ROWS:
+        return df.orderBy(*order).offset(offset).limit(limit)
+    return store_pages(df, order).page(limit, offset)
+
+
+def page_after(df: DataFrame, keys: Sequence[tuple[str, bool]], last: Sequence | None, limit: int) -> DataFrame:
+    """The next ``limit`` rows behind the row whose key values are ``last`` (None: the first rows).
+
+    ``keys`` lists (column, descending); the last one must be unique, and values must not be null. A filter and a top-k sort, at any depth.
+    """
+    order = [F.col(c).desc() if down else F.col(c).asc() for c, down in keys]
+    if last is not None:
+        behind, same = F.lit(False), F.lit(True)
+        for (c, down), v in zip(keys, last, strict=True):
+            behind = behind | (same & (F.col(c) < F.lit(v) if down else F.col(c) > F.lit(v)))
+            same = same & (F.col(c) == F.lit(v))
+        df = df.where(behind)
+    return df.orderBy(*order).limit(limit)
 
 
 def mixed_order(col: str, descending: bool = False) -> list[Column]:

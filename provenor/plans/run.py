@@ -9,7 +9,7 @@ from provenor import constants as K
 from provenor.operators import quality, stats
 from provenor.plans import clusters, evidence, mapping, refine, snapshots, support
 from provenor.session import job
-from provenor.sinks.tables import metrics_table, write_sized, write_table
+from provenor.sinks.tables import write_observed, write_sized, write_table
 from provenor.sources import files
 from provenor.sources.tables import read_table
 
@@ -62,11 +62,11 @@ def refine_graph(spark: SparkSession, links_path: str, aliases_path: str, out: s
 @job
 def refine_cohort(spark: SparkSession, expression_path: str, metadata_path: str, out: str) -> None:
     """Cohort matrix and annotations with a table of run metrics."""
-    expr = _store(refine.cohort_expression(spark, expression_path), f"{out}/expression")
-    meta = _store(refine.cohort_metadata(spark, metadata_path), f"{out}/metadata")
+    expr = refine.cohort_expression(spark, expression_path)
     rows = F.count(F.lit(1))
-    m = metrics_table(expr, {"expression_rows": (rows, "rows after cleaning"), "expression_columns": (F.lit(len(expr.columns)), "columns after cleaning")})
-    _store(m.unionByName(metrics_table(meta, {"metadata_rows": (rows, "rows after cleaning")})), f"{out}/run_metrics")
+    m = write_observed(expr, f"{out}/expression", {"expression_rows": (rows, "rows after cleaning"), "expression_columns": (F.max(F.lit(len(expr.columns))), "columns after cleaning")})
+    meta = write_observed(refine.cohort_metadata(spark, metadata_path), f"{out}/metadata", {"metadata_rows": (rows, "rows after cleaning")})
+    _store(m.unionByName(meta), f"{out}/run_metrics")
 
 
 @job

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, DoubleType, FloatType, StructType
 
@@ -80,6 +81,22 @@ def metrics_table(df: DataFrame, specs: Mapping[str, tuple[Column, str]]) -> Dat
     return one.select(F.inline(rows)).withColumn("created_at", F.concat(stamp, F.lit("Z")))
 
 
+def write_observed(df: DataFrame, path: str, specs: Mapping[str, tuple[Column, str]], partition_by: Sequence[str] = (), sized: bool = False) -> DataFrame:
+    """Writes ``df`` and returns the metrics of the written rows, gathered by the write itself.
+
+    ``specs`` are as for ``metrics_table``; aggregates of distinct values need a pass of their own and are refused
+    by Spark here. The rows are observed in the writing stage, after any shuffle.
+    """
+    seen, names = Observation(f"write-{uuid.uuid4().hex}"), list(specs)
+    rows = df.hint("rebalance", *partition_by) if sized else df
+    write_table(rows.observe(seen, F.count(F.lit(1)).alias("rows"), *[specs[n][0].cast("string").alias(f"m{i}") for i, n in enumerate(names)]), path, partition_by)
+    values = seen.get
+    found = [(n, values.get(f"m{i}"), specs[n][1]) for i, n in enumerate(names)]
+    stamp = F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss")
+    made = df.sparkSession.createDataFrame(found, "metric_name string, metric_value string, details string")
+    return made.withColumn("created_at", F.concat(stamp, F.lit("Z")))
+
+
 def export_vectors(df: DataFrame, path: str, key: str, document: str, metadata: str, vector: str) -> None:
     write_table(df.select(
         F.col(key).alias("id"), F.col(document).alias("document"), F.col(metadata).alias("metadata"),

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
-from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -149,27 +147,32 @@ def _as_table(spark: SparkSession, path: str | Sequence[str], body: DataFrame, s
     """Lines whose first line per file is its header, as a table of text columns; every file is read by its own header.
 
     Columns are those of all headers, in the order of the first file that has
-    them; a column that a file lacks is null there. Header lines alone travel to
-    the driver. Raises with the names of the files that have no section.
+    them; a column that a file lacks is null there. Distinct header lines alone travel
+    to the driver. Raises with the names of the first files that have no section.
     """
     firsts = body.groupBy("file_path").agg(F.min_by("line", "pos").alias("__names"), F.min("pos").alias("__head"))
-    heads = {r["file_path"]: r["__names"] for r in firsts.select("file_path", "__names").collect()}
-    listed = [r["path"] for r in spark.read.format("binaryFile").load(path).select("path").collect()]
-    lacking = sorted(f for f in listed if _plain_path(f) not in {_plain_path(h) for h in heads})
+    heads = [r["__names"] for r in firsts.groupBy("__names").agg(F.min("file_path").alias("f")).orderBy("f").collect()]
+    listed = spark.read.format("binaryFile").load(path).select("path", _plain_path("path").alias("__plain"))
+    without = listed.join(firsts.select(_plain_path("file_path").alias("__plain")), "__plain", "left_anti")
+    lacking = [r["path"] for r in without.select("path").orderBy("path").limit(NAMED_FILES).collect()]
     if lacking or not heads:
         raise ValueError("no section found in " + ", ".join(lacking or ["any file"]))
-    names = list(dict.fromkeys(n for f in sorted(heads) for n in heads[f].split(sep)))
+    names = list(dict.fromkeys(n for head in heads for n in head.split(sep)))
     places = F.transform(F.array(*map(F.lit, names)), lambda n: F.array_position(F.split("__names", sep, -1), n).cast("int"))
     rows = body.join(firsts.select("file_path", "__head", places.alias("__places")), "file_path").where((F.col("pos") > F.col("__head")) & (F.trim("line") != ""))
-    fields = [f"c{i}" for i in range(max(len(h.split(sep)) for h in heads.values()))]
+    fields = [f"c{i}" for i in range(max(len(h.split(sep)) for h in heads))]
     cells = F.from_csv("line", F.lit(", ".join(f"{c} string" for c in fields)), {"sep": sep, "mode": "PERMISSIVE"})
     keyed = rows.select(cells.alias("__row"), "__places").select(_once(F.array(*[F.col(f"__row.{c}") for c in fields])).alias("__cells"), "__places")
     return keyed.select(*[F.get("__cells", F.get("__places", F.lit(i)) - 1).alias(n) for i, n in enumerate(names)])
 
 
-def _plain_path(path: str) -> str:
-    """A path without the slashes in which listings and metadata differ."""
-    return re.sub(r"^([a-z0-9]+:)/+", r"\1/", unquote(path))
+def _plain_path(path: str) -> Column:
+    """A path without the slashes and escapes in which listings and metadata differ."""
+    return F.regexp_replace(F.url_decode(F.replace(F.col(path), F.lit("+"), F.lit("%2B"))), r"^([a-z0-9]+:)/+", "$1/")
+
+
+# of files without a section so many are named
+NAMED_FILES = 20
 
 
 def read_from_header(spark: SparkSession, path: str | Sequence[str], prefix: str = K.EXPRESSION_HEADER_PREFIX) -> DataFrame:
