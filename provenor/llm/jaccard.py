@@ -20,15 +20,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provenor.llm.components import components
+from provenor.llm.components import components, joined_components
 from provenor.llm.packing import deal, dealt, record_batch, shuffle_size, spark_schema
 from provenor.llm.words import U, Words, mix, shingle_sets, slices
+from provenor.operators.joins import keyed_join
 from provenor.session import materialise
 
 SHINGLE = 5
 MAX_SKETCH_BITS = 1 << 16
 CHUNK = 1024
 RUN = 1 << 22
+LABEL_SALTS = 32
 
 SIGNED = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("check", pa.int64()), ("sketch", pa.binary()), ("coarse", pa.binary())])
 PACKED = pa.schema([("part", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("nodes", pa.binary())])
@@ -368,7 +370,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", n: i
     member = materialise(met.select("key", "node").distinct(), "codes")
     tested = materialise(met.where("node <> rep").select(F.least("node", "rep").alias("x"), F.greatest("node", "rep").alias("y")).distinct(), "tested")
     links = materialise(verified(materialise(screened(tested, nodes), "pairs"), nodes, docs, n), "links")
-    joined = components(links, "x", "y")
+    joined = materialise(components(links, "x", "y"), "components")
     for closest in (True, False):
         placed = member.join(joined, "node", "left").select("key", "node", F.coalesce("component", "node").alias("label"))
         open_keys = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
@@ -376,11 +378,10 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", n: i
         met_again = materialise(cross_pairs(rest, closest), "cross")
         new = met_again.join(tested, ["x", "y"], "left_anti")
         tested = tested.unionByName(met_again)
-        links = materialise(links.unionByName(verified(materialise(screened(new, nodes), "pairs"), nodes, docs, n)), "links")
-        joined = components(links, "x", "y")
+        joined = joined_components(joined, verified(materialise(screened(new, nodes), "pairs"), nodes, docs, n), "x", "y")
 
     labelled = signed.join(joined, "node", "left").withColumn("label", F.when(F.col("n") > 0, F.coalesce("component", "node")))
     lowest = labelled.where("n > 0").groupBy("label").agg(F.min("id").alias("lowest"))
-    return labelled.join(lowest, "label", "left").select(
+    return keyed_join(labelled, lowest, ["label"], "left", salts=LABEL_SALTS).select(
         F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("lowest")).otherwise(F.col("id")).alias("component_id")
     )
