@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from provenor.llm.packing import deal, dealt, record_batch, shuffle_size, spark_schema
 from provenor.llm.words import U, Words, mix, run_hash, slices
+from provenor.operators.ordering import stored_input
 from provenor.session import materialise
 
 BUCKETS = 32
@@ -109,7 +110,7 @@ class Model:
         return share * c12 / np.maximum(c1, 1), share * c2 / max(self.tokens, 1), 1.0 / (self.types + 1)
 
     def learn(self, cells: np.ndarray, times: np.ndarray, rounds: int = 60) -> None:
-        """Expectation-maximisation on the binned estimates of all held-out bigrams."""
+        """Expectation-maximisation on the binned estimates of all bigrams, each without the counts of its own text."""
         if not len(cells):
             return
         bucket, p2, p1 = cells // BINS**2, value(cells // BINS % BINS), value(cells % BINS)
@@ -319,24 +320,40 @@ class Estimates:
         back, self.heard = unpack(row["back"], np.uint32), unpack(row["heard"], np.int64)
         self.first, self.held = np.frombuffer(row["first"], np.int64), np.frombuffer(row["held"], bool)
         self.owner = np.repeat(np.arange(len(self.held)), np.diff(self.first))
-        one, two, self.back = bigrams(back, self.first, row["start"])
-        self.heard_tokens = self.heard[back]
-        rare, counts = m.classes(self.heard)
-        self.bucket = m.bucket(counts[one])
-        self.p2, self.p1, self.p0 = m.estimates(counts[one], counts[two], rare[two], unpack(row["pairs"], np.int64))
-
-
-def held_out_cells(heard: DataFrame, model) -> DataFrame:
-    """How many held-out bigrams have each binned pair of estimates, per bucket of the context."""
+        self.one, self.two, self.back = bigrams(back, self.first, row["start"])
+        self.word, self.heard_tokens, self.pairs = back.astype(np.int64), self.heard[back], unpack(row["pairs"], np.int64)
+        self.rare, self.counts = m.classes(self.heard)
+
+    def estimates(self, m: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+        """The context bucket of each distinct bigram and its three estimates."""
+        c1 = self.counts[self.one]
+        return m.bucket(c1), *m.estimates(c1, self.counts[self.two], self.rare[self.two], self.pairs)
+
+    def deleted(self, m: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Buckets and estimates of the bigrams of each text that teaches, without its own counts, and how often it has them."""
+        size = len(self.heard) + 1
+        name = np.where(self.rare, size - 1, np.arange(size - 1))  # rare tokens have the counts of their class
+        at = np.flatnonzero(~self.held[self.owner])
+        owner, a, b = self.owner[at], name[self.one[self.back[at]]], name[self.two[self.back[at]]]
+        _, first, times = np.unique((owner * size + a) * size + b, return_index=True, return_counts=True)
+        own, n_own = np.unique(owner * size + name[self.word[at]], return_counts=True)
+        owner, a, b, pair = owner[first], a[first], b[first], self.back[at[first]]
+        mine = [n_own[np.searchsorted(own, owner * size + x)] for x in (a, b)]
+        c1, c2 = self.counts[self.one[pair]] - mine[0], self.counts[self.two[pair]] - mine[1]
+        p2, p1, _ = m.estimates(c1, c2, self.rare[self.two[pair]], self.pairs[pair] - times)
+        left = np.maximum(m.tokens - np.diff(self.first)[owner], 1)
+        return m.bucket(c1), p2, p1 * m.tokens / left, times
+
+
+def deleted_cells(heard: DataFrame, model) -> DataFrame:
+    """How many bigrams of texts that teach have each binned pair of estimates without the text's own counts, per bucket of the context."""
     def run(batches):
         found = []
         for batch in batches:
             for row in batch.to_pylist():
-                own = Estimates(row, model.value)
-                times = np.bincount(own.back[own.held[own.owner]], minlength=len(own.p2))
-                some = times > 0
-                cells, back = np.unique(((own.bucket * BINS + binned(own.p2)) * BINS + binned(own.p1))[some], return_inverse=True)
-                found.append((cells, np.bincount(back, times[some], len(cells)).astype(np.int64)))
+                bucket, p2, p1, times = Estimates(row, model.value).deleted(model.value)
+                cells, back = np.unique((bucket * BINS + binned(p2)) * BINS + binned(p1), return_inverse=True)
+                found.append((cells, np.bincount(back, times, len(cells)).astype(np.int64)))
                 if len(found) > 64:
                     found = [summed(found)]
         if found:
@@ -353,8 +370,9 @@ def scores(heard: DataFrame, model) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 own = Estimates(row, m)
-                w = m.weights[own.bucket]
-                logs = np.log10(w[:, 0] * own.p2 + w[:, 1] * own.p1 + w[:, 2] * own.p0)[own.back]
+                bucket, p2, p1, p0 = own.estimates(m)
+                w = m.weights[bucket]
+                logs = np.log10(w[:, 0] * p2 + w[:, 1] * p1 + w[:, 2] * p0)[own.back]
                 base = np.log10((own.heard_tokens + 1) / float(m.tokens + m.types + 1))
                 at, n = own.first[:-1], len(own.held)
                 yield pa.RecordBatch.from_arrays([
@@ -366,17 +384,18 @@ def scores(heard: DataFrame, model) -> DataFrame:
     return heard.mapInArrow(run, spark_schema(SCORES))
 
 
-def score(df: DataFrame, held_out, key: str = "doc_id", text: str = "text", vocabulary: int | None = None) -> DataFrame:
+def score(df: DataFrame, held_out, key: str = "doc_id", text: str = "text", vocabulary: int | None = None, stored: bool = False) -> DataFrame:
     """``doc_id``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score`` for each row of ``df``.
 
-    ``held_out`` is a boolean column: rows that only teach the weights; a null
+    ``held_out`` is a boolean column: rows that teach nothing; a null
     counts as false. A null or empty text is one end token. Rows that repeat are
     scored alike and each teaches; other columns are not read. Without training
-    rows nothing is known and every estimate is uniform; without held-out rows
-    the weights stay as they start. An empty table gives an empty one.
+    rows nothing is known, every estimate is uniform and the weights stay as they start. An empty table gives an empty one.
     ``base_score`` uses add-one unigrams over all tokens; ``score`` the
     interpolated bigrams, the end token standing before the first word. All
-    tokens are told apart unless ``vocabulary`` bounds their number.
+    tokens are told apart unless ``vocabulary`` bounds their number. Texts are read
+    twice and must come in the same order both times, as they do from a stored table
+    (``stored``); other rows are stored first.
     """
     spark = df.sparkSession
     parts = shuffle_size(spark)
@@ -384,10 +403,11 @@ def score(df: DataFrame, held_out, key: str = "doc_id", text: str = "text", voca
         df[key].cast("bigint").alias("id"), F.xxhash64(df[key].isNull(), df[key].cast("bigint"), df[text].isNull(), df[text]).alias("mark"),
         F.coalesce(held_out, F.lit(False)).alias("held"), df[text].alias("text"),
     )
+    docs = stored_input(docs, stored)
     told = None if vocabulary is None else spark.sparkContext.broadcast(told_apart(docs, parts, vocabulary))
     heard = materialise(heard_slices(docs, parts, told), "slices")
     m = model_of([r["bins"] for r in heard.where("bins is not null").select("bins").toLocalIterator()], vocabulary)
     rows = heard.where("bins is null")
-    cells = held_out_cells(rows, spark.sparkContext.broadcast(m)).toArrow()
+    cells = deleted_cells(rows, spark.sparkContext.broadcast(m)).toArrow()
     m.learn(cells.column("cell").to_numpy(), cells.column("n").to_numpy().astype(float))
     return scores(rows, spark.sparkContext.broadcast(m))

@@ -175,7 +175,7 @@ def op3(spark, sf):
 @query("op4_lm_score")
 def op4(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    return interpolation.score(docs, F.crc32(F.col("doc_id").cast("string")) % 7 == 2)
+    return interpolation.score(docs, F.crc32(F.col("doc_id").cast("string")) % 7 == 2, stored=True)
 
 
 @query("op5_decontaminate")

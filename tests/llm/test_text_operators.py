@@ -204,6 +204,71 @@ def test_scores_of_repeated_and_no_rows(spark):
     assert interpolation.score(spark.createDataFrame([], "doc_id bigint, text string"), held).count() == 0
 
 
+def brute_weights(docs):
+    """Interpolation weights per context bucket by plain expectation-maximisation over bigrams, each text's own counts deleted."""
+    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in docs}
+    tokens = {i: [*brute.words(t, lower=True), None] for i, t in docs}
+    own1 = {i: Counter(tokens[i]) for i in tokens}
+    own2 = {i: Counter(zip([None, *tokens[i][:-1]], tokens[i], strict=True)) for i in tokens}
+    c1, c12 = sum((own1[i] for i in tokens if not held[i]), Counter()), sum((own2[i] for i in tokens if not held[i]), Counter())
+    n, v, cells = sum(c1.values()), len(c1), {}
+    for i in tokens:
+        if held[i]:
+            continue
+        for (a, b), times in own2[i].items():
+            context = c1[a] - own1[i][a]
+            p2 = (c12[a, b] - times) / max(context, 1)
+            p1 = (c1[b] - own1[i][b]) / max(n - len(tokens[i]), 1)
+            near = [float(interpolation.value(interpolation.binned(np.array([p])))[0]) for p in (p2, p1)]
+            cells.setdefault(max(context, 1).bit_length() - 1, []).append((*near, 1 / (v + 1), times))
+
+    def fitted(rows, w):
+        for _ in range(60):
+            sums = np.zeros(3)
+            for *p, times in rows:
+                part = np.array(p) * w
+                sums += times * part / part.sum()
+            w = np.maximum(sums, 1e-6 * sum(r[3] for r in rows))
+            w = w / w.sum()
+        return w
+
+    whole = fitted([r for rows in cells.values() for r in rows], np.array([0.6, 0.3, 0.1]))
+    return {b: fitted(rows, whole) for b, rows in cells.items()}
+
+
+def test_learned_weights_equal_brute_force(spark, monkeypatch):
+    docs, learned = corpus(40), {}
+    learn = interpolation.Model.learn
+    monkeypatch.setattr(interpolation.Model, "learn", lambda m, cells, times: (learn(m, cells, times), learned.update(enumerate(m.weights)))[0])
+    interpolation.score(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3), F.crc32(F.col("doc_id").cast("string")) % 7 == 2).count()
+    for bucket, weights in brute_weights(docs).items():
+        assert learned[bucket] == pytest.approx(weights, abs=1e-6)
+
+
+def test_held_out_texts_teach_nothing(spark):
+    docs = corpus(60)
+    held = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    changed = [(i, "quite other words " * 9 if zlib.crc32(str(i).encode()) % 7 == 2 else t) for i, t in docs]
+    run = lambda rows: {r["doc_id"]: r["score"] for r in interpolation.score(spark.createDataFrame(rows, "doc_id bigint, text string"), held).where("not held_out").collect()}
+    before, after = run(docs), run(changed)
+    assert before.keys() == after.keys() and all(before[k] == pytest.approx(after[k], abs=1e-9) for k in before)
+
+
+def test_rows_may_come_in_another_order_each_time(spark):
+    docs = spark.createDataFrame(corpus(300), "doc_id bigint, text string")
+    held = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+
+    def shuffled(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.Table.from_batches([b]).take(np.random.default_rng().permutation(b.num_rows)).combine_chunks().to_batches()[0] if b.num_rows else b
+
+    got = {r["doc_id"]: r["score"] for r in interpolation.score(docs.coalesce(2).mapInArrow(shuffled, docs.schema), held).collect()}
+    want = {r["doc_id"]: r["score"] for r in interpolation.score(docs, held).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+
+
 def test_learned_weights_raise_held_out_likelihood():
     m = interpolation.Model(np.array([1, 2], np.uint64), np.array([50, 50]), 100, 2)
     p2, p1 = np.array([0.9, 0.0, 0.1]), np.array([0.1, 0.2, 0.1])
