@@ -203,9 +203,13 @@ def fit(spark: SparkSession, noise: list[str], templates: dict[str, list[str]] =
 
 
 def noise_paragraphs(docs: DataFrame, most: int) -> list[str]:
-    """At most ``most`` paragraphs of the corpus (the middle lines of documents chosen by hash) that no template resembles."""
+    """At most ``most`` paragraphs of the corpus (the middle lines of documents chosen by hash) that no template resembles.
+
+    A hash threshold leaves between ``most`` and twice as many lines of the whole table, before any of them is sent.
+    """
+    every = max(1, docs.count() // max(most, 1))
     lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.length(F.trim(x)) > 0)
-    picked = docs.select(F.xxhash64("id").alias("h"), F.substring(F.get(lines, F.floor(F.size(lines) / 2).cast("int")), 1, 400).alias("line")).where("line is not null")
+    picked = docs.where(F.pmod(F.xxhash64(F.lit(11), "id", F.when(F.col("id").isNull(), F.col("text"))), F.lit(every)) == 0).select(F.xxhash64("id").alias("h"), F.substring(F.get(lines, F.floor(F.size(lines) / 2).cast("int")), 1, 400).alias("line")).where("line is not null")
     texts = [r["line"] for r in picked.orderBy("h", "line").limit(most).collect()]
     known = [np.unique(pair_hash(h)) for notices in TEMPLATES.values() for h in word_hashes(notices)]
     return [t for t, h in zip(texts, word_hashes(texts), strict=True) if all(np.isin(k, pair_hash(h)).mean() < 0.3 for k in known if len(k))]
