@@ -13,6 +13,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from provenor.session import materialise
+
 FEATURES = [
     "url_length", "host_length", "path_length", "path_depth", "host_labels", "digit_ratio", "host_digit_ratio", "hyphens", "host_hyphens",
     "n_params", "has_fragment", "is_https", "path_entropy", "host_entropy", "suffix_block_rate", "suffix_log_count", "vowel_ratio",
@@ -105,12 +107,16 @@ def with_suffix(df: DataFrame, statistics: DataFrame, own: Column | None = None)
 
 
 def fit_trees(labelled: DataFrame, statistics: DataFrame, sample: int = 20_000, trees: int = 10, depth: int = 4) -> GBTClassificationModel | float:
-    """Boosted trees from at most ``sample`` labelled urls (those with the smallest hashes of their text).
+    """Boosted trees from at most ``sample`` labelled urls (those with the smallest hashes of their text), stored once.
+
+    A hash threshold leaves between ``sample`` and about twice as many rows before they are sorted.
 
     With one label only there is nothing to learn; the share of blocked urls (0 without any) is returned.
     """
-    sampled = labelled.orderBy(F.xxhash64("__url", F.lit(7)), "__url").limit(sample)
-    rows = with_suffix(sampled, statistics, F.col("__label")).select(*FEATURES, "__label")
+    every = max(1, labelled.count() // max(sample, 1))
+    near = labelled.where(F.pmod(F.xxhash64("__url", F.lit(5)), F.lit(every)) == 0)
+    sampled = near.orderBy(F.xxhash64("__url", F.lit(7)), "__url").limit(sample)
+    rows = materialise(with_suffix(sampled, statistics, F.col("__label")).select(*FEATURES, "__label"), "labelled")
     counts = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("__label").alias("blocked")).first()
     if not counts["n"] or counts["blocked"] in (0, counts["n"]):
         return float(bool(counts["n"] and counts["blocked"]))
