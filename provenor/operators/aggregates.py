@@ -10,42 +10,56 @@ from pyspark.sql import functions as F
 from provenor import constants as K
 from provenor.functions import ratio
 from provenor.operators.joins import with_stats
-from provenor.operators.ordering import exact_quantiles
+from provenor.operators.ordering import discrete_place, exact_quantiles, number_rows, stored_input
 from provenor.operators.shape import melt
 from provenor.operators.sorting import n_per_group
 
 
 def sample_qc(
     df: DataFrame, keys: Sequence[str], count: str, level: str, class_col: str, class_value: str,
-    level_min: float = 1.0, accuracy: int = K.QUANTILE_ACCURACY,
+    level_min: float = 1.0,
 ) -> DataFrame:
-    """Library size, detected features, median level, zero share and class count per sample."""
+    """Library size, detected features, median level, zero share and class count per sample.
+
+    The median is the level at place ceil(n / 2) of a sample's n levels, exact
+    for any number of them: levels are numbered in stored slices, so no task
+    holds those of a whole sample. Missing levels have no place.
+    """
     n, zero = F.count(F.lit(1)), F.count_if(F.col(count) == 0)
-    return df.groupBy(*keys).agg(
+    rows = df.select(*dict.fromkeys([*keys, count, level, class_col]))
+    placed = number_rows(rows.where(F.col(level).isNotNull()), [F.col(level).asc()], keys, "__pos", "__n")
+    placed = placed.unionByName(rows.where(F.col(level).isNull()), allowMissingColumns=True)
+    return placed.groupBy(*keys).agg(
         F.sum(F.coalesce(F.col(count), F.lit(0))).cast("bigint").alias("total_count"),
         F.count_if(F.col(count) > 0).alias("n_detected"),
         F.count_if(F.col(level) > level_min).alias("n_above_level"),
-        F.percentile_approx(level, 0.5, accuracy).cast("double").alias("median_level"),
+        F.max(F.when(F.col("__pos") == discrete_place("__n", 0.5), F.col(level))).cast("double").alias("median_level"),
         ratio(zero, n).alias("zero_share"),
         F.count_if(F.col(class_col) == class_value).alias("n_class"),
     )
 
 
-def iqr_bounds(df: DataFrame, cols: Sequence[str], factor: float = K.IQR_FACTOR, accuracy: int = K.QUANTILE_ACCURACY) -> DataFrame:
-    """One row with lower and upper bound per column; null bounds where the IQR is not positive."""
-    quartiles = df.agg(*[F.percentile_approx(c, [0.25, 0.75], accuracy).alias(c) for c in cols])
-    out = []
+def iqr_bounds(df: DataFrame, cols: Sequence[str], factor: float = K.IQR_FACTOR) -> DataFrame:
+    """One row with lower and upper bound per column; null bounds where the IQR is not positive.
+
+    Quartiles are the values at places ceil(n / 4) and ceil(3 n / 4) of the n values that are not null.
+    """
+    out = None
     for c in cols:
-        low, high = F.col(c)[0].cast("double"), F.col(c)[1].cast("double")
-        spread = high - low
-        out.append(F.when(spread > 0, low - spread * factor).alias(f"{c}_lower"))
-        out.append(F.when(spread > 0, high + spread * factor).alias(f"{c}_upper"))
-    return quartiles.select(*out)
+        placed = number_rows(df.select(c).where(F.col(c).isNotNull()), [F.col(c).asc()], position="__pos", total="__n")
+        low, high = (F.max(F.when(F.col("__pos") == discrete_place("__n", p), F.col(c))).cast("double") for p in (0.25, 0.75))
+        spread = F.col("__high") - F.col("__low")
+        one = placed.agg(low.alias("__low"), high.alias("__high")).select(
+            F.when(spread > 0, F.col("__low") - spread * factor).alias(f"{c}_lower"), F.when(spread > 0, F.col("__high") + spread * factor).alias(f"{c}_upper")
+        )
+        out = one if out is None else with_stats(out, one).select(*out.columns, "__stats.*")
+    return out
 
 
-def iqr_flags(df: DataFrame, cols: Mapping[str, str], factor: float = K.IQR_FACTOR, accuracy: int = K.QUANTILE_ACCURACY) -> DataFrame:
-    """``{column: flag}``: outside the IQR fences of all rows; never when the IQR is 0."""
-    bounded = with_stats(df, iqr_bounds(df, list(cols), factor, accuracy))
+def iqr_flags(df: DataFrame, cols: Mapping[str, str], factor: float = K.IQR_FACTOR, stored: bool = False) -> DataFrame:
+    """``{column: flag}``: outside the IQR fences of all rows; never when the IQR is 0. Rows are stored first unless they come from a stored table."""
+    rows = stored_input(df, stored)
+    bounded = with_stats(rows, iqr_bounds(rows, list(cols), factor))
     return bounded.withColumns({
         flag: F.coalesce((F.col(c) < F.col(f"__stats.{c}_lower")) | (F.col(c) > F.col(f"__stats.{c}_upper")), F.lit(False))
         for c, flag in cols.items()

@@ -112,6 +112,11 @@ def with_previous(
     )
 
 
+def discrete_place(total: str, share: float) -> Column:
+    """Place, from 1, of the smallest of ``total`` ordered values that has at least ``share`` of them at or before it."""
+    return F.greatest(F.lit(1), F.ceil(F.col(total) * F.lit(float(share))))
+
+
 def exact_quantiles(
     df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float]
 ) -> DataFrame:

@@ -294,3 +294,22 @@ def test_first_rows_of_large_groups(spark, skewed, n):
     for k in {r[1] for r in data}:
         want |= {r[0] for r in sorted((r for r in data if r[1] == k), key=lambda r: (-r[2], r[0]))[:n]}
     assert got == want
+
+
+def test_iqr_fences_are_exact_for_many_rows(spark):
+    import math
+
+    rows = [(i, (i * 7919) % 60013 * 1000) for i in range(60000)]
+    vals = sorted(v for _, v in rows)
+    low, high = (vals[math.ceil(p * len(vals)) - 1] for p in (0.25, 0.75))
+    bounds = agg.iqr_bounds(spark.createDataFrame([*rows, (-1, None)], "id int, v bigint").repartition(4), ["v"]).first()
+    assert (bounds.v_lower, bounds.v_upper) == (low - 1.5 * (high - low), high + 1.5 * (high - low))
+
+
+def test_sample_median_is_exact_for_many_rows(spark, many_slices):
+    rows = [("hot" if i < 50000 else None, (i * 7919) % 50021) for i in range(50021)] + [("hot", None), ("bare", None)]
+    got = {r.s: r for r in agg.sample_qc(spark.createDataFrame([(s, v, v, "c") for s, v in rows], "s string, n int, v int, k string").repartition(4), ["s"], "n", "v", "k", "c").collect()}
+    for s in ("hot", None):
+        vals = sorted(v for k, v in rows if k == s and v is not None)
+        assert got[s].median_level == vals[(len(vals) + 1) // 2 - 1] and got[s].n_class == len(vals) + (s == "hot")
+    assert got["bare"].median_level is None and got["bare"].n_class == 1
