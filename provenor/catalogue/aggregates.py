@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from provenor.catalogue.base import big, query, r6, tab, with_views, x_alias, x_cluster, x_diff, x_edges, x_expr, x_map, x_qc, x_targets
+from provenor.catalogue.base import big, edge_tasks, query, r6, tab, with_views, x_alias, x_cluster, x_diff, x_edges, x_expr, x_map, x_qc, x_targets
 from provenor.operators import aggregates as agg
 from provenor.operators import graph, stats
 from provenor.operators.joins import missing
@@ -68,7 +68,7 @@ def agg_diff_call(spark, sf):
 SELECT node, count(DISTINCT other) AS degree, round(sum(weight), 4) AS weighted_degree
 FROM (SELECT src AS node, dst AS other, weight FROM x_edges UNION ALL SELECT dst, src, weight FROM x_edges) GROUP BY node"""))
 def agg_degree(spark, sf):
-    d = graph.degrees(x_edges(spark, sf), "src", "dst", "weight")
+    d = graph.degrees(x_edges(spark, sf), "src", "dst", "weight", parts=edge_tasks(spark, sf, 2))
     return d.select("node", "degree", r6("weighted_degree", 4).alias("weighted_degree"))
 
 
@@ -79,7 +79,7 @@ FROM l WHERE node IN (SELECT 'P' || p_partkey FROM part WHERE p_size < 20 UNION
 def agg_neighbour_features(spark, sf):
     nodes = tab(spark, sf, "part").where("p_size < 20").select(F.concat(F.lit("P"), "p_partkey").alias("node"))
     nodes = nodes.unionByName(tab(spark, sf, "supplier").select(F.concat(F.lit("S"), "s_suppkey").alias("node")))
-    f = graph.interaction_features(x_edges(spark, sf), nodes, "node", "src", "dst", "score", "weight")
+    f = graph.interaction_features(x_edges(spark, sf), nodes, "node", "src", "dst", "score", "weight", parts=edge_tasks(spark, sf, 2))
     return f.withColumn("avg_score", r6("avg_score", 4))
 
 
@@ -274,7 +274,7 @@ UNION ALL SELECT 'removed samples', CAST(count(*) AS DOUBLE) FROM x_qc WHERE n_d
 def agg_rollups(spark, sf):
     edges = x_edges(spark, sf)
     return dashboard_rollups({
-        "average weighted degree": (graph.degrees(edges, "src", "dst", "weight"), r6(F.avg("weighted_degree"), 4)),
+        "average weighted degree": (graph.degrees(edges, "src", "dst", "weight", parts=edge_tasks(spark, sf, 2)), r6(F.avg("weighted_degree"), 4)),
         "largest weight": (edges, F.max("weight")),
         "moderate support": (x_targets(spark, sf), F.count_if(F.col("geo_support_level") == "Moderate GEO support")),
         "removed samples": (x_qc(spark, sf), F.count_if(F.col("n_detected") <= 200)),

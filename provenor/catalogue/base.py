@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from provenor.functions import log2p1
 from provenor.operators.stats import call_diff, two_group_test
 from provenor.plans.mapping import entity_map
+from provenor.session import tasks_for
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -152,9 +153,15 @@ def x_expr(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def edge_tasks(spark: SparkSession, sf: str, times: int = 1) -> int:
+    """Tasks for ``times`` as many rows as the edges are made from."""
+    return tasks_for(spark, times * tab(spark, sf, "lineitem").count())
+
+
 def x_edges(spark: SparkSession, sf: str) -> DataFrame:
     """Interaction edges between parts and suppliers."""
-    pairs = tab(spark, sf, "lineitem").groupBy("l_partkey", "l_suppkey").agg((F.max("l_quantity") * 20).alias("score"))
+    line = tab(spark, sf, "lineitem").select("l_partkey", "l_suppkey", "l_quantity").repartition(edge_tasks(spark, sf), "l_partkey", "l_suppkey")
+    pairs = line.groupBy("l_partkey", "l_suppkey").agg((F.max("l_quantity") * 20).alias("score"))
     return pairs.select(
         F.concat(F.lit("P"), "l_partkey").alias("src"), F.concat(F.lit("S"), "l_suppkey").alias("dst"),
         "score", (F.col("score") / 1000.0).alias("weight"),

@@ -3,7 +3,7 @@
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
-from provenor.catalogue.base import query, r6, tab, with_views, x_cluster, x_edges, x_expr, x_map
+from provenor.catalogue.base import edge_tasks, query, r6, tab, with_views, x_cluster, x_edges, x_expr, x_map
 from provenor.operators import ml, scoring
 from provenor.operators.sorting import top_k
 from provenor.plans import evidence, mapping, support
@@ -55,7 +55,8 @@ def ranking_inputs(spark, sf):
     genes, edges = gene_map(spark, sf), materialise(protein_edges(spark, sf), "edges")
     diff = evidence.difference(expression(spark, sf), "case", "control")
     mapped = materialise(mapping.mapped_evidence(diff, genes), "mapped")
-    return mapped, evidence.network_features(mapped, edges, mapping.protein_nodes(genes, edges))
+    parts = edge_tasks(spark, sf, 2)
+    return mapped, evidence.network_features(mapped, edges, mapping.protein_nodes(genes, edges, parts), parts)
 
 
 RANKING_VIEWS = """

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from provenor.catalogue.base import big, query, r6, tab, with_views
+from provenor.catalogue.base import big, edge_tasks, query, r6, tab, with_views
 from provenor.catalogue.scoring import RANKING_VIEWS, expression, gene_map, protein_edges, ranking_inputs
 from provenor.plans import clusters, evidence, mapping, refine, snapshots
 from provenor.session import materialise
@@ -96,7 +96,7 @@ d AS (SELECT node, count(DISTINCT other) AS degree, sum(weight) AS wd FROM b GRO
 SELECT n.protein_id, brand AS gene_id, symbol AS gene_name, coalesce(degree, 0) AS degree_protein, round(coalesce(wd, 0), 4) AS weighted_degree_protein
 FROM n LEFT JOIN x_map m ON m.protein_id = n.protein_id LEFT JOIN d ON d.node = n.protein_id"""))
 def step_protein_nodes(spark, sf):
-    nodes = mapping.protein_nodes(gene_map(spark, sf), protein_edges(spark, sf))
+    nodes = mapping.protein_nodes(gene_map(spark, sf), protein_edges(spark, sf), edge_tasks(spark, sf, 2))
     return nodes.select("protein_id", "gene_id", "gene_name", "degree_protein", r6("weighted_degree_protein", 4).alias("weighted_degree_protein"))
 
 
@@ -118,7 +118,7 @@ ge AS (SELECT a.gene_id AS gene_id_src, b.gene_id AS gene_id_dst, max(score) AS
 
 @query("step_gene_edges", with_views("x_edges", "x_map", body=_GENE_EDGES_SQL + "SELECT gene_id_src, gene_id_dst, max_score, max_weight, protein_edge_count FROM ge"))
 def step_gene_edges(spark, sf):
-    e = mapping.gene_edges(protein_edges(spark, sf), _all_genes(spark, sf))
+    e = mapping.gene_edges(protein_edges(spark, sf), _all_genes(spark, sf), edge_tasks(spark, sf))
     return e.select(
         "gene_id_src", "gene_id_dst", F.col("max_combined_score_gene").alias("max_score"), F.col("max_edge_weight_gene").alias("max_weight"), "protein_edge_count"
     )
@@ -130,7 +130,7 @@ d AS (SELECT n, count(DISTINCT o) AS degree, sum(w) AS wd FROM b GROUP BY n)
 SELECT gene_id, min(gene_name) AS gene_name, any_value(coalesce(degree, 0)) AS degree_gene, round(any_value(coalesce(wd, 0)), 4) AS weighted_degree_gene, count(DISTINCT protein_id) AS protein_count FROM g LEFT JOIN d ON d.n = gene_id WHERE gene_id IS NOT NULL GROUP BY gene_id"""))
 def step_gene_nodes(spark, sf):
     genes = _all_genes(spark, sf)
-    n = mapping.gene_nodes(genes, materialise(mapping.gene_edges(protein_edges(spark, sf), genes), "gene_edges"))
+    n = mapping.gene_nodes(genes, materialise(mapping.gene_edges(protein_edges(spark, sf), genes, edge_tasks(spark, sf)), "gene_edges"))
     return n.select(
         "gene_id", "gene_name", "degree_gene", r6("weighted_degree_gene", 4).alias("weighted_degree_gene"), "protein_count",
     )

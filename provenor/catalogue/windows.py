@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from provenor.catalogue.base import big, query, r6, tab, with_views, x_edges, x_expr, x_map, x_targets
+from provenor.catalogue.base import big, edge_tasks, query, r6, tab, with_views, x_edges, x_expr, x_map, x_targets
 from provenor.operators import windows
 from provenor.operators.aggregates import mean_replicates
 from provenor.operators.joins import attach_ends
@@ -36,7 +36,7 @@ def win_canonical_edges(spark, sf):
     )
     names = x_map(spark, sf).select(F.col("protein_id").alias("id"), F.col("brand").alias("gene"))
     names = names.unionByName(tab(spark, sf, "supplier").select(F.concat(F.lit("S"), "s_suppkey").alias("id"), F.concat(F.lit("N"), "s_nationkey").alias("gene")))
-    named = attach_ends(both, names, "id", "src", "dst").withColumnsRenamed({"src": "ensp_src", "dst": "ensp_dst"})
+    named = attach_ends(both, names, "id", "src", "dst", how="inner", parts=edge_tasks(spark, sf, 4)).withColumnsRenamed({"src": "ensp_src", "dst": "ensp_dst"})
     return windows.canonical_edges(named, "gene_src", "gene_dst", [("ensp_src", "ensp_dst")], "score", "weight", ("ensp_src", "ensp_dst"))
 
 

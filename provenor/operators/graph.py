@@ -9,18 +9,22 @@ from pyspark.sql import functions as F
 
 from provenor import constants as K
 from provenor.operators.filters import min_weight
-from provenor.operators.joins import attach_ends, keyed_join
+from provenor.operators.joins import attach_ends
 from provenor.operators.sets import both_directions
 
 
-def degrees(edges: DataFrame, src: str, dst: str, weight: str, node: str = "node", dedup: bool = False) -> DataFrame:
+def degrees(edges: DataFrame, src: str, dst: str, weight: str, node: str = "node", dedup: bool = False, parts: int = 0) -> DataFrame:
     """Distinct neighbours and summed weight per node.
 
     Weights add up over all rows, so an edge listed in both directions counts
     twice unless ``dedup``. Each (node, neighbour) pair is summed first; a hub is
-    thereby spread over its neighbours before its own total is formed.
+    thereby spread over its neighbours before its own total is formed. ``parts``
+    deals the pairs over that many tasks (``session.tasks_for`` twice the edges);
+    without it the session's shuffle partitions decide.
     """
     seen = both_directions(edges.select(src, dst, weight), src, dst, node, "__other")
+    if parts:
+        seen = seen.repartition(parts, node, "__other")
     if dedup:
         seen = seen.distinct()
     pairs = seen.groupBy(node, "__other").agg(F.sum(weight).alias("__w"))
@@ -42,26 +46,28 @@ def incident_edges(edges: DataFrame, nodes: DataFrame, node: str, src: str, dst:
 
 def interaction_features(
     edges: DataFrame, nodes: DataFrame, node: str, src: str, dst: str, score: str, weight: str,
-    threshold: float = K.EDGE_MIN_WEIGHT, high: float = K.EDGE_HIGH_WEIGHT, salts: int = 8,
+    threshold: float = K.EDGE_MIN_WEIGHT, high: float = K.EDGE_HIGH_WEIGHT, parts: int = 0,
 ) -> DataFrame:
     """Neighbours, mean and best score and high-confidence neighbours of the given nodes.
 
-    The join is salted because the aggregation that follows has the same key:
-    Spark would otherwise keep all rows of a hub in the task it joined them in.
+    Edges are summed per pair and per node before the nodes are picked, so the
+    join meets one row per node and no hub. ``parts`` is as for ``degrees``.
     """
     strong = min_weight(edges.select(src, dst, score, weight), weight, threshold)
     ids = nodes.select(node).where(F.col(node).isNotNull()).distinct()
-    seen = keyed_join(both_directions(strong, src, dst, node, "__other"), ids, [node], "left_semi", salts).distinct()
+    seen = both_directions(strong, src, dst, node, "__other")
+    seen = (seen.repartition(parts, node, "__other") if parts else seen).distinct()
     pairs = seen.groupBy(node, "__other").agg(
         F.sum(score).alias("__sum"), F.count(score).alias("__n"), F.max(score).alias("__max"),
         F.max(F.col(weight) >= high).alias("__high"),
     )
-    return pairs.groupBy(node).agg(
+    totals = pairs.groupBy(node).agg(
         F.count("__other").alias("n_interactions"),
         F.try_divide(F.sum("__sum"), F.sum("__n")).alias("avg_score"),
         F.max("__max").alias("max_score"),
         F.count_if(F.col("__high") & F.col("__other").isNotNull()).alias("n_high"),
     )
+    return totals.join(ids, node, "left_semi")
 
 
 def induced_subgraph(

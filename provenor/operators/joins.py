@@ -19,20 +19,23 @@ from provenor.operators.sorting import n_per_group
 from provenor.session import materialise
 
 
-def keyed_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner", salts: int = 0) -> DataFrame:
+def keyed_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner", salts: int = 0, parts: int = 0) -> DataFrame:
     """Equi-join; with ``salts`` every key of ``left`` is spread over that many buckets.
 
     The salt is a hash of the left row, so a repeated task yields the same rows.
+    ``parts`` deals the left rows over that many tasks by key and salt; without
+    it the session's shuffle partitions decide.
     """
     on = list(on)
     if not salts:
-        return left.join(right, on, how)
+        return (left.repartition(parts, *on) if parts else left).join(right, on, how)
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"a salted join cannot be {how}")
     hashed = [F.col(f"`{f.name}`") for f in left.schema if "map<" not in f.dataType.simpleString()]
     salted = left.withColumn("__salt", F.pmod(F.xxhash64(*hashed), F.lit(salts)))
     copies = right.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
-    return salted.join(copies, [*on, "__salt"], how).drop("__salt")
+    dealt = salted.repartition(parts, *on, "__salt") if parts else salted
+    return dealt.join(copies, [*on, "__salt"], how).drop("__salt")
 
 
 def with_stats(df: DataFrame, stats: DataFrame, name: str = "__stats") -> DataFrame:
@@ -98,7 +101,7 @@ def map_entities(
 
 
 def attach_ends(
-    edges: DataFrame, dim: DataFrame, key: str, src: str, dst: str, salts: int = 0, how: str = "left"
+    edges: DataFrame, dim: DataFrame, key: str, src: str, dst: str, salts: int = 0, how: str = "left", parts: int = 0
 ) -> DataFrame:
     """Columns of ``dim`` at both ends of every edge, named ``*_src`` and ``*_dst``; ``dim`` is unique on its key."""
     def end(col: str, suffix: str) -> DataFrame:
@@ -106,8 +109,8 @@ def attach_ends(
             F.col(key).alias(col), *[F.col(c).alias(f"{c}_{suffix}") for c in dim.columns if c != key]
         )
 
-    one = keyed_join(edges, end(src, "src"), [src], how, salts)
-    return keyed_join(one, end(dst, "dst"), [dst], how, salts)
+    one = keyed_join(edges, end(src, "src"), [src], how, salts, parts)
+    return keyed_join(one, end(dst, "dst"), [dst], how, salts, parts)
 
 
 def assemble(base: DataFrame, key: str, features: Sequence[DataFrame], defaults: Mapping[str, object]) -> DataFrame:

@@ -52,14 +52,14 @@ def difference(
     )
 
 
-def network_features(mapped: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
+def network_features(mapped: DataFrame, edges: DataFrame, nodes: DataFrame, parts: int = 0) -> DataFrame:
     """Degree and neighbourhood features of the mapped proteins.
 
     ``mapped`` and ``edges`` are read several times and should be stored tables.
     """
     ids = mapped.select("protein_id").where(F.col("protein_id").isNotNull()).distinct()
     found = interaction_features(
-        edges, ids, "protein_id", "protein_id_src", "protein_id_dst", "combined_score_protein", "edge_weight_protein"
+        edges, ids, "protein_id", "protein_id_src", "protein_id_dst", "combined_score_protein", "edge_weight_protein", parts=parts
     ).select(
         "protein_id", F.col("n_interactions").alias("num_interactions_in_deg_network"),
         F.col("avg_score").alias("avg_combined_score"), F.col("max_score").cast("double").alias("max_combined_score"),

@@ -53,10 +53,10 @@ def protein_edges(links: DataFrame) -> DataFrame:
     )
 
 
-def gene_edges(edges: DataFrame, genes: DataFrame) -> DataFrame:
-    """One undirected edge per gene pair with its best protein edge."""
+def gene_edges(edges: DataFrame, genes: DataFrame, parts: int = 0) -> DataFrame:
+    """One undirected edge per gene pair with its best protein edge; ends without a gene have none, so they go before they are dealt."""
     joined = attach_ends(
-        edges, genes.select("protein_id", "gene_id", "gene_name"), "protein_id", "protein_id_src", "protein_id_dst"
+        edges, genes.select("protein_id", "gene_id", "gene_name"), "protein_id", "protein_id_src", "protein_id_dst", how="inner", parts=parts
     )
     rolled = canonical_edges(
         joined, "gene_id_src", "gene_id_dst", [("gene_name_src", "gene_name_dst"), ("ensp_id_src", "ensp_id_dst")],
@@ -86,10 +86,10 @@ def gene_proteins(genes: DataFrame) -> DataFrame:
     return member_rows(genes, "gene_id", "protein_id")
 
 
-def protein_nodes(genes: DataFrame, edges: DataFrame) -> DataFrame:
+def protein_nodes(genes: DataFrame, edges: DataFrame, parts: int = 0) -> DataFrame:
     """Every protein of the map or of an edge, with degree and weighted degree."""
     nodes = all_nodes(edges, "protein_id_src", "protein_id_dst", genes, "protein_id")
-    degree = degrees(edges, "protein_id_src", "protein_id_dst", "edge_weight_protein", "protein_id")
+    degree = degrees(edges, "protein_id_src", "protein_id_dst", "edge_weight_protein", "protein_id", parts=parts)
     named = genes.select("protein_id", F.col("ensp_id").alias("__ensp"), "gene_id", "gene_name", "gene_name_norm")
     return assemble(nodes, "protein_id", [named, degree], {"degree": 0, "weighted_degree": 0.0}).select(
         "protein_id", F.coalesce("__ensp", extract_id("protein_id", K.PROTEIN_ACCESSION)).alias("ensp_id"),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from provenor import constants as K
 from provenor.operators import quality, stats
 from provenor.plans import clusters, evidence, mapping, refine, snapshots, support
-from provenor.session import job
+from provenor.session import job, tasks_for
 from provenor.sinks.tables import write_observed, write_sized, write_table
 from provenor.sources import files
 from provenor.sources.tables import read_table
@@ -47,12 +47,13 @@ def refine_graph(spark: SparkSession, links_path: str, aliases_path: str, out: s
     quality.assert_clean(
         quality.out_of_range(edges, {"combined_score_protein": (0, 1000), "edge_weight_protein": (0.0, 1.0)}), "edges_protein"
     )
-    gene_edges = _store(mapping.gene_edges(edges, genes), f"{out}/edges_gene", sized=True)
+    n_edges = edges.count()
+    gene_edges = _store(mapping.gene_edges(edges, genes, tasks_for(spark, n_edges)), f"{out}/edges_gene", sized=True)
     quality.assert_clean(quality.violations(gene_edges, {"ordered pair": F.col("gene_id_src") < F.col("gene_id_dst")}), "edges_gene")
     gene_nodes = _store(mapping.gene_nodes(genes, gene_edges), f"{out}/nodes_gene")
     _store(mapping.gene_proteins(genes), f"{out}/gene_proteins")
     quality.assert_none(quality.dup_keys(gene_nodes, ["gene_id"]), "repeated gene_id in nodes_gene")
-    nodes = _store(mapping.protein_nodes(genes, edges), f"{out}/nodes_protein")
+    nodes = _store(mapping.protein_nodes(genes, edges, tasks_for(spark, 2 * n_edges)), f"{out}/nodes_protein")
     quality.assert_none(quality.dup_keys(genes, ["protein_id"]), "repeated protein_id in gene_map")
     quality.assert_none(quality.dup_keys(nodes, ["protein_id"]), "repeated protein_id in nodes_protein")
     quality.assert_clean(quality.out_of_range(gene_nodes, {"degree_gene": (0, None), "weighted_degree_gene": (0, None)}), "nodes_gene")
@@ -80,8 +81,9 @@ def analyse(spark: SparkSession, counts: str, graph: str, out: str, mart: str, t
     diff = _store(evidence.difference(expr), f"{out}/deg_result")
     quality.assert_clean(quality.out_of_range(diff, {"p_value": (0.0, 1.0)}), "deg_result")
     mapped = _store(mapping.mapped_evidence(diff, read_table(spark, f"{graph}/gene_map")), f"{out}/deg_mapped_proteins")
+    edges = read_table(spark, f"{graph}/edges_protein")
     feats = _store(
-        evidence.network_features(mapped, read_table(spark, f"{graph}/edges_protein"), read_table(spark, f"{graph}/nodes_protein")),
+        evidence.network_features(mapped, edges, read_table(spark, f"{graph}/nodes_protein"), tasks_for(spark, 2 * edges.count())),
         f"{out}/protein_network_features",
     )
     ids = mapped.select("protein_id").distinct()

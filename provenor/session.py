@@ -51,6 +51,15 @@ def shared_root(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+# so many rows go to one task where rows are dealt out by their number
+ROWS_PER_TASK = 500_000
+
+
+def tasks_for(spark: SparkSession, n_rows: int) -> int:
+    """Tasks for ``n_rows`` rows: as many as run at once, or more, so that a task's memory does not grow with the table."""
+    return max(spark.sparkContext.defaultParallelism, -(-n_rows // ROWS_PER_TASK))
+
+
 _JOB: ContextVar[str | None] = ContextVar("provenor_job", default=None)
 
 

@@ -97,3 +97,17 @@ def test_no_product_of_tables(spark, capsys, name):
 def test_no_python_in_the_hot_path(spark, capsys):
     for name in ("agg_two_group_test", "src_parse_ws_lines", "jon_norm_key_map", "agg_sample_qc"):
         assert "Python" not in plan(QUERIES[name](spark, SF), capsys)
+
+
+@pytest.mark.parametrize("name,times", [
+    ("agg_neighbour_features", 2), ("agg_degree", 2), ("agg_rollups", 2), ("win_canonical_edges", 4), ("step_protein_nodes", 2), ("step_gene_edges", 1),
+])
+def test_tasks_of_edge_steps_grow_with_the_edges(spark, capsys, monkeypatch, name, times):
+    """Not with the session's shuffle partitions, which stay as they are."""
+    from provenor import session
+
+    monkeypatch.setattr(session, "ROWS_PER_TASK", 100)
+    n = tab(spark, SF, "lineitem").count()
+    text = plan(QUERIES[name](spark, SF), capsys)
+    for tasks in (-(-n // 100), -(-n * times // 100)):
+        assert f", {tasks}), REPARTITION_BY_NUM" in text
