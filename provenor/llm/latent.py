@@ -1,8 +1,8 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Passages are TF-IDF vectors over hashed terms. A distributed randomised SVD of
-benchmark items and corpus passages gives a small latent space; every window of
-every document is projected there and compared with the items by cosine. Beside
+all benchmark items and corpus passages, in one pass over the corpus, gives a
+small latent space; every window of every document is projected there and compared with the items by cosine. Beside
 it, an exact search looks up the rarest words of each item: no window can hold
 enough of an item without some of them. What either finds is checked word by
 word: the longest common subsequence with the item, and with its answer. So
@@ -16,17 +16,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from provenor.llm.packing import deal, record_batch, spark_schema
 from provenor.llm.words import U, Words, slices
-from provenor.session import materialise
 
 TERMS = 1 << 14
 RANK = 128
 OVERSAMPLE = 8
-FIT_DOCUMENTS = 4000
 BLOCK = 16
 SHORT, LONG = 3, 6  # blocks per window; short windows hold items of up to 32 words, long ones of up to 64
 ITEM_WORDS = 64
@@ -39,6 +37,8 @@ RANGE_BLOCKS = 1024
 ITEM_BLOCK = 4096
 RANGES = 16
 CHUNK = 1 << 16
+ROWS = 1 << 12
+GRAM_ROWS = 128
 
 DENSE = pa.schema([("part", pa.int32()), ("data", pa.binary())])
 HITS = pa.schema([
@@ -103,80 +103,75 @@ def windows_of(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def project(term: np.ndarray, starts: np.ndarray, space: np.ndarray) -> np.ndarray:
-    """Sums of the rows of ``space`` over consecutive ranges of ``term`` that begin at ``starts``."""
+    """Sums of the rows of ``space`` over consecutive ranges of ``term``, of one term at least, that begin at ``starts``."""
     out = np.zeros((len(starts), space.shape[1]), np.float32)
-    at = 0
-    while at < len(starts):
-        stop = max(at + 1, int(np.searchsorted(starts, starts[at] + CHUNK)))
-        end = starts[stop] if stop < len(starts) else len(term)
-        out[at:stop] = np.add.reduceat(space[term[starts[at] : end]], starts[at:stop] - starts[at], axis=0)
-        at = stop
+    sizes = np.diff(np.append(starts, len(term)))
+    for at in range(0, len(starts), ROWS):
+        order = at + np.argsort(-sizes[at : at + ROWS], kind="stable")
+        begin, size = starts[order], sizes[order]
+        total = space[term[begin]]
+        for j in range(1, size[0]):
+            longer = int(np.searchsorted(-size, -j))
+            total[:longer] += space[term[begin[:longer] + j]]
+        out[order] = total
     return out
 
 
-def _gram(term: np.ndarray, starts: np.ndarray, idf: np.ndarray, basis: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """``A' (A basis)`` and ``A basis`` for unit-length TF-IDF rows A."""
-    if not len(starts):
-        return np.zeros((TERMS, basis.shape[1]), np.float32), np.zeros((0, basis.shape[1]), np.float32)
-    owner = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(term))))
-    key, tf = np.unique(owner * TERMS + term, return_counts=True)
-    row, col = key // TERMS, key % TERMS
-    value = (tf * idf[col]).astype(np.float32)
-    norm = np.sqrt(np.bincount(row, value.astype(float) ** 2, len(starts)))
-    value /= np.maximum(norm, 1e-12)[row].astype(np.float32)
-    y, z = np.zeros((len(starts), basis.shape[1]), np.float32), np.zeros((TERMS, basis.shape[1]), np.float32)
-    for at in range(0, len(key), CHUNK):
-        r, c, v = row[at : at + CHUNK], col[at : at + CHUNK], value[at : at + CHUNK, None]
-        head = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
-        y[r[head]] += np.add.reduceat(basis[c] * v, head, axis=0)
-    order = np.argsort(col, kind="stable")
-    row, col, value = row[order], col[order], value[order]
-    for at in range(0, len(key), CHUNK):
-        r, c, v = row[at : at + CHUNK], col[at : at + CHUNK], value[at : at + CHUNK, None]
-        head = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
-        z[c[head]] += np.add.reduceat(y[r] * v, head, axis=0)
-    return z, y
-
-
-def latent_space(spark: SparkSession, sample: DataFrame, items: list[np.ndarray], idf: np.ndarray, rank: int) -> np.ndarray:
-    """Right singular vectors (terms x rank): one power iteration from a random start, then Rayleigh-Ritz.
-
-    Rows are the items and the windows of the sample; items weigh as much as all windows together.
+def _gram(term: np.ndarray, starts: np.ndarray, idf: np.ndarray, basis: np.ndarray) -> np.ndarray:
+    """``A' (A basis)`` for unit-length TF-IDF rows A."""
+    out = np.zeros((TERMS, basis.shape[1]), np.float32)
+    edges = np.append(starts, len(term))
+    for at in range(0, len(starts), GRAM_ROWS):
+        bounds = edges[at : at + GRAM_ROWS + 1]
+        n = len(bounds) - 1
+        cols, place = np.unique(term[bounds[0] : bounds[-1]], return_inverse=True)
+        key = np.repeat(np.arange(n), np.diff(bounds)) * len(cols) + place
+        a = np.bincount(key, minlength=n * len(cols)).reshape(n, len(cols)).astype(np.float32) * idf[cols]
+        a /= np.maximum(np.linalg.norm(a, axis=1, keepdims=True), 1e-12)
+        out[cols] += a.T @ (a @ basis[cols])
+    return out
+
+
+def start_vectors(rank: int) -> np.ndarray:
+    """Random orthonormal vectors (terms x rank and a few more), the same in every run."""
+    return np.linalg.qr(np.random.default_rng(20240101).standard_normal((TERMS, rank + OVERSAMPLE), dtype=np.float32))[0]
+
+
+def corpus_sketch(docs: DataFrame, idf: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """``A' (A start)`` where the rows of A are the windows of all documents.
+
+    A task sends one array of the sketch's size, so there are only so many tasks as keep all cores busy.
+    """
+    context = docs.sparkSession.sparkContext
+    sent = context.broadcast((start, idf))
+
+    def run(batches):
+        basis, weights = sent.value
+        total = np.zeros(basis.shape, np.float32)
+        for batch in batches:
+            for part in slices(batch, "text"):
+                words = Words(part.column("text"), lower=True)
+                total += _gram(terms(words), windows_of(words, SHORT * BLOCK)[0], weights, basis)
+        yield _ranges(total)
+
+    out = summed_dense(docs.select("text").coalesce(2 * context.defaultParallelism).mapInArrow(run, spark_schema(DENSE)), np.float32, start.shape)
+    sent.destroy()
+    return out
+
+
+def latent_space(sketch: np.ndarray, start: np.ndarray, items: list[np.ndarray], idf: np.ndarray, weight: float) -> np.ndarray:
+    """Right singular vectors (terms x rank) of the items and the windows of all documents, by Nystrom's formula from the sketch of both.
+
+    Items weigh ``weight`` each.
     """
-    width = rank + OVERSAMPLE
-    item_terms = np.concatenate(items) if items else np.zeros(0, np.int64)
     item_starts = np.cumsum([0, *map(len, items)])[:-1]
-    n_windows = sample.select(F.sum(F.greatest(F.lit(1), F.length("text") / 300))).first()[0] or 0.0
-    weight = np.float32(max(1.0, n_windows / max(len(items), 1)))
-
-    def passed(basis: np.ndarray, small: bool) -> np.ndarray:
-        sent = spark.sparkContext.broadcast((basis, idf))
-
-        def run(batches):
-            here, weights = sent.value
-            total = np.zeros((RANGES * width if small else TERMS, width), np.float32)
-            for batch in batches:
-                for part in slices(batch, "text"):
-                    words = Words(part.column("text"), lower=True)
-                    z, y = _gram(terms(words), windows_of(words, SHORT * BLOCK)[0], weights, here)
-                    if small:
-                        total[:width] += y.T @ y
-                    else:
-                        total += z
-            yield _ranges(total)
-
-        shape = (RANGES * width if small else TERMS, width)
-        out = summed_dense(sample.mapInArrow(run, spark_schema(DENSE)), np.float32, shape)
-        sent.destroy()
-        z, y = _gram(item_terms, item_starts, idf, basis)
-        return out[:width] + weight * (y.T @ y) if small else out + weight * z
-
-    start = np.random.default_rng(20240101).standard_normal((TERMS, width), dtype=np.float32)
-    basis = np.linalg.qr(passed(start, False))[0]
-    basis = np.linalg.qr(passed(basis, False))[0]
-    values, vectors = np.linalg.eigh(passed(basis, True).astype(float))
-    top = np.argsort(values)[::-1][:rank]
-    return (basis @ vectors[:, top].astype(np.float32)).astype(np.float32)
+    seen = sketch.astype(float) + weight * _gram(np.concatenate(items), item_starts, idf, start)
+    shift = 1e-6 * max(float(np.linalg.norm(seen)), 1e-12)
+    seen += shift * start
+    values, vectors = np.linalg.eigh((start.T @ seen + seen.T @ start) / 2)
+    half = seen @ (vectors / np.sqrt(np.maximum(values, shift / 2)))
+    left = np.linalg.svd(half, full_matrices=False)[0]
+    return left[:, : start.shape[1] - OVERSAMPLE].astype(np.float32)
 
 
 def lcs(masks: dict[int, int], size: int, words: list[int]) -> int:
@@ -346,7 +341,7 @@ def _blocks(benchmark: DataFrame, item: str, text: str, answer: str | None, size
 
 def contaminated(
     df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", answer: str | None = None,
-    rank: int = RANK, fit_documents: int = FIT_DOCUMENTS, min_cosine: float = MIN_COSINE,
+    rank: int = RANK, min_cosine: float = MIN_COSINE,
 ) -> DataFrame:
     """One row per document and benchmark item found in it: ``doc_id``, ``item_id``, ``cosine``, ``lcs``, ``item_words``, ``answer_lcs``, ``start_word``.
 
@@ -360,21 +355,19 @@ def contaminated(
     empty texts have no passages and find nothing; repeated rows are reported
     each; an empty benchmark or table gives no rows; further columns are not
     read. Items travel to the tasks in blocks of 4096, so the benchmark may have
-    any size; document frequencies cover all documents. Only the latent space is
-    fitted on a sample: about ``fit_documents`` documents, chosen by a hash of
-    the id.
+    any size; document frequencies and the latent space come from all documents.
     """
     spark = df.sparkSession
     docs = df.select(df[key].cast("bigint").alias("id"), df[text].alias("text"))
     out = spark.createDataFrame([], spark_schema(HITS))
-    every = max(1, -(-docs.count() // fit_documents))
-    sample, idf = None, None
+    start, sketch, idf, n_windows = start_vectors(rank), None, None, 0.0
     for passages in _blocks(benchmark, item, item_text, answer, ITEM_BLOCK):
         if not passages:
             continue
-        if sample is None:
-            sample = materialise(docs.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).select("text").repartition(4), "fit-sample")
+        if sketch is None:
             idf = inverse_frequencies(docs, [p[3] for p in passages])
-        space = latent_space(spark, sample, [p[3] for p in passages], idf, rank)
+            sketch = corpus_sketch(docs, idf, start)
+            n_windows = docs.select(F.sum(F.greatest(F.lit(1), F.length("text") / 300))).first()[0] or 0.0
+        space = latent_space(sketch, start, [p[3] for p in passages], idf, max(1.0, n_windows / len(passages)))
         out = out.unionByName(search(docs, passages, idf, space, min_cosine))
     return out

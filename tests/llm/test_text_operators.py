@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -397,3 +398,33 @@ def test_wrapped_notices(spark):
     docs += [(1000 + i, "\n".join(rng.choices(noise, k=6))) for i in range(50)]
     found = licences.scan(spark.createDataFrame(docs, "doc_id bigint, text string"), classifier).collect()
     assert {(r["doc_id"], r["family"]) for r in found} == right and {r["n_paragraphs"] for r in found} == {1}
+
+
+def test_latent_space_is_fitted_on_all_documents(spark):
+    rnd = np.random.default_rng(5)
+    texts = [None, "", *(" ".join(f"w{int(x)}" for x in rnd.zipf(1.4, int(rnd.integers(1, 200))) % 900) for _ in range(600))]
+    items = [np.unique(rnd.integers(0, latent.TERMS, 30)) for _ in range(5)]
+    idf = rnd.random(latent.TERMS).astype(np.float32)
+    df = spark.createDataFrame(list(enumerate(texts)), "id bigint, text string").repartition(7)
+    start = latent.start_vectors(16)
+    sketch = latent.corpus_sketch(df, idf, start)
+    rows = []
+    for text in texts:
+        term = latent.terms(latent.Words(pa.array([text], pa.string()), lower=True))
+        for at in range(0, len(term), 48):
+            row = np.bincount(term[at : at + 48], minlength=latent.TERMS) * idf.astype(float)
+            rows.append(row / np.linalg.norm(row))
+    a = np.array(rows)
+    assert np.abs(sketch - a.T @ (a @ start)).max() < 1e-3
+    space = latent.latent_space(sketch, start, items, idf, 2.0)
+    own = np.array([np.bincount(i, minlength=latent.TERMS) * idf.astype(float) for i in items])
+    both = np.vstack([a, np.sqrt(2.0) * own / np.linalg.norm(own, axis=1, keepdims=True)])
+    best = (np.linalg.svd(both, compute_uv=False)[:16] ** 2).sum()
+    assert np.abs(space.T @ space - np.eye(16)).max() < 1e-4 and ((both @ space) ** 2).sum() > 0.6 * best
+
+
+def test_projection_sums_ranges_of_any_length():
+    rnd = np.random.default_rng(6)
+    space, term = rnd.random((latent.TERMS, 8)).astype(np.float32), rnd.integers(0, latent.TERMS, 30000)
+    starts = np.concatenate([[0], np.sort(rnd.choice(np.arange(1, 30000), 9000, replace=False))])
+    assert np.allclose(latent.project(term, starts, space), np.add.reduceat(space[term], starts, axis=0), atol=1e-5)
