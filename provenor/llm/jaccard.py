@@ -31,13 +31,15 @@ MAX_SKETCH_BITS = 1 << 16
 CHUNK = 1024
 RUN = 1 << 22
 LABEL_SALTS = 32
+BITS_PER_ID = 64
+MAX_BITMAP_BITS = 1 << 27
 
 SIGNED = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("check", pa.int64()), ("sketch", pa.binary()), ("coarse", pa.binary())])
 PACKED = pa.schema([("part", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("nodes", pa.binary())])
 MEMBERS = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("rep", pa.int64())])
 PAIRS = pa.schema([("x", pa.int64()), ("y", pa.int64())])
-PACKED_PAIRS = pa.schema([("part", pa.int32()), ("x", pa.binary()), ("y", pa.binary())])
-SETS = pa.schema([("node", pa.int64()), ("elements", pa.binary())])
+PACKED_PAIRS = pa.schema([("part", pa.int32()), ("x", pa.binary()), ("y", pa.binary()), ("key", pa.int64())])
+SETS = pa.schema([("node", pa.int64()), ("id", pa.int64()), ("elements", pa.binary())])
 
 
 def size_bands(largest: int) -> list[int]:
@@ -232,17 +234,41 @@ def hamming(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.bitwise_count(fold(a, size) ^ fold(b, size)).sum())
 
 
+def wanted_sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
+    """``node`` and ``elements`` (its full set) for rows ``node``, ``id`` of ``ids``, a stored table.
+
+    A bitmap of the hashed ids, of 16 MB at most, goes to the tasks, which leave
+    out most other texts before anything is shuffled; the join drops the few
+    that a shared bit lets through.
+    """
+    spark = docs.sparkSession
+    bits = min(MAX_BITMAP_BITS, max(1 << 15, 1 << (BITS_PER_ID * ids.count()).bit_length()))
+    place = F.pmod(F.xxhash64("id"), F.lit(bits))
+    blocks = ids.where("id is not null").select(place.alias("place")).groupBy(F.bitmap_bucket_number("place").alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits"))
+    bitmap = np.zeros((bits >> 15) + 2, f"V{1 << 12}")
+    for row in blocks.toLocalIterator():
+        bitmap[row["block"]] = bytes(row["bits"])
+    # blocks are numbered from 1, and number b has the places up to b * 2^15
+    numbers = docs.where("id is not null").select("id", "text", F.bitmap_bucket_number(place).alias("block"), F.bitmap_bit_position(place).alias("bit"))
+    sent = spark.sparkContext.broadcast(bitmap.view(np.uint8))
+
+    def run(batches):
+        held = sent.value
+        for batch in batches:
+            block, bit = (batch.column(c).to_numpy() for c in ("block", "bit"))
+            told = held[(block << 12) + (bit >> 3)] >> (bit & 7).astype(np.uint8) & 1
+            for part, sets in _sets([batch.filter(pa.array(told.astype(bool)))], n):
+                yield record_batch(SETS, node=[node_of(s)[0] for s in sets], id=part.column("id"), elements=[s.tobytes() for s in sets])
+
+    found = numbers.mapInArrow(run, spark_schema(SETS)).where("octet_length(elements) > 0")
+    return found.join(ids.select("node", "id"), ["node", "id"], "left_semi").dropDuplicates(["node"]).select("node", "elements")
+
+
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int) -> DataFrame:
     """The pairs whose full shingle sets have 100 * intersection >= 80 * union."""
     wanted = pairs.select(F.col("x").alias("node")).unionByName(pairs.select(F.col("y").alias("node"))).distinct()
-    ids = nodes.join(wanted, "node", "left_semi").select("node", "id")
-
-    def to_sets(batches):
-        for part, sets in _sets(batches, n):
-            own = [(node, s.tobytes()) for node, s in zip(part.column("node").to_pylist(), sets, strict=True) if len(s) and node_of(s)[0] == node]
-            yield record_batch(SETS, node=[node for node, _ in own], elements=[s for _, s in own])
-
-    sets = materialise(docs.join(ids, "id").mapInArrow(to_sets, spark_schema(SETS)).dropDuplicates(["node"]), "sets")
+    ids = materialise(nodes.join(wanted, "node", "left_semi").select("node", "id"), "wanted")
+    sets = materialise(wanted_sets(docs, ids, n), "sets")
     a = sets.select(F.col("node").alias("x"), F.col("elements").alias("ex"))
     b = sets.select(F.col("node").alias("y"), F.col("elements").alias("ey"))
 
@@ -277,27 +303,30 @@ def sorted_groups(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa
         yield pa.Table.from_batches(waiting)
 
 
-def cross_pairs(rest: DataFrame, closest: bool) -> DataFrame:
-    """Distinct pairs of sets of different components that share a code and pass a coarse screen, from rows key, node, label, n, coarse.
+def cross_pairs(rest: DataFrame, nodes: DataFrame, closest: bool) -> tuple[DataFrame, DataFrame]:
+    """Distinct pairs of sets of different components that share a code and pass a coarse screen, from rows key, node, label and the ``nodes``.
 
     With ``closest`` only the nearest pair of each two components that meet in a
-    code. A code with many sets is dealt as pairs of chunks of ``CHUNK`` sets each,
+    code; the second frame has the codes (``key``) of which pairs were so left out.
+    A code with many sets is dealt as pairs of chunks of ``CHUNK`` sets each,
     so a task holds two chunks at a time. Sets that share many codes are found
     many times: pairs travel packed and the repeated ones end at their destination.
+    Sketches join the rows last and are shuffled once.
     """
     parts = shuffle_size(rest.sparkSession)
     sizes = rest.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
     chunk = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
     spread = rest.join(sizes, "key").withColumn("own", chunk).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     spread = spread.withColumn("meeting", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")))
-    spread = spread.select("meeting", "own", "other", "node", "label", "n", "coarse").repartition(parts, "meeting").sortWithinPartitions("meeting", "own", "node")
+    spread = spread.select("meeting", "key", "own", "other", "node", "label").join(nodes.select("node", "n", "coarse"), "node")
+    spread = spread.repartition(parts, "meeting").sortWithinPartitions("meeting", "own", "node")
 
     def run(batches):
         for table in sorted_groups(batches, "meeting"):
-            meeting, own, other, node, label, size = (table.column(c).to_numpy() for c in ("meeting", "own", "other", "node", "label", "n"))
+            meeting, key, own, other, node, label, size = (table.column(c).to_numpy() for c in ("meeting", "key", "own", "other", "node", "label", "n"))
             sketches = [np.frombuffer(s, np.uint8) for s in table.column("coarse").to_pylist()]
             first = np.flatnonzero(np.concatenate([[True], meeting[1:] != meeting[:-1]]))
-            found = []
+            found, left = [], []
             for a, b in zip(first, [*first[1:], len(meeting)], strict=True):
                 width = min(len(s) for s in sketches[a:b])
                 bits = np.stack([fold(s, width) for s in sketches[a:b]])
@@ -319,12 +348,14 @@ def cross_pairs(rest: DataFrame, closest: bool) -> DataFrame:
                         low, high, i, j = low[order], high[order], i[order], j[order]
                         lead = np.concatenate([[True], (low[1:] != low[:-1]) | (high[1:] != high[:-1])])[: len(i)]
                         i, j = i[lead], j[lead]
+                        if not lead.all():
+                            left.append(int(key[a]))
                     found.append(np.stack([np.minimum(m[i], m[j]), np.maximum(m[i], m[j])]))
             if found:
                 x, y = np.unique(np.concatenate(found, axis=1), axis=1)
                 to = ((mix(x.view(U) ^ mix(y.view(U))) >> U(32)) * U(parts) >> U(32)).astype(np.int32)
-                rows = [(p, x[at].tobytes(), y[at].tobytes()) for p, at in dealt(to, parts)]
-                yield record_batch(PACKED_PAIRS, **dict(zip(PACKED_PAIRS.names, map(list, zip(*rows, strict=True)) if rows else [[]] * 3, strict=True)))
+                rows = [(p, x[at].tobytes(), y[at].tobytes(), None) for p, at in dealt(to, parts)] + [(None, None, None, k) for k in left]
+                yield record_batch(PACKED_PAIRS, **dict(zip(PACKED_PAIRS.names, map(list, zip(*rows, strict=True)) if rows else [[]] * 4, strict=True)))
 
     def unite(batches):
         held: dict[int, list] = {}
@@ -338,7 +369,9 @@ def cross_pairs(rest: DataFrame, closest: bool) -> DataFrame:
             x, y = np.unique(np.concatenate(own, axis=1), axis=1)
             yield record_batch(PAIRS, x=x, y=y)
 
-    return deal(spread.mapInArrow(run, spark_schema(PACKED_PAIRS)), parts).mapInArrow(unite, spark_schema(PAIRS))
+    packed = materialise(spread.mapInArrow(run, spark_schema(PACKED_PAIRS)), "packed")
+    pairs = deal(packed.where("key is null").select("part", "x", "y"), parts).mapInArrow(unite, spark_schema(PAIRS))
+    return pairs, packed.where("key is not null").select("key").distinct()
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = SHINGLE) -> DataFrame:
@@ -374,8 +407,9 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", n: i
     for closest in (True, False):
         placed = member.join(joined, "node", "left").select("key", "node", F.coalesce("component", "node").alias("label"))
         open_keys = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
-        rest = placed.join(open_keys, "key", "left_semi").join(nodes.select("node", "n", "coarse"), "node")
-        met_again = materialise(cross_pairs(rest, closest), "cross")
+        found, left = cross_pairs(placed.join(open_keys, "key", "left_semi"), nodes, closest)
+        member = member.join(left, "key", "left_semi")
+        met_again = materialise(found, "cross")
         new = met_again.join(tested, ["x", "y"], "left_anti")
         tested = tested.unionByName(met_again)
         joined = joined_components(joined, verified(materialise(screened(new, nodes), "pairs"), nodes, docs, n), "x", "y")

@@ -86,13 +86,22 @@ def job(run: Callable) -> Callable:
     return wrapped
 
 
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialise(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Later stages then read stable Parquet columns, so a lost executor repeats a
-    scan and never a non-deterministic upstream step.
+    scan and never a non-deterministic upstream step. The shuffle files of the step
+    go as soon as it is written, not when the driver next collects garbage.
     """
     spark = df.sparkSession
     path = working_path(spark, label)
-    df.write.mode("errorifexists").option("compression", "snappy").parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.mode("errorifexists").option("compression", "snappy").parquet(path)
+    finally:
+        spark.conf.unset(SHUFFLE_CLEANUP) if before is None else spark.conf.set(SHUFFLE_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)

@@ -1,6 +1,8 @@
 """N-gram Jaccard join, its sketches, and substring dedup against brute force."""
 
+import os
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 from provenor.llm import jaccard, repeats
 from provenor.llm.components import components
 from provenor.llm.words import Words, shingle_sets
+from provenor.session import SHUFFLE_CLEANUP, materialise
 
 from . import brute
 
@@ -65,6 +68,45 @@ def test_empty_and_repeated_rows(spark, rows):
     assert got == sorted([(5, 26, 3), (5, 26, 3), (3, 26, 3), (9, 0, 9), (None, 1, None)], key=lambda t: [(v is not None, str(v)) for v in t])
 
 
+def test_wanted_sets_are_the_wanted_ones(spark):
+    texts = [" ".join(f"w{i}x{j}" for j in range(30)) for i in range(2000)]
+    nodes = [jaccard.node_of(s)[0] for s in shingle_sets(Words(pa.array(texts), lower=True))]
+    docs = spark.createDataFrame([*enumerate(texts), (None, texts[3]), (7, "another text under the same id"), (7, texts[7])], "id bigint, text string")
+    ids = spark.createDataFrame([(nodes[i], i) for i in (0, 7, 1999)] + [(1, 3), (nodes[9], None)], "node bigint, id bigint")
+    got = {r["node"]: r["elements"] for r in jaccard.wanted_sets(docs, ids, 5).collect()}
+    assert set(got) == {nodes[i] for i in (0, 7, 1999)} and all(len(e) == 8 * 26 for e in got.values())
+    none = jaccard.wanted_sets(docs, ids.limit(0), 5)
+    assert none.count() == 0
+
+
+def test_codes_without_left_pairs_are_not_compared_again(spark):
+    rng = np.random.default_rng(5)
+    base = np.unique(rng.integers(0, 2**64, 300, np.uint64))
+    sets = [np.unique(np.concatenate([base[:280], rng.integers(0, 2**64, 20, np.uint64)])) for _ in range(6)]
+    coarse = [jaccard.fold(s := np.frombuffer(jaccard.parity_sketch(x), np.uint8), len(s) // 2).tobytes() for x in sets]
+    nodes = spark.createDataFrame([(i, len(x), c) for i, (x, c) in enumerate(zip(sets, coarse, strict=True))], "node bigint, n bigint, coarse binary")
+    # under code 1 three components of one set each: all pairs are told; under code 2 two components of two sets
+    rest = spark.createDataFrame([(1, 0, 0), (1, 1, 1), (1, 2, 2), (2, 2, 10), (2, 3, 10), (2, 4, 11), (2, 5, 11)], "key bigint, node bigint, label bigint")
+    pairs, left = jaccard.cross_pairs(rest, nodes, True)
+    assert {(0, 1), (0, 2), (1, 2)} <= {tuple(r) for r in pairs.collect()} and pairs.count() == 4
+    assert [r["key"] for r in left.collect()] == [2]
+    every, left = jaccard.cross_pairs(rest, nodes, False)
+    assert every.count() == 7 and left.count() == 0
+
+
+def test_stored_steps_leave_no_shuffle_files(spark):
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {f for f in manager.getAllFiles().mkString("\n").split("\n") if "shuffle_" in f}
+    before = files()
+    stored = materialise(spark.range(20_000).repartition(7, "id"), "cleaned")
+    assert stored.count() == 20_000 and spark.conf.get(SHUFFLE_CLEANUP, None) in (None, "false")
+    until = time.time() + 10
+    while (more := {f for f in files() - before if f.endswith(".data")}) and time.time() < until:
+        time.sleep(0.2)
+    # the count has a shuffle of its own, of one partition a task
+    assert sum(os.path.getsize(f) for f in more if os.path.exists(f)) < 10_000
+
+
 def test_sketch_distance_is_a_lower_bound():
     rng = np.random.default_rng(0)
     for _ in range(200):
