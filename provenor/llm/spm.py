@@ -19,20 +19,25 @@ from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from provenor.llm.grammar import ragged
 from provenor.llm.packing import record_batch, shuffle_size, spark_schema
-from provenor.llm.words import slices
+from provenor.llm.words import U, range_hash, slices, text_bytes
 from provenor.session import materialise
 
 CHUNK_CHARS = 16_384
 ROWS_BYTES = 1 << 20
 MANY_LENGTH = 24
-REMEMBERED = 100_000
+REMEMBERED, REMEMBERED_IDS = 1 << 19, 1 << 21
+FEW = 32
+DECODED_IDS = 1 << 18
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
 LOWEST = -np.inf
+_SIGN = np.frombuffer(SPACE.encode(), np.uint8)
 
 CHUNKS = pa.schema([("doc", pa.int64()), ("chunk", pa.int64()), ("n", pa.int32()), ("body", pa.string())])
 MATRICES = pa.schema([("doc", pa.int64()), ("chunk", pa.int64()), ("matrix", pa.binary())])
@@ -40,6 +45,38 @@ STATES = pa.schema([("doc", pa.int64()), ("chunk", pa.int64()), ("entry", pa.int
 TRACED = pa.schema([("doc", pa.int64()), ("chunk", pa.int64()), ("ids", pa.binary())])
 
 
+class Numbers:
+    """Distinct 64-bit keys with numbers from 0, set and found many at once: linear probing in a table at most half full."""
+
+    def __init__(self, most: int):
+        bits = (2 * most - 1).bit_length()
+        self.shift, self.mask = U(64 - bits), (1 << bits) - 1
+        self.keys, self.values = np.zeros(1 << bits, U), np.full(1 << bits, -1, np.int32)
+
+    def _place(self, keys: np.ndarray) -> np.ndarray:
+        return (keys * U(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each key, -1 where it has none."""
+        at = self._place(keys)
+        found = self.values[at]
+        other = np.flatnonzero((self.keys[at] != keys) & (found >= 0))
+        while len(other):
+            at[other] = (at[other] + 1) & self.mask
+            found[other] = self.values[at[other]]
+            other = other[(self.keys[at[other]] != keys[other]) & (found[other] >= 0)]
+        return found
+
+    def put(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Adds keys that are not there; no value occurs twice."""
+        at, left = self._place(keys), np.arange(len(keys))
+        while len(left):
+            free = left[self.values[at[left]] < 0]
+            self.keys[at[free]], self.values[at[free]] = keys[free], values[free]
+            left = left[self.values[at[left]] != values[left]]
+            at[left] = (at[left] + 1) & self.mask
+
+
 class Vocabulary:
     """Pieces with scores, from a SentencePiece model file. Unknown characters become their UTF-8 bytes."""
 
@@ -63,9 +100,18 @@ class Vocabulary:
         spaces_lead = all(SPACE not in p.lstrip(SPACE) for p in self.pieces)
         breaks_alone = all("\n" not in p or len(p) == 1 for p in self.pieces)
         self.unit = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n+" if spaces_lead and breaks_alone else "(?s).+")
-        self.piece_scores = [sp.GetScore(i) if i not in special else 0.0 for i in every]
-        self.known: dict[str, list[int]] = {}
+        self.piece_scores = np.array([sp.GetScore(i) if i not in special else 0.0 for i in every])
+        self.chars = np.array([len(t) if v is None else 0 for t, v in zip(self.texts, self.values, strict=True)], np.int64)
+        written = [t.replace(SPACE, " ").encode() if v is None else bytes([v]) for t, v in zip(self.texts, self.values, strict=True)]
+        self.written, self.written_size = np.frombuffer(b"".join(written), np.uint8), np.array(list(map(len, written)), np.int64)
+        self.written_at = np.cumsum(self.written_size) - self.written_size
         self._number_trie()
+        self._forget(REMEMBERED, REMEMBERED_IDS)
+
+    def _forget(self, units: int, ids: int) -> None:
+        """Room for so many units with so many ids, none of them known."""
+        self.numbers, self.count, self.used = Numbers(units), 0, 0
+        self.begin, self.size, self.pool = np.zeros(units, np.int64), np.zeros(units, np.int32), np.zeros(ids, np.int32)
 
     def _number_trie(self) -> None:
         """The pieces as a trie of numbers, for solving many units at once."""
@@ -74,50 +120,64 @@ class Vocabulary:
         self.char_ids[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
         states = {prefix: i for i, prefix in enumerate(sorted(self.prefixes), 1)}
         key = lambda prefix: states.get(prefix[:-1], 0) * 65_536 + int(self.char_ids[ord(prefix[-1])])
-        steps = sorted((key(prefix), state) for prefix, state in states.items())
-        self.step_keys, self.step_to = (np.array(x, np.int64) for x in zip(*steps, strict=True))
+        self.steps = Numbers(len(states))
+        self.steps.put(np.array([key(prefix) for prefix in states], U), np.array(list(states.values()), np.int32))
         self.state_piece, self.state_score = np.full(len(states) + 1, -1, np.int32), np.full(len(states) + 1, LOWEST)
         for piece, (i, score) in self.pieces.items():
             self.state_piece[states[piece]], self.state_score[states[piece]] = i, score
 
-    def solve(self, units: list[str]) -> None:
-        """Remembers the segmentation of units of at most ``MANY_LENGTH`` characters, all of them place by place.
+    def solve(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Segmentations of units of at most ``MANY_LENGTH`` characters, all of them place by place: a row of ids, right-aligned, and their number.
 
-        Units with unknown characters are left to ``encode_unit``.
+        Units with unknown characters are left to ``encode_unit`` and have none.
         """
         codes = np.array(units, f"U{MANY_LENGTH}").view(np.uint32).reshape(len(units), MANY_LENGTH)
         chars, length = self.char_ids[codes], (codes != 0).sum(axis=1)
         known = np.flatnonzero(((chars != 0).sum(axis=1) == length) & (length == [len(u) for u in units]))
-        chars, length = chars[known].astype(np.int64), length[known]
-        best = np.full((len(known), MANY_LENGTH + 1), LOWEST)
-        best[:, 0] = 0.0
+        chars, length = np.ascontiguousarray(chars[known].T.astype(U)), length[known]
+        best = np.full((MANY_LENGTH + 1, len(known)), LOWEST)
+        best[0] = 0.0
         back, piece = np.zeros(best.shape, np.int8), np.zeros(best.shape, np.int32)
         for at in range(int(length.max(initial=0))):
-            row = np.flatnonzero((length > at) & (best[:, at] > LOWEST))
-            state = np.zeros(len(row), np.int64)
+            row = np.flatnonzero((length > at) & (best[at] > LOWEST))
+            state = np.zeros(len(row), np.int32)
             for end in range(at + 1, min(at + self.longest, MANY_LENGTH) + 1):
-                key = state * 65_536 + chars[row, end - 1]
-                found = np.minimum(np.searchsorted(self.step_keys, key), len(self.step_keys) - 1)
-                alive = (self.step_keys[found] == key) & (length[row] >= end)
-                row, state = row[alive], self.step_to[found[alive]]
+                state = self.steps.get(state.astype(U) * U(65_536) + chars[end - 1][row])
+                alive = np.flatnonzero(state >= 0)
+                row, state = row[alive], state[alive]
                 if not len(row):
                     break
-                score = best[row, at] + self.state_score[state]
-                better = score > best[row, end]
+                score = best[at][row] + self.state_score[state]
+                better = np.flatnonzero(score > best[end][row])
                 to = row[better]
-                best[to, end], back[to, end], piece[to, end] = score[better], at, self.state_piece[state[better]]
+                best[end][to], back[end][to], piece[end][to] = score[better], at, self.state_piece[state[better]]
         place, row = length.copy(), np.arange(len(known))
-        trace = np.zeros((len(known), MANY_LENGTH), np.int32)
-        count = np.zeros(len(known), np.int64)
-        while (going := place > 0).any():
-            r = row[going]
-            trace[r, MANY_LENGTH - 1 - count[r]] = piece[r, place[r]]
-            count[r] += 1
-            place[r] = back[r, place[r]]
-        solved = best[row, length] > LOWEST
-        for i, n, ids, ok in zip(known.tolist(), count.tolist(), trace, solved.tolist(), strict=True):
-            if ok:
-                self.known[units[i]] = ids[MANY_LENGTH - n :].tolist()
+        trace = np.zeros((len(units), MANY_LENGTH), np.int32)
+        count = np.zeros(len(units), np.int64)
+        row = row[best[length, row] > LOWEST]
+        while len(row := row[place[row] > 0]):
+            to = known[row]
+            trace[to, MANY_LENGTH - 1 - count[to]] = piece[place[row], row]
+            count[to] += 1
+            place[row] = back[place[row], row]
+        return trace, count
+
+    def segment(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all units one after the other, and how many each has."""
+        sizes, parts = np.zeros(len(units), np.int64), []
+        for at in range(0, len(units), 20_000):
+            own = units[at : at + 20_000]
+            short = [k for k, u in enumerate(own) if len(u) <= MANY_LENGTH] if len(own) > FEW else []
+            trace, count = self.solve([own[k] for k in short])
+            if len(short) == len(own) and count.all():
+                parts.append(trace[np.arange(MANY_LENGTH) >= MANY_LENGTH - count[:, None]])
+                sizes[at : at + len(own)] = count
+                continue
+            solved = {k: trace[j, MANY_LENGTH - n :] for j, (k, n) in enumerate(zip(short, count.tolist(), strict=True)) if n}
+            found = [solved[k] if k in solved else np.array(self.encode_unit(u), np.int32) for k, u in enumerate(own)]
+            parts += found
+            sizes[at : at + len(own)] = [len(x) for x in found]
+        return np.concatenate([np.zeros(0, np.int32), *parts]), sizes
 
     def edges(self, text: str, at: int, limit: int) -> Iterator[tuple[int, float, int | None]]:
         """Pieces that start at ``at``: their end, score and id; an unknown character has none."""
@@ -147,11 +207,16 @@ class Vocabulary:
                         best[end], back[end] = base + score, at
         return best, back
 
-    def score(self, ids: list[int], text: str) -> float:
+    def score(self, ids: np.ndarray, text: str) -> float:
         """The sum of the scores of the pieces that make up ``text``; unknown characters stand in for their bytes."""
-        known = sum(self.piece_scores[i] for i in ids)
-        covered = sum(len(self.texts[i]) for i in ids if self.values[i] is None)
-        return known + self.unknown * (len(text) - covered)
+        return float(self.piece_scores[ids].sum()) + self.unknown * (len(text) - int(self.chars[ids].sum()))
+
+    def rest(self, text: str, stop: int) -> list[float]:
+        """The best score from each place to ``stop``."""
+        out = [LOWEST] * stop + [0.0]
+        for at in range(stop - 1, -1, -1):
+            out[at] = max(score + out[end] for end, score, _ in self.edges(text, at, stop))
+        return out
 
     def ids_between(self, text: str, a: int, b: int) -> list[int]:
         found = self.pieces.get(text[a:b])
@@ -169,53 +234,88 @@ class Vocabulary:
         return out
 
     def encode_unit(self, unit: str) -> list[int]:
-        ids = self.known.get(unit)
-        if ids is None:
-            n, get, prefixes = len(unit), self.pieces.get, self.prefixes
-            best, back = [0.0, *[LOWEST] * n], [0] * (n + 1)
-            for at in range(n):  # as in ``forward``, for the many short units
-                base, end = best[at], at + 1
-                if unit[at] not in self.pieces and base + self.unknown > best[end]:
-                    best[end], back[end] = base + self.unknown, at
-                while end <= n and (part := unit[at:end]) in prefixes:
-                    found = get(part)
-                    if found and base + found[1] > best[end]:
-                        best[end], back[end] = base + found[1], at
-                    end += 1
-            ids = self.trace(unit, back, 0, n)
-            if len(unit) <= 2 * MANY_LENGTH:
-                self.known[unit] = ids
-        return ids
-
-    def learn(self, units: list[list[str] | None]) -> None:
-        """Solves the units that are not known; what is known is bounded."""
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = list({u for own in units if own for u in own if u not in self.known and len(u) <= MANY_LENGTH})
-        for at in range(0, len(new), 20_000):
-            self.solve(new[at : at + 20_000])
-
-    def encode_all(self, texts: list[str | None]) -> list[list[int] | None]:
-        """The ids of many texts; their new units are solved together."""
-        units = [None if t is None else self.unit.findall(t) for t in texts]
-        self.learn(units)
-        known = self.known
-        out: list[list[int] | None] = []
-        for own in units:
-            if own is None:
-                out.append(None)
-                continue
-            ids: list[int] = []
-            for u in own:
-                ids += known.get(u) or self.encode_unit(u)
-            out.append(ids)
-        return out
-
-    def encode(self, escaped: str) -> list[int]:
-        out: list[int] = []
-        for unit in self.unit.findall(escaped):
-            out += self.known.get(unit) or self.encode_unit(unit)
-        return out
+        n, get, prefixes = len(unit), self.pieces.get, self.prefixes
+        best, back = [0.0, *[LOWEST] * n], [0] * (n + 1)
+        for at in range(n):  # as in ``forward``, for the many short units
+            base, end = best[at], at + 1
+            if unit[at] not in self.pieces and base + self.unknown > best[end]:
+                best[end], back[end] = base + self.unknown, at
+            while end <= n and (part := unit[at:end]) in prefixes:
+                found = get(part)
+                if found and base + found[1] > best[end]:
+                    best[end], back[end] = base + found[1], at
+                end += 1
+        return self.trace(unit, back, 0, n)
+
+    def unit_starts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """The places of UTF-8 texts at which a unit begins, as ``unit`` finds them."""
+        cut = np.zeros(len(data) + 1, bool)
+        if self.unit.pattern != "(?s).+":
+            line = data == 10
+            cut[1:-1] = line[1:] != line[:-1]
+            sign = np.flatnonzero(data == _SIGN[0])
+            sign = sign[(data[sign + 1] == _SIGN[1]) & (data[sign + 2] == _SIGN[2])]
+            cut[sign[np.diff(sign, prepend=-3) != len(_SIGN)]] = True
+        cut[offsets] = True
+        return np.flatnonzero(cut[:-1])
+
+    def _known(self, names: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The numbers of units; new ones are solved together, and all are forgotten when there is no more room."""
+        number = self.numbers.get(names)
+        missing = np.flatnonzero(number < 0)
+        if not len(missing):
+            return number
+        new, first = np.unique(names[missing], return_index=True)
+        at, whole = missing[first], data.tobytes()
+        ids, sizes = self.segment([whole[a:b].decode() for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
+        if self.count + len(new) > len(self.begin) or self.used + len(ids) > len(self.pool):
+            if self.count:
+                self._forget(REMEMBERED, REMEMBERED_IDS)
+                return self._known(names, data, starts, ends)
+            self._forget(max(REMEMBERED, len(new)), max(REMEMBERED_IDS, len(ids)))
+        to = np.arange(self.count, self.count + len(new))
+        self.numbers.put(new, to.astype(np.int32))
+        self.begin[to], self.size[to] = self.used + np.cumsum(sizes) - sizes, sizes
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.count, self.used = self.count + len(new), self.used + len(ids)
+        return self.numbers.get(names)
+
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, and where those of each text begin; a null text has none.
+
+        Units are told apart by 64-bit hashes.
+        """
+        data, offsets = text_bytes(texts)
+        starts = self.unit_starts(data, offsets)
+        ends = np.append(starts[1:], len(data))[: len(starts)]
+        number = self._known(range_hash(data, starts, ends), data, starts, ends)
+        sizes = self.size[number].astype(np.int64)
+        ids = self.pool[ragged(self.begin[number], sizes)]
+        return ids, np.concatenate([[0], np.cumsum(sizes)])[np.searchsorted(starts, offsets)]
+
+    def encode(self, escaped: str) -> np.ndarray:
+        return self.encode_all(pa.array([escaped], pa.string()))[0]
+
+    def decode_all(self, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+        """The texts of runs of ids, each up to its end."""
+        sizes = self.written_size[ids]
+        data = self.written[ragged(self.written_at[ids], sizes)]
+        upto = np.concatenate([[0], np.cumsum(sizes)])
+        offsets = upto[np.concatenate([[0], ends])]
+        keep = np.ones(len(data), bool)
+        first = offsets[:-1][np.diff(offsets) > 0]
+        keep[first[data[first] == 32]] = False  # the space before the text
+        high = np.flatnonzero(self.is_high[ids])
+        mended: dict[int, str] = {}
+        for k in np.unique(np.searchsorted(ends, high, side="right")).tolist():
+            a, b = ends[k - 1] if k else 0, ends[k]
+            mended[k] = self.decode(ids[a:b])
+            keep[offsets[k] : offsets[k + 1]] = False
+        left = np.concatenate([[0], np.cumsum(keep)])[offsets].astype(np.int64)
+        out = pa.LargeStringArray.from_buffers(len(ends), pa.py_buffer(left.tobytes()), pa.py_buffer(data[keep].tobytes())).cast(pa.string())
+        if not mended:
+            return out
+        return pa.array([mended.get(k, t) for k, t in enumerate(out.to_pylist())], pa.string())
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of the ids; adjacent bytes join, and bytes that are no text become U+FFFD."""
@@ -257,9 +357,9 @@ class Vocabulary:
         ahead = np.full(size, LOWEST)
         reach = min(size, len(text) - n + 1)
         ahead[:reach] = [middle + x for x in tail[n - last : n - last + reach]]
+        head = self.rest(text, meet)
         for i in range(min(size, meet + 1)):
-            head, _ = self.forward(text[:meet], {i: 0.0}, meet)
-            out[i] = head[meet] + ahead
+            out[i] = head[i] + ahead
         return out
 
     def tail(self, text: str) -> int:
@@ -336,7 +436,7 @@ def _giants(giants: DataFrame, model: bytes, chunk: int) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                vocabulary.learn([vocabulary.unit.findall(t) for t in part.column("body").to_pylist()])
+                vocabulary.encode_all(part.column("body"))  # from here on its units are known
                 found = [vocabulary.matrix(t, n).tobytes() for t, n in zip(part.column("body").to_pylist(), part.column("n").to_pylist(), strict=True)]
                 yield record_batch(MATRICES, doc=part.column("doc"), chunk=part.column("chunk"), matrix=found)
 
@@ -368,7 +468,7 @@ def _giants(giants: DataFrame, model: bytes, chunk: int) -> DataFrame:
             for at in range(0, batch.num_rows, 64):
                 part, out = batch.slice(at, 64), []
                 rows = list(zip(*(part.column(c).to_pylist() for c in ("body", "n", "entry", "leave")), strict=True))
-                vocabulary.learn([vocabulary.unit.findall(text) for text, *_ in rows])
+                vocabulary.encode_all(part.column("body"))
                 for text, n, entry, leave in rows:
                     meet = vocabulary.meeting(text, n)
                     if entry >= n + leave:  # a piece from before reaches over the whole chunk
@@ -377,7 +477,7 @@ def _giants(giants: DataFrame, model: bytes, chunk: int) -> DataFrame:
                         _, back = vocabulary.forward(text, {entry: 0.0}, n)
                         ids = vocabulary.trace(text, back, entry, n + leave)
                     else:
-                        ids = vocabulary.encode(text[entry:meet]) + vocabulary.encode(text[meet : n + leave])
+                        ids = np.concatenate([vocabulary.encode(text[entry:meet]), vocabulary.encode(text[meet : n + leave])])
                     out.append(np.array(ids, np.int32).tobytes())
                 yield record_batch(TRACED, doc=part.column("doc"), chunk=part.column("chunk"), ids=out)
 
@@ -406,8 +506,9 @@ def encode(df: DataFrame, model: bytes, text: str = "text", ids: str = "ids", ch
         vocabulary = vocabulary_of(model)
         for batch in batches:
             for part in slices(batch, "body", ROWS_BYTES):
-                found = vocabulary.encode_all(part.column("body").to_pylist())
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), _lists(found)], names=[*kept, "ids"])
+                found, ends = vocabulary.encode_all(part.column("body"))
+                found = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(found), mask=part.column("body").is_null())
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), found], names=[*kept, "ids"])
 
     short = rows.where("doc is null").select(*kept, "body").mapInArrow(solve, schema)
     long = rows.where("doc is not null")
@@ -432,10 +533,15 @@ def decode(df: DataFrame, model: bytes, ids: str = "ids", text: str = "decoded")
     def run(batches):
         vocabulary = vocabulary_of(model)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                found = [vocabulary.decode(x.values.to_numpy()) if x.is_valid else None for x in part.column(ids)]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(found, pa.string())], names=[*keep, text])
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(batch.column(ids)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            at = 0
+            while at < batch.num_rows:
+                stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + DECODED_IDS, side="right")))
+                part = batch.slice(at, stop - at)
+                found = vocabulary.decode_all(part.column(ids).flatten().to_numpy(), ends[at:stop] - (ends[at - 1] if at else 0))
+                found = pc.if_else(part.column(ids).is_null(), pa.scalar(None, pa.string()), found)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), found], names=[*keep, text])
+                at = stop
 
     return df.select(*keep).mapInArrow(run, schema)
 

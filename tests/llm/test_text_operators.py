@@ -112,6 +112,41 @@ def test_chunked_scan_equals_one_piece(spark, model):
     assert spm.encode(spark.createDataFrame([], "doc_id bigint, text string"), model).count() == 0
 
 
+def test_units_are_solved_once(model):
+    v = spm.Vocabulary(model)
+    texts = pa.array(["".join(f"▁w{i}" for i in range(a, a + 5_000)) for a in range(0, 150_000, 5_000)])
+    for text in texts:
+        v.encode_all(pa.array([text.as_py()]))
+    v.segment = None  # more than 100,000 units are still known
+    ids, ends = v.encode_all(texts)
+    assert v.decode_all(ids, ends[1:]).to_pylist() == [t.as_py()[1:].replace("▁", " ") for t in texts]
+
+
+def test_little_room_changes_no_ids(model, monkeypatch):
+    texts = [t for _, t, _ in TRICKY] + ["\n\n a\n b  c", "▁", "▁▁x▁", "é☃" * 40, "日本語 " * 9, "\x00a \x00"]
+    escaped = [t if not t else spm.SPACE + t.replace(" ", spm.SPACE) for t in texts]
+    want = spm.Vocabulary(model).encode_all(pa.array(escaped, pa.string()))
+    monkeypatch.setattr(spm, "REMEMBERED", 4)
+    monkeypatch.setattr(spm, "REMEMBERED_IDS", 9)
+    monkeypatch.setattr(spm, "FEW", 0)
+    v = spm.Vocabulary(model)
+    found = [v.encode_all(pa.array([t], pa.string()))[0].tolist() for t in escaped]
+    assert found == [want[0][a:b].tolist() for a, b in zip(want[1][:-1], want[1][1:], strict=True)]
+    units = [[] if t is None else v.unit.findall(t) for t in escaped]
+    assert found == [[i for u in own for i in v.encode_unit(u)] for own in units]
+    assert v.decode_all(*[want[0], want[1][1:]]).to_pylist() == [(t or "").replace("▁", " ") for t in texts]
+
+
+def test_numbers_of_keys():
+    rng = np.random.default_rng(3)
+    keys = np.unique(np.concatenate([np.arange(300, dtype=np.uint64), rng.integers(0, 2**64, 700, np.uint64)]))
+    table = spm.Numbers(len(keys))
+    for a in range(0, len(keys), 100):
+        assert (table.get(keys[a:]) == -1).all()
+        table.put(keys[a : a + 100], np.arange(a, min(a + 100, len(keys)), dtype=np.int32))
+    assert (table.get(keys) == np.arange(len(keys))).all() and (table.get(rng.integers(2**40, 2**50, 500).astype(np.uint64)) == -1).all()
+
+
 def test_matrices_combine_associatively(model):
     v = spm.Vocabulary(model)
     rng = random.Random(2)
