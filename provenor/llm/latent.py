@@ -16,11 +16,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from provenor.llm.packing import deal, record_batch, spark_schema
 from provenor.llm.words import U, Words, slices
+from provenor.session import materialise
 
 TERMS = 1 << 14
 RANK = 128
@@ -36,9 +38,11 @@ RARE_WORDS = 3
 RANGE_BLOCKS = 1024
 ITEM_BLOCK = 4096
 RANGES = 16
-CHUNK = 1 << 16
+CHUNK = 1 << 12
 ROWS = 1 << 12
-GRAM_ROWS = 128
+COUNT_ROWS = 128
+PIECE = 64
+TEXT_BYTES, TERM_BYTES = 1 << 19, 1 << 20
 
 DENSE = pa.schema([("part", pa.int32()), ("data", pa.binary())])
 HITS = pa.schema([
@@ -73,25 +77,50 @@ def summed_dense(partial: DataFrame, kind, shape: tuple[int, ...]) -> np.ndarray
     return out.reshape(shape)
 
 
-def inverse_frequencies(docs: DataFrame, items: list[np.ndarray]) -> np.ndarray:
-    """Inverse document frequency of each hashed term over all documents and items."""
+def texts_with_term(term: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The number of texts that have each term; text ``d`` has the terms ``first[d]:first[d + 1]``."""
+    counts = np.zeros(TERMS, np.int64)
+    for at in range(0, len(first) - 1, COUNT_ROWS):
+        bounds = first[at : at + COUNT_ROWS + 1]
+        seen = np.zeros((len(bounds) - 1, TERMS), bool)
+        seen[np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)), term[bounds[0] : bounds[-1]]] = True
+        counts += seen.sum(axis=0, dtype=np.uint8)  # of fewer than 256 texts
+    return counts
+
+
+def stored_terms(docs: DataFrame) -> DataFrame:
+    """The terms of each text (``part`` -1), and how many texts of a task have each term by ranges of terms, written in one pass."""
     def run(batches):
-        counts, n = np.zeros(TERMS, np.int64), 0
+        counts = np.zeros(TERMS, np.int64)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", TEXT_BYTES):
                 words = Words(part.column("text"), lower=True)
-                pairs = np.unique(words.owner() * TERMS + terms(words))
-                counts += np.bincount(pairs % TERMS, minlength=TERMS)
-                n += part.num_rows
+                term = terms(words)
+                counts += texts_with_term(term, words.first)
+                ends = pa.py_buffer((2 * words.first).astype(np.int32).tobytes())
+                own = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, ends, pa.py_buffer(term.astype(np.uint16).tobytes())])
+                yield record_batch(DENSE, part=np.full(part.num_rows, -1), data=own)
         yield _ranges(counts)
 
-    counts = summed_dense(docs.mapInArrow(run, spark_schema(DENSE)), np.int64, (TERMS,))
+    return materialise(docs.select("text").mapInArrow(run, spark_schema(DENSE)), "terms")
+
+
+def inverse_frequencies(stored: DataFrame, n_texts: int, items: list[np.ndarray]) -> np.ndarray:
+    """Inverse document frequency of each hashed term over all documents and items."""
+    counts = summed_dense(stored.where("part >= 0"), np.int64, (TERMS,))
     for item in items:
         counts[np.unique(item)] += 1
-    n = max(docs.count() + len(items), 1)
+    n = max(n_texts + len(items), 1)
     return np.maximum(np.log((n + 1) / (counts + 1)), 0.0).astype(np.float32)
 
 
+def window_starts(counts: np.ndarray, size: int) -> np.ndarray:
+    """Where consecutive runs of ``size`` words begin, in texts of so many words that stand one after the other."""
+    per = -(-counts // size)
+    place = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
+    return np.repeat(np.cumsum(counts) - counts, per) + place * size
+
+
 def windows_of(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of consecutive runs of ``size`` words within each text."""
     counts = words.counts()
@@ -118,17 +147,22 @@ def project(term: np.ndarray, starts: np.ndarray, space: np.ndarray) -> np.ndarr
 
 
 def _gram(term: np.ndarray, starts: np.ndarray, idf: np.ndarray, basis: np.ndarray) -> np.ndarray:
-    """``A' (A basis)`` for unit-length TF-IDF rows A."""
+    """``A' (A basis)`` for unit-length TF-IDF rows A, by sums over the words of a row and then over the places of a term."""
     out = np.zeros((TERMS, basis.shape[1]), np.float32)
-    edges = np.append(starts, len(term))
-    for at in range(0, len(starts), GRAM_ROWS):
-        bounds = edges[at : at + GRAM_ROWS + 1]
-        n = len(bounds) - 1
-        cols, place = np.unique(term[bounds[0] : bounds[-1]], return_inverse=True)
-        key = np.repeat(np.arange(n), np.diff(bounds)) * len(cols) + place
-        a = np.bincount(key, minlength=n * len(cols)).reshape(n, len(cols)).astype(np.float32) * idf[cols]
-        a /= np.maximum(np.linalg.norm(a, axis=1, keepdims=True), 1e-12)
-        out[cols] += a.T @ (a @ basis[cols])
+    if not len(starts):
+        return out
+    row = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(term))))
+    entry, times = np.unique(row * TERMS + term, return_counts=True)
+    squares = np.bincount(entry // TERMS, (times * idf[entry % TERMS].astype(float)) ** 2, len(starts))
+    image = project(term, starts, idf[:, None] * basis) / np.maximum(squares, 1e-24)[:, None].astype(np.float32)
+    order = np.argsort(term.astype(np.uint16), kind="stable")
+    sizes = np.bincount(term, minlength=TERMS)
+    pieces = -(-sizes // PIECE)  # a frequent term's places are summed piece by piece
+    owner = np.repeat(np.arange(TERMS), pieces)
+    nth = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    sums = project(row[order], (np.cumsum(sizes) - sizes)[owner] + PIECE * nth, image)
+    used = np.flatnonzero(sizes)
+    out[used] = np.add.reduceat(sums, (np.cumsum(pieces) - pieces)[used], axis=0) * idf[used, None]
     return out
 
 
@@ -137,24 +171,27 @@ def start_vectors(rank: int) -> np.ndarray:
     return np.linalg.qr(np.random.default_rng(20240101).standard_normal((TERMS, rank + OVERSAMPLE), dtype=np.float32))[0]
 
 
-def corpus_sketch(docs: DataFrame, idf: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """``A' (A start)`` where the rows of A are the windows of all documents.
+def corpus_sketch(docs: DataFrame, idf: np.ndarray, start: np.ndarray, stored: DataFrame | None = None) -> np.ndarray:
+    """``A' (A start)`` where the rows of A are the windows of all documents, from their ``stored_terms``.
 
     A task sends one array of the sketch's size, so there are only so many tasks as keep all cores busy.
     """
     context = docs.sparkSession.sparkContext
     sent = context.broadcast((start, idf))
+    stored = stored_terms(docs) if stored is None else stored
 
     def run(batches):
         basis, weights = sent.value
         total = np.zeros(basis.shape, np.float32)
         for batch in batches:
-            for part in slices(batch, "text"):
-                words = Words(part.column("text"), lower=True)
-                total += _gram(terms(words), windows_of(words, SHORT * BLOCK)[0], weights, basis)
+            for part in slices(batch, "data", TERM_BYTES):
+                counts = pc.binary_length(part.column("data")).to_numpy().astype(np.int64) // 2
+                term = np.frombuffer(b"".join(part.column("data").to_pylist()), np.uint16).astype(np.int64)
+                total += _gram(term, window_starts(counts, SHORT * BLOCK), weights, basis)
         yield _ranges(total)
 
-    out = summed_dense(docs.select("text").coalesce(2 * context.defaultParallelism).mapInArrow(run, spark_schema(DENSE)), np.float32, start.shape)
+    texts = stored.where("part < 0").coalesce(2 * context.defaultParallelism)
+    out = summed_dense(texts.mapInArrow(run, spark_schema(DENSE)), np.float32, start.shape)
     sent.destroy()
     return out
 
@@ -282,7 +319,7 @@ def search(docs: DataFrame, passages: list[tuple], idf: np.ndarray, space: np.nd
         short = np.array([n <= SHORT * BLOCK - BLOCK for _, n, *_ in items])
         spans = np.where(short, SHORT, LONG)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", TEXT_BYTES):
                 words = Words(part.column("text"), lower=True)
                 starts, _ = windows_of(words, BLOCK)
                 if not len(starts):
@@ -293,10 +330,11 @@ def search(docs: DataFrame, passages: list[tuple], idf: np.ndarray, space: np.nd
                 six = shifted_sum(three, three, owner, SHORT)
                 near = [rare.windows(words.hash, starts, owner, spans)]
                 for of, vectors in ((np.flatnonzero(short), three), (np.flatnonzero(~short), six)):
+                    to = np.ascontiguousarray(targets[of].T)
                     for at in range(0, len(vectors) if len(of) else 0, CHUNK):
                         v = vectors[at : at + CHUNK]
-                        cosine = (v @ targets[of].T) / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-                        w, i = np.nonzero(cosine >= min_cosine)
+                        length = np.maximum(np.sqrt(np.einsum("ij,ij->i", v, v)), 1e-12)
+                        w, i = np.nonzero(v @ to >= min_cosine * length[:, None])
                         near.append((at + w, of[i]))
                 best: dict[tuple[int, int], tuple] = {}
                 pairs = np.unique(np.concatenate([w * len(items) + i for w, i in near]))
@@ -365,8 +403,9 @@ def contaminated(
         if not passages:
             continue
         if sketch is None:
-            idf = inverse_frequencies(docs, [p[3] for p in passages])
-            sketch = corpus_sketch(docs, idf, start)
+            stored = stored_terms(docs)
+            idf = inverse_frequencies(stored, docs.count(), [p[3] for p in passages])
+            sketch = corpus_sketch(docs, idf, start, stored)
             n_windows = docs.select(F.sum(F.greatest(F.lit(1), F.length("text") / 300))).first()[0] or 0.0
         space = latent_space(sketch, start, [p[3] for p in passages], idf, max(1.0, n_windows / len(passages)))
         out = out.unionByName(search(docs, passages, idf, space, min_cosine))

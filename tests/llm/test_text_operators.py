@@ -147,6 +147,28 @@ def test_numbers_of_keys():
     assert (table.get(keys) == np.arange(len(keys))).all() and (table.get(rng.integers(2**40, 2**50, 500).astype(np.uint64)) == -1).all()
 
 
+def test_sketch_of_stored_terms_is_that_of_dense_rows(spark):
+    rng = random.Random(8)
+    texts = [None, "", " \n"] + [" ".join(rng.choices([f"k{i}" for i in range(300)], [1 / (i + 1) for i in range(300)], k=rng.randrange(1, 400))) for _ in range(150)]
+    words = latent.Words(pa.array(texts, pa.string()), lower=True)
+    dense = np.zeros((len(texts), latent.TERMS), np.int64)
+    np.add.at(dense, (words.owner(), latent.terms(words)), 1)
+    stored = latent.stored_terms(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3))
+    assert stored.where("part < 0").count() == len(texts)
+    idf = latent.inverse_frequencies(stored, len(texts), [])
+    assert np.allclose(idf, np.log((len(texts) + 1) / ((dense > 0).sum(axis=0) + 1)))
+    start = latent.start_vectors(4)
+    starts, ends = latent.windows_of(words, latent.SHORT * latent.BLOCK)
+    assert (latent.window_starts(words.counts(), latent.SHORT * latent.BLOCK) == starts).all()
+    rows = np.zeros((len(starts), latent.TERMS))
+    for i, (a, b) in enumerate(zip(starts, ends, strict=True)):
+        np.add.at(rows[i], latent.terms(words)[a:b], 1.0)
+    rows *= idf
+    rows /= np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)
+    want = rows.T @ (rows @ start)
+    assert np.allclose(latent.corpus_sketch(stored, idf, start, stored), want, atol=1e-4 * np.abs(want).max())
+
+
 def test_matrices_combine_associatively(model):
     v = spm.Vocabulary(model)
     rng = random.Random(2)
