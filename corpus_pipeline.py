@@ -52,7 +52,7 @@ def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id``, ``n_ids`` and ``ids``: the pieces of each text."""
     ship(spark)
-    encoded = spm.encode(docs.select("doc_id", "text"), fertility.model_bytes(spark, PIECE_MODEL))
+    encoded = spm.encode(docs, fertility.model_bytes(spark, PIECE_MODEL), keep=("doc_id",))
     return encoded.select("doc_id", F.size("ids").cast("bigint").alias("n_ids"), "ids")
 
 

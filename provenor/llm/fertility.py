@@ -11,18 +11,22 @@ knows whole; encoded data, keys and random letters fall into fragments.
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from provenor.llm.grammar import ragged
 from provenor.llm.packing import record_batch, spark_schema
-from provenor.llm.words import Words, run_hash, slices
+from provenor.llm.spm import Numbers
+from provenor.llm.words import HASHED_BYTES, Words, run_hash, slices
 
 SYMBOLS = "#*$%&|<>"
 REPEAT_WORDS = 5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
+ENCODED_AT_ONCE = 1 << 14
 
 #: Lowest and highest characters per token, highest share of byte tokens, lowest entropy of the tokens in bits as a share
 #: of the highest that so many tokens can have, lowest share of words that are one token.
@@ -74,27 +78,60 @@ def in_band(band: tuple, chars_per_token: float, byte_share: float, entropy: flo
 
 
 class Fertility:
-    """Token counts of words, remembered for the words of a task's recent slices."""
+    """Token ids of words in one array, remembered for the words of a task's recent slices. Words are told apart by 64-bit hashes."""
 
     def __init__(self, model: bytes, remember: int = 400_000):
         import sentencepiece
 
         self.sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.is_byte = np.array([self.sp.IsByte(i) for i in range(self.sp.GetPieceSize())])
-        self.known: dict[bytes, np.ndarray] = {}
         self.remember = remember
-
-    def ids(self, words: list[bytes]) -> list[np.ndarray]:
-        new = list({w for w in words if w not in self.known})
-        if new:
-            if len(self.known) + len(new) > self.remember:
-                self.known = {w: self.known[w] for w in set(words) if w in self.known}
-            encoded = self.sp.encode([w.decode("utf-8") for w in new], num_threads=1)
-            self.known.update(zip(new, (np.array(x, np.int32) for x in encoded), strict=True))
-        return [self.known[w] for w in words]
-
-
-def measure(words: Words, d: int, lang: str | None, fertility: Fertility, bands: Mapping[str, tuple]) -> tuple:
+        self._forget(remember)
+
+    def _forget(self, most: int) -> None:
+        """Room for so many words, none of them known."""
+        self.numbers, self.count, self.most = Numbers(most), 0, most
+        self.begin, self.pool = np.zeros(most + 1, np.int64), np.zeros(4 * most, np.int32)
+
+    def _encode(self, words: Words, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the words at these places one after the other, and their number for each."""
+        ids, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        for k in range(0, len(at), ENCODED_AT_ONCE):
+            some = at[k : k + ENCODED_AT_ONCE]
+            found = self.sp.encode([words.data[a:b].tobytes().decode("utf-8") for a, b in zip(words.start[some], words.end[some], strict=True)], num_threads=1)
+            sizes.append(np.fromiter(map(len, found), np.int64, len(found)))
+            ids.append(np.fromiter(chain.from_iterable(found), np.int32, int(sizes[-1].sum())))
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def know(self, words: Words) -> np.ndarray:
+        """The number of each word; what was known before is forgotten when there is no more room."""
+        number = self.numbers.get(words.hash)
+        missing = np.flatnonzero(number < 0)
+        if not len(missing):
+            return number
+        new, first = np.unique(words.hash[missing], return_index=True)
+        if self.count and self.count + len(new) > self.most:
+            self._forget(self.remember)
+            return self.know(words)
+        if len(new) > self.most:
+            self._forget(len(new))
+        ids, sizes = self._encode(words, missing[first])
+        to, used = np.arange(self.count, self.count + len(new)), int(self.begin[self.count])
+        if used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool[:used], np.zeros(max(used, 2 * len(ids)), np.int32)])
+        self.pool[used : used + len(ids)] = ids
+        self.begin[to + 1] = used + np.cumsum(sizes)
+        self.numbers.put(new, to.astype(np.int32))
+        self.count += len(new)
+        return self.numbers.get(words.hash)
+
+    def ids(self, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words one after the other, and their number for each word."""
+        sizes = self.begin[number + 1] - self.begin[number]
+        return self.pool[ragged(self.begin[number], sizes)], sizes
+
+
+def measure(words: Words, number: np.ndarray, d: int, lang: str | None, fertility: Fertility, bands: Mapping[str, tuple]) -> tuple:
     raw = words.text(d)
     text, parts = raw.decode("utf-8"), raw.split()
     n, chars = len(parts), len(b"".join(parts).decode("utf-8"))
@@ -105,9 +142,8 @@ def measure(words: Words, d: int, lang: str | None, fertility: Fertility, bands:
     band = band_of(lang, chars, latin, bands)
     kept = False
     if n:
-        pieces = fertility.ids(parts)
-        whole = sum(len(x) <= 1 for x in pieces) / n
-        ids = np.concatenate(pieces)
+        ids, sizes = fertility.ids(number[words.first[d] : words.first[d + 1]])
+        whole = int((sizes <= 1).sum()) / n
         ids = ids[ids >= 0]
         tokens = len(ids)
         p = np.unique(ids, return_counts=True)[1] / tokens
@@ -145,18 +181,18 @@ def quality_rules(
     """
     measures = set(OUT.names)
     keep = tuple(c for c in (df.columns if keep is None else keep) if c not in measures)
-    used = [f"__{c}" for c in ("text", "lang")]
-    source = df.select(*keep, df[text].alias(used[0]), (df[lang] if lang else df[text].substr(1, 0)).alias(used[1]))
+    used = [text if text in keep else "__text", "__lang"]  # a text to return goes to the tasks once
+    source = df.select(*keep, *([] if text in keep else [df[text].alias(used[0])]), (df[lang] if lang else df[text].substr(1, 0)).alias(used[1]))
     extra = df.select(*keep).schema
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in extra), spark_schema(OUT)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fertility = Fertility(model)
         for batch in batches:
-            for part in slices(batch, used[0]):
+            for part in slices(batch, used[0], HASHED_BYTES):
                 words = Words(part.column(used[0]), lower=False)
-                langs = part.column(used[1]).to_pylist()
-                rows = [measure(words, d, langs[d], fertility, bands) for d in range(part.num_rows)]
+                langs, number = part.column(used[1]).to_pylist(), fertility.know(words)
+                rows = [measure(words, number, d, langs[d], fertility, bands) for d in range(part.num_rows)]
                 values = zip(*rows, strict=True) if rows else [[] for _ in OUT]
                 made = record_batch(OUT, **{f.name: list(v) for f, v in zip(OUT, values, strict=True)})
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *made.columns], names=[*keep, *OUT.names])

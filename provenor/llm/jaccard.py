@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from provenor.llm.components import components, joined_components
 from provenor.llm.packing import deal, dealt, record_batch, shuffle_size, spark_schema
-from provenor.llm.words import U, Words, mix, shingle_sets, slices
+from provenor.llm.words import HASHED_BYTES, U, Words, mix, shingle_sets, slices
 from provenor.operators.joins import keyed_join
 from provenor.session import materialise
 
@@ -105,7 +105,7 @@ def node_of(elements: np.ndarray) -> tuple[int, int]:
 def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     for batch in batches:
         for part in slices(batch, "text"):
-            yield part, shingle_sets(Words(part.column("text"), lower=True), n)
+            yield part, [s for few in slices(part, "text", HASHED_BYTES) for s in shingle_sets(Words(few.column("text"), lower=True), n)]
 
 
 def signatures(docs: DataFrame, n: int) -> DataFrame:

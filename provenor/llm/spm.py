@@ -485,9 +485,10 @@ def _giants(giants: DataFrame, model: bytes, chunk: int) -> DataFrame:
     return traced.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("chunk", "ids"))).alias("pieces"))
 
 
-def encode(df: DataFrame, model: bytes, text: str = "text", ids: str = "ids", chunk: int = CHUNK_CHARS) -> DataFrame:
+def encode(df: DataFrame, model: bytes, text: str = "text", ids: str = "ids", chunk: int = CHUNK_CHARS, keep: tuple[str, ...] | None = None) -> DataFrame:
     """The rows of ``df`` with ``ids``, the piece ids of the whole text (array of int).
 
+    ``keep`` lists the columns of ``df`` to return (all by default); what it leaves out is not sent to the tasks.
     Spaces are written U+2581, one more stands before the text, and nothing else
     is normalised, so ``decode`` gives the text back; a U+2581 in a text comes back as a space. A null text has null
     ids, an empty one none. Rows that repeat are encoded alike; an empty table
@@ -496,7 +497,7 @@ def encode(df: DataFrame, model: bytes, text: str = "text", ids: str = "ids", ch
     they are. Within a chunk without any place that all segmentations share,
     segmentations of equal score may be told apart otherwise than in one piece.
     """
-    keep = [c for c in df.columns if c != ids]
+    keep = [c for c in (df.columns if keep is None else keep) if c != ids]
     rows = df.select(*(F.col(c).alias(f"__in_{c}") for c in keep), F.when(df[text] == "", "").otherwise(F.concat(F.lit(SPACE), F.replace(df[text], F.lit(" "), F.lit(SPACE)))).alias("body"))
     rows = rows.withColumn("doc", F.when(F.length("body") > chunk, F.xxhash64("body")))
     kept = [f"__in_{c}" for c in keep]

@@ -2,7 +2,8 @@
 
 A word is a run of bytes other than space and 0x09-0x0D. All functions work on
 one Arrow slice at a time; ``slices`` bounds its bytes, so memory follows the
-slice and the longest single text, never the partition.
+slice and the longest single text, never the partition. Hashes are summed block by
+block within a slice: they take 8 bytes for each byte or word of a block, not of the slice.
 """
 
 from __future__ import annotations
@@ -15,6 +16,9 @@ import pyarrow.compute as pc
 
 U = np.uint64
 SLICE_BYTES = 4 << 20
+#: Enough for one pass over words whose results do not depend on the slice.
+HASHED_BYTES = 1 << 20
+BLOCK = 1 << 18
 _RADIX, _RADIX_INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -38,10 +42,10 @@ _LOWER[65:91] += 32
 def _powers(radix: int, n: int) -> np.ndarray:
     have = _POWERS.get(radix)
     if have is None or len(have) < n:
-        steps = np.full(max(n, SLICE_BYTES + 1), radix, U)
+        steps = np.full(max(n, BLOCK + 1), radix, U)
         steps[0] = 1
         have = np.cumprod(steps, dtype=U)
-        if n <= 2 * SLICE_BYTES:  # an exceptionally long text does not stay in memory
+        if n <= 2 * BLOCK:  # those of an exceptionally long word or run do not stay in memory
             _POWERS[radix] = have
     return have[:n]
 
@@ -68,11 +72,21 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def range_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A hash of the bytes from each start up to its end."""
-    sums = np.concatenate([[U(0)], np.cumsum(_BYTE_CODES[data] * _powers(_RADIX, len(data)), dtype=U)])
-    h = (sums[end] - sums[start]) * _powers(_RADIX_INVERSE, len(data) + 1)[start]
-    return mix(h + (end - start).astype(U) * U(_RADIX))
+def range_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, codes: np.ndarray = _BYTE_CODES) -> np.ndarray:
+    """A hash of the bytes from each start up to its end; neither starts nor ends may fall.
+
+    It does not depend on where a range stands, so ranges are taken block by block.
+    """
+    h, at = np.empty(len(start), U), 0
+    while at < len(start):
+        low = start[at]
+        stop = max(at + 1, int(np.searchsorted(end, low + BLOCK, side="right")))
+        n = int(end[stop - 1] - low)
+        sums = np.concatenate([[U(0)], np.cumsum(codes[data[low : low + n]] * _powers(_RADIX, n), dtype=U)])
+        begin = start[at:stop] - low
+        h[at:stop] = mix((sums[end[at:stop] - low] - sums[begin]) * _powers(_RADIX_INVERSE, n + 1)[begin] + (end[at:stop] - start[at:stop]).astype(U) * U(_RADIX))
+        at = stop
+    return h
 
 
 class Words:
@@ -96,10 +110,7 @@ class Words:
         self.start = np.flatnonzero(inside & (edge[:-1] | np.concatenate([[True], ~inside[:-1]])))
         self.end = np.flatnonzero(inside & (edge[1:] | np.concatenate([~inside[1:], [True]]))) + 1
         self.first = np.searchsorted(self.start, offsets)
-        codes = (_BYTE_CODES[_LOWER] if lower else _BYTE_CODES)[data]
-        sums = np.concatenate([[U(0)], np.cumsum(codes * _powers(_RADIX, len(data)), dtype=U)])
-        h = (sums[self.end] - sums[self.start]) * _powers(_RADIX_INVERSE, len(data) + 1)[self.start]
-        self.hash = mix(h + (self.end - self.start).astype(U) * U(_RADIX))
+        self.hash = range_hash(data, self.start, self.end, _BYTE_CODES[_LOWER] if lower else _BYTE_CODES)
 
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
@@ -117,9 +128,13 @@ def run_hash(h: np.ndarray, n: int) -> np.ndarray:
     count = len(h) - n + 1
     if count <= 0:
         return np.zeros(0, U)
-    weighted = h * _powers(_RADIX, len(h))
-    sums = np.concatenate([[U(0)], np.cumsum(weighted, dtype=U)])
-    return mix((sums[n:] - sums[:count]) * _powers(_RADIX_INVERSE, len(h))[:count])
+    runs, step = np.empty(count, U), max(BLOCK, n)
+    for at in range(0, count, step):
+        part = h[at : at + step + n - 1]
+        sums = np.concatenate([[U(0)], np.cumsum(part * _powers(_RADIX, len(part)), dtype=U)])
+        here = len(part) - n + 1
+        runs[at : at + here] = mix((sums[n:] - sums[:here]) * _powers(_RADIX_INVERSE, len(part))[:here])
+    return runs
 
 
 def shingle_sets(words: Words, n: int = 5) -> list[np.ndarray]:

@@ -86,7 +86,12 @@ def job(run: Callable) -> Callable:
     return wrapped
 
 
+# while a step is written: its shuffle files go with it, and a Python task gets its rows 8 MB at a time
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+STEP = {
+    SHUFFLE_CLEANUP: "true",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
+}
 
 
 def materialise(df: DataFrame, label: str = "stage") -> DataFrame:
@@ -98,10 +103,12 @@ def materialise(df: DataFrame, label: str = "stage") -> DataFrame:
     """
     spark = df.sparkSession
     path = working_path(spark, label)
-    before = spark.conf.get(SHUFFLE_CLEANUP, None)
-    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    before = {key: spark.conf.get(key, None) for key in STEP}
+    for key, value in STEP.items():
+        spark.conf.set(key, value)
     try:
         df.write.mode("errorifexists").option("compression", "snappy").parquet(path)
     finally:
-        spark.conf.unset(SHUFFLE_CLEANUP) if before is None else spark.conf.set(SHUFFLE_CLEANUP, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
     return spark.read.schema(df.schema).parquet(path)
