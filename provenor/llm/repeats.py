@@ -231,16 +231,17 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", windo
     bitmap = spark.sparkContext.broadcast(merged_sketch(partition_sketches(docs.select("text"), window, run, bits), bits))
     parts = shuffle_size(spark)
     marks = later_windows(candidate_windows(docs, bitmap, window, run, bits, parts), parts).withColumnRenamed("starts", "__starts")
-    joined = df.select(*(df[c].alias(f"__in_{c}") for c in keep), *identity, df[text].alias("__text")).join(marks, ["__id", "__mark"], "left").drop("__id", "__mark")
+    body = f"__in_{text}" if text in keep else "__text"  # a text to return is shuffled and goes to the tasks once
+    joined = df.select(*(df[c].alias(f"__in_{c}") for c in keep), *identity, *([] if text in keep else [df[text].alias(body)])).join(marks, ["__id", "__mark"], "left").drop("__id", "__mark")
     kept = [f"__in_{c}" for c in keep]
     made = pa.schema([("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string())])
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.select(*kept).schema), spark_schema(made)])
 
     def go(batches):
         for batch in batches:
-            for part in slices(batch, "__text"):
+            for part in slices(batch, body):
                 rows = []
-                for value, starts in zip(part.column("__text").to_pylist(), part.column("__starts").to_pylist(), strict=True):
+                for value, starts in zip(part.column(body).to_pylist(), part.column("__starts").to_pylist(), strict=True):
                     words = (value or "").encode().split()
                     gone = 0
                     if starts:

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 
 import corpus_pipeline
-from provenor.llm import fertility, words
+from provenor.llm import fertility, repeats, words
 from provenor.session import materialise
 
 
@@ -75,6 +75,10 @@ def test_texts_go_to_tasks_once(spark, model):
     docs = spark.createDataFrame([(1, "en", "a text of a few words", 21)], "doc_id long, lang string, text string, n_chars long")
     (sent,) = sent_columns(fertility.quality_rules(docs, model))
     assert sent.count("text") == 1
+    cut = repeats.remove_repeats(docs)
+    assert [r["kept_text"] for r in cut.collect()] == ["a text of a few words"]
+    assert sum(line.count("text") for line in sent_columns(cut) if "__in_text" in line) == 1
+    assert all("__text" not in line for line in cut._jdf.queryExecution().optimizedPlan().toString().split("\n"))
     ids = corpus_pipeline.token_ids(spark, docs, "")
     assert ids.columns == ["doc_id", "n_ids", "ids"] and ids.first()["n_ids"] > 0
     assert all("__in_text" not in line for line in sent_columns(ids))
