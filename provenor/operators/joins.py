@@ -23,6 +23,8 @@ def keyed_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str =
     """Equi-join; with ``salts`` every key of ``left`` is spread over that many buckets.
 
     The salt is a hash of the left row, so a repeated task yields the same rows.
+    The right side is crossed with the salts and not exploded: Spark sizes an
+    exploded table like the table itself, and would broadcast all its copies.
     ``parts`` deals the left rows over that many tasks by key and salt; without
     it the session's shuffle partitions decide.
     """
@@ -33,7 +35,7 @@ def keyed_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str =
         raise ValueError(f"a salted join cannot be {how}")
     hashed = [F.col(f"`{f.name}`") for f in left.schema if "map<" not in f.dataType.simpleString()]
     salted = left.withColumn("__salt", F.pmod(F.xxhash64(*hashed), F.lit(salts)))
-    copies = right.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
+    copies = right.crossJoin(F.broadcast(right.sparkSession.range(0, salts, 1, 1).withColumnRenamed("id", "__salt")))
     dealt = salted.repartition(parts, *on, "__salt") if parts else salted
     return dealt.join(copies, [*on, "__salt"], how).drop("__salt")
 

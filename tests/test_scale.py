@@ -53,6 +53,20 @@ def test_salts_spread_a_hot_join_key(spark, hot, fixed_partitions):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
 
 
+@pytest.mark.parametrize("n,sent", [(20_000, False), (20, True)])
+def test_salted_copies_are_broadcast_by_the_size_of_all_copies(spark, hot, n, sent):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "2m")
+    try:
+        fact = hot.select(F.col("id").alias("key"), "v")
+        dim = spark.range(2 * n).groupBy((F.col("id") % n).alias("key")).agg(F.min("id").alias("w"))
+        joined = joins.keyed_join(fact, dim, ["key"], "left", salts=32)
+        assert sum(r["w"] is not None and r["w"] == r["key"] for r in joined.collect()) == n
+        assert ("BroadcastHashJoin" in joined._jdf.queryExecution().executedPlan().toString()) == sent
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
 def test_best_row_is_limited_before_the_shuffle(spark, capsys):
     rows = tab(spark, SF, "lineitem")
     text = plan(windows.best_by(rows, ["l_suppkey"], [F.col("l_quantity").desc(), F.col("l_orderkey")]), capsys)
