@@ -9,6 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from provenor.llm import jaccard, repeats
 from provenor.llm.components import components
 from provenor.llm.words import Words, shingle_sets
@@ -107,6 +108,20 @@ def test_stored_steps_leave_no_shuffle_files(spark):
     assert sum(os.path.getsize(f) for f in more if os.path.exists(f)) < 10_000
 
 
+def test_copies_of_all_labels_are_not_broadcast(spark):
+    texts = [" ".join(f"w{i % 3000}x{j}" for j in range(12)) for i in range(3100)]
+    docs = spark.createDataFrame([*enumerate(texts)], SCHEMA).repartition(4)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    # a row for each of the 3000 labels is far below it, 32 rows for each are far above
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "500k")
+    try:
+        kept = corpus_pipeline.near_duplicates(spark, docs, "")
+        assert sorted(r["doc_id"] for r in kept.collect()) == [*range(3000)]
+        assert "BroadcastHashJoin [label" not in kept._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
 def test_sketch_distance_is_a_lower_bound():
     rng = np.random.default_rng(0)
     for _ in range(200):
